@@ -11,10 +11,19 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, line_dedup, mixing, simhash, token_counts, token_files
+from . import decontaminate, exact_dedup, language_id, line_dedup, mixing, secret_scan, simhash, token_counts, token_files, url_trust
 from .common import saved, scratch, table
 
 VOCABULARY = "byte_bpe_50k.json"
+ROUNDS, DAMPING = 10, 0.85
+
+
+def op1_url_trust(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_trust.judge_urls(table(spark, sf_dir, "pages"), url_trust.rule_table(spark), rounds=ROUNDS, damping=DAMPING)
+
+
+def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.scan(table(spark, sf_dir, "documents"))
 
 
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,7 +70,14 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_components(table(spark, sf_dir, "documents"), words=3, radius=2)
 
 
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return language_id.predict(docs, language_id.train(docs))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_url_trust": op1_url_trust,
+    "op2_secret_scan": op2_secret_scan,
     "op3_token_files": op3_token_files,
     "op4_mixing": op4_mixing,
     "op5_line_dedup": op5_line_dedup,
@@ -69,6 +85,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_decontamination": op7_decontamination,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_simhash": op9_simhash,
+    "op10_language_id": op10_language_id,
 }
 
 _BLANKS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
@@ -104,3 +121,36 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, c
   sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN p ON d.rid = p.rid LEFT JOIN t ON d.rid = t.rid""",
 }
+
+
+def _url_trust_sql() -> str:
+    """Rules, seeds and the rounds of both walks, one table expression a round."""
+    rules = ", ".join(f"('{v}', '{h}', '{p}', '{h}{p}')" for v, h, p in url_trust.RULES)
+    link = url_trust.LINK.replace("'", "''")
+    rounds = "".join(
+        f"""
+s{k + 1} AS MATERIALIZED (SELECT host, sign, sum(x) AS x FROM (SELECT host, sign, x FROM s0 UNION ALL
+  SELECT e.b AS host, e.sign, s.x * e.share AS x FROM s{k} s JOIN e ON e.sign = s.sign AND e.a = s.host) GROUP BY host, sign),"""
+        for k in range(ROUNDS)
+    )
+    return f"""
+WITH r(verdict, rh, rp, rule) AS (VALUES {rules}),
+a AS (SELECT page_id, html, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS u FROM pages),
+q AS (SELECT page_id, html, {_LOWER.format("regexp_extract(u, '^[^/?#]*')")} AS host, regexp_extract(u, '^[^/?#]*([^?#]*)', 1) AS path FROM a),
+p AS MATERIALIZED (SELECT row_number() OVER () AS rid, * FROM q),
+f AS (SELECT rid, rule, verdict, row_number() OVER (PARTITION BY rid ORDER BY length(rule) DESC, length(rh) DESC, rule) AS k
+  FROM p JOIN r ON (p.host = r.rh OR ends_with(p.host, '.' || r.rh)) AND starts_with(p.path, r.rp)),
+j AS MATERIALIZED (SELECT p.rid, page_id, host, path, rule, verdict FROM p LEFT JOIN f ON p.rid = f.rid AND f.k = 1),
+seed AS (SELECT host, count(*) FILTER (WHERE verdict = 'allow') AS t, count(*) FILTER (WHERE verdict = 'block') AS b FROM j GROUP BY host),
+s0 AS MATERIALIZED (SELECT host, 1 AS sign, {1 - DAMPING!r} * (t / (SELECT sum(t) FROM seed)) AS x FROM seed WHERE t > 0
+  UNION ALL SELECT host, -1, {1 - DAMPING!r} * (b / (SELECT sum(b) FROM seed)) FROM seed WHERE b > 0),
+l AS (SELECT host AS a, {_LOWER.format("unnest(regexp_extract_all(html, '" + link + "', 1))")} AS b FROM p WHERE host <> '' AND html IS NOT NULL),
+n AS (SELECT a, b, count(*) AS n FROM l WHERE a <> b GROUP BY a, b),
+w AS (SELECT 1 AS sign, a, b, n FROM n UNION ALL SELECT -1, b, a, n FROM n),
+e AS MATERIALIZED (SELECT sign, a, b, {DAMPING!r} * n / sum(n) OVER (PARTITION BY sign, a) AS share FROM w),{rounds}
+z AS (SELECT host, round(sum(sign * x), 12) AS score FROM s{ROUNDS} GROUP BY host)
+SELECT page_id, j.host, path, rule, coalesce(verdict, CASE WHEN coalesce(score, 0) < 0 THEN 'block' ELSE 'allow' END) AS verdict, coalesce(score, 0.0) AS score
+FROM j LEFT JOIN z ON j.host = z.host"""
+
+
+SQL["op1_url_trust"] = _url_trust_sql()
