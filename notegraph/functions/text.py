@@ -45,6 +45,10 @@ def strip_quotes(col: Column) -> Column:
 
 def insert_after_frontmatter(content: Column, block: Column) -> Column:
     """After the closing ``---`` line, else on top."""
+    return bound(content, lambda c: _inserted(c, block))
+
+
+def _inserted(content: Column, block: Column) -> Column:
     end = F.locate("\n---", content, 5)  # from offset 4
     rest = F.substring(content, end + 4, F.length(content))
     after = F.locate("\n", rest)
@@ -58,9 +62,12 @@ def insert_after_frontmatter(content: Column, block: Column) -> Column:
 
 def segment(col: Column) -> Column:
     """Parts of a text: even ones are text, odd ones code (fences and inline code)."""
-    clean = F.replace(col, F.lit("\x01"), F.lit(""))
-    marked = F.when(clean.contains("`") | clean.contains("~~~"), F.regexp_replace(clean, _FENCE + _CODE, "\x01$0\x01")).otherwise(clean)
-    return F.split(marked, "\x01", -1)
+
+    def parts(clean: Column) -> Column:
+        marked = F.when(clean.contains("`") | clean.contains("~~~"), F.regexp_replace(clean, _FENCE + _CODE, "\x01$0\x01")).otherwise(clean)
+        return F.split(marked, "\x01", -1)
+
+    return bound(F.replace(col, F.lit("\x01"), F.lit("")), parts)
 
 
 def fence_parts(col: Column) -> Column:
@@ -75,7 +82,8 @@ def transform_text(col: Column, fn: Callable[[Column], Column]) -> Column:
 
 def strip_comments(col: Column) -> Column:
     """Remove ``%%...%%`` within each text part."""
-    return F.when(col.contains("%%"), transform_text(col, lambda x: F.regexp_replace(x, r"%%[\s\S]*?%%", ""))).otherwise(col)
+    fixed = lambda c: transform_text(c, lambda x: F.regexp_replace(x, r"%%[\s\S]*?%%", ""))
+    return bound(col, lambda c: F.when(c.contains("%%"), fixed(c)).otherwise(c))
 
 
 def escape_table_gt(col: Column) -> Column:
@@ -84,8 +92,8 @@ def escape_table_gt(col: Column) -> Column:
     def row(line: Column) -> Column:
         return F.when(F.regexp_like(line, F.lit(rf"\|{DOT}*\|")), F.regexp_replace(line, r"(\|[\t ]*)>", r"$1\\>")).otherwise(line)
 
-    fixed = transform_text(col, lambda x: F.array_join(F.transform(F.split(x, "\n", -1), row), "\n"))
-    return F.when(col.contains("|") & col.contains(">"), fixed).otherwise(col)
+    fixed = lambda c: transform_text(c, lambda x: F.array_join(F.transform(F.split(x, "\n", -1), row), "\n"))
+    return bound(col, lambda c: F.when(c.contains("|") & c.contains(">"), fixed(c)).otherwise(c))
 
 
 def rewrite_math(col: Column) -> Column:
@@ -100,7 +108,7 @@ def rewrite_math(col: Column) -> Column:
         x = F.regexp_replace(x, "\x02([^\x03]*[a-zA-Z\\\\][^\x03]*)\x03", f"`{MATH_INLINE}$1`")
         return F.regexp_replace(x, "[\x02\x03]", r"\$")
 
-    return F.when(col.contains("$"), transform_text(col, math)).otherwise(col)
+    return bound(col, lambda c: F.when(c.contains("$"), transform_text(c, math)).otherwise(c))
 
 
 # --- HTML --------------------------------------------------------------------------------
@@ -111,9 +119,11 @@ def _code_points(col: Column, pattern: str, base: int) -> Column:
         value = F.conv(digits, base, 16)
         return F.decode(F.unhex(F.lpad(value, 8, "0")), "UTF-32")
 
-    found = F.transform(F.regexp_extract_all(col, F.lit(pattern), F.lit(1)), character)
-    joined = F.array_join(F.zip_with(F.split(col, pattern, -1), found, lambda p, c: F.concat(p, F.coalesce(c, F.lit("")))), "")
-    return F.when(col.contains("&#"), joined).otherwise(col)
+    def replaced(c: Column) -> Column:
+        found = F.transform(F.regexp_extract_all(c, F.lit(pattern), F.lit(1)), character)
+        return F.array_join(F.zip_with(F.split(c, pattern, -1), found, lambda p, x: F.concat(p, F.coalesce(x, F.lit("")))), "")
+
+    return bound(col, lambda c: F.when(c.contains("&#"), replaced(c)).otherwise(c))
 
 
 def decode_entities(col: Column) -> Column:

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from notegraph.functions.text import BLANK, LINK_PREFIX, from_base64, humanize_ref, js_trim, segment, strip_quotes, to_base64, transform_text, url_decode
+from notegraph.functions.text import BLANK, LINK_PREFIX, bound, from_base64, humanize_ref, js_trim, segment, strip_quotes, to_base64, transform_text, url_decode
 from notegraph.operators.titles import stem
 
 _WIKI = r"(?<![!\[])\[\[(?!\[)([^\n]*?)\]\]"
@@ -143,7 +143,7 @@ def _rewritten(notes: DataFrame, replacements: DataFrame, key: str, pattern: str
         swap = lambda p: F.coalesce(F.try_element_at(F.col("__map"), p), unmarked(p))
         return F.array_join(F.transform(pieces, lambda p, i: F.when(i % 2 == 1, swap(p)).otherwise(p)), "")
 
-    content = F.when(F.col("__map").isNull(), F.col("content")).otherwise(transform_text(F.col("content"), replaced))
+    content = bound(F.col("content"), lambda c: F.when(F.col("__map").isNull(), c).otherwise(transform_text(c, replaced)))
     return notes.join(entries, "path", "left").withColumn("content", content).drop("__map")
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from notegraph.functions.text import hash6
+from notegraph.sources.scratch import saved
 
 _INDEX_STEMS = ("index", "readme")
 
@@ -76,13 +77,14 @@ def folder_titles(folders: DataFrame, taken: DataFrame) -> DataFrame:
     rows = named.join(counts, "name").join(used, "name", "left").withColumn("must", F.col("shared") | F.coalesce("used", F.lit(False)))
     done = rows.where(~F.col("must")).select("folder_rel", F.col("name").alias("title"))
     left = rows.where("must").select("folder_rel", "segments", "name")
+    left = saved(left, "folder-round")
     depth = left.agg(F.max(F.size("segments"))).first()[0] or 0
     for d in range(2, depth + 1):
         candidate = F.when(F.size("segments") >= d, F.array_join(F.slice("segments", -d, d), " / "))
         tried = left.withColumn("title", candidate).join(taken.select("title", F.lit(True).alias("taken")), "title", "left")
         first = F.min(F.struct(F.size("segments").alias("n"), F.col("folder_rel").alias("folder_rel"))).over(Window.partitionBy("title"))["folder_rel"]
         won = F.col("title").isNotNull() & F.col("taken").isNull() & (first == F.col("folder_rel"))
-        tried = tried.withColumn("won", won)
+        tried = saved(tried.select("folder_rel", "segments", "name", "title", won.alias("won")), "folder-round")
         done = done.unionByName(tried.where("won").select("folder_rel", "title"))
         left = tried.where("not won").select("folder_rel", "segments", "name")
     hashed = left.select("folder_rel", F.concat("name", F.lit(" ("), hash6(F.col("folder_rel")), F.lit(")")).alias("base"), F.size("segments").alias("n"))

@@ -12,13 +12,16 @@ from notegraph.config import PlanConfig
 from notegraph.functions.text import bound, escape_table_gt, fence_parts, insert_after_frontmatter, normalize_newlines, rewrite_math, strip_comments
 from notegraph.operators import filters, links, meta, state, titles, tree
 from notegraph.sources.notes import parse_frontmatter, split_frontmatter
+from notegraph.sources.scratch import saved
 
 
 @dataclass
 class Context:
-    """What holds for the whole corpus, whatever part of it is published."""
+    """What holds for the whole corpus, whatever part of it is published. All but ``notes``
+    and ``ids`` are written tables without note texts."""
 
-    notes: DataFrame  # publishable, with fm and fm_kind
+    notes: DataFrame  # publishable, with content, fm and fm_kind
+    meta: DataFrame  # path, ord, fm, fm_kind of publishable notes
     files: DataFrame
     folders: DataFrame
     landings: DataFrame
@@ -30,35 +33,38 @@ class Context:
 
 def publish_context(notes: DataFrame, cfg: PlanConfig) -> Context:
     """``notes(path, content, ord)`` to titles, folders and ids of the publishable ones."""
-    parsed = parse_frontmatter(split_frontmatter(notes)).drop("raw_fm", "body")
-    chosen = filters.publishable(parsed, cfg.folder, cfg.publish_key)
-    named = titles.dedup_titles(titles.effective_title(chosen, cfg.use_h1), cfg.deduplicate_titles)
-    named = named.persist(StorageLevel.MEMORY_AND_DISK)
-    files = tree.folder_of_file(named)
-    folders = tree.derive_folders(files)
-    landings = tree.landing_notes(files)
+    h1 = titles.first_h1(F.col("content")) if cfg.use_h1 else F.lit(None).cast("string")
+    parsed = parse_frontmatter(split_frontmatter(notes)).select("path", "ord", "fm", "fm_kind", h1.alias("h1"))
+    about = saved(filters.publishable(parsed, cfg.folder, cfg.publish_key), "notes-meta")
+    own = about.select("path", "ord", F.coalesce("h1", titles.stem(F.col("path"))).alias("title"))
+    named = saved(titles.dedup_titles(own, cfg.deduplicate_titles), "titles")
+    files = saved(tree.folder_of_file(named), "files")
+    folders, landings = saved(tree.derive_folders(files), "folders"), saved(tree.landing_notes(files), "landings")
     if not cfg.preserve_folders:
         folders, landings = folders.limit(0), landings.limit(0)
-    folder_names = tree.folder_titles(folders, named) if cfg.preserve_folders else folders.select("folder_rel", F.lit("").alias("title"))
-    final = titles.publish_titles(named, landings, folder_names)
-    return Context(chosen, files, folders, landings, folder_names, final, titles.id_index(chosen, final, landings), notes.select("path"))
+    folder_names = saved(tree.folder_titles(folders, named), "folder-titles")
+    final = saved(titles.publish_titles(named, landings, folder_names), "final-titles")
+    chosen = notes.join(about.select("path", "fm", "fm_kind"), "path")
+    return Context(chosen, about, files, folders, landings, folder_names, final, titles.id_index(about, final, landings), notes.select("path"))
 
 
 def render_notes(ctx: Context, cfg: PlanConfig, only: DataFrame | None = None) -> DataFrame:
     """path, ord, title, page_title, folder_title, tags, content: each note as it would be
     published. The passes go in a fixed order: comments, links, file links, table cells,
-    math; each protects code, and what an earlier pass has put there."""
+    math; each protects code, and what an earlier pass has put there. Texts are shuffled
+    by path once; all joins after that are on path too."""
     notes = ctx.notes if only is None else filters.restrict_to(ctx.notes, only)
     rows = notes.withColumn("content", normalize_newlines(F.col("content"))).join(ctx.titles.drop("ord"), "path")
     if cfg.use_h1:
         renamed = F.col("page_title") != F.col("original_title")
         rows = rows.withColumn("content", F.when(renamed, titles.rewrite_h1(F.col("content"), F.col("page_title"))).otherwise(F.col("content")))
     if cfg.metadata_panel:
-        panel = meta.metadata_block(meta.metadata_fields(notes, ctx.titles, ctx.corpus, ctx.ids))
+        panel = meta.metadata_block(meta.metadata_fields(ctx.meta, ctx.titles, ctx.corpus, ctx.ids))
         rows = rows.join(panel, "path", "left")
         rows = rows.withColumn("content", F.when(F.col("block").isNull(), F.col("content")).otherwise(insert_after_frontmatter(F.col("content"), F.col("block")))).drop("block")
     rows = meta.project_labels(rows, cfg.label_fields, cfg.labels_from_taxonomy)
     rows = rows.select("path", "ord", "title", "page_title", "folder_title", "tags", strip_comments(F.col("content")).alias("content"))
+    rows = rows.persist(StorageLevel.MEMORY_AND_DISK)  # links are found in it and replaced in it
     found = links.wikilink_replacements(links.extract_wikilinks(rows), ctx.titles, ctx.corpus)
     rows = links.rewrite_wikilinks(rows, found)
     found = links.file_link_replacements(links.extract_file_links(rows), ctx.titles, ctx.corpus)

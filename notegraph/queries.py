@@ -6,7 +6,6 @@ a note was built of, not by running the same pattern.
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,6 +17,7 @@ from notegraph.functions import text
 from notegraph.operators import filters, links, meta, nodes, state, titles, tree
 from notegraph.plans import publish
 from notegraph.sources import notes as sources
+from notegraph.sources.scratch import scratch
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -117,7 +117,7 @@ def _(spark, d):
 
 @query("s7_ledger", "SELECT path, page_id, hash FROM ledger", ("ledger",))
 def _(spark, d):
-    folder = _scratch(spark, "ledger")
+    folder = scratch(spark, "ledger")
     sources.write_ledger(sources.read_ledger(spark, folder), folder)
     sources.write_ledger(fixture.read(spark, d, "ledger"), folder)
     return sources.read_ledger(spark, folder)
@@ -125,7 +125,7 @@ def _(spark, d):
 
 @query("s8_write_publish_plan")
 def _(spark, d):
-    folder = _scratch(spark, "plan")
+    folder = scratch(spark, "plan")
     sources.write_publish_plan(publish.plan_publish(_slim(spark, d), fixture.read(spark, d, "ledger"), CFG), folder)
     return spark.read.parquet(folder)
 
@@ -487,7 +487,7 @@ def _(spark, d):
 )
 def _(spark, d):
     ctx = _context(spark, d)
-    return meta.metadata_fields(ctx.notes, ctx.titles, ctx.corpus, ctx.ids).select("path", "label", "value_ord", "text")
+    return meta.metadata_fields(ctx.meta, ctx.titles, ctx.corpus, ctx.ids).select("path", "label", "value_ord", "text")
 
 
 @query(
@@ -497,7 +497,7 @@ def _(spark, d):
 )
 def _(spark, d):
     ctx = _context(spark, d)
-    return meta.metadata_block(meta.metadata_fields(ctx.notes, ctx.titles, ctx.corpus, ctx.ids))
+    return meta.metadata_block(meta.metadata_fields(ctx.meta, ctx.titles, ctx.corpus, ctx.ids))
 
 
 @query("m5_slugify", "WITH s AS (SELECT DISTINCT source, lang FROM documents) SELECT source, lang, concat('risk-', lower(source), '-in-', lower(lang)) AS slug FROM s")
@@ -633,7 +633,7 @@ def _(spark, d):
 
 @query("p12_second_run", _CLEAN + f" SELECT path, {_HASH.format(tags=chr(39) * 2)} AS hash, 'skip' AS action FROM cl")
 def _(spark, d):
-    folder = _scratch(spark, "second-run")
+    folder = scratch(spark, "second-run")
     notes = _slim(spark, d)
     publish.plan_publish(notes, sources.read_ledger(spark, folder), CFG).select("path", F.md5("path").alias("page_id"), "hash").write.parquet(f"{folder}/first")
     sources.write_ledger(spark.read.parquet(f"{folder}/first"), folder)
@@ -744,14 +744,6 @@ def _(spark, d):
 # --- streams -----------------------------------------------------------------------------
 
 
-def _scratch(spark: SparkSession, label: str) -> str:
-    """A new path in the folder that the cluster's machines share."""
-    import uuid
-
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")
-    return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
-
-
 def _revisions(spark: SparkSession, d: str, folder: str) -> DataFrame:
     """Notes in three files by doc_id % 3, the third with edited copies of every tenth."""
     rows = _notes(spark, d).select("path", "content", "ord", F.lit(0).cast("long").alias("rev"))
@@ -768,7 +760,7 @@ def _revisions(spark: SparkSession, d: str, folder: str) -> DataFrame:
 def _(spark, d):
     from notegraph.streaming import publish_stream as streams
 
-    folder = _scratch(spark, "stream")
+    folder = scratch(spark, "stream")
     streams.publish_stream(_revisions(spark, d, folder), folder, CFG).awaitTermination()
     return spark.read.parquet(f"{folder}/ledger/2")
 
@@ -777,7 +769,7 @@ def _(spark, d):
 def _(spark, d):
     from notegraph.streaming import publish_stream as streams
 
-    folder = _scratch(spark, "changes")
+    folder = scratch(spark, "changes")
     changed = streams.changed_notes_stream(_revisions(spark, d, folder).select("path", F.md5("content").alias("hash")))
 
     def keep(batch: DataFrame, batch_id: int) -> None:
