@@ -20,12 +20,12 @@ import numpy as np
 #: Entries of the piece memo in one worker, some 150 MB; past it the later half goes.
 MEMO = 800_000
 #: A piece that starts with its only white space, in which no added token can stand.
-_PLAIN = re.compile(" [^\\s᠎​]+")
+_PLAIN = re.compile(" [^\\s\u180e\u200b]+")
 #: A space whose neighbours make a split there unsafe.
-_UNSAFE = re.compile("[\\s᠎​] (?:[\\s᠎​]|$)")
+_UNSAFE = re.compile("[\\s\u180e\u200b] (?:[\\s\u180e\u200b]|$)")
 
 #: A Latin letter ends a stem before commas and full stops: the BPE splits there too.
-_STEM = re.compile("[^\\n]*[A-Za-zÀ-ÖØ-öø-ÿ](?=[.,]+$)")
+_STEM = re.compile("[^\\n]*[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff](?=[.,]+$)")
 
 
 @lru_cache(maxsize=4)

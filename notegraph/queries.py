@@ -667,12 +667,12 @@ def _path(column: str = "node_path"):
 
 
 _TYPES = [
-    ("doc", 1), ("heading", 1), ("text", 15), ("paragraph", 3), ("mention", 1), ("panel", 1), ("hardBreak", 1), ("table", 1), ("tableRow", 3), ("tableHeader", 2), ("tableCell", 4),
+    ("doc", 1), ("heading", 1), ("text", 13), ("paragraph", 3), ("mention", 1), ("panel", 1), ("hardBreak", 1), ("table", 1), ("tableRow", 3), ("tableHeader", 2), ("tableCell", 4),
     ("taskList", 1), ("taskItem", 1), ("blockquote", 1), ("codeBlock", 1), ("mediaSingle", 1), ("media", 1), ("inlineExtension", 1), ("unknownThing", 1),
 ]
 
 
-@query("d1_flatten_nodes", "SELECT doc_id, 41 AS n_nodes, 5 AS deepest, concat('H', doc_id) AS heading FROM node_docs", ("node_docs",))
+@query("d1_flatten_nodes", "SELECT doc_id, 39 AS n_nodes, 5 AS deepest, concat('H', doc_id) AS heading FROM node_docs", ("node_docs",))
 def _(spark, d):
     heading = F.max(F.when(_path() == "0.0", F.col("text")))
     return _nodes(spark, d).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_nodes"), (F.max("depth") + 1).alias("deepest"), heading.alias("heading"))
