@@ -68,12 +68,12 @@ def scan_attachments(spark: SparkSession, root: str) -> DataFrame:
 
 def split_frontmatter(notes: DataFrame) -> DataFrame:
     """Adds raw_fm (null without a block) and body. A block starts the content with
-    ``---`` and a line end, and ends at the first ``---`` that starts a line."""
+    ``---`` and a line end, and ends at the first ``---`` that starts a line after at least
+    one line."""
     text = normalize_newlines(F.col("content"))
     end = F.locate("\n---", text, 5)
     has = text.startswith("---\n") & (end > 0)
-    # an empty block closes at the line end that opened it
-    raw = F.substring(text, F.lit(5), F.greatest(end - 5, F.lit(0)))
+    raw = F.substring(text, F.lit(5), end - 5)
     return notes.withColumn("raw_fm", F.when(has, raw)).withColumn("body", F.when(has, F.substring(text, end + 4, F.length(text))).otherwise(text))
 
 
