@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import sliced
+
 WINDOW = 256
 WIDTHS = (2, 3, 4)
 FILTERS = 8  # for each width
@@ -163,7 +165,7 @@ def train(docs: DataFrame, rows_per_language: int = 600, windows_per_row: int =
     sample = usable.join(shares.select(F.col("lang").alias("lang_"), "share"), F.col("lang") == F.col("lang_")).where(uniform < F.col("share"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             ids, langs, found = [], [], []
             for doc_id, text, lang in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "lang"))):
                 if has_letter(text):
@@ -191,7 +193,7 @@ def identify(docs: DataFrame, net: LanguageNet) -> DataFrame:
     schema = docs.select(*kept).schema.add("lang_pred", "string").add("score", "double")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             names, scores = net.identify(batch.column("__text").to_pylist())
             columns = [batch.column(c) for c in kept]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=[*kept, "lang_pred", "score"])

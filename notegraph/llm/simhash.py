@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import row_key, saved
+from .common import row_key, saved, sliced
 from .components import components
 
 TILE = 2_048
@@ -160,7 +160,7 @@ def tiles(rows: DataFrame, bucket: list[str], spread: Column, size: int = TILE)
 
 
 def _prints(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in sliced(batches):
         prints = [fingerprint(shingle_hashes(x, words)) for x in batch.column("text").to_pylist()]
         yield pa.RecordBatch.from_arrays(
             [batch.column("doc_id"), pa.array(np.array(prints, np.uint64).view(np.int64))], names=["doc_id", "print"]
@@ -233,7 +233,7 @@ def _min_hashes(hashes: np.ndarray) -> np.ndarray:
 
 def _sketches(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
     """(digest of the shingle set, band keys, fingerprint) of each text."""
-    for batch in batches:
+    for batch in sliced(batches):
         digests, bands, prints = [], [], []
         for text in batch.column("text").to_pylist():
             found = np.unique(shingle_hashes(text, words))
@@ -248,7 +248,7 @@ def _sketches(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.Reco
 
 
 def _shingle_sets(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in sliced(batches):
         sets = [np.unique(shingle_hashes(x, words)).tobytes() for x in batch.column("text").to_pylist()]
         yield pa.RecordBatch.from_arrays([batch.column("cluster"), batch.column("node"), batch.column("print"), pa.array(sets, pa.binary())], names=["cluster", "node", "print", "shingles"])
 

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import tokenizing
-from .common import scratch
+from .common import scratch, sliced
 
 CACHE_SCHEMA = "digest binary, tokenizer string, n_tokens long"
 
@@ -52,7 +52,7 @@ def count_tokens(docs: DataFrame, vocabulary: str, cache: str | None = None, lim
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = tokenizing.encoder(vocabulary)
-        for batch in batches:
+        for batch in sliced(batches):
             n = model.count(batch.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays(
                 [batch.column("digest"), pa.array([name] * len(n), pa.string()), pa.array(n, pa.int64())],

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import tokenizing
-from .common import saved
+from .common import saved, sliced
 
 BLOCK = 65_536
 STRIDE = 64
@@ -116,7 +116,7 @@ class Decoder:
 def _encoded(docs: DataFrame, vocabulary: str, end_id: int) -> DataFrame:
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = tokenizing.encoder(vocabulary)
-        for batch in batches:
+        for batch in sliced(batches):
             ids = [np.append(x, np.uint32(end_id)) for x in model.encode([x or "" for x in batch.column("text").to_pylist()])]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array([len(x) for x in ids], pa.int32()), pa.array([_narrow(x) for x in ids], pa.binary())],
@@ -139,7 +139,7 @@ def _wide(ids: bytes, n: int) -> np.ndarray:
 def _counts(encoded: DataFrame) -> np.ndarray:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(0, np.int64)
-        for batch in batches:
+        for batch in sliced(batches):
             for ids, n in zip(batch.column("ids").to_pylist(), batch.column("n").to_pylist()):
                 more = np.bincount(_wide(ids, n))
                 if len(more) > len(total):
@@ -183,7 +183,7 @@ def write_token_files(docs: DataFrame, vocabulary: str, path: str, end_id: int =
             kinds = [pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary(), pa.binary()]
             return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, kinds)], names=_names(_BLOCKS))
 
-        for batch in batches:
+        for batch in sliced(batches):
             for doc_id, n, data in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "n", "ids"))):
                 ids.append(_wide(data, n))
                 doc_ids.append(doc_id)
@@ -220,7 +220,7 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         decoder = Decoder(lengths)
-        for batch in batches:
+        for batch in sliced(batches, 16):  # a row is a block
             for row in batch.to_pylist():
                 n = np.array(row["n_tokens"], np.int64)
                 data = decoder.unpack(int(n.sum()), row["checkpoints"], row["payload"]).astype("<u4").tobytes()

@@ -17,8 +17,8 @@ from itertools import islice
 
 import numpy as np
 
-#: Entries of the piece memo in one worker, some 150 MB; past it the later half goes.
-MEMO = 800_000
+#: Entries of the piece memo in one worker, some 120 MB; past it the later half goes.
+MEMO = 600_000
 #: A piece that starts with its only white space, in which no added token can stand.
 _PLAIN = re.compile(" [^\\s\u180e\u200b]+")
 #: A space whose neighbours make a split there unsafe.
