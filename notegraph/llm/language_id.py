@@ -162,7 +162,9 @@ def train(docs: DataFrame, rows_per_language: int = 600, windows_per_row: int =
     usable = rows.where("lang is not null and text is not null").where(remainder(F.col("doc_id")) != held_out)
     shares = usable.groupBy("lang").count().withColumn("share", F.least(F.lit(1.0), rows_per_language / F.col("count")))
     uniform = F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(11)), 11) / float(1 << 53)
-    sample = usable.join(shares.select(F.col("lang").alias("lang_"), "share"), F.col("lang") == F.col("lang_")).where(uniform < F.col("share"))
+    # a row for each language, as the network has an output for each: small enough to broadcast
+    share = F.broadcast(shares.select(F.col("lang").alias("lang_"), "share"))
+    sample = usable.join(share, F.col("lang") == F.col("lang_")).where(uniform < F.col("share"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
