@@ -1,10 +1,11 @@
 """Secret scan: candidates by pattern, false positives removed by a random forest.
 
-DataFrame and Spark ML functions only. A candidate is a run of key-like characters with a
-digit. Its features: length, character classes and transitions between them, distinct
-characters, how much of it dictionary words cover, whether it stands in a path, URL or
-assignment, and how often its neighbouring words stand by labelled secrets. The forest is
-trained on labelled findings.
+DataFrame and Spark ML functions only. A candidate is the value of a name such as token or
+password (4 characters or more), the password of a URL, or a run of 16 or more key-like
+characters with a digit; a name before "=" is no part of it. Its features: length, character
+classes and transitions between them, distinct characters, how much of it dictionary words
+cover, whether it stands in a path, URL or assignment, and how often its neighbouring words
+stand by labelled secrets. The forest is trained on labelled findings.
 
 Texts are split once where candidates stand; after that only candidates with their short
 surroundings move. The dictionary is counted over all documents.
@@ -20,10 +21,33 @@ from pyspark.sql import functions as F
 
 from .common import ascii_lower, row_key, saved
 
-#: At least 16 key-like characters, a digit among them.
-CANDIDATE = r"(?<![A-Za-z0-9_+/=.-])(?=[A-Za-z_+/=.-]*[0-9])[A-Za-z0-9_+/=.-]{16,}"
+#: Names that secrets are assigned to, with a number after them or not, in any case.
+_NAME = r"(?i:token|secret|key|passw[a-z]{0,20}|passphrase|pwd|auth|bearer|credential|(?<![a-z])(?:pw|pass))s?[_-]?[0-9]{0,3}"
+_SIGN = r"(?::=|=>|[=:])"
+#: Key-like characters; "=" joins a name to a value or pads a value.
+_RUN, _JOINED = "A-Za-z0-9_+/.-", "A-Za-z0-9_+/=.-"
+
+
+def _named(quote: str) -> str:
+    """Stands behind a name, a sign and ``quote``; the first two only make it cheap."""
+    return rf"""(?<=[=:>\s"'`])(?<=[=:>][ \t]{{0,8}}{quote})(?<={_NAME}["']?[ \t]{{0,8}}{_SIGN}[ \t]{{0,8}}{quote})"""
+
+
+#: The first that fits at a place:
+CANDIDATE = "|".join([
+    # the quoted value of a name, with any characters
+    _named('"') + r'[^"\r\n]{4,200}(?=")', _named("'") + r"[^'\r\n]{4,200}(?=')",
+    # its bare value, up to white space, a quote or the next parameter of a URL
+    _named("[\"'`]?") + r"""[^\s"'`=>:<,;](?:(?!&[A-Za-z0-9_.%-]{1,40}=)[^\s"'`<>]){3,}(?<![,;.:)\]}])""",
+    # the password of a URL
+    r"""(?<=:)(?<=://[^\s/:@]{0,64}:)[^\s/"'`<>]+(?=@)""",
+    # at least 16 key-like characters, a digit among them, unless a value in them stands for itself
+    rf"""(?<![{_JOINED}])(?=[A-Za-z_+/=.-]*[0-9])(?![{_JOINED}]*(?:=(?=[A-Za-z_+/.-]*[0-9])[{_RUN}]{{16}}|{_NAME}=[^\s"'`]{{4}}))[{_JOINED}]{{16,}}""",
+    rf"""(?<![{_RUN}])(?=[A-Za-z_+/.-]*[0-9])[{_RUN}]{{16,}}(?:=+(?![^\s"'`,;)]))?""",
+])
 #: What the left context of a weakly labelled secret ends with.
-ASSIGNED = r"""(?i)(?:token|secret|key|passw[a-z]*|pwd|auth|bearer|credential)s?["']?\s*[=:]\s*["']?$"""
+ASSIGNED = rf"""{_NAME}["']?\s*{_SIGN}\s*["'`]?$"""
+URL_USER = r"://[^\s/:@]*:$"
 DICTIONARY_WORDS = 5_000
 CONTEXT = 80  # code points of surroundings that features read
 
@@ -48,9 +72,12 @@ def find_candidates(docs: DataFrame) -> DataFrame:
         F.right("p.piece", F.lit(CONTEXT)).alias("before"), F.left("p.piece", F.lit(CONTEXT)).alias("head"),
     ).distinct()
     inside = Window.partitionBy("row").orderBy("i")
+    # a finding right before belongs to the surroundings
+    near = F.right(F.concat(F.coalesce(F.lag("finding").over(inside), F.lit("")), F.col("before")), F.lit(CONTEXT))
     return (
         parts.withColumn("start", F.sum(F.col("n_piece") + F.col("n_finding")).over(inside.rowsBetween(Window.unboundedPreceding, 0)) - F.col("n_finding"))
         .withColumn("after", F.lead("head").over(inside))
+        .withColumn("before", near)
         .where("finding is not null")
         .select("doc_id", "row", "start", "finding", "before", F.coalesce("after", F.lit("")).alias("after"))
     )
@@ -75,11 +102,12 @@ def with_features(findings: DataFrame, known_words: DataFrame) -> DataFrame:
     """The features that need no labels, and the neighbouring words."""
     lengths = F.sequence(F.lit(4), F.lit(12))
     low = findings.select("row", "start", ascii_lower(F.col("finding")).alias("low"))
-    spots = low.select("row", "start", "low", F.explode(F.sequence(F.lit(1), F.length("low") - 3)).alias("at")).select("row", "start", "low", "at", F.explode(lengths).alias("n"))
+    spots = low.select("row", "start", "low", F.explode(F.sequence(F.lit(1), F.greatest(F.length("low") - 3, F.lit(1)))).alias("at")).select("row", "start", "low", "at", F.explode(lengths).alias("n"))
     words = spots.where("at + n - 1 <= length(low)").select("row", "start", "at", "n", F.substring("low", F.col("at"), F.col("n")).alias("word"))
     # the dictionary is at most DICTIONARY_WORDS words of 12 letters
     hits = words.where(F.regexp_like("word", F.lit("^[a-z]+$"))).join(F.broadcast(known_words), "word")
     covered = hits.select("row", "start", F.explode(F.sequence("at", F.col("at") + F.col("n") - 1)).alias("k")).groupBy("row", "start").agg(F.countDistinct("k").alias("letters"))
+    coverage = F.coalesce(F.col("letters") / F.length("finding"), F.lit(0.0))
     word = r"([^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+)"
     return findings.join(covered, ["row", "start"], "left").select(
         "doc_id", "row", "start", "finding",
@@ -88,18 +116,31 @@ def with_features(findings: DataFrame, known_words: DataFrame) -> DataFrame:
         _share("(?<=[a-z])(?=[A-Z0-9])|(?<=[A-Z])(?=[a-z0-9])|(?<=[0-9])(?=[A-Za-z])").alias("changes"),
         (F.size(F.array_distinct(F.split("finding", ""))) / F.length("finding")).alias("distinct"),
         F.regexp_like("finding", F.lit("^[0-9a-fA-F]+$")).cast("double").alias("hex"),
-        F.coalesce(F.col("letters") / F.length("finding"), F.lit(0.0)).alias("covered"),
+        coverage.alias("covered"),
         F.regexp_count("finding", F.lit("/")).cast("double").alias("slashes"),
         F.regexp_count("finding", F.lit(r"\.")).cast("double").alias("dots"),
         F.regexp_like("before", F.lit(r"(?:://|www\.|@)\S*$")).cast("double").alias("in_url"),
-        F.regexp_like("before", F.lit(r"""[=:]\s*["']?$""")).cast("double").alias("assigned"),
+        F.regexp_like("before", F.lit(r"""(?:=>|[=:])\s*["'`]?$""")).cast("double").alias("assigned"),
         F.regexp_like("before", F.lit(r"""["'`]$""")).cast("double").alias("quoted"),
         ascii_lower(F.regexp_extract("before", word + r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*$", 1)).alias("before_word"),
         ascii_lower(F.regexp_extract("after", word, 1)).alias("after_word"),
-        F.regexp_like("before", F.lit(ASSIGNED)).alias("weak_label"),
+        _weak_label(coverage).alias("weak_label"),
     )
 
 
+def _weak_label(coverage: Column) -> Column:
+    """Whether a finding is assigned to a name of secrets or stands as a URL's password.
+    Null, not learned from, where a value might as well be prose or code: letters alone
+    without quotes, short numbers, several words, calls. A bare dictionary word is no secret."""
+    assigned = F.regexp_like("before", F.lit(ASSIGNED))
+    in_url = F.regexp_like("before", F.lit(URL_USER)) & F.startswith("after", F.lit("@")) & ~F.contains("finding", F.lit("/"))
+    quoted = F.regexp_like("before", F.lit("""["'`]$"""))
+    digit = F.regexp_like("finding", F.lit("[0-9]"))
+    word = F.regexp_like("finding", F.lit(r"^[A-Za-z]+$")) & (coverage == 1)
+    shaped = ~F.regexp_like("finding", F.lit(r"\s|^[0-9.,:/-]{1,15}$")) & ((quoted & ~word) | (digit & ~F.regexp_like("finding", F.lit(r"[()\[\]{}]"))))
+    return F.when(~assigned & ~in_url, False).when(shaped, True).when(assigned & word & ~quoted, False)
+
+
 def _odds(labelled: DataFrame, word: str, name: str) -> DataFrame:
     """Log odds of a secret by a neighbouring word; words seen less than three times are
     left to the default 0."""
@@ -148,7 +189,8 @@ def scan(docs: DataFrame, labels: DataFrame | None = None, held_out: int = 2, th
     is_secret (score over the threshold).
 
     ``labels(doc_id, start, secret)`` are labelled findings. Without them a weak label
-    serves: whether the candidate is assigned to a name such as token or password. Only
+    serves: whether the candidate is assigned to a name such as token or password or is a
+    URL's password; doubtful ones are scored but not learned from. Only
     documents whose crc32 of doc_id modulo 4 is not ``held_out`` are learned from; null
     ids are not learned from. No candidates give an empty result; further columns are
     ignored.
@@ -157,7 +199,7 @@ def scan(docs: DataFrame, labels: DataFrame | None = None, held_out: int = 2, th
     featured = saved(with_features(saved(find_candidates(docs), "candidates"), known), "features")
     learned = featured.where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 != held_out)
     if labels is None:
-        labelled = learned.withColumn("secret", F.col("weak_label"))
+        labelled = learned.withColumn("secret", F.col("weak_label")).where("secret is not null")
     else:
         given = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("start").cast("long").alias("start"), F.col("secret").cast("boolean").alias("secret"))
         labelled = learned.join(given.where("secret is not null").distinct(), ["doc_id", "start"])

@@ -336,6 +336,32 @@ def test_secret_scan(spark, none):
     assert sum(r["is_secret"] for r in turned) > 100
 
 
+SECRETS = [
+    ("API_TOKEN=%s", "ghp_0123456789abcdef"), ("password=%s", "hunter2hunter2hunter2"), ('pw = "%s"', "Tr0ub4dor&3xyz"), ("postgres://u:%s@host/db", "p4ssw0rd"),
+    ("DB_PASSWORD2='%s'", "x!y@z$w&v"), ("secret: %s", "k9$Lm"), ("https://h.net/?id=1&auth_token=%s&page=2", "abc123def"), ("AWS_KEY=%s", "AbCd0123EfGh4567=="),
+]
+
+
+def test_secrets_of_any_shape_are_found_and_labelled(spark):
+    data = []
+    for i in range(400):
+        form, value = SECRETS[i % 10] if i % 10 < len(SECRETS) else (f"id %s{'.'}", str(10**15 + i))
+        data.append((i, f"{PROSE[i % 5]} {form % value} {PROSE[(i + 1) % 5]}", "en", "a"))
+    df = table(spark, data)
+    found = {(r["doc_id"], r["start"], r["length"]): r["is_secret"] for r in secret_scan.scan(df).collect()}
+    labels = {(r["doc_id"], r["start"]): r["weak_label"] for r in secret_scan.with_features(secret_scan.find_candidates(df), secret_scan.dictionary(df)).collect()}
+    for i, (form, value) in enumerate(SECRETS):
+        at = (data[i][1].index(value), len(value))
+        assert labels[i, at[0]] is True, form
+        assert all(found.get((k, data[k][1].index(value), len(value))) for k in range(i, 400, 10)), form
+    assert not any(v for k, v in found.items() if k[0] % 10 >= len(SECRETS))
+    # what is prose or code after a name is scored but not a positive label; old runs stay candidates
+    odd = [(1, "the key: alpha", "en", "a"), (2, "token = get_token()", "en", "a"), (3, "name_of_thing=ab12 x", "en", "a"), (4, "A_LONG_NAME_OF_TOKEN1=p@ss1word x", "en", "a"), (5, "alpha alpha", "en", "a"), (6, "id1=abcdefghijklmnopqrst x", "en", "a")]
+    odd = table(spark, odd)
+    got = {(r["doc_id"], r["finding"]): r["weak_label"] for r in secret_scan.with_features(secret_scan.find_candidates(odd), secret_scan.dictionary(odd)).collect()}
+    assert got[1, "alpha"] is False and got[2, "get_token("] is None and got[3, "name_of_thing=ab12"] is False and got[4, "p@ss1word"] is True and got[6, "id1=abcdefghijklmnopqrst"] is False
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline as pipeline
 
