@@ -27,6 +27,9 @@ RULES = (
     ("allow", "com", "/fr/"),
     ("block", "com", "/de/"),
 )
+#: Trust and distrust that differ by less than this share of their sum are equal: sums of
+#: doubles in another order differ by as much.
+ROUNDING = 1e-13
 #: Absolute links; others stay on their host.
 LINK = r"""(?i)href\s*=\s*["']?(?:https?:)?//([^/?#"'\s<>]+)"""
 
@@ -88,12 +91,13 @@ def propagate(links: DataFrame, seeds: DataFrame, rounds: int = 10, damping: flo
         for _ in range(rounds):
             passed = score.withColumnRenamed("host", "from").join(edges, ["sign", "from"]).select(F.col("to").alias("host"), "sign", (F.col("score") * F.col("share")).alias("seed"))
             score = saved(passed.unionByName(start).groupBy("host", "sign").agg(F.sum("seed").alias("score")), "scores")
-    return score.groupBy("host").agg(F.sum(F.col("sign") * F.col("score")).alias("score"))
+    net, both = F.sum(F.col("sign") * F.col("score")), F.sum("score")
+    return score.groupBy("host").agg(F.when(F.abs(net) > ROUNDING * both, net).otherwise(0.0).alias("score"))
 
 
 def judge_urls(pages: DataFrame, rules: DataFrame, rounds: int = 10, damping: float = 0.85, threshold: float = 0.0) -> DataFrame:
     """One row per row of ``pages(page_id, url, html)``: page_id, host, path, rule,
-    verdict, score (of the host, rounded to 12 places).
+    verdict, score (of the host, shown rounded to 12 places; the verdict is by the unrounded).
 
     The longest rule that fits decides; without one, the host's score under the
     threshold blocks. Null urls and urls without ``://`` have an empty host and path and no
@@ -114,6 +118,6 @@ def judge_urls(pages: DataFrame, rules: DataFrame, rounds: int = 10, damping: fl
         F.sum(F.when(F.col("verdict") == "block", F.col("n")).otherwise(0)).alias("blocked"),
     )
     scores = propagate(host_links(parsed), seeds, rounds, damping)
-    decided = fitting(parsed.drop("html")).join(scores, "host", "left").withColumn("score", F.round(F.coalesce("score", F.lit(0.0)), 12))
+    decided = fitting(parsed.drop("html")).join(scores, "host", "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
     method = F.when(F.col("score") < threshold, "block").otherwise("allow")
-    return decided.select("page_id", "host", "path", F.col("found.rule").alias("rule"), F.coalesce(F.col("found.rule_verdict"), method).alias("verdict"), "score")
+    return decided.select("page_id", "host", "path", F.col("found.rule").alias("rule"), F.coalesce(F.col("found.rule_verdict"), method).alias("verdict"), F.round("score", 12).alias("score"))

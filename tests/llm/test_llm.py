@@ -315,6 +315,17 @@ def test_trust_flows_along_links_and_distrust_against_them(spark):
     assert got["good"] == pytest.approx((1 - d) - (1 - d) * d / 3)
 
 
+def test_small_distrust_blocks(spark):
+    farm = lambda host: f'<a href="http://{host}/">x</a>' * 20_000
+    pages, target = [(0, "http://bad.com/de/1", None), (1, "http://good.com/fr/1", None)], "bad.com"
+    for k in range(3):  # each reversed hop leaves a 20,000th to the lure
+        pages += [(10 + k, f"http://farm{k}.net/", farm(target)), (20 + k, f"http://lure{k}.net/", f'<a href="http://{target}/">x</a>')]
+        target = f"lure{k}.net"
+    got = {r["page_id"]: r for r in url_trust.judge_urls(spark.createDataFrame(pages, "page_id long, url string, html string"), url_trust.rule_table(spark)).collect()}
+    assert got[22]["score"] == 0 and [got[20 + k]["verdict"] for k in range(3)] == ["block"] * 3
+    assert got[1]["verdict"] == "allow"
+
+
 def test_secret_scan(spark, none):
     data = []
     for i in range(240):
