@@ -15,11 +15,12 @@ from . import decontaminate, exact_dedup, language_id, line_dedup, mixing, secre
 from .common import saved, scratch, table
 
 VOCABULARY = "byte_bpe_50k.json"
+#: The SQL runs so many rounds; the operator runs until its scores converge.
 ROUNDS, DAMPING = 10, 0.85
 
 
 def op1_url_trust(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return url_trust.judge_urls(table(spark, sf_dir, "pages"), url_trust.rule_table(spark), rounds=ROUNDS, damping=DAMPING)
+    return url_trust.judge_urls(table(spark, sf_dir, "pages"), url_trust.rule_table(spark), damping=DAMPING)
 
 
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -71,9 +71,13 @@ def host_links(pages: DataFrame) -> DataFrame:
     return lower.groupBy("source", "target").agg(F.count(F.lit(1)).alias("n"))
 
 
-def propagate(links: DataFrame, seeds: DataFrame, rounds: int = 10, damping: float = 0.85) -> DataFrame:
+def propagate(links: DataFrame, seeds: DataFrame, rounds: int | None = None, damping: float = 0.85, tolerance: float = 5e-13) -> DataFrame:
     """``links(source, target, n)`` and ``seeds(host, trusted, blocked)``, counts, to
-    (host, score): trust less distrust, for hosts that either reaches."""
+    (host, score): trust less distrust, for hosts that either reaches.
+
+    Rounds go on until no host is reached anew, the mass still under way is under
+    ``tolerance``, and it cannot turn the sign of a host that both reach; ``rounds``
+    limits them."""
     total = seeds.agg(F.sum("trusted").alias("all_trusted"), F.sum("blocked").alias("all_blocked"))
     sides = F.array(
         F.struct(F.lit(1).alias("sign"), (F.col("trusted") / F.col("all_trusted")).alias("seed")),
@@ -86,16 +90,34 @@ def propagate(links: DataFrame, seeds: DataFrame, rounds: int = 10, damping: flo
     )
     out = both.groupBy("sign", "from").agg(F.sum("n").alias("all"))
     edges = saved(both.join(out, ["sign", "from"]).select("sign", "from", "to", (damping * F.col("n") / F.col("all")).alias("share")), "host-links")
-    score = start.withColumnRenamed("seed", "score")
+    # step: the mass that reached a host in the last round
+    score = start.select("host", "sign", F.col("seed").alias("score"), F.col("seed").alias("step"))
     if not edges.isEmpty():
-        for _ in range(rounds):
-            passed = score.withColumnRenamed("host", "from").join(edges, ["sign", "from"]).select(F.col("to").alias("host"), "sign", (F.col("score") * F.col("share")).alias("seed"))
-            score = saved(passed.unionByName(start).groupBy("host", "sign").agg(F.sum("seed").alias("score")), "scores")
+        done, reached = 0, -1
+        while rounds is None or done < rounds:
+            moving = score.where("step > 0").withColumnRenamed("host", "from").join(edges, ["sign", "from"])
+            passed = moving.select(F.col("to").alias("host"), "sign", (F.col("step") * F.col("share")).alias("score")).where("score > 0").withColumn("step", F.col("score"))
+            all_so_far = passed.unionByName(score.withColumn("step", F.lit(0.0)))
+            score = saved(all_so_far.groupBy("host", "sign").agg(F.sum("score").alias("score"), F.sum("step").alias("step")), "scores")
+            done += 1
+            mass = {r["sign"]: (r["n"], r["step"]) for r in score.groupBy("sign").agg(F.count(F.lit(1)).alias("n"), F.sum("step").alias("step")).collect()}
+            # a round passes on at most ``damping`` of the last one's mass
+            left = max((step for _, step in mass.values()), default=0.0) * damping / (1 - damping)
+            before, reached = reached, sum(n for n, _ in mass.values())
+            if left == 0 or (before == reached and left <= tolerance and not _undecided(score, left)):
+                break
     net, both = F.sum(F.col("sign") * F.col("score")), F.sum("score")
     return score.groupBy("host").agg(F.when(F.abs(net) > ROUNDING * both, net).otherwise(0.0).alias("score"))
 
 
-def judge_urls(pages: DataFrame, rules: DataFrame, rounds: int = 10, damping: float = 0.85, threshold: float = 0.0) -> DataFrame:
+def _undecided(score: DataFrame, left: float) -> bool:
+    """Whether ``left`` more trust or distrust could turn a host that has both."""
+    net, both = F.sum(F.col("sign") * F.col("score")).alias("net"), F.sum("score").alias("both")
+    hosts = score.groupBy("host").agg(net, both, F.count(F.lit(1)).alias("n"))
+    return not hosts.where((F.col("n") == 2) & (F.abs("net") <= left) & (left > ROUNDING * F.col("both"))).isEmpty()
+
+
+def judge_urls(pages: DataFrame, rules: DataFrame, rounds: int | None = None, damping: float = 0.85, threshold: float = 0.0) -> DataFrame:
     """One row per row of ``pages(page_id, url, html)``: page_id, host, path, rule,
     verdict, score (of the host, shown rounded to 12 places; the verdict is by the unrounded).
 

@@ -315,6 +315,15 @@ def test_trust_flows_along_links_and_distrust_against_them(spark):
     assert got["good"] == pytest.approx((1 - d) - (1 - d) * d / 3)
 
 
+def test_distrust_reaches_far_hosts_and_loops_converge(spark):
+    chain = [(f"h{k}", f"h{k + 1}", 1) for k in range(13)]
+    links = spark.createDataFrame([*chain, ("x", "y", 1), ("y", "x", 1)], "source string, target string, n long")
+    seeds = spark.createDataFrame([("h13", 0, 1), ("x", 1, 0)], "host string, trusted long, blocked long")
+    got = dict(map(tuple, url_trust.propagate(links, seeds, tolerance=0.02).collect()))
+    assert [got[f"h{k}"] for k in range(14)] == pytest.approx([-0.15 * 0.85 ** (13 - k) for k in range(14)])
+    assert got["x"] == pytest.approx(0.15 / (1 - 0.85**2), abs=0.02) and got["y"] == pytest.approx(0.15 * 0.85 / (1 - 0.85**2), abs=0.02)
+
+
 def test_small_distrust_blocks(spark):
     farm = lambda host: f'<a href="http://{host}/">x</a>' * 20_000
     pages, target = [(0, "http://bad.com/de/1", None), (1, "http://good.com/fr/1", None)], "bad.com"
