@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 
@@ -41,7 +42,50 @@ def scratch(spark: SparkSession, label: str) -> str:
     if not base:
         base = tempfile.mkdtemp(prefix="spark-")
         spark.sparkContext.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    path = f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    for made in _SCOPES:
+        made.append(path)
+    return path
+
+
+_SCOPES: list[list[str]] = []
+
+
+@contextmanager
+def scratch_scope(spark: SparkSession, keep: Iterable[str] = ()) -> Iterator[list[str]]:
+    """Deletes on leaving what ``scratch`` has named inside, but for the paths in ``keep``:
+    for a step whose result is written by then and reads none of it any more."""
+    made: list[str] = []
+    _SCOPES.append(made)
+    try:
+        yield made
+    finally:
+        _SCOPES.remove(made)
+        for path in set(made).difference(keep):
+            place = spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+#: What a partition of texts should hold, and how many partitions there are at most.
+PART_BYTES, MOST_PARTS = 64 << 20, 50_000
+
+
+def parts_for(df: DataFrame) -> int:
+    """Partitions for a shuffle of whole rows of ``df``: by Spark's estimate of its bytes,
+    at least spark.sql.shuffle.partitions."""
+    estimate = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(1, least, min(MOST_PARTS, estimate // PART_BYTES))
+
+
+#: Bytes of keys that are broadcast; more take a shuffle join.
+BROADCAST_BYTES = 32 << 20
+
+
+def broadcast_if_small(written: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """A written table of slim rows, marked for broadcast if its counted rows of
+    ``row_bytes`` are within the limit."""
+    return F.broadcast(written) if written.count() * row_bytes <= limit else written
 
 
 def saved(df: DataFrame, label: str) -> DataFrame:

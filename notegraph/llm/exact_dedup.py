@@ -1,47 +1,41 @@
 """Exact dedup by content sort.
 
-Texts are normalised by deleting blanks. Inside each scan task equal texts first
-collapse to one carrier row and one row of counts, so a group of copies that holds a
-third of the table reaches the sort as a few rows per task. Sampled splitters then
-range-partition by the leading bytes of the normalised text, ties told apart by its
-digest (Spark's range partitioner samples; the sampled key is bounded at 64 bytes, so
-splitters stay small however long texts are). Spark's external sort puts equals next to
-each other and neighbours are compared byte for byte.
+Texts are normalised by deleting blanks. Sampled splitters range-partition the rows by the
+first bytes of the normalised text, a hash of all of it and a hash of the row; Spark's
+external sort then puts equal texts next to each other, and each text is compared in full
+with the one before it. The hash of the text only spreads texts that begin alike; it decides
+nothing. The hash of the row lets the splitters cut a group of copies, so one that holds a
+third of the table is spread over a third of the tasks.
+
+A group that is cut lies at the ends of its partitions. Only there a text is carried on: once
+for each partition, to a second, small sort whose neighbours are compared in full again. The
+table itself passes the shuffle once; what follows are ids and lengths.
 """
 
 from __future__ import annotations
 
 import hashlib
+from array import array
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import xxhash
+from pyspark import TaskContext
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_BLANK_BYTES = b" \t\n\x0b\x0c\r"
-_PREFIX = 32
-
-_ROWS = "doc_id long, digest binary, n_points int"
-_PARTS = "prefix binary, digest binary, norm binary, n long, n_points int, doc_id long"
-_GROUPS = "digest binary, keep_id long, keep_points int, group_size long"
+from .common import parts_for, saved, sliced
 
+_BLANK_BYTES = b" \t\n\x0b\x0c\r"
+_PREFIX = 32  # bytes of a text in a splitter
 
-def _normalised(text: str | None) -> tuple[bytes, int]:
-    text = text or ""
-    return text.encode("utf-8").translate(None, _BLANK_BYTES), len(text)
+_KEYED = "prefix binary, tie long, norm binary, n_points int, doc_id long"
+_RUNS = "part int, run long, first boolean, shared boolean, doc_id long, n_points int, keep_id long, keep_points int, n long, digest binary, prefix binary, tie long, norm binary"
+_MERGED = "part int, run long, keep_id long, n long, wins boolean"
 
 
-def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        found = [_normalised(x) for x in batch.column("text").to_pylist()]
-        yield pa.RecordBatch.from_arrays(
-            [
-                batch.column("doc_id"),
-                pa.array([hashlib.sha256(norm).digest() for norm, _ in found], pa.binary()),
-                pa.array([n for _, n in found], pa.int32()),
-            ],
-            names=["doc_id", "digest", "n_points"],
-        )
+def _tie(norm: bytes) -> int:
+    return xxhash.xxh64_intdigest(norm) - 2**63
 
 
 def _order(n_points: int, doc_id: int | None) -> tuple:
@@ -49,61 +43,111 @@ def _order(n_points: int, doc_id: int | None) -> tuple:
     return (-n_points, doc_id is None, doc_id or 0)
 
 
-def _carriers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per task: each distinct text once, when first seen, with no count; at the end the
-    counts and the best row of each digest. Memory: one digest per distinct text."""
-    schema = pa.schema(
-        [("prefix", pa.binary()), ("digest", pa.binary()), ("norm", pa.binary()), ("n", pa.int64()), ("n_points", pa.int32()), ("doc_id", pa.int64())]
-    )
-    seen: dict[bytes, list] = {}
-    for batch in batches:
-        out: list[tuple] = []
-        for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
-            norm, n_points = _normalised(text)
-            digest = hashlib.sha256(norm).digest()
-            best = seen.get(digest)
-            if best is None:
-                seen[digest] = [norm[:_PREFIX], 1, n_points, doc_id]
-                out.append((norm[:_PREFIX], digest, norm, None, None, None))
-            else:
-                best[1] += 1
-                if _order(n_points, doc_id) < _order(best[2], best[3]):
-                    best[2:] = [n_points, doc_id]
-        yield _batch(out, schema)
-    left = [(v[0], k, None, v[1], v[2], v[3]) for k, v in seen.items()]
-    for at in range(0, len(left), 10_000):
-        yield _batch(left[at : at + 10_000], schema)
-
-
-def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
-    columns = list(zip(*rows)) or [[] for _ in schema]
-    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
-
-
-def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by (prefix, digest, norm), counts before texts. Neighbouring
-    texts of one digest are compared in full."""
-    schema = pa.schema([("digest", pa.binary()), ("keep_id", pa.int64()), ("keep_points", pa.int32()), ("group_size", pa.int64())])
-    digest = norm = best = None
-    n = 0
-    for batch in batches:
-        out = []
-        for d, text, count, n_points, doc_id in zip(*(batch.column(c).to_pylist() for c in ("digest", "norm", "n", "n_points", "doc_id"))):
-            if d != digest:
-                if digest is not None:
-                    out.append((digest, best[1], best[0], n))
-                digest, norm, best, n = d, None, None, 0
-            if text is None:
-                n += count
-                if best is None or _order(n_points, doc_id) < _order(*best):
-                    best = (n_points, doc_id)
-            elif norm is None:
-                norm = text
-            elif text != norm:
-                raise ValueError("two different texts share a SHA-256 digest")
-        yield _batch(out, schema)
-    if digest is not None:
-        yield _batch([(digest, best[1], best[0], n)], schema)
+def _schema(ddl: str) -> pa.Schema:
+    kinds = {"binary": pa.binary(), "long": pa.int64(), "int": pa.int32(), "boolean": pa.bool_()}
+    return pa.schema([(name, kinds[kind]) for name, kind in (x.split() for x in ddl.split(", "))])
+
+
+def _batch(columns: dict, schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) for f in schema], schema=schema)
+
+
+def _normalised(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    schema = _schema(_KEYED)
+    for batch in sliced(batches):
+        texts = [x or "" for x in batch.column("text").to_pylist()]
+        norms = [x.encode("utf-8").translate(None, _BLANK_BYTES) for x in texts]
+        yield _batch(
+            {"prefix": [x[:_PREFIX] for x in norms], "tie": [_tie(x) for x in norms], "norm": norms, "n_points": [len(x) for x in texts], "doc_id": batch.column("doc_id")}, schema
+        )
+
+
+class _Run:
+    """Rows of one text in one partition: ids and lengths, and the text once."""
+
+    def __init__(self, number: int, prefix: bytes, tie: int, norm: bytes):
+        self.number, self.prefix, self.tie, self.norm = number, prefix, tie, norm
+        self.ids, self.nulls, self.points = array("q"), array("b"), array("i")
+        self.best, self.at = None, 0
+
+    def add(self, doc_id: int | None, n_points: int) -> None:
+        mine = _order(n_points, doc_id)
+        if self.best is None or mine < self.best:
+            self.best, self.at = mine, len(self.ids)
+        self.ids.append(doc_id or 0)
+        self.nulls.append(doc_id is None)
+        self.points.append(n_points)
+
+    def rows(self, part: int, shared: bool, size: int = 10_000) -> Iterator[dict[str, list]]:
+        """Columns of its rows, some at a time; a shared run's text goes with its first row."""
+        digest = hashlib.sha256(self.norm).digest()
+        keep_id = None if self.nulls[self.at] else self.ids[self.at]
+        for lo in range(0, len(self.ids), size):
+            ids, nulls, points = (x[lo : lo + size].tolist() for x in (self.ids, self.nulls, self.points))
+            n = len(ids)
+            first = [i == self.at for i in range(lo, lo + n)]
+            carried = [shared and x for x in first]
+            yield {
+                "part": [part] * n, "run": [self.number] * n, "first": first, "shared": [shared] * n, "doc_id": [None if z else i for i, z in zip(ids, nulls)], "n_points": points,
+                "keep_id": [keep_id] * n, "keep_points": [self.points[self.at]] * n, "n": [len(self.ids)] * n, "digest": [digest] * n,
+                "prefix": [self.prefix if x else None for x in carried], "tie": [self.tie] * n, "norm": [self.norm if x else None for x in carried],
+            }
+
+
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows come sorted by (prefix, tie, norm). Runs of equal texts, neighbours compared in
+    full; runs of the partition's first and last (prefix, tie) may go on in another one."""
+    schema, part = _schema(_RUNS), TaskContext.get().partitionId()
+    number, first_key, run = 0, None, None
+    held: list[_Run] = []  # runs of the last key so far, the current one at the end
+    out: dict[str, list] = {name: [] for name in schema.names}
+
+    def put(runs: list[_Run], last: bool) -> Iterator[pa.RecordBatch]:
+        for x in runs:
+            for columns in x.rows(part, last or (x.prefix, x.tie) == first_key):
+                for name, values in columns.items():
+                    out[name] += values
+                if len(out["run"]) >= 2_000:
+                    yield _batch(out, schema)
+                    for values in out.values():
+                        values.clear()
+
+    for batch in sliced(batches):
+        for prefix, tie, norm, n_points, doc_id in zip(*(batch.column(c).to_pylist() for c in ("prefix", "tie", "norm", "n_points", "doc_id"))):
+            if run is None or norm != run.norm:
+                key = (prefix, tie)
+                first_key = first_key or key
+                if held and key != (held[0].prefix, held[0].tie):
+                    yield from put(held, False)
+                    held = []
+                run = _Run(number, prefix, tie, norm)
+                number += 1
+                held.append(run)
+            run.add(doc_id, n_points)
+    yield from put(held, True)
+    yield _batch(out, schema)
+
+
+def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Shared runs, sorted by (prefix, tie, norm), one row each: equal neighbours are one
+    group. Its best run wins, its sizes add up."""
+    schema = _schema(_MERGED)
+    norm, group = None, []
+
+    def result() -> pa.RecordBatch:
+        best = min(group, key=lambda r: (_order(r[2], r[3]), r[0], r[1]))
+        n = sum(r[4] for r in group)
+        return _batch({"part": [r[0] for r in group], "run": [r[1] for r in group], "keep_id": [best[3]] * len(group), "n": [n] * len(group), "wins": [r is best for r in group]}, schema)
+
+    for batch in sliced(batches, 100):
+        for text, *row in zip(*(batch.column(c).to_pylist() for c in ("norm", "part", "run", "keep_points", "keep_id", "n"))):
+            if group and text != norm:
+                yield result()
+                group = []
+            norm = text
+            group.append(row)
+    if group:
+        yield result()
 
 
 def exact_duplicates(docs: DataFrame) -> DataFrame:
@@ -114,26 +158,20 @@ def exact_duplicates(docs: DataFrame) -> DataFrame:
     with the most code points, then the smallest doc_id, stays. Null text counts as
     empty, and all empty texts are one group. A null doc_id stays only if the whole
     group has none. Rows that repeat doc_id and length of the row that stays count in
-    group_size, but one of them only is kept. An empty table gives an empty result;
-    further columns are ignored.
+    group_size, but one of them only is kept. Texts may be as long as a task can hold one
+    of; two are compared at a time. An empty table gives an empty result; further columns
+    are ignored, whatever their names.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    parts = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    groups = (
-        rows.mapInArrow(_carriers, _PARTS)
-        .repartitionByRange(parts, "prefix", "digest")
-        .sortWithinPartitions("prefix", "digest", F.col("norm").asc_nulls_first())
-        .mapInArrow(_neighbours, _GROUPS)
-        .where("group_size > 1")
-    )
-    found = rows.mapInArrow(_digests, _ROWS).join(groups, "digest", "left")
-    stays = F.col("keep_id").eqNullSafe(F.col("doc_id")) & (F.col("keep_points") == F.col("n_points"))
-    # rows equal in digest, id and length can't be told apart: the first of them counts
-    repeat = F.row_number().over(Window.partitionBy("digest", "doc_id", "n_points").orderBy("n_points"))
-    return found.withColumn("repeat", repeat).select(
-        "doc_id",
-        F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"),
-        F.coalesce("group_size", F.lit(1).cast("long")).alias("group_size"),
-        ((F.col("group_size").isNull() | stays) & (F.col("repeat") == 1)).alias("kept"),
-        F.lower(F.hex("digest")).alias("text_sha256"),
-    )
+    parts = parts_for(rows)
+    order = ["prefix", "tie", "norm"]
+    spread = F.xxhash64("doc_id", "n_points")
+    sorted_runs = rows.mapInArrow(_normalised, _KEYED).repartitionByRange(parts, "prefix", "tie", spread).sortWithinPartitions(*order).mapInArrow(_runs, _RUNS)
+    found = saved(sorted_runs, "runs")
+    # at most two texts of a partition and those that share their hash
+    shared = found.where("shared and first").select(*order, "part", "run", "keep_points", "keep_id", "n")
+    merged = saved(shared.repartitionByRange("prefix", "tie").sortWithinPartitions(*order).mapInArrow(_merge, _MERGED), "merged")
+    own = found.where("not shared").select("doc_id", "keep_id", F.col("n").alias("group_size"), F.col("first").alias("kept"), "digest")
+    cut = found.where("shared").drop("keep_id", "n").join(merged, ["part", "run"])
+    cut = cut.select("doc_id", "keep_id", F.col("n").alias("group_size"), (F.col("first") & F.col("wins")).alias("kept"), "digest")
+    return own.unionByName(cut).select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
