@@ -2,10 +2,11 @@
 lines over the threshold, put the rest together by position.
 
 Only (document, position, hash) rows of long enough lines are exploded and shuffled,
-never line texts; they are written to the shared folder once and read twice. Counting distinct documents is salted by nature: Spark first de-duplicates
-(hash, document) pairs over all tasks, then sums partial counts, so a line that stands
-in a third of all documents is spread evenly. The join back to positions is a plain
-shuffle join that AQE may split on hot lines.
+never line texts; they are written to the shared folder once and read twice. Counting
+distinct documents is salted by nature: Spark first de-duplicates (hash, document) pairs
+over all tasks, then sums partial counts, so a line that stands in a third of all documents
+is spread evenly. The counts are written before they meet the positions: both sides of that
+join are then plain exchanges, which AQE splits on hot lines.
 """
 
 from __future__ import annotations
@@ -52,7 +53,8 @@ def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> Data
     Null or empty text: one empty line. Documents are told apart by doc_id: rows that
     repeat a doc_id count once towards ``min_docs``, each gives its own result row, and
     all rows of the largest doc_id keep the line. A null doc_id is one document, smaller
-    than all others. An empty table gives an empty result; further columns are ignored.
+    than all others. Lines and texts may be of any length. An empty table gives an empty
+    result; further columns are ignored, whatever their names.
     """
     rows = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
@@ -64,7 +66,7 @@ def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> Data
         keyed.mapInArrow(lambda batches: _long_lines(batches, min_chars), f"row {kind}, doc_id long, pos int, hash binary"),
         "lines",
     )
-    common = (
+    counted = (
         long.groupBy("hash")
         .agg(
             # nulls do not count in countDistinct, so the null document is added by hand
@@ -74,6 +76,7 @@ def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> Data
         .where(F.col("n") >= min_docs)
         .select("hash", "last")
     )
+    common = saved(counted, "common-lines")
     dropped = (
         long.join(common, "hash")
         .where(~F.col("doc_id").eqNullSafe(F.col("last")))

@@ -3,7 +3,8 @@
 Texts are joined by (content digest, tokenizer digest) to stored counts. Only distinct
 texts that the cache lacks are encoded, once each, and their counts are appended to it.
 Copies collapse inside each scan task before the shuffle by digest, so a large group of
-copies reaches the encoder as one text.
+copies reaches the encoder as one text. The counts are written, one row for each digest,
+before rows join them, so that AQE can split that join where a digest is hot.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import tokenizing
-from .common import scratch, sliced
+from .common import saved, scratch, sliced
 
 CACHE_SCHEMA = "digest binary, tokenizer string, n_tokens long"
 
@@ -36,7 +37,8 @@ def count_tokens(docs: DataFrame, vocabulary: str, cache: str | None = None, lim
     or interrupted append can only store the same count twice, and reading takes one.
 
     Null text counts as empty: 0 bytes, 0 tokens. Nulls, repeats and equal ids in doc_id
-    are passed through. An empty table gives an empty result; further columns are ignored.
+    are passed through. Whole texts are encoded, however long. An empty table gives an empty
+    result; further columns are ignored, whatever their names.
     """
     spark = docs.sparkSession
     cache = cache or scratch(spark, "token-cache")
@@ -60,7 +62,7 @@ def count_tokens(docs: DataFrame, vocabulary: str, cache: str | None = None, lim
             )
 
     misses.mapInArrow(encode, CACHE_SCHEMA).write.mode("append").parquet(cache)
-    counts = read_cache(spark, cache).where(F.col("tokenizer") == name).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
+    counts = saved(read_cache(spark, cache).where(F.col("tokenizer") == name).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens")), "counts")
     return (
         rows.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), digest)
         .join(counts, "digest")
