@@ -66,26 +66,28 @@ def scratch_scope(spark: SparkSession, keep: Iterable[str] = ()) -> Iterator[lis
             place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
-#: What a partition of texts should hold, and how many partitions there are at most.
-PART_BYTES, MOST_PARTS = 64 << 20, 50_000
+#: What a partition of texts should hold, how many partitions there are at most, and the
+#: estimate from which on Spark knows nothing (a table that isn't read from files).
+PART_BYTES, MOST_PARTS, UNKNOWN_BYTES = 64 << 20, 50_000, 1 << 53
 
 
 def parts_for(df: DataFrame) -> int:
     """Partitions for a shuffle of whole rows of ``df``: by Spark's estimate of its bytes,
     at least spark.sql.shuffle.partitions."""
     estimate = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return max(1, least, min(MOST_PARTS, estimate // PART_BYTES))
+    wanted = estimate // PART_BYTES if estimate < UNKNOWN_BYTES else 1
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(MOST_PARTS, wanted), 1)
 
 
 #: Bytes of keys that are broadcast; more take a shuffle join.
 BROADCAST_BYTES = 32 << 20
 
 
-def broadcast_if_small(written: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) -> DataFrame:
-    """A written table of slim rows, marked for broadcast if its counted rows of
-    ``row_bytes`` are within the limit."""
-    return F.broadcast(written) if written.count() * row_bytes <= limit else written
+def broadcast_if_small(written: DataFrame, row_bytes: int | Column, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """A written table, marked for broadcast if its rows, of ``row_bytes`` each, are within
+    the limit by a count; where rows differ in size, ``row_bytes`` is summed over them."""
+    size = F.lit(row_bytes) if isinstance(row_bytes, int) else row_bytes
+    return F.broadcast(written) if (written.agg(F.sum(size.cast("long"))).first()[0] or 0) <= limit else written
 
 
 def saved(df: DataFrame, label: str) -> DataFrame:
@@ -107,6 +109,14 @@ def row_key(doc_id: Column, text: Column) -> Column:
     )
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with underscores before it until no column of ``df`` has it in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name = f"_{name}"
+    return name
+
+
 def sliced(batches: Iterable[pa.RecordBatch], rows: int = 1_000) -> Iterator[pa.RecordBatch]:
     """The same rows in smaller batches: what a task holds as Python objects at a time."""
     for batch in batches:
