@@ -3,19 +3,24 @@
 Fingerprints that are compared stand in vertical bit planes: plane k holds bit k of 64
 fingerprints in each machine word. A query fingerprint is compared with all of them at
 once; a carry-save counter of bit planes adds up 64 * n distances with word operations,
-and words whose 64 distances all exceed the radius are abandoned as the planes go by.
+and words whose 64 distances all exceed the radius are abandoned as the planes go by. Pairs
+out of many small buckets are compared the same way: the differing bits of 64 pairs are a
+word of planes, and their distances to zero are counted.
 
 Two ways use it:
 
-* ``simhash_components``: 64-bit fingerprints linked within a small radius. Two that
-  differ in at most r bits agree in one of r + 1 bit ranges, so equal ranges are searched;
-  this finds every link. Equal fingerprints are one node.
+* ``simhash_components``: 64-bit fingerprints linked within a small radius r. The bits are
+  cut into r + 3 ranges; two fingerprints within r agree in three ranges at least, so every
+  three ranges (38 bits at r = 2) are a key, and equal keys are searched. This finds every
+  link, and keys that long hold few fingerprints by chance however many there are. A link is
+  taken in the first of its keys only. Equal fingerprints are one node.
 * ``near_duplicates``: documents whose word shingles overlap by a Jaccard similarity of
-  at least 0.8. Bands of min-hashes of the same shingles find groups of candidates, the
-  bit-sliced comparison drops those whose fingerprints are too far apart, and the shingle
-  sets themselves decide.
+  at least 0.8. Bands of min-hashes of the same shingles say which fingerprints are worth a
+  comparison; fingerprints of 256 bits within ``wide_radius`` are candidates, found bit-sliced;
+  at last the shingle sets are compared exactly. (Keys of equal fingerprint bits can't serve at
+  0.8: some 15% of the bits differ, so keys short enough to agree hold unrelated documents.)
 
-Large buckets are cut into tiles of at most ``TILE`` rows and every pair of tiles is a
+Large buckets are cut into tiles of at most ``TILE`` rows, and every pair of tiles is a
 group of its own, so no task holds an unbounded bucket. A group returns a spanning forest
 of its links, never all pairs: no reachability is lost.
 """
@@ -23,18 +28,22 @@ of its links, never all pairs: no reachability is lost.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import row_key, saved, sliced
+from .common import broadcast_if_small, free_name, row_key, saved, sliced
 from .components import components
 
 TILE = 2_048
+#: Bytes of texts in a tile, some.
+TILE_BYTES = 8 << 20
+#: Buckets of up to so many rows are compared pair by pair, many buckets at once.
+SMALL = 64
 SEED = 42
 
 
@@ -62,25 +71,28 @@ def fingerprint(hashes: np.ndarray) -> int:
 
 
 class BitPlanes:
-    """Fingerprints in vertical planes, for comparing one with many."""
+    """Fingerprints of 64 bits, or of several such lanes, in vertical planes, for comparing
+    one with many."""
 
     def __init__(self, prints: np.ndarray):
         self.n = len(prints)
-        bits = np.unpackbits(prints.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
-        rows = np.zeros((-(-self.n // 64) * 64, 64), np.uint8)
-        rows[: self.n] = bits
-        self.planes = np.ascontiguousarray(np.packbits(rows.T, axis=1)).view(np.uint64)  # 64 planes, a word for 64 prints
-
-    def within(self, one: int, radius: int, start: int = 0) -> np.ndarray:
-        """Indices from ``start`` of the prints at most ``radius`` bits from ``one``."""
+        lanes = prints.reshape(self.n, -1) if self.n else prints.reshape(0, 1)
+        self.bits = np.unpackbits(lanes.astype(">u8").view(np.uint8).reshape(self.n, -1), axis=1)
+        rows = np.zeros((-(-self.n // 64) * 64, self.bits.shape[1]), np.uint8)
+        rows[: self.n] = self.bits
+        self.planes = np.ascontiguousarray(np.packbits(rows.T, axis=1)).view(np.uint64)  # a plane for each bit, a word for 64 prints
+
+    def within(self, one: np.ndarray | None, radius: int, start: int = 0) -> np.ndarray:
+        """Indices from ``start`` of the prints at most ``radius`` bits from ``one``, a row
+        of ``bits`` (None: from zero)."""
         first = start // 64
         alive = np.arange(first, self.planes.shape[1])
         planes = self.planes[:, first:]
         digits = radius.bit_length() + 1
         count = [np.zeros(len(alive), np.uint64) for _ in range(digits)]
         over = np.zeros(len(alive), np.uint64)  # prints that have left the radius for good
-        for k in range(0, 64, 4):
-            a, b, c, d = (~planes[j] if one >> (63 - j) & 1 else planes[j] for j in range(k, k + 4))
+        for k in range(0, len(planes), 4):
+            a, b, c, d = (~planes[j] if one is not None and one[j] else planes[j] for j in range(k, k + 4))
             # carry-save: three planes of weight 1 make one of weight 1 and one of weight 2
             ab = a ^ b
             low, carry = ab ^ c, a & b | ab & c
@@ -142,18 +154,83 @@ class _Forest:
         return a != b
 
 
-def tiles(rows: DataFrame, bucket: list[str], spread: Column, size: int = TILE) -> DataFrame:
-    """``rows`` with tile_a, tile_b and side: every two rows of a bucket meet in one group
-    (bucket, tile_a, tile_b). Buckets of one row go. A tile holds some ``size`` rows;
-    ``side`` is 0 for rows of tile_a, 1 for rows of tile_b where the tiles differ."""
-    sizes = rows.groupBy(*bucket).agg(F.count(F.lit(1)).alias("in_bucket")).where("in_bucket > 1")
-    n = F.ceil(F.col("in_bucket") / size).cast("int")
-    with_tile = rows.join(sizes, bucket).withColumn("n_tiles", n).withColumn("tile", F.pmod(F.xxhash64(spread), F.col("n_tiles")).cast("int"))
+def _dealt(rows: DataFrame, bucket: list[str], sizes: DataFrame, spread: Column) -> DataFrame:
+    """``rows`` with n_tiles and tile, from the written ``sizes(bucket, n_tiles)``; rows of
+    other buckets go. Both sides are plain exchanges, so AQE splits hot buckets."""
+    return rows.join(sizes, bucket).withColumn("tile", F.pmod(F.xxhash64(spread), F.col("n_tiles")).cast("int"))
+
+
+def _paired(rows: DataFrame, bucket: list[str], parts: int) -> DataFrame:
+    """Rows with n_tiles and tile to groups (bucket, tile_a, tile_b): every two rows of a
+    bucket meet in one. ``side`` is 0 for rows of tile_a, 1 for rows of tile_b where the
+    tiles differ. Groups are dealt by all of their key, not by bucket, and lie sorted."""
     other = F.transform(
         F.sequence(F.lit(0), F.col("n_tiles") - 1),
         lambda t: F.struct(F.least("tile", t).alias("tile_a"), F.greatest("tile", t).alias("tile_b"), (F.col("tile") > t).cast("int").alias("side")),
     )
-    return with_tile.withColumn("pair", F.explode(other)).select(*rows.columns, "pair.*")
+    rows = rows.withColumn("pair", F.explode(other)).select("*", "pair.*").drop("pair", "tile", "n_tiles")
+    key = [*bucket, "tile_a", "tile_b"]
+    return rows.repartition(parts, *key).sortWithinPartitions(*key, "side")
+
+
+def _parts(sizes: DataFrame, rows_each: int = 250_000) -> int:
+    """Partitions by the pair work of the written ``sizes(n, n_tiles)``: rows count once for
+    each tile they meet."""
+    work = sizes.agg(F.sum(F.col("n") * F.col("n_tiles"))).first()[0] or 0
+    return max(int(sizes.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-work // rows_each))
+
+
+def _runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Sorted batches as tables of whole groups, with the first row of each group and the
+    number of rows at the end."""
+    held: pa.Table | None = None
+
+    def bounds(table: pa.Table) -> np.ndarray:
+        change = np.zeros(max(0, table.num_rows - 1), bool)
+        for k in keys:
+            values = table.column(k).combine_chunks()
+            different = pa.compute.not_equal(values[1:], values[:-1]) if table.num_rows else []
+            change |= np.asarray(different, bool)
+        return np.concatenate([[0], np.flatnonzero(change) + 1, [table.num_rows]]).astype(np.int64)
+
+    for batch in batches:
+        table = pa.Table.from_batches([batch])
+        table = pa.concat_tables([held, table]) if held is not None else table
+        starts = bounds(table)
+        if len(starts) > 2:
+            yield table.slice(0, int(starts[-2])).combine_chunks(), starts[:-1]
+        held = table.slice(int(starts[-2]))
+    if held is not None and held.num_rows:
+        yield held.combine_chunks(), bounds(held)
+
+
+def _pairs(starts: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Row numbers (i, j), i < j, of all pairs inside small groups, groups of a size at once."""
+    sizes = np.diff(starts)
+    for n in np.unique(sizes[(sizes > 1) & (sizes <= SMALL)]).tolist():
+        at, (i, j) = starts[:-1][sizes == n], np.triu_indices(n, 1)
+        for lo in range(0, len(at), max(1, 400_000 // len(i))):
+            some = at[lo : lo + max(1, 400_000 // len(i)), None]
+            yield (some + i).ravel(), (some + j).ravel()
+
+
+def _near(prints: np.ndarray, starts: np.ndarray, sides: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Row numbers (i, j) of prints within the radius, for groups of small and large size."""
+    # a group of two tiles compares across them only
+    two_tiles = np.repeat(np.maximum.reduceat(sides, starts[:-1]) > 0, np.diff(starts))
+    for i, j in _pairs(starts):
+        use = ~two_tiles[i] | (sides[i] != sides[j])
+        i, j = i[use], j[use]
+        found = BitPlanes(prints[i] ^ prints[j]).within(None, radius) if len(i) else np.zeros(0, np.int64)
+        yield i[found], j[found]
+    for lo, hi in zip(starts[:-1].tolist(), starts[1:].tolist()):
+        if hi - lo <= SMALL:
+            continue
+        planes, cut = BitPlanes(prints[lo:hi]), int((sides[lo:hi] == 0).sum())
+        two = cut < hi - lo
+        for i in range(cut if two else hi - lo - 1):
+            j = planes.within(planes.bits[i], radius, cut if two else i + 1)
+            yield np.full(len(j), lo + i), lo + j
 
 
 # --- fingerprints within a radius --------------------------------------------------------
@@ -167,31 +244,43 @@ def _prints(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.Record
         )
 
 
-def _linked(group: pd.DataFrame, radius: int) -> pd.DataFrame:
-    """Spanning forest of the links within a group of distinct fingerprints."""
-    group = group.sort_values(["side", "print"])
-    values = group["print"].to_numpy()
-    prints = values.view(np.uint64)
-    sides = group["side"].to_numpy()
-    planes, forest, found = BitPlanes(prints), _Forest(len(prints)), []
-    cut = int((sides == 0).sum())
-    two = cut < len(prints)
-    for i in range(cut if two else len(prints) - 1):
-        for j in planes.within(int(prints[i]), radius, cut if two else i + 1).tolist():
-            if forest.join(i, j):
-                found.append((values[i], values[j]))
-    return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
+def key_masks(radius: int) -> np.ndarray:
+    """Bits of each key: three of ``radius + 3`` ranges."""
+    edges = np.linspace(0, 64, radius + 4).round().astype(int).tolist()
+    ranges = [sum(1 << b for b in range(lo, hi)) for lo, hi in zip(edges, edges[1:])]
+    return np.array([sum(x) for x in combinations(ranges, 3)], np.uint64)
+
+
+def _linked(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.RecordBatch]:
+    """Spanning forests of the links within sorted groups of fingerprints."""
+    masks = key_masks(radius)
+    for table, starts in _runs(batches, ["bucket", "tile_a", "tile_b"]):
+        values = table.column("print").to_numpy()
+        prints, sides, keys = values.view(np.uint64), table.column("side").to_numpy(), table.column("key").to_numpy()
+        forest, a, b = _Forest(len(prints)), [], []
+        for i, j in _near(prints, starts, sides, radius):
+            x = prints[i] ^ prints[j]
+            first = ((x[:, None] & masks) == 0).argmax(1)
+            own = (x != 0) & (keys[i] == first) & (keys[j] == first)
+            for p, q in zip(i[own].tolist(), j[own].tolist()):
+                if forest.join(p, q):
+                    a.append(values[p])
+                    b.append(values[q])
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
 
 def print_links(prints: DataFrame, radius: int = 2, tile: int = TILE) -> DataFrame:
     """``prints(print)``, distinct, to links (a, b) that connect all prints within the
-    radius: a spanning forest of each group. Complete: prints that differ in at most
-    ``radius`` bits agree in at least one of ``radius + 1`` ranges of bits."""
-    edges = np.linspace(0, 64, radius + 2).round().astype(int).tolist()
-    keys = [F.struct(F.lit(k).alias("range"), F.shiftrightunsigned(F.shiftleft("print", 64 - hi), 64 - hi + lo).alias("bits")) for k, (lo, hi) in enumerate(zip(edges, edges[1:]))]
-    rows = prints.select("print", F.explode(F.array(*keys)).alias("key")).select("print", "key.range", "key.bits")
-    grouped = tiles(rows, ["range", "bits"], F.col("print"), tile)
-    return grouped.groupBy("range", "bits", "tile_a", "tile_b").applyInPandas(lambda group: _linked(group, radius), "a long, b long")
+    radius. Complete: prints that differ in at most ``radius`` bits agree in at least three
+    of ``radius + 3`` ranges of bits."""
+    masks = key_masks(radius).view(np.int64).tolist()
+    keys = F.array(*[F.xxhash64(F.lit(k), F.col("print").bitwiseAND(F.lit(m).cast("long"))) for k, m in enumerate(masks)])
+    # buckets that share a hash are compared together, which costs time only
+    rows = prints.select("print", F.posexplode(keys).alias("key", "bucket"))
+    sizes = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    sizes = saved(sizes.withColumn("n_tiles", F.ceil(F.col("n") / tile).cast("int")), "buckets")
+    grouped = _paired(_dealt(rows, ["bucket"], sizes.drop("n"), F.col("print")), ["bucket"], _parts(sizes))
+    return grouped.mapInArrow(lambda batches: _linked(batches, radius), "a long, b long")
 
 
 def simhash_components(docs: DataFrame, words: int = 3, radius: int = 2) -> DataFrame:
@@ -199,16 +288,18 @@ def simhash_components(docs: DataFrame, words: int = 3, radius: int = 2) -> Data
     component_id (the smallest doc_id reachable over links of at most ``radius`` bits).
 
     Null or blank text has fingerprint zero and links like any other. A null doc_id gets
-    its component's smallest id, null if all are null. Repeated rows each give a row. An
-    empty table gives an empty result; further columns are ignored.
+    its component's smallest id, null if all are null. Repeated rows each give a row. Whole
+    texts are read, however long. An empty table gives an empty result; further columns are
+    ignored, whatever their names.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     prints = saved(rows.mapInArrow(lambda batches: _prints(batches, words), "doc_id long, print long"), "prints")
     nodes = saved(prints.groupBy("print").agg(F.min("doc_id").alias("first")), "nodes")
-    roots = components(print_links(nodes.select("print"), radius))
-    joined = nodes.join(roots, nodes["print"] == roots["node"], "left").select("print", "first", F.coalesce("root", "print").alias("root"))
-    smallest = joined.groupBy("root").agg(F.min("first").alias("component_id"))
-    classes = joined.select("print", "root").join(smallest, "root").select("print", "component_id")
+    roots = saved(components(print_links(nodes.select("print"), radius)), "roots")
+    joined = saved(nodes.join(roots, nodes["print"] == roots["node"], "left").select("print", "first", F.coalesce("root", "print").alias("root")), "rooted")
+    smallest = saved(joined.groupBy("root").agg(F.min("first").alias("component_id")), "smallest")
+    # each step's aggregate is written before its join, so that a hot root or print splits
+    classes = saved(joined.select("print", "root").join(smallest, "root").select("print", "component_id"), "classes")
     return prints.join(classes, "print").select("doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id")
 
 
@@ -232,98 +323,124 @@ def _min_hashes(hashes: np.ndarray) -> np.ndarray:
 
 
 def _sketches(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
-    """(digest of the shingle set, band keys, fingerprint) of each text."""
+    """(digest of the shingle set, band keys) of each text."""
     for batch in sliced(batches):
-        digests, bands, prints = [], [], []
+        digests, bands = [], []
         for text in batch.column("text").to_pylist():
             found = np.unique(shingle_hashes(text, words))
             digests.append(xxhash.xxh3_128_digest(found.tobytes()))
             lows = _min_hashes(found).reshape(BANDS, BAND_ROWS)
             bands.append([xxhash.xxh64_intdigest(x.tobytes(), k) - 2**63 for k, x in enumerate(lows)])
-            prints.append(fingerprint(found))
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("row"), batch.column("doc_id"), pa.array(digests, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(np.array(prints, np.uint64).view(np.int64))],
-            names=["row", "doc_id", "digest", "bands", "print"],
-        )
+        yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("doc_id"), pa.array(digests, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], names=["row", "doc_id", "digest", "bands"])
+
+
+#: 64-bit lanes of the fingerprints of shingle sets.
+LANES = 4
+
+
+def wide_fingerprint(hashes: np.ndarray) -> np.ndarray:
+    """A fingerprint of ``LANES`` lanes: each is the majority of the hashes, mixed anew."""
+    lanes = []
+    for k in range(LANES):
+        x = hashes + np.uint64(0x9E3779B97F4A7C15 * (k + 1) % 2**64)
+        for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+            x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
+        lanes.append(fingerprint(x ^ (x >> np.uint64(31))))
+    return np.array(lanes, np.uint64)
+
+
+def wide_radius(similarity: float) -> int:
+    """Bits in which wide fingerprints of sets of at least this similarity differ, at most:
+    the mean for the angle between such sets and five deviations. At 0.8 that is 68 of 256;
+    unrelated sets differ in 128, and 60 are more than seven deviations."""
+    n, share = 64 * LANES, np.arccos(2 * similarity / (1 + similarity)) / np.pi
+    return int(min(n - 1, np.ceil(n * share + 5 * np.sqrt(n * share * (1 - share)))))
 
 
 def _shingle_sets(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
-    for batch in sliced(batches):
-        sets = [np.unique(shingle_hashes(x, words)).tobytes() for x in batch.column("text").to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column("cluster"), batch.column("node"), batch.column("print"), pa.array(sets, pa.binary())], names=["cluster", "node", "print", "shingles"])
-
-
-def _similar(group: pd.DataFrame, similarity: float) -> pd.DataFrame:
-    """Spanning forest of the links of one group of candidates."""
-    group = group.sort_values(["side", "node"])
-    sets = [np.frombuffer(x, np.uint64) for x in group["shingles"]]
-    prints = group["print"].to_numpy().view(np.uint64)
-    nodes, sides = group["node"].tolist(), group["side"].to_numpy()
-    planes, forest, found = BitPlanes(prints), _Forest(len(sets)), []
-    cut = int((sides == 0).sum())
-    two = cut < len(sets)
-    radius = print_radius(similarity)
-    for i in range(cut if two else len(sets) - 1):
-        for j in planes.within(int(prints[i]), radius, cut if two else i + 1).tolist():
-            small, large = sorted((len(sets[i]), len(sets[j])))
-            if small < similarity * large or forest.root(i) == forest.root(j):
-                continue
-            both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
-            if both >= similarity * (small + large - both):
-                forest.join(i, j)
-                found.append((nodes[i], nodes[j]))
-    return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
-
-
-def print_radius(similarity: float) -> int:
-    """Bits in which 64-bit fingerprints of sets of at least this similarity differ, at
-    most: the mean for the angle between such sets and six deviations."""
-    share = np.arccos(2 * similarity / (1 + similarity)) / np.pi
-    return int(min(63, np.ceil(64 * share + 6 * np.sqrt(64 * share * (1 - share)))))
-
-
-def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, tile: int = TILE) -> DataFrame:
+    for batch in sliced(batches, 256):
+        sets = [np.unique(shingle_hashes(x, words)) for x in batch.column("text").to_pylist()]
+        prints = [wide_fingerprint(x).tobytes() for x in sets]
+        columns = [c for c in batch.schema.names if c != "text"]
+        yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in columns], pa.array(prints, pa.binary()), pa.array([x.tobytes() for x in sets], pa.binary())], names=[*columns, "print", "shingles"])
+
+
+def _similar(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
+    """Spanning forests of the links within sorted groups of candidates."""
+    radius = wide_radius(similarity)
+    for table, starts in _runs(batches, ["cluster", "tile_a", "tile_b"]):
+        nodes, shingles = table.column("node"), table.column("shingles")
+        prints = np.frombuffer(b"".join(table.column("print").to_pylist()), np.uint64).reshape(-1, LANES)
+        forest, a, b = _Forest(len(prints)), [], []
+        for some_i, some_j in _near(prints, starts, table.column("side").to_numpy(), radius):
+            for i, j in zip(some_i.tolist(), some_j.tolist()):
+                if forest.root(i) == forest.root(j):
+                    continue
+                one, two = (np.frombuffer(shingles[k].as_py(), np.uint64) for k in (i, j))
+                small, large = sorted((len(one), len(two)))
+                if small < similarity * large:
+                    continue
+                both = len(np.intersect1d(one, two, assume_unique=True))
+                if both >= similarity * (small + large - both):
+                    forest.join(i, j)
+                    a.append(nodes[i].as_py())
+                    b.append(nodes[j].as_py())
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
+
+
+def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, tile: int = TILE, tile_bytes: int = TILE_BYTES) -> DataFrame:
     """One row per row of ``docs(doc_id, text)``: row (its key), doc_id, group_id (the
     smallest doc_id of its group) and kept (true for one row of each group).
 
     Two texts link if the Jaccard similarity of their sets of ``words``-word shingles is
     at least ``similarity``; groups are what links connect. Texts with equal sets are one
-    node, null and blank texts too. Candidates are missed with a probability of at most
-    0.002 at 0.8 and far less above. Null ids sort last; rows that repeat doc_id and text
-    are one group of which one row is kept.
+    node, null and blank texts too. A link is missed with a probability of at most 0.002 at
+    0.8 and far less above. Null ids sort last; rows that repeat doc_id and text are one group,
+    all of them kept if the group's smallest is theirs. Whole texts are read, however long. An
+    empty table gives an empty result; further columns are ignored, whatever their names.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("row", row_key(F.col("doc_id"), F.col("text")))
     kind = rows.schema["row"].dataType.simpleString()
-    sketches = saved(
-        rows.select("row", "doc_id", "text").mapInArrow(lambda b: _sketches(b, words), f"row {kind}, doc_id long, digest binary, bands array<bigint>, print long"), "sketches"
-    )
-    # a node for each distinct set of shingles; any of its rows stands for it
+    sketches = saved(rows.select("row", "doc_id", "text").mapInArrow(lambda b: _sketches(b, words), f"row {kind}, doc_id long, digest binary, bands array<bigint>"), "sketches")
+    # a node for each distinct set of shingles, named by its 128-bit digest; its smallest row stands for it
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("row").alias("row")))
-    nodes = sketches.groupBy("digest").agg(first.alias("first"), F.any_value("bands").alias("bands"), F.any_value("print").alias("print"))
-    nodes = saved(nodes.select("digest", F.xxhash64("digest").alias("node"), "first.row", F.col("first.id").alias("doc_id"), "bands", "print"), "nodes")
+    nodes = sketches.groupBy("digest").agg(first.alias("first"), F.any_value("bands").alias("bands"))
+    nodes = saved(nodes.select(F.col("digest").alias("node"), "first.row", F.col("first.id").alias("doc_id"), "bands"), "nodes")
     bands = nodes.select("node", F.posexplode("bands").alias("band", "key"))
-    hubs = bands.groupBy("band", "key").agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    hubs = saved(bands.groupBy("band", "key").agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1"), "hubs")
     candidates = bands.join(hubs, ["band", "key"]).where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b"))
     clusters = saved(components(candidates), "clusters")  # groups that hold all links, and more
-    texts = (
-        nodes.join(clusters, "node")
-        .select("row", "node", "print", F.col("root").alias("cluster"))
-        .join(rows.select("row", "text"), "row")
-        .dropDuplicates(["node"])
-    )
-    sets = texts.select("cluster", "node", "print", "text").mapInArrow(lambda b: _shingle_sets(b, words), "cluster long, node long, print long, shingles binary")
-    grouped = tiles(saved(sets, "sets"), ["cluster"], F.col("node"), tile)
-    links = grouped.groupBy("cluster", "tile_a", "tile_b").applyInPandas(lambda group: _similar(group, similarity), "a long, b long")
-    roots = components(links)
-    joined = nodes.join(roots, "node", "left").select("digest", "doc_id", "row", F.coalesce("root", "node").alias("root"))
-    best = joined.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("row").alias("row"))).alias("best"))
-    classes = joined.join(best, "root").select("digest", F.col("best.id").alias("group_id"), F.col("best.row").alias("keep"))
+    members = saved(nodes.join(clusters, "node").select("row", "node", F.col("root").alias("cluster")), "members")
+    sizes = members.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"), F.sum(F.greatest("row.n", F.lit(0))).alias("bytes"))
+    sizes = saved(sizes.withColumn("n_tiles", F.ceil(F.greatest(F.col("n") / tile, F.col("bytes") / tile_bytes, F.lit(1.0))).cast("int")), "cluster-sizes")
+    wanted = saved(_dealt(members, ["cluster"], sizes.select("cluster", "n_tiles"), F.col("node")), "wanted")
+    texts = rows.select("row", "text").join(broadcast_if_small(wanted, 128), "row")
+    if not sketches.groupBy("row").count().where("count > 1").isEmpty():
+        texts = texts.dropDuplicates(["node"])  # repeated rows
+    schema = "node binary, cluster binary, n_tiles int, tile int, print binary, shingles binary"
+    sets = texts.select("node", "cluster", "n_tiles", "tile", "text").mapInArrow(lambda b: _shingle_sets(b, words), schema)
+    links = _paired(sets, ["cluster"], _parts(sizes, 20_000)).mapInArrow(lambda b: _similar(b, similarity), "a binary, b binary")
+    roots = saved(components(links), "roots")
+    joined = saved(nodes.join(roots, "node", "left").select("node", "doc_id", "row", F.coalesce("root", "node").alias("root")), "grouped")
+    best = saved(joined.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("row").alias("row"))).alias("best")), "best")
+    classes = saved(joined.join(best, "root").select(F.col("node").alias("digest"), F.col("best.id").alias("group_id"), F.col("best.row").alias("keep")), "classes")
     return sketches.join(classes, "digest").select("row", "doc_id", "group_id", (F.col("row") == F.col("keep")).alias("kept"))
 
 
 def drop_near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
     """``docs`` with one row of each group of near duplicates: that of the smallest
-    doc_id. All columns stay; of rows that repeat doc_id and text one stays."""
-    keep = near_duplicates(docs, words, similarity).where("kept").select(F.col("row").alias("__row")).distinct()
-    keyed = docs.withColumn("__row", row_key(F.col("doc_id").cast("long"), F.col("text").cast("string")))
-    return keyed.join(keep, "__row", "left_semi").dropDuplicates(["__row"]).drop("__row")
+    doc_id. All columns stay, whatever their names; of rows that repeat doc_id and text one
+    stays. Texts are moved only if the dropped keys are too many to broadcast."""
+    found = saved(near_duplicates(docs, words, similarity).select("row", "kept"), "near-duplicates")
+    name = free_name(docs, "row")
+    keyed = docs.withColumn(name, row_key(F.col("doc_id").cast("long"), F.col("text").cast("string")))
+
+    def keys(rows: DataFrame, label: str) -> DataFrame:
+        return broadcast_if_small(saved(rows.select(F.col("row").alias(name)).distinct(), label), 64)
+
+    left = keyed.join(keys(found.where("not kept"), "dropped"), name, "left_anti")
+    repeats = found.where("kept").groupBy("row").count().where("count > 1")
+    if not repeats.isEmpty():
+        again = keys(repeats, "repeated")
+        left = left.join(again, name, "left_anti").unionByName(left.join(again, name, "left_semi").dropDuplicates([name]))
+    return left.drop(name)
