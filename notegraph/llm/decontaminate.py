@@ -1,23 +1,21 @@
 """Benchmark decontamination: a hash set of normalised test n-grams against the windows
 of the training text, hits verified word by word, then spans or documents removed.
 
-DataFrame functions only. The n-gram set is broadcast only when its counted size is
-within ``BROADCAST_WINDOWS``; a larger benchmark takes the same join as a shuffle join.
-Documents with candidate hits come back by key for verification on their own words; no
-window text and no document text is ever shuffled by n-gram, so a passage that stands in
-a third of the corpus makes no hot key. An item of fewer than n words is one window of
-its own length; each length that occurs costs one more pass over a document's windows.
+DataFrame functions only. The n-gram set is broadcast only if its counted bytes are within
+``BROADCAST_BYTES``. Then each document is read once: its windows, of every length that
+occurs, meet the set where they are, and a hit is verified at once against the document's
+own words; what is shuffled is the hits. A larger set takes a shuffle join of window hashes,
+and only documents with a candidate bring their texts for verification. No window text and
+no document text is ever shuffled by n-gram, so a passage that stands in a third of the
+corpus makes no hot key. An item of fewer than n words is one window of its own length.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import row_key
-
-#: At about 40 bytes a window this bounds the broadcast set at some 40 MB.
-BROADCAST_WINDOWS = 1_000_000
+from .common import BROADCAST_BYTES, broadcast_if_small, free_name, row_key, saved
 
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: The same words as a pattern, for counting; a negated class is many times slower.
@@ -25,6 +23,8 @@ _WORDS = r"[0-9A-Za-z\x{80}-\x{10FFFF}]+"
 #: ASCII characters that are in no word.
 _OTHER = "".join(chr(i) for i in range(128) if not chr(i).isalnum())
 
+_NO_HITS = {"covered": "array<int>", "items": "array<string>"}
+
 
 def words(text: Column) -> Column:
     """Words of the text with A-Z lower-cased: runs of a-z, 0-9 and non-ASCII. One
@@ -38,107 +38,112 @@ def _bound(value: Column, use) -> Column:
     return F.element_at(F.transform(F.array(value), use), 1)
 
 
-def _window_hashes(text: Column, length: int) -> Column:
-    """Hash of each window of ``length`` words of the text, from hashes of its words."""
+def _windows(w: Column, lengths: list[int]) -> Column:
+    """(pos, length, hash) of each window of the words, from hashes of the words."""
 
-    def windows(hashes: Column) -> Column:
+    def of(hashes: Column, length: int) -> Column:
         n = F.size(hashes) - length + 1
-        starts = F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))
-        return F.transform(starts, lambda i: F.xxhash64(F.slice(hashes, i, length)))
+        starts = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, lambda i: F.struct(i.alias("pos"), F.lit(length).alias("length"), F.xxhash64(F.slice(hashes, i + 1, length)).alias("hash")))
 
-    return _bound(F.transform(words(text), lambda x: F.xxhash64(x)), windows)
+    return _bound(F.transform(w, lambda x: F.xxhash64(x)), lambda h: F.concat(*[of(h, n) for n in lengths]))
 
 
 def _item_windows(items: DataFrame, n: int) -> DataFrame:
-    """Distinct (hash, length, gram, item): gram is the window's words."""
+    """One row for each window of the items: hash, length, gram (its words), items (sorted)."""
     w = items.select(F.col("item_id").cast("string").alias("item"), words(F.col("text")).alias("w")).where(F.size("w") > 0)
     length = F.least(F.size("w"), F.lit(n))
-    return (
-        w.select("item", length.alias("length"), F.explode(F.transform(F.sequence(F.lit(1), F.size("w") - length + 1), lambda i: F.slice("w", i, length))).alias("gram"))
-        .select(F.xxhash64(F.transform("gram", lambda x: F.xxhash64(x))).alias("hash"), "length", "gram", "item")
-        .distinct()
-    )
+    each = w.select("item", length.alias("length"), F.explode(F.transform(F.sequence(F.lit(1), F.size("w") - length + 1), lambda i: F.slice("w", i, length))).alias("gram"))
+    grams = each.groupBy("length", "gram").agg(F.array_sort(F.collect_set("item")).alias("items"))
+    return saved(grams.select(F.xxhash64(F.transform("gram", lambda x: F.xxhash64(x))).alias("hash"), "length", "gram", "items"), "benchmark")
+
+
+def _placed(hits: DataFrame) -> DataFrame:
+    """(row, pos, length, items), one a hit, to (row, covered, items). Positions and items
+    become distinct over all tasks before those of a row are put together."""
+    at = hits.select("row", F.explode(F.sequence("pos", F.col("pos") + F.col("length") - 1)).alias("at")).distinct()
+    covered = at.groupBy("row").agg(F.array_sort(F.collect_list("at")).alias("covered"))
+    listed = hits.select("row", F.explode("items").alias("item")).distinct().groupBy("row").agg(F.array_sort(F.collect_list("item")).alias("items"))
+    return covered.join(listed, "row", "left").select("row", "covered", F.coalesce("items", F.array().cast("array<string>")).alias("items"))
 
 
-def benchmark_hits(docs: DataFrame, items: DataFrame, n: int = 10) -> DataFrame:
+def _bytes(covered: str) -> Column:
+    return 96 + 4 * F.size(covered)
+
+
+def hit_rows(docs: DataFrame, items: DataFrame, n: int = 10, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """(row, covered, items) of the rows of ``docs(doc_id, text)`` with a hit: row is their
+    ``row_key``, once however often it repeats; covered are the sorted word positions inside
+    a hit, from 0; items the sorted ids, as strings, of items with an occurring window."""
+    grams = _item_windows(items, n)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    keyed = rows.select(row_key(F.col("doc_id"), F.col("text")).alias("row"), "text")
+    size = F.sum(F.aggregate(F.concat("gram", "items"), F.lit(64), lambda a, x: a + F.octet_length(x) + 16)).alias("bytes")
+    found = grams.groupBy("length").agg(size).collect()  # at most n rows of two numbers
+    lengths = sorted(r["length"] for r in found)
+    if not lengths:
+        return keyed.limit(0).select("row", *[F.array().cast(t).alias(c) for c, t in _NO_HITS.items()])
+    same = F.slice("w", F.col("pos") + 1, F.col("length")) == F.col("gram")
+    if sum(r["bytes"] for r in found) <= broadcast_bytes:
+        each = keyed.select("row", words(F.col("text")).alias("w")).select("row", "w", F.inline(_windows(F.col("w"), lengths)))
+        hits = each.join(F.broadcast(grams), ["hash", "length"]).where(same).select("row", "pos", "length", "items")
+        return _placed(saved(hits, "hits"))
+    each = keyed.select("row", F.inline(_windows(words(F.col("text")), lengths)))
+    candidates = saved(each.join(grams, ["hash", "length"]).select("row", "pos", "length", "gram", "items"), "candidates")
+    # only texts with a candidate come along; a row's candidates meet them one by one
+    some = broadcast_if_small(saved(candidates.select("row").distinct(), "candidate-rows"), 64)
+    texts = saved(keyed.join(some, "row", "left_semi").dropDuplicates(["row"]).select("row", words(F.col("text")).alias("w")), "candidate-texts")
+    return _placed(saved(candidates.join(texts, "row").where(same).select("row", "pos", "length", "items"), "hits"))
+
+
+def benchmark_hits(docs: DataFrame, items: DataFrame, n: int = 10, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """One row per row of ``docs(doc_id, text)`` against ``items(item_id, text)``:
-    doc_id, text, n_words, covered (sorted word positions inside a hit, from 0), items
-    (sorted ids, as strings, of items with an occurring window).
+    doc_id, n_words, covered (sorted word positions inside a hit, from 0), items (sorted
+    ids, as strings, of items with an occurring window).
 
     Null text has no words; an item without words is no window. Items with a null id
     still mark words but are not listed. Rows that repeat a doc_id each get their own
-    result. Empty tables give an empty or an unmarked result; further columns are ignored.
+    result. Whole texts are read, however long. Empty tables give an empty or an unmarked
+    result; further columns are ignored, whatever their names.
     """
-    grams = _item_windows(items, n)
-    found = grams.groupBy("length").count().collect()  # at most n rows of two numbers
-    lengths = sorted(r["length"] for r in found)
+    listed = F.aggregate("items", F.lit(0), lambda a, x: a + F.octet_length(x) + 24)
+    hits = broadcast_if_small(saved(hit_rows(docs, items, n, broadcast_bytes), "hit-rows"), _bytes("covered") + listed)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     n_words = F.coalesce(F.regexp_count("text", F.lit(_WORDS)), F.lit(0)).cast("long").alias("n_words")
-    if not lengths:
-        none = F.array().cast("array<int>"), F.array().cast("array<string>")
-        return rows.select("doc_id", "text", n_words, none[0].alias("covered"), none[1].alias("items"))
-    table = grams.groupBy("hash", "length", "gram").agg(F.array_sort(F.collect_set("item")).alias("items"))
-    if sum(r["count"] for r in found) <= BROADCAST_WINDOWS:
-        table = F.broadcast(table)
-    keyed = rows.withColumn("row", row_key(F.col("doc_id"), F.col("text")))
-    windows = None
-    for length in lengths:
-        each = keyed.select("row", F.lit(length).alias("length"), F.posexplode(_window_hashes(F.col("text"), length)).alias("pos", "hash"))
-        windows = each if windows is None else windows.unionByName(each)
-    # rows that share a key hold the same text, so equal candidates count once
-    candidates = (
-        windows.join(table, ["hash", "length"])
-        .groupBy("row")
-        .agg(F.collect_set(F.struct("pos", "length", "gram", "items")).alias("candidates"))
-    )
-    # verification: the document's own words against the words of the n-gram
-    hits = F.when(
-        F.col("candidates").isNotNull(),
-        _bound(words(F.col("text")), lambda w: F.filter("candidates", lambda c: F.slice(w, c["pos"] + 1, c["length"]) == c["gram"])),
-    )
-    covered = F.array_sort(F.array_distinct(F.flatten(F.transform("hits", lambda c: F.sequence(c["pos"], c["pos"] + c["length"] - 1)))))
-    listed = F.array_sort(F.array_distinct(F.flatten(F.transform("hits", lambda c: c["items"]))))
-    return (
-        keyed.join(candidates, "row", "left")
-        .withColumn("hits", hits)
-        .select(
-            "doc_id",
-            "text",
-            n_words,
-            F.coalesce(covered, F.array().cast("array<int>")).alias("covered"),
-            F.coalesce(listed, F.array().cast("array<string>")).alias("items"),
-        )
-    )
+    slim = rows.select("doc_id", row_key(F.col("doc_id"), F.col("text")).alias("row"), n_words)
+    return slim.join(hits, "row", "left").select("doc_id", "n_words", *[F.coalesce(F.col(c), F.array().cast(t)).alias(c) for c, t in _NO_HITS.items()])
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, n: int = 10, remove: str = "documents") -> DataFrame:
-    """``docs`` without what occurs in the benchmark; all columns stay.
+def decontaminate(docs: DataFrame, items: DataFrame, n: int = 10, remove: str = "documents", broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """``docs`` without what occurs in the benchmark; all columns stay, whatever their names.
 
     remove="documents": rows with a hit go. remove="spans": the words of hits go with
     the separators that follow them, the rest of the text stays as it is. Null texts
-    stay. Rows are matched by doc_id and text, so repeated rows share their fate.
+    stay. Rows are matched by doc_id and text, so repeated rows share their fate. Other
+    texts are moved only if the keys with a hit are too many to broadcast. Empty tables
+    change nothing.
     """
-    found = benchmark_hits(docs.select("doc_id", "text").distinct(), items, n).where(F.size("covered") > 0)
-    keys = found.select(row_key(F.col("doc_id"), F.col("text")).alias("__row"), F.col("covered").alias("__covered"))
-    keyed = docs.withColumn("__row", row_key(F.col("doc_id").cast("long"), F.col("text").cast("string")))
-    if remove == "documents":
-        return keyed.join(keys, "__row", "left_anti").drop("__row")
-    if remove != "spans":
+    if remove not in ("documents", "spans"):
         raise ValueError(f"remove is 'documents' or 'spans', not {remove!r}")
+    row, covered = free_name(docs, "row"), free_name(docs, "covered")
+    found = saved(hit_rows(docs, items, n, broadcast_bytes).select(F.col("row").alias(row), F.col("covered").alias(covered)), "hit-rows")
+    keyed = docs.withColumn(row, row_key(F.col("doc_id").cast("long"), F.col("text").cast("string")))
+    if remove == "documents":
+        return keyed.join(broadcast_if_small(found.select(row), 64), row, "left_anti").drop(row)
+    keys = broadcast_if_small(found, _bytes(covered))
     pattern = F.lit(r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
     # pieces: each word with the separator after it; text before the first word is kept
-    marked = F.regexp_replace("text", r"(?<=[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F])(?=[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F])", "\x01$0")
-    pieces = F.split(marked, "\x01", -1)
+    pieces = F.split("text", r"(?<=[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F])(?=[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F])", -1)
     lead = F.when(F.regexp_like("text", F.concat(F.lit("^"), pattern)), 1).otherwise(0)
     cleaned = _bound(
         pieces,
         lambda p: F.array_join(
             F.transform(
-                F.array_except(F.sequence(F.lit(0), F.size(p) - 1), F.transform(F.col("__covered"), lambda i: i + lead)),
+                F.array_except(F.sequence(F.lit(0), F.size(p) - 1), F.transform(F.col(covered), lambda i: i + lead)),
                 lambda i: F.element_at(p, i + 1),
             ),
             "",
         ),
     )
-    out = keyed.join(keys, "__row", "left").withColumn("text", F.when(F.col("__covered").isNull(), F.col("text")).otherwise(cleaned))
+    out = keyed.join(keys, row, "left").withColumn("text", F.when(F.col(covered).isNull(), F.col("text")).otherwise(cleaned))
     return out.select(*docs.columns)
