@@ -2,28 +2,34 @@
 
 The word stream of a source is its documents in hashed order, cut into blocks of
 ``block_words`` words. A source's quota is its target rounded to a word: whole passes over
-all its blocks, then blocks in a permuted order until the quota is met, the last one in
-part. The drawn blocks of all sources are dealt to output shards by a binary tree: each
-node halves its blocks, and how many of each source go left is a hypergeometric draw given
-what the earlier sources took. So every shard has an exact count of blocks per source,
-shards are disjoint, and a shard only shuffles its own blocks.
-
-DataFrame functions only. Rows of documents are slim where texts are not asked for. A hot
-source is spread over buckets of some ``BUCKET`` documents: sums per bucket, a running sum
-over buckets, and a window inside each bucket replace a window over the source. What is
-kept per source is one row; the tree holds one count per source and node.
+all its blocks, then blocks until the quota is met, the last one in part. A binary tree deals
+the quotas' blocks to output shards: each node halves its blocks, and how many of each source
+go left is a hypergeometric draw given what the earlier sources took. So every shard gets an
+exact count of blocks of each source. These counts cut a permuted order of the source's
+blocks, a permutation for each pass, into one stretch for each shard: a shard draws the
+blocks of its stretches, which are disjoint, and shuffles them locally.
+
+DataFrame functions only. Placing works on slim rows, without texts; texts meet their places
+once. A hot source is spread over buckets of some ``BUCKET`` documents: sums per bucket, a
+running sum over buckets, and a window inside each bucket replace a window over the source.
+What is kept per source is one row; the tree holds one count per source and node, and its
+nodes are dealt to tasks at every level.
 """
 
 from __future__ import annotations
 
+from math import ceil, log2
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD
+from .common import WORD, broadcast_if_small, free_name, parts_for, saved
 
 WEIGHTS = (5, 2, 1)
 #: Documents in a bucket of a source, on average.
 BUCKET = 5_000
+#: Words of a shard, some, as long as ``MOST_LEVELS`` levels of the tree suffice for that.
+SHARD_WORDS, MOST_LEVELS = 4_000_000, 12
 #: Multipliers of the block permutations: primes, so that they are coprime to any smaller number of blocks.
 _PRIMES = (2147483647, 2147483629, 2147483587, 2147483579, 2147483563, 2147483549, 2147483543, 2147483497)
 
@@ -142,35 +148,46 @@ def splitting_tree(counts: DataFrame, levels: int, seed: int) -> DataFrame:
             F.struct((F.col("shard") * 2).alias("shard"), F.col("left").alias("counts")),
             F.struct((F.col("shard") * 2 + 1).alias("shard"), F.zip_with("counts", "left", lambda c, x: c - x).alias("counts")),
         )
-        nodes = split.select(F.explode(sides).alias("side")).select("side.*")
+        nodes = split.select(F.explode(sides).alias("side")).select("side.*").repartition("shard")
     return nodes
 
 
+def _row_hashes(docs: DataFrame, seed: int) -> list[Column]:
+    """128 bits of hash of doc_id, source and text, where there."""
+    fields = [F.col(c) for c in ("doc_id", "source", "text") if c in docs.columns]
+    return [F.xxhash64(F.lit(seed + k), *fields).alias(name) for k, name in ((0, "key"), (9, "key2"))]
+
+
 def mix_plan(
     docs: DataFrame,
     size: Column | None = None,
     weights: tuple[float, ...] = WEIGHTS,
     max_repeat: int = 3,
     block_words: int = 1_024,
-    shard_levels: int = 4,
+    shard_levels: int | None = None,
     seed: int = 7,
 ) -> DataFrame:
-    """One row per row of ``docs(doc_id, source, text)``, its columns in ``row``: size,
-    source_size, target, taken, pieces.
-
-    ``size`` counts words unless a column is given. ``pieces`` lists what the mix takes
-    of the document: shard, slot (the shuffled order inside the shard), epoch, and words
-    from (0 is the first) up to but without ``to``. A source's taken words are its target
-    rounded; no word is taken over ``max_repeat`` times, since no pass repeats a word.
-
-    Null or blank texts have size 0 and nothing is taken. Null is a source like others.
-    Ids may be null or repeat: every row is a document. Reruns agree: all order comes
-    from hashes of the row and the seed. An empty table gives an empty result.
+    """One row per row of ``docs(doc_id, source, text)``: key and key2 (its hashes), doc_id,
+    source, size, source_size, target, taken, pieces.
+
+    ``size`` counts words unless a column is given. ``pieces`` lists what the shards draw of
+    the document: shard, slot (the shuffled order inside the shard), epoch, block, and words
+    from (0 is the first) up to but without ``to``; ``taken`` are their words. A source's
+    taken words are its target rounded; no word is taken over ``max_repeat`` times, since no
+    pass repeats a word. There are 2 ** ``shard_levels`` shards, by default of some
+    ``SHARD_WORDS`` words.
+
+    Null or blank texts have size 0 and nothing is taken. Null is a source like others. Ids
+    may be null or repeat: every row is a document. Texts may be of any length. Reruns agree:
+    all order comes from hashes of the row and the seed. An empty table gives an empty
+    result; further columns are ignored, whatever their names.
     """
     size = word_count(F.col("text")) if size is None else size
-    key = F.xxhash64(F.lit(seed), F.col("doc_id"))
-    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("source"), size.cast("long").alias("size"), key.alias("key"))
-    sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("docs"))
+    rows = saved(docs.select(*_row_hashes(docs, seed), F.col("doc_id"), F.col("source"), size.cast("long").alias("size")), "mix-rows")
+    sizes = saved(rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("docs")), "mix-sizes")
+    if shard_levels is None:
+        words = sizes.agg(F.sum("source_size")).first()[0] or 0
+        shard_levels = min(MOST_LEVELS, max(0, ceil(log2(max(1, words / SHARD_WORDS)))))
     quota = F.least(F.floor(F.col("target") + 0.5).cast("long"), F.col("source_size") * max_repeat)
     lead = (
         source_targets(sizes, weights, max_repeat)
@@ -187,28 +204,27 @@ def mix_plan(
         lead.withColumn("short_at", F.when(F.col("blocks") > 0, short_at))
         .withColumn("last", F.when(F.coalesce(plain <= F.col("short_at"), F.lit(True)), plain).otherwise(F.ceil((F.col("rest") + block_words - F.col("short")) / block_words).cast("long")))
     )
+    lead = saved(lead, "mix-quotas")
     tree = splitting_tree(lead.select("sid", (F.col("passes") * F.col("blocks") + F.col("last")).alias("blocks")), shard_levels, seed)
     runs = tree.select("shard", F.posexplode("counts").alias("sid", "n")).select("shard", (F.col("sid") + 1).alias("sid"), "n")
     upper = F.sum("n").over(Window.partitionBy("sid").orderBy("shard"))
     bounds = runs.select("sid", "shard", upper.alias("upper")).groupBy("sid").agg(F.transform(F.array_sort(F.collect_list(F.struct("shard", "upper"))), lambda x: x["upper"]).alias("bounds"))
-    lead = lead.join(bounds, "sid").withColumnRenamed("source", "source_")
+    lead = saved(lead.join(bounds, "sid").withColumnRenamed("source", "source_"), "mix-lead")
 
-    # one row for each source: Spark broadcasts it if it is small enough
+    # one row for each source, with a number for each shard
+    lead = broadcast_if_small(lead, F.coalesce(F.octet_length("source_"), F.lit(0)) + 160 + 8 * F.size("bounds"))
     placed = rows.join(lead, F.col("source").eqNullSafe(F.col("source_"))).withColumn("bucket", F.pmod(F.col("key"), F.col("buckets")))
     sums = placed.groupBy("sid", "bucket").agg(F.sum("size").alias("words"))
     running = Window.partitionBy("sid").orderBy("bucket")
-    before = sums.select("sid", "bucket", (F.sum("words").over(running) - F.col("words")).alias("before"))
-    inside = Window.partitionBy("sid", "bucket").orderBy("key", "size", F.xxhash64("row")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    before = saved(sums.select("sid", "bucket", (F.sum("words").over(running) - F.col("words")).alias("before")), "mix-buckets")
+    inside = Window.partitionBy("sid", "bucket").orderBy("key", "key2").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     placed = placed.join(before, ["sid", "bucket"]).withColumn("start", F.col("before") + F.sum("size").over(inside) - F.col("size"))
-    pieces = _pieces(block_words, seed)
+    pieces = _pieces(block_words, seed, shard_levels)
     return placed.withColumn("pieces", pieces).select(
-        "row",
-        "size",
-        "source_size",
-        "target",
+        "key", "key2", "doc_id", "source", "size", "source_size", "target",
         F.aggregate("pieces", F.lit(0).cast("long"), lambda a, p: a + p["to"] - p["from"]).alias("taken"),
         "pieces",
-    )
+    )
 
 
 def _position(block: Column, sid: Column, epoch: Column, blocks: Column, seed: int) -> Column:
@@ -218,7 +234,14 @@ def _position(block: Column, sid: Column, epoch: Column, blocks: Column, seed: i
     return F.pmod(F.pmod(block * F.pmod(factor, blocks), blocks) + F.pmod(F.shiftright(key, 8), blocks), blocks)
 
 
-def _pieces(block_words: int, seed: int) -> Column:
+def _shard(index: Column, levels: int) -> Column:
+    """The shard whose stretch holds the index: the number of bounds at or below it, by
+    bisection."""
+    steps = F.array(*[F.lit(1 << k) for k in reversed(range(levels))]).cast("array<int>")
+    return F.aggregate(steps, F.lit(0), lambda low, step: low + F.when(F.get(F.col("bounds"), low + step - 1) <= index, step).otherwise(0))
+
+
+def _pieces(block_words: int, seed: int, levels: int) -> Column:
     start, end = F.col("start"), F.col("start") + F.col("size")
     sid, blocks = F.col("sid"), F.col("blocks")
     touched = F.when(F.col("size") > 0, F.sequence(F.floor(start / block_words).cast("long"), F.floor((end - 1) / block_words).cast("long"))).otherwise(F.array().cast("array<bigint>"))
@@ -231,12 +254,17 @@ def _pieces(block_words: int, seed: int) -> Column:
             part = F.least(whole, F.greatest(F.lit(0).cast("long"), F.col("rest") - ahead))
             upto = block * block_words + F.when(epoch < F.col("passes"), whole).otherwise(part)
             index = epoch * blocks + at
-            return F.struct(
-                F.size(F.filter("bounds", lambda x: x <= index)).alias("shard"),
-                F.xxhash64(F.lit(seed + 3), sid, epoch, block).alias("slot"),
-                epoch.cast("int").alias("epoch"),
-                (F.greatest(start, block * block_words) - start).alias("from"),
-                (F.least(end, upto) - start).alias("to"),
+            # what lies beyond the stretch of the last shard is not drawn
+            return F.when(
+                index < F.element_at("bounds", -1),
+                F.struct(
+                    _shard(index, levels).alias("shard"),
+                    F.xxhash64(F.lit(seed + 3), sid, epoch, block).alias("slot"),
+                    epoch.cast("int").alias("epoch"),
+                    block.alias("block"),
+                    (F.greatest(start, block * block_words) - start).alias("from"),
+                    (F.least(end, upto) - start).alias("to"),
+                ),
             )
 
         return F.element_at(F.transform(F.array(_position(block, sid, epoch, blocks, seed)), drawn), 1)
@@ -245,35 +273,65 @@ def _pieces(block_words: int, seed: int) -> Column:
     return F.filter(every, lambda p: p["to"] > p["from"])
 
 
-def mixed_documents(docs: DataFrame, **options) -> DataFrame:
-    """The mix with its texts: a row for each document and pass that takes words of it,
-    with the columns of ``docs``. Where a pass takes all words the row is as it was; else
-    its text is the taken words with the white space before them, and n_chars, if there,
-    is counted anew."""
-    plan = mix_plan(docs, **options).where("taken > 0")
-    passes = plan.select("row", "size", F.explode(F.array_distinct(F.transform("pieces", lambda p: p["epoch"]))).alias("epoch"), "pieces")
-    spans = F.array_sort(F.transform(F.filter("pieces", lambda p: p["epoch"] == F.col("epoch")), lambda p: F.struct(p["from"].alias("from"), p["to"].alias("to"))))
-    passes = passes.withColumn("spans", spans).withColumn("words", F.aggregate("spans", F.lit(0).cast("long"), lambda a, p: a + p["to"] - p["from"]))
+def _mixed(docs: DataFrame, shard: str, slot: str, **options) -> DataFrame:
+    """A row for each document, pass and shard that draws words of it, with the columns of
+    ``docs`` and its shard and slot; not in order."""
+    seed = options.get("seed", 7)
+    group = lambda p: F.struct(p["epoch"].alias("epoch"), p["shard"].alias("shard"))
+    plan = mix_plan(docs, **options).where("taken > 0").select("key", "key2", F.col("size").alias("n"), "pieces", F.explode(F.array_distinct(F.transform("pieces", group))).alias("g"))
+    mine = F.filter("pieces", lambda p: (p["epoch"] == F.col("g.epoch")) & (p["shard"] == F.col("g.shard")))
+    spans = F.array_sort(F.transform(mine, lambda p: F.struct(p["from"].alias("from"), p["to"].alias("to"))))
+    places = plan.select(F.struct("key", "key2").alias("k"), "n", F.col("g.shard").alias("shard"), F.array_min(F.transform(mine, lambda p: p["slot"])).alias("slot"), spans.alias("spans"))
+    places = saved(places.withColumn("words", F.aggregate("spans", F.lit(0).cast("long"), lambda a, p: a + p["to"] - p["from"])), "mix-places")
+    places = places.select("k", F.struct("n", "shard", "slot", "spans", "words").alias("p"))
+    texts = docs.select(F.struct(*_row_hashes(docs, seed)).alias("k"), F.struct(*docs.columns).alias("row"))
+    # rows that repeat have their places once each, so they bring their text only once
+    repeats = saved(mix_repeats(docs, seed), "mix-repeats")
+    if not repeats.isEmpty():
+        texts = texts.join(repeats, "k", "left_anti").unionByName(texts.join(repeats, "k", "left_semi").dropDuplicates(["k"]))
+    rows = texts.join(places, "k")
     # a word with what stands before it; what follows the last word ends the last piece
     parts = F.split(F.col("row.text"), r"(?<=[^\x20\x09-\x0D])(?=[\x20\x09-\x0D]+[^\x20\x09-\x0D])", -1)
     cut = F.element_at(
-        F.transform(F.array(parts), lambda w: F.array_join(F.flatten(F.transform("spans", lambda p: F.slice(w, (p["from"] + 1).cast("int"), (p["to"] - p["from"]).cast("int")))), "")), 1
+        F.transform(F.array(parts), lambda w: F.array_join(F.flatten(F.transform("p.spans", lambda x: F.slice(w, (x["from"] + 1).cast("int"), (x["to"] - x["from"]).cast("int")))), "")), 1
     )
-    text = F.when(F.col("words") == F.col("size"), F.col("row.text")).otherwise(cut)
-    passes = passes.withColumn("text_", text)
+    whole = F.col("p.words") == F.col("p.n")
+    rows = rows.select("row", "p", whole.alias("whole"), F.when(whole, F.col("row.text")).otherwise(cut).alias("text"))
     columns = []
     for name in docs.columns:
         if name == "text":
-            columns.append(F.col("text_").alias("text"))
+            columns.append(F.col("text"))
         elif name == "n_chars":
-            columns.append(F.when(F.col("words") == F.col("size"), F.col("row.n_chars")).otherwise(F.length("text_")).alias("n_chars"))
+            columns.append(F.when(F.col("whole"), F.col("row.n_chars")).otherwise(F.length("text")).cast(docs.schema[name].dataType).alias(name))
         else:
             columns.append(F.col("row").getField(name).alias(name))
-    return passes.select(*columns)
+    return rows.select(*columns, F.col("p.shard").alias(shard), F.col("p.slot").alias(slot))
+
+
+def mix_repeats(docs: DataFrame, seed: int = 7) -> DataFrame:
+    """Keys of rows that repeat doc_id, source and text: (k)."""
+    return docs.select(F.struct(*_row_hashes(docs, seed)).alias("k")).groupBy("k").count().where("count > 1").select("k")
+
+
+def _in_order(rows: DataFrame, docs: DataFrame, shard: str, slot: str) -> DataFrame:
+    """Each shard's rows together, in a few stretches of slots, sorted by slot."""
+    parts = parts_for(docs)
+    stretch = F.shiftrightunsigned(slot, 58)  # of 64
+    return rows.repartition(parts, F.col(shard), stretch).sortWithinPartitions(shard, slot)
+
+
+def mixed_documents(docs: DataFrame, **options) -> DataFrame:
+    """The mix with its texts: a row for each document, pass and shard that draws words of
+    it, with the columns of ``docs``, whatever their names. Where the shard draws all words
+    of a pass the row is as it was; else its text is the drawn words with the white space
+    before them, and n_chars, if there, is counted anew. Rows of a shard lie together in
+    shuffled order. Rows that repeat doc_id, source and text share the columns of one of them.
+    Options are those of ``mix_plan``. An empty table gives an empty result."""
+    shard, slot = free_name(docs, "shard"), free_name(docs, "slot")
+    return _in_order(_mixed(docs, shard, slot, **options), docs, shard, slot).drop(shard, slot)
 
 
 def write_shards(docs: DataFrame, path: str, **options) -> None:
-    """The pieces of the mix as Parquet, a folder for each shard, in slot order."""
-    plan = mix_plan(docs, **options)
-    pieces = plan.select(F.col("row.doc_id").alias("doc_id"), F.explode("pieces").alias("p")).select("doc_id", "p.*")
-    pieces.repartition("shard").sortWithinPartitions("shard", "slot", "from").write.partitionBy("shard").parquet(path)
+    """The mix with its texts as Parquet, a folder for each shard, each file in slot order."""
+    shard, slot = free_name(docs, "shard"), free_name(docs, "slot")
+    _in_order(_mixed(docs, shard, slot, **options), docs, shard, slot).write.partitionBy(shard).parquet(path)

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import decontaminate, exact_dedup, language_id, line_dedup, mixing, secret_scan, simhash, token_counts, token_files, url_trust
-from .common import saved, scratch, table
+from .common import scratch, table
 
 VOCABULARY = "byte_bpe_50k.json"
 #: The SQL runs so many rounds; the operator runs until its scores converge.
@@ -35,10 +35,9 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    sized = saved(docs.select("doc_id", "source", mixing.word_count(F.col("text")).alias("size")), "sizes")
-    plan = mixing.mix_plan(sized, size=F.col("size"))
-    return plan.select("row.doc_id", "size", "source_size", "target", "taken")
+    plan = mixing.mix_plan(table(spark, sf_dir, "documents"))
+    shards = F.array_sort(F.array_distinct(F.transform("pieces", lambda p: p["shard"])))
+    return plan.select("doc_id", "size", "source_size", "target", "taken", shards.alias("shards"))
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
