@@ -8,8 +8,9 @@ under the threshold is blocked.
 
 DataFrame functions only. Links collapse to one row per pair of hosts inside each task
 before the shuffle, so a host with a third of all pages is one row per task. Both walks
-share one join and one sum a round; rounds go to the shared folder. Pages meet hosts in
-one join that AQE may split on hot hosts.
+share one join and one sum a round; rounds go to the shared folder. What belongs to a host,
+its rules and its score, is one written table, so pages meet it in one join of two plain
+exchanges, which AQE splits on hot hosts.
 """
 
 from __future__ import annotations
@@ -78,7 +79,8 @@ def propagate(links: DataFrame, seeds: DataFrame, rounds: int | None = None, dam
     Rounds go on until no host is reached anew, the mass still under way is under
     ``tolerance``, and it cannot turn the sign of a host that both reach; ``rounds``
     limits them."""
-    total = seeds.agg(F.sum("trusted").alias("all_trusted"), F.sum("blocked").alias("all_blocked"))
+    # without a trusted or without a blocked seed there is no such walk
+    total = seeds.agg(F.nullif(F.sum("trusted"), F.lit(0)).alias("all_trusted"), F.nullif(F.sum("blocked"), F.lit(0)).alias("all_blocked"))
     sides = F.array(
         F.struct(F.lit(1).alias("sign"), (F.col("trusted") / F.col("all_trusted")).alias("seed")),
         F.struct(F.lit(-1).alias("sign"), (F.col("blocked") / F.col("all_blocked")).alias("seed")),
@@ -88,7 +90,8 @@ def propagate(links: DataFrame, seeds: DataFrame, rounds: int | None = None, dam
     both = links.select(F.lit(1).alias("sign"), F.col("source").alias("from"), F.col("target").alias("to"), "n").unionByName(
         links.select(F.lit(-1).alias("sign"), F.col("target").alias("from"), F.col("source").alias("to"), "n")
     )
-    out = both.groupBy("sign", "from").agg(F.sum("n").alias("all"))
+    both = saved(both, "links")
+    out = saved(both.groupBy("sign", "from").agg(F.sum("n").alias("all")), "links-out")
     edges = saved(both.join(out, ["sign", "from"]).select("sign", "from", "to", (damping * F.col("n") / F.col("all")).alias("share")), "host-links")
     # step: the mass that reached a host in the last round
     score = start.select("host", "sign", F.col("seed").alias("score"), F.col("seed").alias("step"))
@@ -123,23 +126,25 @@ def judge_urls(pages: DataFrame, rules: DataFrame, rounds: int | None = None, da
 
     The longest rule that fits decides; without one, the host's score under the
     threshold blocks. Null urls and urls without ``://`` have an empty host and path and no
-    rule, and score 0. Repeated rows and ids each give a row. Null html has no links. An
-    empty table gives an empty result; further columns are ignored.
+    rule, and score 0. Repeated rows and ids each give a row. Null html has no links; html
+    and urls may be of any length. An empty table gives an empty result; further columns are
+    ignored, whatever their names.
     """
     parsed = pages.select("page_id", url_host(F.col("url")).alias("host"), url_path(F.col("url")).alias("path"), "html")
-    paths = parsed.groupBy("host", "path").agg(F.count(F.lit(1)).alias("n"))
-    hosts = saved(host_rules(paths.select("host").distinct(), rules), "host-rules")
+    paths = saved(parsed.groupBy("host", "path").agg(F.count(F.lit(1)).alias("n")), "paths")
+    known = saved(host_rules(paths.select("host").distinct(), rules), "host-rules")
 
-    def fitting(rows: DataFrame) -> DataFrame:
+    def fitting(rows: DataFrame, hosts: DataFrame) -> DataFrame:
         first = F.try_element_at(F.filter("rules", lambda r: F.startswith(F.col("path"), r["rule_path"])), F.lit(1))
         return rows.join(hosts, "host", "left").withColumn("found", first).drop("rules")
 
-    judged = fitting(paths).withColumn("verdict", F.col("found.rule_verdict"))
-    seeds = judged.groupBy("host").agg(
-        F.sum(F.when(F.col("verdict") == "allow", F.col("n")).otherwise(0)).alias("trusted"),
-        F.sum(F.when(F.col("verdict") == "block", F.col("n")).otherwise(0)).alias("blocked"),
-    )
+    verdict = F.col("found.rule_verdict")
+    counts = fitting(paths, known).select("host", "path", *[F.when(verdict == v, F.col("n")).otherwise(0).alias(c) for v, c in (("allow", "trusted"), ("block", "blocked"))])
+    # dealt anew by host and path: the join before may then be split, sums go by task first
+    dealt = counts.where("trusted + blocked > 0").repartition("host", "path")
+    seeds = saved(dealt.groupBy("host").agg(F.sum("trusted").alias("trusted"), F.sum("blocked").alias("blocked")), "seed-hosts")
     scores = propagate(host_links(parsed), seeds, rounds, damping)
-    decided = fitting(parsed.drop("html")).join(scores, "host", "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
+    hosts = saved(known.join(scores, "host", "full_outer"), "hosts")
+    decided = fitting(parsed.drop("html"), hosts).withColumn("score", F.coalesce("score", F.lit(0.0)))
     method = F.when(F.col("score") < threshold, "block").otherwise("allow")
     return decided.select("page_id", "host", "path", F.col("found.rule").alias("rule"), F.coalesce(F.col("found.rule_verdict"), method).alias("verdict"), F.round("score", 12).alias("score"))
