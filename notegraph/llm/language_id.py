@@ -7,9 +7,9 @@ largest activation over the window, and a softmax layer reads these. As a byte i
 table look-ups and sums. Windows are scored in batches and a text's probability is the
 mean over all its windows: whole texts are read.
 
-Training is on the driver, on a bounded sample of labelled rows: at most some
-``rows_per_language`` rows of each language, ``windows_per_row`` windows each. What is
-sent to the tasks is the network, under 200 kB.
+Training is on the driver, on a bounded sample: some ``windows_per_language`` windows of each
+language, out of all windows of all labelled rows with equal chances. What is sent to the
+tasks is the network, under 200 kB.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import sliced
+from .common import free_name, sliced
 
 WINDOW = 256
 WIDTHS = (2, 3, 4)
@@ -150,34 +150,37 @@ def remainder(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % 4
 
 
-def train(docs: DataFrame, rows_per_language: int = 600, windows_per_row: int = 4, held_out: int = 2) -> LanguageNet:
+def train(docs: DataFrame, windows_per_language: int = 2_400, held_out: int = 2) -> LanguageNet:
     """A network from ``docs(doc_id, text, lang)`` with a language, a letter in the text,
     and a remainder other than ``held_out``.
 
-    The sample: of each language the rows whose hash of doc_id falls under a share that
-    yields some ``rows_per_language`` rows, and of each of these at most
-    ``windows_per_row`` windows, spread evenly. Rows with a null id are not learned from.
+    The sample: each window of a labelled row is taken if a hash of doc_id and its number
+    falls under a share that yields some ``windows_per_language`` windows of its language.
+    Rows with a null id are not learned from; repeated rows are drawn alike. Reruns learn the
+    same. A table without such rows gives a network without languages.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     usable = rows.where("lang is not null and text is not null").where(remainder(F.col("doc_id")) != held_out)
-    shares = usable.groupBy("lang").count().withColumn("share", F.least(F.lit(1.0), rows_per_language / F.col("count")))
-    uniform = F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(11)), 11) / float(1 << 53)
+    # a text has as many windows as its bytes fill, and lower-casing rarely changes them
+    usable = usable.withColumn("n", F.greatest(F.lit(1), F.ceil(F.octet_length("text") / WINDOW)).cast("int"))
+    shares = usable.groupBy("lang").agg(F.sum("n").alias("all")).select(F.col("lang").alias("lang_"), (windows_per_language / F.col("all")).alias("share"))
     # a row for each language, as the network has an output for each: small enough to broadcast
-    share = F.broadcast(shares.select(F.col("lang").alias("lang_"), "share"))
-    sample = usable.join(share, F.col("lang") == F.col("lang_")).where(uniform < F.col("share"))
+    drawn = usable.join(F.broadcast(shares), F.col("lang") == F.col("lang_"))
+    uniform = lambda i: F.shiftrightunsigned(F.xxhash64("doc_id", i, F.lit(11)), 11) / float(1 << 53)
+    drawn = drawn.withColumn("picks", F.filter(F.sequence(F.lit(0), F.col("n") - 1), lambda i: uniform(i) < F.col("share"))).where(F.size("picks") > 0)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
             ids, langs, found = [], [], []
-            for doc_id, text, lang in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "lang"))):
+            for doc_id, text, lang, picks in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "lang", "picks"))):
                 if has_letter(text):
                     every = windows_of(text)
                     ids.append(doc_id)
                     langs.append(lang)
-                    found.append(every[np.unique(np.linspace(0, len(every) - 1, windows_per_row).round().astype(int))].tobytes())
+                    found.append(every[[i for i in picks if i < len(every)]].tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(langs, pa.string()), pa.array(found, pa.binary())], names=["doc_id", "lang", "windows"])
 
-    got = sample.select("doc_id", "text", "lang").mapInArrow(cut, "doc_id long, lang string, windows binary").collect()
+    got = drawn.select("doc_id", "text", "lang", "picks").mapInArrow(cut, "doc_id long, lang string, windows binary").collect()
     got.sort(key=lambda r: (r["lang"], zlib.crc32(str(r["doc_id"]).encode()), r["doc_id"], bytes(r["windows"])))
     each = [np.frombuffer(bytes(r["windows"]), np.uint8).reshape(-1, WINDOW) for r in got]
     labels = [r["lang"] for r, x in zip(got, each) for _ in x]
@@ -188,15 +191,18 @@ def identify(docs: DataFrame, net: LanguageNet) -> DataFrame:
     """``docs`` with lang_pred and score added, or replaced where they exist.
 
     Null text, or text without a letter, is ``und`` with score 0; so is every text if the
-    network has learned no language. Only the text is read.
+    network has learned no language. Of languages that tie the first by name counts. Only
+    the text is read, all of it, however long; repeated rows get the same. An empty table
+    gives an empty result. Other columns stay, whatever their names.
     """
     kept = [c for c in docs.columns if c not in ("lang_pred", "score")]
-    rows = docs.select(*kept, F.col("text").cast("string").alias("__text"))
+    read = free_name(docs, "text_read")
+    rows = docs.select(*kept, F.col("text").cast("string").alias(read))
     schema = docs.select(*kept).schema.add("lang_pred", "string").add("score", "double")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
-            names, scores = net.identify(batch.column("__text").to_pylist())
+            names, scores = net.identify(batch.column(read).to_pylist())
             columns = [batch.column(c) for c in kept]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=[*kept, "lang_pred", "score"])
 
@@ -205,7 +211,7 @@ def identify(docs: DataFrame, net: LanguageNet) -> DataFrame:
 
 def predict(docs: DataFrame, net: LanguageNet, held_out: int = 2) -> DataFrame:
     """One row per row of ``docs(doc_id, text)``: doc_id, held_out, lang_pred, score. A
-    null id counts as not held out."""
+    null id counts as not held out. Else as ``identify``; further columns are ignored."""
     ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(remainder(F.col("doc_id")) == held_out, F.lit(False)).alias("held_out"), "text")
     return identify(ids, net).select("doc_id", "held_out", "lang_pred", "score")
 
@@ -213,7 +219,6 @@ def predict(docs: DataFrame, net: LanguageNet, held_out: int = 2) -> DataFrame:
 def keep_identified(docs: DataFrame, net: LanguageNet, min_score: float = 0.4) -> DataFrame:
     """``docs`` without those that are ``und`` or whose best language has a mean
     probability under ``min_score``; columns stay as they are."""
-    found = identify(docs.withColumns({f"__{c}": F.col(c) for c in ("lang_pred", "score") if c in docs.columns}), net)
-    kept = found.where((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= min_score))
-    back = {c: F.col(f"__{c}") for c in ("lang_pred", "score") if c in docs.columns}
-    return kept.withColumns(back).select(*docs.columns) if back else kept.select(*docs.columns)
+    kept = {c: free_name(docs, f"own_{c}") for c in ("lang_pred", "score") if c in docs.columns}
+    found = identify(docs.withColumnsRenamed(kept), net).where((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= min_score))
+    return found.drop("lang_pred", "score").withColumnsRenamed({v: k for k, v in kept.items()}).select(*docs.columns)
