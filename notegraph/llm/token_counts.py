@@ -46,11 +46,8 @@ def count_tokens(docs: DataFrame, vocabulary: str, cache: str | None = None, lim
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     digest = F.unhex(F.sha2("text", 256)).alias("digest")
     stored = read_cache(spark, cache).where(F.col("tokenizer") == name)
-    misses = (
-        rows.select(digest, "text")
-        .join(stored.select("digest").distinct(), "digest", "left_anti")
-        .dropDuplicates(["digest"])
-    )
+    # copies collapse in their task before they are dealt by digest, and only then meet the cache
+    misses = rows.select(digest, "text").dropDuplicates(["digest"]).join(stored.select("digest").distinct(), "digest", "left_anti")
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = tokenizing.encoder(vocabulary)
