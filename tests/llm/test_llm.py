@@ -108,7 +108,7 @@ def test_mixing(spark, docs, none):
         open_ -= set(over)
     assert len(plan) == len(ROWS)
     for s in sizes:
-        mine = [r for r in plan if r["row"]["source"] == s]
+        mine = [r for r in plan if r["source"] == s]
         assert abs(mine[0]["target"] - target[s]) < 1e-6
         assert sum(r["taken"] for r in mine) == int(target[s] + 0.5)
     for r in plan:
@@ -117,7 +117,7 @@ def test_mixing(spark, docs, none):
         assert all(a[0] != b[0] or a[2] <= b[1] for a, b in zip(spans, spans[1:]))  # no word twice in a pass
     assert {p["shard"] for r in plan for p in r["pieces"]} <= {0, 1, 2, 3}
     again = mixing.mix_plan(docs.repartition(5), block_words=16, shard_levels=2)
-    assert sorted(map(str, ((r["row"]["doc_id"], r["taken"]) for r in plan))) == sorted(map(str, ((r["row"]["doc_id"], r["taken"]) for r in again.collect())))
+    assert sorted(map(str, ((r["doc_id"], r["taken"]) for r in plan))) == sorted(map(str, ((r["doc_id"], r["taken"]) for r in again.collect())))
     mixed = mixing.mixed_documents(docs, block_words=16)
     assert mixed.columns == docs.columns
     words = mixed.agg(F.sum(mixing.word_count(F.col("text")))).first()[0]
@@ -125,6 +125,44 @@ def test_mixing(spark, docs, none):
     assert mixing.mix_plan(none).count() == 0 and mixing.mixed_documents(none).count() == 0
 
 
+def test_shards_draw_their_quotas(spark, docs):
+    """Each shard holds exactly the blocks that the tree gave it, and no two the same."""
+    plan = mixing.mix_plan(docs, block_words=16, shard_levels=3).collect()
+    held: dict[tuple, set] = {}
+    for r in plan:
+        for p in r["pieces"]:
+            held.setdefault((p["shard"], r["source"]), set()).add((p["epoch"], p["block"]))
+    drawn: dict[str, list] = {}
+    for (_, source), blocks in held.items():
+        drawn.setdefault(source, []).extend(blocks)
+    assert all(len(x) == len(set(x)) for x in drawn.values())  # disjoint
+    # the tree anew, from the counts of drawn blocks alone
+    order = sorted({r["source"] for r in plan}, key=lambda s: (s is None, s or ""))
+    counts = spark.createDataFrame([(i + 1, len(drawn.get(s, []))) for i, s in enumerate(order)], "sid int, blocks long")
+    for r in mixing.splitting_tree(counts, 3, 7).collect():
+        assert [len(held.get((r["shard"], s), ())) for s in order] == list(r["counts"])
+    totals = [sum(len(held.get((k, s), ())) for s in order) for k in range(8)]
+    assert max(totals) - min(totals) <= 1 and sum(totals) == sum(map(len, drawn.values()))
+    # the written shards hold those words, in slot order
+    path = scratch(spark, "shards")
+    mixing.write_shards(docs, path, block_words=16, shard_levels=3)
+    words = {r["shard"]: r["n"] for r in spark.read.parquet(path).groupBy("shard").agg(F.sum(mixing.word_count(F.col("text"))).alias("n")).collect()}
+    want: dict[int, int] = {}
+    for r in plan:
+        for p in r["pieces"]:
+            want[p["shard"]] = want.get(p["shard"], 0) + p["to"] - p["from"]
+    assert words == want
+    slots = spark.read.parquet(path).select("shard", "slot", F.input_file_name().alias("f")).collect()
+    assert all(a["f"] != b["f"] or a["slot"] <= b["slot"] for a, b in zip(slots, slots[1:]))
+
+
+def test_mixing_spreads_null_ids(spark):
+    same = spark.range(400).select(F.lit(None).cast("long").alias("doc_id"), F.lit("s").alias("source"), F.concat(F.lit("word "), F.col("id").cast("string")).alias("text"))
+    plan = mixing.mix_plan(same, block_words=4).collect()
+    assert len(plan) == 400 and sum(r["taken"] for r in plan) == 800 and len({r["key"] % 64 for r in plan}) > 50
+    assert mixing.mixed_documents(same, block_words=4).agg(F.sum(mixing.word_count(F.col("text")))).first()[0] == 800
+
+
 def test_hypergeometric_draws(spark):
     from math import comb
 
@@ -194,6 +232,8 @@ def test_decontamination(spark, docs, none):
     left = {str(r["doc_id"]) + str(len(r["text"] or "")): r["text"] for r in spans.collect()}
     assert spans.count() == len(ROWS) and all("Épsilon" not in (t or "") for t in left.values())
     assert LONG in left.values()
+    shuffled = decontaminate.benchmark_hits(docs, items, broadcast_bytes=0)
+    assert rows(shuffled, "doc_id", "n_words", "covered", "items") == got
     assert decontaminate.benchmark_hits(none, items).count() == 0
     assert decontaminate.benchmark_hits(docs, items.limit(0)).where("size(covered) > 0").count() == 0
 
@@ -232,7 +272,7 @@ def test_bit_planes():
         for radius in (0, 1, 2, 3, 7, 22, 63):
             for i in range(min(n, 20)):
                 far = np.array([bin(int(a) ^ int(x[i])).count("1") for a in x])
-                assert planes.within(int(x[i]), radius, i).tolist() == np.flatnonzero((far <= radius) & (np.arange(n) >= i)).tolist()
+                assert planes.within(planes.bits[i], radius, i).tolist() == np.flatnonzero((far <= radius) & (np.arange(n) >= i)).tolist()
 
 
 @pytest.mark.parametrize("tile", [4, 2_048])
@@ -342,44 +382,139 @@ def test_secret_scan(spark, none):
         hexes = "".join(rnd.choice("0123456789abcdef") for _ in range(32))
         middle = [f'token = "{hexes}"', f"id {rnd.randrange(10**15, 10**16)}", f"see path/alpha/beta/gamma{i}/delta.txt now", ""][i % 4]
         data.append((i, f"{word} {middle} {word}", "en", "a"))
-    df = table(spark, [*data, (None, "token = \"0123456789abcdef0123\"", "en", "a"), (999, None, "en", "a"), *data[:3]])
-    found = secret_scan.scan(df).collect()
+    df = table(spark, [*data, (None, "token = \"0123456789abcdef0123\"", "en", "a"), (999, None, "en", "a"), (998, "", "en", "a"), (997, " \n", "en", "a"), *data[:3]])
+    found = secret_scan.scan(df, findings=3_000).collect()
     texts = {i: t for i, t, *_ in data}
+    wrong = 0
     for r in found:
         if r["doc_id"] is not None:
             finding = texts[r["doc_id"]][r["start"] : r["start"] + r["length"]]
             assert re.fullmatch(r"[A-Za-z0-9_+/=.-]{16,}", finding)
-            assert r["is_secret"] == ("token = " in texts[r["doc_id"]])
-    assert len(found) == 180 + 1 and secret_scan.scan(none).count() == 0
+            wrong += r["is_secret"] != ("token = " in texts[r["doc_id"]])
+    assert len(found) == 180 + 1 and wrong <= 2 and secret_scan.scan(none).count() == 0
     labels = spark.createDataFrame([(r["doc_id"], r["start"], not r["is_secret"]) for r in found], "doc_id long, start long, secret boolean")
-    turned = secret_scan.scan(df, labels).collect()  # labels decide, not the weak rule
+    turned = secret_scan.scan(df, labels).collect()  # given labels decide
     assert sum(r["is_secret"] for r in turned) > 100
 
 
+def test_forest_beats_the_rule_on_held_out_findings(spark):
+    """Precision and recall on planted findings of documents that were not learned from."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    known = secret_scan.saved(secret_scan.dictionary(docs), "known")
+    held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
+    forest = secret_scan.train(secret_scan.labelled_candidates(secret_scan.planted_findings(docs.where(~held), 4_000), known))
+    planted = secret_scan.planted_findings(docs.where(held), 2_000)
+    scored = forest.score(secret_scan.labelled_candidates(planted, known)).select("row", "secret", (F.col("score") > 0.5).alias("says")).groupBy("row").agg(F.first("secret").alias("secret"), F.max("says").alias("says")).collect()
+    before = F.substring("text", F.lit(1), F.col("start").cast("int"))
+    rule = planted.select("secret", F.regexp_like(before, F.lit(secret_scan.ASSIGNED)).alias("says")).collect()
+
+    def measured(rows):
+        hit = sum(r["secret"] and r["says"] for r in rows)
+        return hit / max(1, sum(r["says"] for r in rows)), hit / max(1, sum(r["secret"] for r in rows))
+
+    (precision, recall), (rule_precision, rule_recall) = measured(scored), measured(rule)
+    print("forest", precision, recall, "rule", rule_precision, rule_recall, "candidates", len(scored))
+    assert precision > 0.9 and recall > 0.9 and precision > rule_precision and recall > rule_recall
+
+
+def _features(finding, known):
+    """The features of a finding that need no context, by plain Python."""
+    n, low = len(finding), [x.lower() for x in re.findall("[A-Z]+(?![a-z])|[A-Z]?[a-z]+", finding)]
+    kind = lambda c: 0 if "0" <= c <= "9" else 1 if "A" <= c <= "Z" else 2 if "a" <= c <= "z" else 3
+    changes = sum((kind(x), kind(y)) in {(2, 1), (2, 0), (1, 2), (1, 0), (0, 1), (0, 2)} for x, y in zip(finding, finding[1:]))
+    share = lambda k: sum(kind(c) == k for c in finding) / n
+    return [n, share(0), share(1), share(2), share(3), changes / n, len(set(finding)) / n, float(all(c in "0123456789abcdefABCDEF" for c in finding)), sum(len(x) for x in low if x in known) / n, finding.count("/"), finding.count(".")]
+
+
+def test_features_of_odd_candidates(spark):
+    word = ["alpha", "gamma", "delta"]
+    big = "".join(rnd.choice("ABCDEFGHabcdefgh0123456789+/") for _ in range(1_000_000))
+    values = [big, "x" * 15 + "1", "alphaGammaDELTA22/alpha.txt", "9f8a7b6c5d4e3f2a1b0c9d8e7f6a5b4c", "0" * 40, "a1" * 4_000, "alpha-alpha_alpha.alpha/4"]
+    data = [(i, f"Wort Émile {v} after", "en", "a") for i, v in enumerate(values)]
+    got = {r["doc_id"]: r for r in secret_scan.with_features(secret_scan.find_candidates(table(spark, data)), spark.createDataFrame([(w,) for w in word], "word string")).collect()}
+    assert len(got) == len(values)
+    names = ["length", "digits", "uppers", "lowers", "others", "changes", "distinct", "hex", "covered", "slashes", "dots"]
+    for i, v in enumerate(values):
+        assert got[i]["finding"] == v and got[i]["start"] == 11 and (got[i]["before_word"], got[i]["after_word"]) == ("Émile", "after")
+        assert [got[i][c] for c in names] == pytest.approx(_features(v, set(word)))
+    # a run of a million letters without an end takes linear time on either side
+    long = [(0, "w" * 1_000_000 + " ! " + values[3] + " " + "v" * 1_000_000 + ".", "en", "a"), (1, f'x = "{values[3]}"', "en", "a"), (2, f"http://h/{values[3]}", "en", "a")]
+    got = {r["doc_id"]: r for r in secret_scan.find_candidates(table(spark, long)).collect()}
+    assert (len(got[0]["before_word"]), len(got[0]["after_word"])) == (1_000_000, 1_000_000)
+    assert [(got[i]["assigned"], got[i]["quoted"]) for i in (0, 1)] == [(0, 0), (1, 1)] and (got[1]["in_url"], got[1]["in_path"]) == (0, 0)
+
+
 SECRETS = [
     ("API_TOKEN=%s", "ghp_0123456789abcdef"), ("password=%s", "hunter2hunter2hunter2"), ('pw = "%s"', "Tr0ub4dor&3xyz"), ("postgres://u:%s@host/db", "p4ssw0rd"),
     ("DB_PASSWORD2='%s'", "x!y@z$w&v"), ("secret: %s", "k9$Lm"), ("https://h.net/?id=1&auth_token=%s&page=2", "abc123def"), ("AWS_KEY=%s", "AbCd0123EfGh4567=="),
 ]
 
 
-def test_secrets_of_any_shape_are_found_and_labelled(spark):
+def test_secrets_of_any_shape_are_candidates(spark):
     data = []
-    for i in range(400):
+    for i in range(40):
         form, value = SECRETS[i % 10] if i % 10 < len(SECRETS) else (f"id %s{'.'}", str(10**15 + i))
         data.append((i, f"{PROSE[i % 5]} {form % value} {PROSE[(i + 1) % 5]}", "en", "a"))
-    df = table(spark, data)
-    found = {(r["doc_id"], r["start"], r["length"]): r["is_secret"] for r in secret_scan.scan(df).collect()}
-    labels = {(r["doc_id"], r["start"]): r["weak_label"] for r in secret_scan.with_features(secret_scan.find_candidates(df), secret_scan.dictionary(df)).collect()}
+    found = {(r["doc_id"], r["start"], len(r["finding"])) for r in secret_scan.find_candidates(table(spark, data)).collect()}
     for i, (form, value) in enumerate(SECRETS):
-        at = (data[i][1].index(value), len(value))
-        assert labels[i, at[0]] is True, form
-        assert all(found.get((k, data[k][1].index(value), len(value))) for k in range(i, 400, 10)), form
-    assert not any(v for k, v in found.items() if k[0] % 10 >= len(SECRETS))
-    # what is prose or code after a name is scored but not a positive label; old runs stay candidates
+        assert all((k, data[k][1].index(value), len(value)) in found for k in range(i, 40, 10)), form
     odd = [(1, "the key: alpha", "en", "a"), (2, "token = get_token()", "en", "a"), (3, "name_of_thing=ab12 x", "en", "a"), (4, "A_LONG_NAME_OF_TOKEN1=p@ss1word x", "en", "a"), (5, "alpha alpha", "en", "a"), (6, "id1=abcdefghijklmnopqrst x", "en", "a")]
-    odd = table(spark, odd)
-    got = {(r["doc_id"], r["finding"]): r["weak_label"] for r in secret_scan.with_features(secret_scan.find_candidates(odd), secret_scan.dictionary(odd)).collect()}
-    assert got[1, "alpha"] is False and got[2, "get_token("] is None and got[3, "name_of_thing=ab12"] is False and got[4, "p@ss1word"] is True and got[6, "id1=abcdefghijklmnopqrst"] is False
+    got = {(r["doc_id"], r["finding"]) for r in secret_scan.find_candidates(table(spark, odd)).collect()}
+    assert {(1, "alpha"), (2, "get_token("), (3, "name_of_thing=ab12"), (4, "p@ss1word"), (6, "id1=abcdefghijklmnopqrst")} <= got and not any(i == 5 for i, _ in got)
+
+
+def test_convolution_and_gradients():
+    """The network against a direct convolution, its training step against differences."""
+    r = np.random.default_rng(2)
+    windows = r.integers(0, 256, (6, language_id.WINDOW), dtype=np.uint8)
+    net = language_id.fit(windows, ["a", "b", "c", "a", "b", "c"], epochs=1)
+    wide = np.pad(windows, ((0, 0), (0, max(language_id.WIDTHS) - 1)))
+    for k, row in enumerate(net.probabilities(windows)):
+        pooled = []
+        for f in range(language_id.FILTERS * len(language_id.WIDTHS)):
+            width = language_id.WIDTHS[f // language_id.FILTERS]
+            sums = [sum(float(net.tables[j, wide[k, p + j], f]) for j in range(width)) for p in range(language_id.WINDOW)]
+            pooled.append(max(0.0, max(sums) + float(net.bias[f])))
+        z = np.array(pooled) @ net.out + net.out_bias
+        assert row == pytest.approx(np.exp(z - z.max()) / np.exp(z - z.max()).sum(), abs=1e-4)
+    # one step of Adam moves each weight by the rate against the sign of its gradient
+    labels = ["a", "b", "c", "a", "b", "c"]
+    start = language_id.fit(windows, labels, epochs=0)
+    moved = language_id.fit(windows, labels, epochs=1, batch=6)
+    loss = lambda n: -np.mean([np.log(n.probabilities(windows)[i]["abc".index(x)]) for i, x in enumerate(labels)])
+    for name in ("bias", "out", "out_bias"):
+        w = getattr(start, name)
+        for at in list(np.ndindex(w.shape))[::5]:
+            was = w[at].copy()
+            w[at] = was + 1e-2
+            up = loss(start)
+            w[at] = was - 1e-2
+            slope = (up - loss(start)) / 2e-2
+            w[at] = was
+            if abs(slope) > 1e-3:
+                assert np.sign(getattr(moved, name)[at] - was) == -np.sign(slope)
+    assert loss(moved) < loss(start)
+
+
+def test_language_id_is_accurate_on_held_out_documents(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    got = language_id.predict(docs, language_id.train(docs)).join(docs.select("doc_id", "lang"), "doc_id").where("held_out and lang is not null and lang_pred <> 'und'")
+    n, right = got.agg(F.count(F.lit(1)), F.sum((F.col("lang") == F.col("lang_pred")).cast("int"))).first()
+    print("held out", n, "right", right)
+    assert n > 150 and right >= 0.97 * n
+
+
+def test_odd_rows_of_language_id(spark):
+    same = [(7, "the and of to in", "en", "a")] * 3 + [(8, "der die das und", "de", "a")] * 2
+    df = table(spark, same)
+    net = language_id.train(df)
+    got = language_id.predict(df, net).collect()
+    assert len(got) == 5 and len({(r["doc_id"], r["lang_pred"], r["score"]) for r in got}) == 2
+    tied = language_id.LanguageNet(["b", "c"], net.tables, net.bias, np.zeros((len(net.bias), 2), np.float32), np.zeros(2, np.float32))
+    assert tied.identify(["word"]) == (["b"], [0.5])
+    clash = df.withColumns({"lang_pred": F.lit("mine"), "score": F.lit(1), "text_read": F.lit("x")})
+    kept = language_id.keep_identified(clash, net)
+    assert kept.columns == clash.columns and {r["lang_pred"] for r in kept.collect()} <= {"mine"}
 
 
 def test_pipeline_stages(spark):
