@@ -32,6 +32,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -189,7 +190,7 @@ def _runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[
         change = np.zeros(max(0, table.num_rows - 1), bool)
         for k in keys:
             values = table.column(k).combine_chunks()
-            different = pa.compute.not_equal(values[1:], values[:-1]) if table.num_rows else []
+            different = pc.not_equal(values[1:], values[:-1]) if table.num_rows else []
             change |= np.asarray(different, bool)
         return np.concatenate([[0], np.flatnonzero(change) + 1, [table.num_rows]]).astype(np.int64)
 
