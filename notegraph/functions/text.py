@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 BLANK = r"\s\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}"
 #: Any character but a line end.
 DOT = r"[^\n\r\x{2028}\x{2029}]"
+# The patterns of fences and of inline code.
 _FENCE = r"(?:\A|(?<=\n))[\t ]*(```|~~~)[^\n]*(?:\n[\s\S]*?(?:(?<=\n)[\t ]*\1[\t ]*(?:\n|\z)|\z)|\z)"
 _CODE = r"|`[^`\n]+`"
 
@@ -100,6 +101,7 @@ def rewrite_math(col: Column) -> Column:
     """``$$..$$`` becomes a fence, ``$..$`` with a letter or backslash inline code. Both are
     first put between marks, so that a pair that is not math is still consumed."""
 
+    # fixed values: block math, inline math
     def math(x: Column) -> Column:
         x = F.regexp_replace(x, "[\x02\x03]", "")
         x = F.regexp_replace(x, r"\$\$([\s\S]+?)\$\$", "\x02$1\x03")
@@ -128,6 +130,7 @@ def _code_points(col: Column, pattern: str, base: int) -> Column:
 
 def decode_entities(col: Column) -> Column:
     """Named entities, hexadecimal and decimal code points, ``&amp;`` last."""
+    # fixed values: the names and what they mean
     for name, value in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"')):
         col = F.replace(col, F.lit(name), F.lit(value))
     col = F.regexp_replace(col, "&apos;|&#0*39;", "'")
@@ -139,6 +142,7 @@ def decode_entities(col: Column) -> Column:
 
 def html_lines(col: Column) -> Column:
     """Visible lines of an HTML fragment: never empty."""
+    # fixed values: the tags that end a line
     broken = F.regexp_replace(F.regexp_replace(col, rf"(?i)<br[{BLANK}]*/?>", "\n"), r"(?i)</(?:div|p)>", "\n")
     plain = decode_entities(F.regexp_replace(broken, "<[^>]+>", ""))
     lines = F.transform(F.split(plain, "\n", -1), lambda x: js_trim(F.regexp_replace(x, rf"[{BLANK}]+", " ")))

@@ -6,12 +6,15 @@ finished replacements once, by path.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from notegraph.functions.text import BLANK, LINK_PREFIX, bound, from_base64, humanize_ref, js_trim, segment, strip_quotes, to_base64, transform_text, url_decode
-from notegraph.operators.titles import stem
+from notegraph.sources.scratch import saved
 
+# The patterns of wikilinks and file links.
 _WIKI = r"(?<![!\[])\[\[(?!\[)([^\n]*?)\]\]"
 _FILE = rf"\[((?:[^\]\[\n]|\[[^\]\n]*\])+)\]\(([^){BLANK}]+?)(#[^){BLANK}]*)?\)"
 _PAYLOAD = "kind string, title string, anchor string, display string"
@@ -59,27 +62,42 @@ def extract_file_links(notes: DataFrame) -> DataFrame:
     return rows.withColumn("page_name", page).where("page_name <> ''").select("path", "part", "pos", "whole", "label", "url", "page_name", anchor.alias("anchor"))
 
 
-def resolve_links(links: DataFrame, titles: DataFrame, corpus: DataFrame) -> DataFrame:
-    """Distinct ``links(path, target)`` against ``corpus(path)``, all notes, and
-    ``titles(path, title)``, the published ones: path, target, in_vault, publishable,
-    title, dest.
+@dataclass(frozen=True)
+class LinkTargets:
+    """What names of links may mean, for all notes of a corpus; written tables."""
 
-    A target names a note by the end of its path without extension, in any case. Of several
-    the one in the source's folder counts, else the one with the fewest segments, then
-    the smallest path. Both answers are computed once for each name before links join, so
-    a name that many notes share, like readme, never multiplies.
-    """
+    by_name: DataFrame  # name, any_path: each suffix of a path without extension, in lower case
+    by_folder: DataFrame  # folder, last, near_path, near_bare
+
+
+def link_targets(corpus: DataFrame) -> LinkTargets:
+    """From ``corpus(path)``, all notes. A name that many notes share, like readme, is one
+    row here, so links to it never multiply."""
     bare = F.regexp_replace("path", r"\.[^./]*\z", "")
     notes = corpus.select("path", F.lower(bare).alias("bare"), F.regexp_extract("path", r"\A(.*)/[^/]*\z", 1).alias("folder")).distinct()
     parts = F.split("bare", "/", -1)
     suffixes = notes.select("path", F.size(parts).alias("n"), F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "/"))).alias("name"))
     best = suffixes.groupBy("name").agg(F.min(F.struct("n", "path"))["path"].alias("any_path"))
     near = notes.groupBy("folder", F.regexp_extract("bare", r"[^/]*\z", 0).alias("last")).agg(F.min("path").alias("near_path"), F.min("bare").alias("near_bare"))
+    return LinkTargets(saved(best, "targets-by-name"), saved(near, "targets-by-folder"))
+
+
+def resolve_links(links: DataFrame, titles: DataFrame, corpus: DataFrame | LinkTargets) -> DataFrame:
+    """Distinct ``links(path, target)`` against ``corpus(path)``, all notes, or its
+    ``link_targets``, and ``titles(path, title)``, the published ones: path, target,
+    in_vault, publishable, title, dest.
+
+    A target names a note by the end of its path without extension, in any case. Of several
+    the one in the source's folder counts, else the one with the fewest segments, then
+    the smallest path. Links meet written tables in joins of plain exchanges, which AQE
+    splits where a third of all links have one target.
+    """
+    targets = corpus if isinstance(corpus, LinkTargets) else link_targets(corpus)
     asked = links.select("path", "target").distinct()
     # where a target starts from the root, as a path may, the leading slash says nothing
     asked = asked.withColumn("name", F.lower(F.regexp_replace("target", r"\A/+|(?i)\.md\z", "")))
     asked = asked.withColumns({"folder": F.regexp_extract("path", r"\A(.*)/[^/]*\z", 1), "last": F.regexp_extract("name", r"[^/]*\z", 0)})
-    found = asked.join(best, "name", "left").join(near, ["folder", "last"], "left")
+    found = asked.join(targets.by_name, "name", "left").join(targets.by_folder, ["folder", "last"], "left")
     fits = (F.col("near_bare") == F.col("name")) | F.endswith("near_bare", F.concat(F.lit("/"), "name"))
     found = found.select("path", "target", F.coalesce(F.when(fits, F.col("near_path")), "any_path").alias("dest"))
     named = titles.select(F.col("path").alias("dest"), "title")
@@ -104,7 +122,7 @@ def decode_payload(text: Column, prefix: str = LINK_PREFIX) -> Column:
     return F.when(payload["kind"].isNotNull(), payload)
 
 
-def wikilink_replacements(links: DataFrame, titles: DataFrame, corpus: DataFrame) -> DataFrame:
+def wikilink_replacements(links: DataFrame, titles: DataFrame, corpus: DataFrame | LinkTargets) -> DataFrame:
     """``links(path, inner)`` to path, inner, display, replacement, payload (null for plain
     text) and warning (null, or its class)."""
     parsed = links.select("path", "inner").distinct().withColumn("p", parse_wikilink(F.col("inner")))
@@ -124,7 +142,7 @@ def wikilink_replacements(links: DataFrame, titles: DataFrame, corpus: DataFrame
     return rows.select("path", "inner", "display", F.coalesce(encode_payload(F.col("payload")), "display").alias("replacement"), "payload", "warning")
 
 
-def file_link_replacements(links: DataFrame, titles: DataFrame, corpus: DataFrame) -> DataFrame:
+def file_link_replacements(links: DataFrame, titles: DataFrame, corpus: DataFrame | LinkTargets) -> DataFrame:
     """Like ``wikilink_replacements`` for file links; what can't be linked is its label."""
     rows = links.select("path", "whole", "label", "page_name", "anchor").distinct()
     resolved = resolve_links(rows.select("path", F.col("page_name").alias("target")), titles, corpus)
@@ -136,7 +154,9 @@ def file_link_replacements(links: DataFrame, titles: DataFrame, corpus: DataFram
 
 
 def _rewritten(notes: DataFrame, replacements: DataFrame, key: str, pattern: str, mark: str, unmarked) -> DataFrame:
-    entries = replacements.groupBy("path").agg(F.map_from_entries(F.collect_list(F.struct(key, "replacement"))).alias("__map"))
+    # one entry for a key: where replacements repeat, the smallest counts
+    once = replacements.groupBy("path", key).agg(F.min("replacement").alias("replacement"))
+    entries = once.groupBy("path").agg(F.map_from_entries(F.collect_list(F.struct(key, "replacement"))).alias("__map"))
 
     def replaced(x: Column) -> Column:
         pieces = F.split(F.regexp_replace(F.replace(x, F.lit("\x02"), F.lit("")), pattern, mark), "\x02", -1)
@@ -166,7 +186,7 @@ def link_warnings(*replacements: DataFrame) -> DataFrame:
     return out
 
 
-def resolve_meta_refs(meta: DataFrame, titles: DataFrame, corpus: DataFrame, ids: DataFrame) -> DataFrame:
+def resolve_meta_refs(meta: DataFrame, titles: DataFrame, corpus: DataFrame | LinkTargets, ids: DataFrame) -> DataFrame:
     """``meta(path, ..., value)`` with text and link added: by note name if published, by
     frontmatter id, else humanised text. Aliases and headings count, block refs go."""
     plain = js_trim(strip_quotes(F.col("value")))
@@ -188,7 +208,3 @@ def resolve_meta_refs(meta: DataFrame, titles: DataFrame, corpus: DataFrame, ids
     text = F.coalesce(shown, humanize_ref(F.col("value")))
     return rows.withColumn("text", text).withColumn("link", link).drop("__display", "__target", "__anchor", "target", "title", "id_title")
 
-
-def corpus_stems(corpus: DataFrame) -> DataFrame:
-    """How many notes share a name: those with more than one are ambiguous targets."""
-    return corpus.select(F.lower(stem(F.col("path"))).alias("stem")).groupBy("stem").agg(F.count(F.lit(1)).alias("n"))

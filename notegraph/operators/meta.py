@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from notegraph.functions.text import METADATA_FENCE, humanize_ref, js_trim, slugify, strip_quotes, to_base64
-from notegraph.operators.links import resolve_meta_refs
+from notegraph.operators.links import LinkTargets, resolve_meta_refs
 
 # Frontmatter keys and their labels in display order. Relations link to notes.
 FIELDS = (
@@ -34,7 +34,7 @@ def _type_text() -> Column:
     return F.coalesce(text("type"), text("document_type"))
 
 
-def metadata_fields(notes: DataFrame, titles: DataFrame, corpus: DataFrame, ids: DataFrame) -> DataFrame:
+def metadata_fields(notes: DataFrame, titles: DataFrame, corpus: DataFrame | LinkTargets, ids: DataFrame) -> DataFrame:
     """path, label_ord, label, value_ord, text, link: the panel's values in order."""
     kind = F.array(_type_text().alias("x"))
     entries = [F.struct(F.lit(0).alias("label_ord"), F.lit("Type").alias("label"), F.lit(False).alias("relation"), F.when(_type_text().isNotNull(), kind).otherwise(F.array().cast("array<string>")).alias("values"))]

@@ -7,11 +7,11 @@ rule below is a join or an aggregation on (doc_id, node_path).
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from notegraph.functions.text import BLANK, LINK_PREFIX, MATH_BLOCK, MATH_INLINE, METADATA_FENCE, js_trim
+from notegraph.sources.scratch import saved
 
 _NODE = "type string, text string, attrs string, marks string, content string"
 
@@ -35,20 +35,24 @@ PANELS = {"info": ("info", "custom"), "note": ("note",), "warning": ("warning",
 def flatten_nodes(docs: DataFrame) -> DataFrame:
     """``docs(doc_id, json)`` to a row for each node: doc_id, node_path (positions from the
     root, which has none), parent_path, depth, type, text, attrs, marks, n_children.
-    Document order is the order of node_path. One step for each level of the deepest tree."""
+    Document order is the order of node_path. Each level of the deepest tree is a written
+    table that only its own nodes are in."""
     root = docs.select("doc_id", F.array().cast("array<int>").alias("node_path"), F.from_json("json", _NODE).alias("n")).where("n is not null")
-    level = root.persist(StorageLevel.MEMORY_AND_DISK)
+    level = saved(_parsed_level(root), "nodes")
     out = level
-    while True:
-        children = level.where("n.content is not null").select("doc_id", "node_path", F.posexplode(F.from_json("n.content", "array<string>")).alias("at", "json"))
-        level = children.select("doc_id", F.concat("node_path", F.array("at")).alias("node_path"), F.from_json("json", _NODE).alias("n")).persist(StorageLevel.MEMORY_AND_DISK)
-        if level.isEmpty():
-            break
+    while not level.where("n_children > 0").isEmpty():
+        children = level.where("n_children > 0").select("doc_id", "node_path", F.posexplode("children").alias("at", "json"))
+        level = saved(_parsed_level(children.select("doc_id", F.concat("node_path", F.array("at")).alias("node_path"), F.from_json("json", _NODE).alias("n"))), "nodes")
         out = out.unionByName(level)
     depth = F.size("node_path")
     parent = F.when(depth > 0, F.slice("node_path", 1, F.greatest(depth - 1, F.lit(0))))
-    n_children = F.coalesce(F.size(F.from_json("n.content", "array<string>")), F.lit(0))
-    return out.select("doc_id", "node_path", parent.alias("parent_path"), depth.alias("depth"), "n.type", "n.text", "n.attrs", "n.marks", F.greatest(n_children, F.lit(0)).alias("n_children"))
+    return out.select("doc_id", "node_path", parent.alias("parent_path"), depth.alias("depth"), "type", "text", "attrs", "marks", "n_children")
+
+
+def _parsed_level(rows: DataFrame) -> DataFrame:
+    children = F.from_json("n.content", "array<string>").alias("children")
+    rows = rows.select("doc_id", "node_path", "n.type", "n.text", "n.attrs", "n.marks", children)
+    return rows.withColumn("n_children", F.greatest(F.coalesce(F.size("children"), F.lit(0)), F.lit(0)))
 
 
 def attr(name: str) -> Column:
@@ -142,14 +146,22 @@ def table_cells(nodes: DataFrame) -> DataFrame:
     return cells.withColumn("col", before.cast("int")).join(cell_text(nodes), ["doc_id", "node_path"]).select("doc_id", "table_path", "row", "col", "text")
 
 
+# What a cell without a value says, in any case, beside nothing.
+PLACEHOLDERS = ("n/a", "na", "tbd", "tbc", "—", "–", "-", "--", "---", ".", "..", "...", "?", "✓", "✗", "✔", "✘", "x")
+# Signs before a number, and characters of a unit besides letters.
+SIGNS, UNIT_MARKS = "<>≤≥~±=", "%×°µ/"
+
+
 def is_placeholder(text: Column) -> Column:
-    return F.regexp_like(text, F.lit("(?iu)\\A(?:|n/?a|tbd|tbc|\u2014|\u2013|-{1,3}|\\.{1,3}|\\?|\u2713|\u2717|\u2714|\u2718|x)\\z"))
+    return (text == "") | F.lower(text).isin(*PLACEHOLDERS)
 
 
 def is_numeric(text: Column) -> Column:
-    unit = "( ?[a-zA-Z%\u00d7\u00b0\u00b5/]{1,6})?"
-    plain = js_trim(F.regexp_replace(text, f"\\A[<>\u2264\u2265~\u00b1={BLANK}]+", ""))
-    return F.regexp_like(plain, F.lit(f"\\A[0-9][0-9.,]*{unit}( ?[-\u2013\u2014] ?[0-9][0-9.,]*{unit})?\\z"))
+    """Signs, then a number, or a range of two with a dash between; each with a unit of at
+    most six characters or none. A number is a digit, then digits, commas and full stops."""
+    number = rf"[0-9][0-9.,]*(?: ?[a-zA-Z{UNIT_MARKS}]{{1,6}})?"
+    plain = js_trim(F.regexp_replace(text, rf"\A[{SIGNS}{BLANK}]+", ""))
+    return F.regexp_like(plain, F.lit(rf"\A{number}(?: ?[-–—] ?{number})?\z"))
 
 
 def numeric_columns(cells: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from notegraph.functions.text import DOT, bound, fence_parts, js_trim, strip_quotes
+from notegraph.sources.scratch import saved
 
 _HEADING = rf"(?:\A|(?<=\n))([\t ]*)#[\t ]+({DOT}+?)[\t ]*(?=\n|\z)"
 
@@ -31,11 +32,11 @@ def effective_title(notes: DataFrame, use_h1: bool = False) -> DataFrame:
 
 def dedup_titles(titles: DataFrame, on: bool = True) -> DataFrame:
     """Adds original_title; every member of a group of equal titles gets six digits of
-    its path's md5. The groups are counted first and joined back, so a title that a third
-    of all notes share is no single task's window."""
+    its path's md5. The groups are counted and written first: notes meet them in a join of
+    two plain exchanges, which AQE splits where a third of all notes share a title."""
     if not on:
         return titles.withColumn("original_title", F.col("title"))
-    shared = titles.groupBy("title").count().where("count > 1").select("title", F.lit(True).alias("shared"))
+    shared = saved(titles.groupBy("title").count().where("count > 1").select("title", F.lit(True).alias("shared")), "shared-titles")
     rows = titles.join(shared, "title", "left")
     renamed = F.concat("title", F.lit(" ("), F.substring(F.md5("path"), 1, 6), F.lit(")"))
     return rows.select("path", "ord", F.when(F.col("shared"), renamed).otherwise(F.col("title")).alias("title"), F.col("title").alias("original_title"))

@@ -79,15 +79,18 @@ def folder_titles(folders: DataFrame, taken: DataFrame) -> DataFrame:
     left = rows.where("must").select("folder_rel", "segments", "name")
     left = saved(left, "folder-round")
     depth = left.agg(F.max(F.size("segments"))).first()[0] or 0
+    exhausted = left.where(F.size("segments") < 2)
     for d in range(2, depth + 1):
-        candidate = F.when(F.size("segments") >= d, F.array_join(F.slice("segments", -d, d), " / "))
-        tried = left.withColumn("title", candidate).join(taken.select("title", F.lit(True).alias("taken")), "title", "left")
+        # folders without so long a suffix stand aside: they have no title to compare
+        candidate = F.array_join(F.slice("segments", -d, d), " / ")
+        tried = left.where(F.size("segments") >= d).withColumn("title", candidate).join(taken.select("title", F.lit(True).alias("taken")), "title", "left")
         first = F.min(F.struct(F.size("segments").alias("n"), F.col("folder_rel").alias("folder_rel"))).over(Window.partitionBy("title"))["folder_rel"]
-        won = F.col("title").isNotNull() & F.col("taken").isNull() & (first == F.col("folder_rel"))
+        won = F.col("taken").isNull() & (first == F.col("folder_rel"))
         tried = saved(tried.select("folder_rel", "segments", "name", "title", won.alias("won")), "folder-round")
         done = done.unionByName(tried.where("won").select("folder_rel", "title"))
         left = tried.where("not won").select("folder_rel", "segments", "name")
-    hashed = left.select("folder_rel", F.concat("name", F.lit(" ("), hash6(F.col("folder_rel")), F.lit(")")).alias("base"), F.size("segments").alias("n"))
+        exhausted = exhausted.unionByName(left.where(F.size("segments") == d))
+    hashed = exhausted.select("folder_rel", F.concat("name", F.lit(" ("), hash6(F.col("folder_rel")), F.lit(")")).alias("base"), F.size("segments").alias("n"))
     # note titles that are the hash form, or that with underscores, push it further
     blocked = taken.where(F.regexp_like("title", F.lit(r" \([0-9a-f]{6}\)_*\z"))).select(F.regexp_replace("title", r"_+\z", "").alias("base"), (F.length("title") - F.length(F.regexp_replace("title", r"_+\z", ""))).alias("k"))
     gone = blocked.groupBy("base").agg(F.collect_set("k").alias("gone"))
@@ -126,15 +129,19 @@ def _parent(rel: Column) -> Column:
     return F.concat(F.lit("d:"), rel)
 
 
-def touched_folders(batch: DataFrame) -> DataFrame:
-    """All folders above a batch's notes."""
-    return derive_folders(batch).select("folder_rel")
+def touched_folders(files: DataFrame) -> DataFrame:
+    """``files(batch, folder_rel)`` to batch, folder_rel: all folders above a batch's notes,
+    for every batch."""
+    parts = files.select("batch", "folder_rel").distinct().where("folder_rel <> ''").select("batch", path_segments(F.col("folder_rel")).alias("p"))
+    above = F.transform(F.sequence(F.lit(1), F.size("p")), lambda i: F.array_join(F.slice("p", 1, i), "/"))
+    return parts.select("batch", F.explode(above).alias("folder_rel")).distinct()
 
 
-def missing_landings(batch: DataFrame, landings: DataFrame) -> DataFrame:
-    """Landing notes of touched folders that are not in the batch."""
-    touched = landings.join(touched_folders(batch), "folder_rel", "left_semi")
-    return touched.select("folder_rel", "path").join(batch.select("path"), "path", "left_anti")
+def missing_landings(files: DataFrame, landings: DataFrame) -> DataFrame:
+    """batch, folder_rel, path: landing notes of the folders that a batch touches, where
+    they are not in the batch, for every batch of ``files(batch, path, folder_rel)``."""
+    touched = touched_folders(files).join(landings.select("folder_rel", "path"), "folder_rel")
+    return touched.select("batch", "folder_rel", "path").join(files.select("batch", "path"), ["batch", "path"], "left_anti").select("batch", "folder_rel", "path")
 
 
 def ancestor_chain(tree: DataFrame) -> DataFrame:

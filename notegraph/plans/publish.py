@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cached_property
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -17,18 +17,23 @@ from notegraph.sources.scratch import saved
 
 @dataclass
 class Context:
-    """What holds for the whole corpus, whatever part of it is published. All but ``notes``
-    and ``ids`` are written tables without note texts."""
+    """What holds for the whole corpus, whatever part of it is published. All but ``notes``,
+    ``folders`` and ``ids`` are written tables without note texts."""
 
     notes: DataFrame  # publishable, with content, fm and fm_kind
+    corpus: DataFrame  # path of all notes
     meta: DataFrame  # path, ord, fm, fm_kind of publishable notes
-    files: DataFrame
+    files: DataFrame  # path, ord, rel_path, folder_rel
     folders: DataFrame
     landings: DataFrame
     folder_titles: DataFrame
     titles: DataFrame  # path, title, page_title, folder_title, original_title
     ids: DataFrame
-    corpus: DataFrame  # paths of all notes
+
+    @cached_property
+    def targets(self) -> links.LinkTargets:
+        """What links may mean; written when first asked for."""
+        return links.link_targets(self.corpus)
 
 
 def publish_context(notes: DataFrame, cfg: PlanConfig) -> Context:
@@ -37,15 +42,17 @@ def publish_context(notes: DataFrame, cfg: PlanConfig) -> Context:
     parsed = parse_frontmatter(split_frontmatter(notes)).select("path", "ord", "fm", "fm_kind", h1.alias("h1"))
     about = saved(filters.publishable(parsed, cfg.folder, cfg.publish_key), "notes-meta")
     own = about.select("path", "ord", F.coalesce("h1", titles.stem(F.col("path"))).alias("title"))
-    named = saved(titles.dedup_titles(own, cfg.deduplicate_titles), "titles")
-    files = saved(tree.folder_of_file(named), "files")
-    folders, landings = saved(tree.derive_folders(files), "folders"), saved(tree.landing_notes(files), "landings")
+    places = tree.folder_of_file(about).drop("ord")
+    named = saved(titles.dedup_titles(own, cfg.deduplicate_titles).join(places, "path"), "titles")
+    files = named.select("path", "ord", "rel_path", "folder_rel")
+    named = named.drop("rel_path", "folder_rel")
+    folders, landings = tree.derive_folders(files), saved(tree.landing_notes(files), "landings")
     if not cfg.preserve_folders:
         folders, landings = folders.limit(0), landings.limit(0)
     folder_names = saved(tree.folder_titles(folders, named), "folder-titles")
     final = saved(titles.publish_titles(named, landings, folder_names), "final-titles")
     chosen = notes.join(about.select("path", "fm", "fm_kind"), "path")
-    return Context(chosen, about, files, folders, landings, folder_names, final, titles.id_index(about, final, landings), notes.select("path"))
+    return Context(chosen, notes.select("path"), about, files, folders, landings, folder_names, final, titles.id_index(about, final, landings))
 
 
 def render_notes(ctx: Context, cfg: PlanConfig, only: DataFrame | None = None) -> DataFrame:
@@ -59,15 +66,15 @@ def render_notes(ctx: Context, cfg: PlanConfig, only: DataFrame | None = None) -
         renamed = F.col("page_title") != F.col("original_title")
         rows = rows.withColumn("content", F.when(renamed, titles.rewrite_h1(F.col("content"), F.col("page_title"))).otherwise(F.col("content")))
     if cfg.metadata_panel:
-        panel = meta.metadata_block(meta.metadata_fields(ctx.meta, ctx.titles, ctx.corpus, ctx.ids))
+        panel = meta.metadata_block(meta.metadata_fields(ctx.meta, ctx.titles, ctx.targets, ctx.ids))
         rows = rows.join(panel, "path", "left")
         rows = rows.withColumn("content", F.when(F.col("block").isNull(), F.col("content")).otherwise(insert_after_frontmatter(F.col("content"), F.col("block")))).drop("block")
     rows = meta.project_labels(rows, cfg.label_fields, cfg.labels_from_taxonomy)
     rows = rows.select("path", "ord", "title", "page_title", "folder_title", "tags", strip_comments(F.col("content")).alias("content"))
-    rows = rows.persist(StorageLevel.MEMORY_AND_DISK)  # links are found in it and replaced in it
-    found = links.wikilink_replacements(links.extract_wikilinks(rows), ctx.titles, ctx.corpus)
+    rows = saved(rows, "stripped-notes")  # links are found in it and replaced in it
+    found = links.wikilink_replacements(links.extract_wikilinks(rows), ctx.titles, ctx.targets)
     rows = links.rewrite_wikilinks(rows, found)
-    found = links.file_link_replacements(links.extract_file_links(rows), ctx.titles, ctx.corpus)
+    found = links.file_link_replacements(links.extract_file_links(rows), ctx.titles, ctx.targets)
     rows = links.rewrite_file_links(rows, found)
     return rows.withColumn("content", rewrite_math(escape_table_gt(F.col("content"))))
 
@@ -82,7 +89,7 @@ def plan_publish(notes: DataFrame, ledger: DataFrame, cfg: PlanConfig = PlanConf
     digest = state.publish_hash(F.col("page_title"), F.col("folder_title"), F.col("content"), F.col("tags"), cfg.quality)
     hashes = rendered.select("path", "ord", "title", digest.alias("hash"))
     marked = state.skip_unchanged(hashes, ledger, full=only is None, on=cfg.skip_unchanged, force=cfg.force)
-    marked = marked.persist(StorageLevel.MEMORY_AND_DISK)  # texts are rendered once for both parts
+    marked = saved(marked, "marked-notes")  # texts are rendered once for both parts
     batched = state.assign_batches(marked.where("action = 'publish'"), cfg.batch_size)
     rest = marked.where("action = 'skip'").withColumn("batch", F.lit(None).cast("long"))
     return batched.unionByName(rest).select("path", "title", "hash", "page_id", "action", "batch")

@@ -9,10 +9,11 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from notegraph.functions.text import bound, js_trim, normalize_newlines
+from notegraph.sources.scratch import saved
 
 LEDGER = "path string, page_id string, hash string"
 
@@ -35,29 +36,37 @@ def _relative(root: str) -> Column:
     return F.substring(decoded, F.locate(plain + "/", decoded) + len(plain) + 1, F.length(decoded))
 
 
-def scan_notes(spark: SparkSession, root: str) -> DataFrame:
-    """All ``.md`` files below ``root``: path, content, ord (by path: a stable number that
-    makes "first wins" rules deterministic without a global sort)."""
-    files = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.md").text(root, wholetext=True)
-    return files.select(_relative(root).alias("path"), F.col("value").alias("content")).withColumn("ord", F.dense_rank().over(_by("path")).cast("long"))
+def scan_notes(spark: SparkSession, root: str, glob: str = "*.md") -> DataFrame:
+    """All files below ``root`` whose name fits ``glob``: path, content, ord, the file's rank by path, which
+    makes "first wins" rules deterministic. Paths alone, without contents, are sorted in
+    ranges and numbered, and the numbers written; contents meet them by path."""
+    read = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", glob)
+    listed = read.format("binaryFile").load(root).select(_relative(root).alias("path"))  # reads no contents
+    ranges = listed.repartitionByRange("path").sortWithinPartitions("path")
+    places = saved(ranges.select("path", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("at")), "note-paths")
+    # a row for each range: what stands before it
+    sizes = places.groupBy("part").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("n"))
+    before = sizes.select("part", "first", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))
+    numbered = places.join(F.broadcast(before), "part").select("path", (F.col("before") + F.col("at") - F.col("first")).alias("ord"))
+    files = read.text(root, wholetext=True).select(_relative(root).alias("path"), F.col("value").alias("content"))
+    return files.join(numbered, "path").select("path", "content", "ord")
 
 
-def _by(column: str):
-    from pyspark.sql import Window
+def _any_case(extension: str) -> str:
+    return "".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in extension)
 
-    return Window.orderBy(column)
 
-
-def scan_attachments(spark: SparkSession, root: str) -> DataFrame:
-    """Image files below ``root``: path, name, mime_type, length, contents."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+def scan_attachments(spark: SparkSession, root: str, types: dict[str, str] = MIME_TYPES) -> DataFrame:
+    """Files below ``root`` with one of the extensions of ``types``, by default images:
+    path, name, mime_type, length, contents. Only such files, in any case, are opened."""
+    names = "*.{" + ",".join(_any_case(x) for x in types) + "}"
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", names).load(root)
     extension = F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1))
-    known = F.create_map(*[F.lit(x) for pair in MIME_TYPES.items() for x in pair])
-    rows = files.withColumn("extension", extension).where(F.col("extension").isin(*MIME_TYPES))
-    return rows.select(
+    known = F.create_map(*[F.lit(x) for pair in types.items() for x in pair])
+    return files.select(
         _relative(root).alias("path"),
         F.regexp_extract("path", "[^/]+$", 0).alias("name"),
-        F.coalesce(known[F.col("extension")], F.lit("application/octet-stream")).alias("mime_type"),
+        F.coalesce(known[extension], F.lit("application/octet-stream")).alias("mime_type"),
         "length",
         F.col("content").alias("contents"),
     )
@@ -170,25 +179,43 @@ def normalize_attachments(df: DataFrame) -> DataFrame:
     )
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    place = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
+def _versions(spark: SparkSession, folder: str) -> list[str]:
+    """Complete versions in ``folder``, oldest first: those whose last file, the writer's
+    mark of success, is there."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    store = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not store.exists(place):
+        return []
+    names = [x.getPath().getName() for x in store.listStatus(place) if x.isDirectory()]
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    return sorted(x for x in names if x.startswith("v-") and store.exists(path(f"{folder}/{x}/_SUCCESS")))
+
+
+def _number(version: str) -> int:
+    return int(version.split("-")[1])
 
 
-def read_ledger(spark: SparkSession, folder: str) -> DataFrame:
-    """The current version of the ledger; a missing one is empty."""
-    if not _exists(spark, f"{folder}/current"):
-        return spark.createDataFrame([], LEDGER)
-    version = spark.read.text(f"{folder}/current").first()[0]
-    return spark.read.schema(LEDGER).parquet(f"{folder}/{version}")
+def read_ledger(spark: SparkSession, folder: str, before: int | None = None) -> DataFrame:
+    """The newest complete version of the ledger, of those numbered under ``before`` if it
+    is given; a missing one is empty."""
+    versions = [x for x in _versions(spark, folder) if before is None or _number(x) < before]
+    return spark.read.schema(LEDGER).parquet(f"{folder}/{versions[-1]}") if versions else spark.createDataFrame([], LEDGER)
 
 
-def write_ledger(ledger: DataFrame, folder: str) -> None:
-    """Write a new version, then point to it: a reader sees the old ledger or the new."""
+def write_ledger(ledger: DataFrame, folder: str, keep: int = 2, number: int | None = None) -> None:
+    """Write the next version, or the one of a ``number``. Nothing that a reader may be reading is touched: it sees
+    the old ledger until the new one is complete. Of complete versions the newest ``keep``
+    numbers stay, so a reader that has begun with the last one can end, and what wrote a number
+    can write it again from the one before."""
     spark = ledger.sparkSession
-    version = f"v-{uuid.uuid4().hex}"
-    ledger.select("path", "page_id", "hash").write.parquet(f"{folder}/{version}")
-    spark.createDataFrame([(version,)], "value string").coalesce(1).write.mode("overwrite").text(f"{folder}/current")
+    if number is None:
+        number = max(map(_number, _versions(spark, folder)), default=-1) + 1
+    ledger.select("path", "page_id", "hash").write.parquet(f"{folder}/v-{number:012d}-{uuid.uuid4().hex}")
+    versions = _versions(spark, folder)
+    newest = sorted(set(map(_number, versions)))[-keep:]
+    for old in (x for x in versions if _number(x) not in newest):
+        place = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{old}")
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def reset_ledger(spark: SparkSession, folder: str) -> None:
@@ -196,5 +223,7 @@ def reset_ledger(spark: SparkSession, folder: str) -> None:
 
 
 def write_publish_plan(plan: DataFrame, folder: str) -> None:
-    """One row for each page, a folder for each batch."""
-    plan.repartition("batch").write.mode("overwrite").partitionBy("batch").parquet(folder)
+    """One row for each page, a folder for each batch. Pages without a batch, which may be
+    most, are spread over tasks by path."""
+    spread = F.when(F.col("batch").isNull(), F.xxhash64("path"))
+    plan.repartition("batch", spread).write.mode("overwrite").partitionBy("batch").parquet(folder)

@@ -1,9 +1,10 @@
 """Revisions of notes as a stream.
 
 ``publish_stream`` plans each micro-batch against the ledger that the last one left. All
-it keeps is in one folder: the newest revision of each note, the ledger, and the plans, each
-written under the batch's number, so a batch that is run again overwrites what it had
-written and reads what the batch before had left.
+it keeps is in one folder: the revisions, each batch's own ones and never written again; the
+ledger, of which two versions stay; and the plans. All of it is written under the batch's
+number, so a batch that is run again overwrites what it had written and reads what the
+batch before had left.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
@@ -19,7 +20,7 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 from notegraph.config import PlanConfig
 from notegraph.operators.state import upsert_ledger
 from notegraph.plans.publish import plan_publish
-from notegraph.sources.notes import LEDGER
+from notegraph.sources.notes import read_ledger, write_ledger
 
 _CORPUS = "path string, content string, ord long, rev long"
 
@@ -30,27 +31,20 @@ def newest(revisions: DataFrame) -> DataFrame:
     return revisions.groupBy("path").agg(best).select("path", "r.*")
 
 
-def _before(spark: SparkSession, folder: str, kind: str, batch_id: int, schema: str) -> DataFrame:
-    """What the batch before has left; batches are numbered without gaps."""
-    if batch_id == 0:
-        return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).parquet(f"{folder}/{kind}/{batch_id - 1}")
-
-
 def apply_batch(revisions: DataFrame, batch_id: int, folder: str, cfg: PlanConfig) -> None:
-    """Plan one batch of ``revisions(path, content, ord, rev)`` and move the state on.
-    Pages get the id they had, or their path's hash; every planned page counts as
-    published."""
+    """Plan the corpus after one batch of ``revisions(path, content, ord, rev)`` and move the
+    state on. A title or a link may change with any note, so all notes are planned; what the
+    batch writes are its revisions, the plan and the ledger, which hold no other texts. Pages
+    get the id they had, or their path's hash; every planned page counts as published."""
     spark = revisions.sparkSession
-    corpus = newest(_before(spark, folder, "corpus", batch_id, _CORPUS).unionByName(revisions.select("path", "content", "ord", "rev")))
-    corpus.write.mode("overwrite").parquet(f"{folder}/corpus/{batch_id}")
-    notes = spark.read.schema(_CORPUS).parquet(f"{folder}/corpus/{batch_id}").select("path", "content", "ord")
-    ledger = _before(spark, folder, "ledger", batch_id, LEDGER)
-    plan_publish(notes, ledger, cfg).write.mode("overwrite").parquet(f"{folder}/plan/{batch_id}")
+    revisions.select("path", "content", "ord", "rev").write.mode("overwrite").parquet(f"{folder}/log/batch={batch_id}")
+    log = spark.read.schema(f"{_CORPUS}, batch long").parquet(f"{folder}/log").where(F.col("batch") <= batch_id)
+    ledger = read_ledger(spark, f"{folder}/ledger", before=batch_id)
+    plan_publish(newest(log).select("path", "content", "ord"), ledger, cfg).write.mode("overwrite").parquet(f"{folder}/plan/{batch_id}")
     plan = spark.read.parquet(f"{folder}/plan/{batch_id}").where("action = 'publish'")
     page_id = F.coalesce(F.nullif("page_id", F.lit("")), F.conv(F.substring(F.md5("path"), 1, 12), 16, 10))
     results = plan.select("path", F.lit(True).alias("ok"), page_id.alias("page_id"))
-    upsert_ledger(ledger, results, plan.select("path", "hash")).write.mode("overwrite").parquet(f"{folder}/ledger/{batch_id}")
+    write_ledger(upsert_ledger(ledger, results, plan.select("path", "hash")), f"{folder}/ledger", number=batch_id)
 
 
 def publish_stream(revisions: DataFrame, folder: str, cfg: PlanConfig = PlanConfig()) -> StreamingQuery:
