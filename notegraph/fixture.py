@@ -16,11 +16,21 @@ HEADING = "CASE WHEN doc_id % 3 = 0 THEN concat('# Heading ', CAST(doc_id % 50 A
 FRONTMATTER = """concat('id: kb:doc-', CAST(doc_id AS STRING), chr(10),
     'type: ', CASE WHEN quality = 1 THEN 'Reference Note' ELSE 'kb:draft_note' END, chr(10),
     'subject: [', lang, ', Risk & ', source, ']',
+    CASE doc_id % 5
+      WHEN 0 THEN concat(chr(10), 'parent: topic_3#Top|third', chr(10), 'references: [kb:doc-', CAST(doc_id AS STRING), ', Some_thing--else]')
+      WHEN 1 THEN concat(chr(10), 'status: "in_review"', chr(10), 'domain:', chr(10), '  - kb:data_flow', chr(10), '  - "Risk"')
+      WHEN 2 THEN concat(chr(10), 'tags: [draft, 42, topic/', lang, ']') ELSE '' END,
     CASE WHEN toxic = 1 THEN concat(chr(10), 'publish: false') ELSE '' END)"""
 TAIL = """concat('```', chr(10), '[[not_a_link]]', chr(10), '```', chr(10),
     'Mass $E=mc^2$ costs $5 and $6. ==hi== `==code==`', chr(10),
     '| k | v |', chr(10), '| --- | --- |', chr(10),
     '| a | >= ', CAST(doc_id % 10 AS STRING), ' |', chr(10))"""
+#: What only some notes end with: block math and a highlight without an end; a fence
+#: without an end; block references, anchors and a comment over two lines.
+EXTRA = """CASE doc_id % 4
+    WHEN 1 THEN concat('Block $$a^2 + ', CAST(doc_id % 10 AS STRING), '$$ end ==one== ==two', chr(10))
+    WHEN 2 THEN concat('~~~', chr(10), 'open [[not_a_link_2]] $y$ ==z== | > |', chr(10))
+    WHEN 3 THEN concat('Refs [[topic_3#^blk]] [[#Part]] [[#^b1]] [[topic_3#Sec|sec]] %%gone', chr(10), 'two%%.', chr(10)) ELSE '' END"""
 
 CORPUS = f"""
 SELECT doc_id, source, lang, rn, quality, toxic, doc_id AS ord,
@@ -29,7 +39,7 @@ SELECT doc_id, source, lang, rn, quality, toxic, doc_id AS ord,
          ELSE concat('topic_', CAST(rn AS STRING)) END, '.md') AS path,
   concat('---', chr(10), {FRONTMATTER}, chr(10), '---', chr(10), {HEADING}, {PROSE}, chr(10),
     'See [[topic_', CAST(rn + 1 AS STRING), '|next]] and [[Ghost_', CAST(doc_id AS STRING), '#Part]].', chr(10),
-    '[up](../', lang, '/README.md#Top) %%hidden [[topic_3]]%%', chr(10), {TAIL}) AS content,
+    '[up](../', lang, '/README.md#Top) %%hidden [[topic_3]]%%', chr(10), {TAIL}, {EXTRA}) AS content,
   text
 FROM n"""
 
@@ -64,6 +74,16 @@ SELECT doc_id, concat('{"type":"doc","content":[',
   '{"type":"codeBlock","attrs":{"language":"', CASE WHEN doc_id % 2 = 0 THEN 'latex-math-block' ELSE 'sql' END, '"},"content":[{"type":"text","text":"x = ', CAST(doc_id AS STRING), '"}]},',
   '{"type":"mediaSingle","content":[{"type":"media","attrs":{"id":"att', CAST(doc_id AS STRING), '","type":"file"}}]},',
   '{"type":"inlineExtension","attrs":{"extensionKey":"pagetree","parameters":{"macroParams":{"root":{"value":"@self"},"searchBox":{"value":"true"}}}}},',
+  CASE doc_id % 4
+    WHEN 1 THEN concat('{"type":"table","content":[{"type":"tableRow","content":[{"type":"tableHeader","attrs":{"colspan":2},"content":[{"type":"text","text":"span"}]},{"type":"tableHeader","content":[{"type":"text","text":"n"}]}]},',
+      '{"type":"tableRow","content":[{"type":"tableCell","content":[{"type":"text","text":"x"}]},{"type":"tableCell","content":[{"type":"text","text":"1"}]},{"type":"tableCell","content":[{"type":"text","text":"5"}]}]},',
+      '{"type":"tableRow","content":[{"type":"tableCell","attrs":{"colspan":2},"content":[{"type":"text","text":"tbd"}]},{"type":"tableCell","content":[{"type":"text","text":"6 kg"}]}]}]},')
+    WHEN 2 THEN concat('{"type":"paragraph","content":[{"type":"inlineCard","attrs":{"url":"https://x/', CAST(doc_id AS STRING), '"}},{"type":"emoji","attrs":{"shortName":":a:","text":"A"}},{"type":"status","attrs":{"text":"Ready"}}]},',
+      '{"type":"mediaSingle","content":[{"type":"media","attrs":{"type":"external","url":"https://m/', CAST(doc_id AS STRING), '.png"}}]},',
+      '{"type":"mediaSingle","content":[{"type":"media","attrs":{"type":"file","id":"zz","alt":"shot.png"}}]},')
+    WHEN 3 THEN concat('{"type":"panel","attrs":{"panelType":"note"},"content":[{"type":"paragraph","content":[{"type":"text","text":"[!NOTE] Outer"}]},',
+      '{"type":"panel","attrs":{"panelType":"warning"},"content":[{"type":"paragraph","content":[{"type":"text","text":"inner only"}]}]}]},')
+    ELSE '' END,
   '{"type":"unknownThing"}]}') AS json
 FROM notes"""
 

@@ -6,7 +6,7 @@ a note was built of, not by running the same pattern.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -69,25 +69,80 @@ fin AS (SELECT tt.*, CASE WHEN d.path IS NOT NULL THEN ft.title END AS folder_ti
 wl AS (SELECT n.doc_id, n.path, coalesce(s.path, g.path) AS dest FROM t0 n
   LEFT JOIN t0 s ON s.source = n.source AND s.lang = n.lang AND s.rn = n.rn + 1 AND s.rn >= 3
   LEFT JOIN (SELECT stem, min(path) AS path FROM t0 WHERE rn >= 3 GROUP BY stem) g ON g.stem = concat('topic_', n.rn + 1)),
+t3 AS (SELECT n.doc_id, n.path, coalesce(s.path, g.path) AS dest FROM t0 n LEFT JOIN t0 s ON s.source = n.source AND s.lang = n.lang AND s.rn = 3
+  LEFT JOIN (SELECT min(path) AS path FROM t0 WHERE rn = 3) g ON true),
 rl AS (SELECT n.doc_id, n.path, r.path AS dest FROM t0 n JOIN t0 r ON r.source = n.source AND r.lang = n.lang AND r.rn = 1)
 """
 
+
+def _code(title: str | None, anchor: str | None, display: str, kind: str = "page") -> str:
+    """SQL of a link's inline code; title is a column, anchor and display are texts."""
+    parts = [f"'{{{{\"kind\":\"{kind}\"'"]
+    if title:
+        parts.append(f"',\"title\":\"', {title}, '\"'")
+    if anchor:
+        parts.append(f"',\"anchor\":\"{anchor}\"'")
+    parts.append(f"',\"display\":\"{display}\"}}}}'")
+    return f"concat('`{text.LINK_PREFIX}', base64(encode(concat({', '.join(parts)}))), '`')".replace("{{", "{").replace("}}", "}")
+
+
+def _linked(title: str, anchor: str | None, display: str) -> str:
+    """The code where the title is known, else the plain text."""
+    return f"CASE WHEN {title} IS NULL THEN '{display}' ELSE {_code(title, anchor, display)} END"
+
+
+#: A note's lines with links, and what its extra ends with, as the passes leave them.
+_SEE = f"""concat('See ', {_linked('w.title', None, 'next')}, ' and Ghost_', doc_id, ' > Part.', chr(10))"""
+_REFS = f"""concat('Refs ', {_linked('t.title', None, 'topic_3')}, ' ', {_code(None, 'Part', 'Part', 'anchor')}, ' #^b1 ', {_linked('t.title', 'Sec', 'sec')}, ' .', chr(10))"""
+_UP = f"concat({_linked('r.title', 'Top', 'up')}, ' ', chr(10))"
+_HEAD = f"'---', chr(10), {fixture.FRONTMATTER}, chr(10), '---', chr(10), {fixture.HEADING}, {fixture.PROSE}, chr(10)"
+_DESTS = """(SELECT t0.*, wl.dest AS wdest, rl.dest AS rdest, t3.dest AS tdest FROM t0 JOIN wl USING (doc_id) JOIN t3 USING (doc_id) LEFT JOIN rl USING (doc_id)) p
+  LEFT JOIN (SELECT path AS wpath, title FROM fin) w ON w.wpath = p.wdest
+  LEFT JOIN (SELECT path AS rpath, title FROM fin) r ON r.rpath = p.rdest
+  LEFT JOIN (SELECT path AS tpath, title FROM fin) t ON t.tpath = p.tdest"""
+
 _CLEAN = _TITLES + f""",
-cl AS (SELECT p.*, concat('---', chr(10), {fixture.FRONTMATTER}, chr(10), '---', chr(10), {fixture.HEADING}, {fixture.PROSE}, chr(10), 'See ',
-    CASE WHEN w.title IS NULL THEN 'next' ELSE concat('`{text.LINK_PREFIX}', base64(encode(concat('{{"kind":"page","title":"', w.title, '","display":"next"}}'))), '`') END,
-    ' and Ghost_', doc_id, ' > Part.', chr(10),
-    CASE WHEN r.title IS NULL THEN 'up' ELSE concat('`{text.LINK_PREFIX}', base64(encode(concat('{{"kind":"page","title":"', r.title, '","anchor":"Top","display":"up"}}'))), '`') END, ' ', chr(10),
+cl AS (SELECT fin.*, CASE doc_id % 5 WHEN 2 THEN concat(' tags=draft,topic/', lang) ELSE '' END AS own_tags, concat({_HEAD}, {_SEE}, {_UP},
     '```', chr(10), '[[not_a_link]]', chr(10), '```', chr(10), 'Mass `{text.MATH_INLINE}E=mc^2` costs $5 and $6. ==hi== `==code==`', chr(10),
-    '| k | v |', chr(10), '| --- | --- |', chr(10), '| a | \\>= ', doc_id % 10, ' |', chr(10)) AS clean
-  FROM (SELECT fin.*, wl.dest AS wdest, rl.dest AS rdest FROM fin JOIN wl USING (doc_id) LEFT JOIN rl USING (doc_id)) p
+    '| k | v |', chr(10), '| --- | --- |', chr(10), '| a | \\>= ', doc_id % 10, ' |', chr(10),
+    CASE doc_id % 4 WHEN 1 THEN concat('Block ', chr(10), chr(10), '```{text.MATH_BLOCK}', chr(10), 'a^2 + ', doc_id % 10, chr(10), '```', chr(10), chr(10), ' end ==one== ==two', chr(10))
+      WHEN 2 THEN {fixture.EXTRA} WHEN 3 THEN {_REFS} ELSE '' END) AS clean
+  FROM fin JOIN (SELECT p.doc_id AS pid, p.wdest, p.rdest, p.tdest FROM (SELECT wl.doc_id, wl.dest AS wdest, rl.dest AS rdest, t3.dest AS tdest FROM wl JOIN t3 USING (doc_id) LEFT JOIN rl USING (doc_id)) p) p ON p.pid = fin.doc_id
   LEFT JOIN (SELECT path AS wpath, title FROM fin) w ON w.wpath = p.wdest
-  LEFT JOIN (SELECT path AS rpath, title FROM fin) r ON r.rpath = p.rdest)
+  LEFT JOIN (SELECT path AS rpath, title FROM fin) r ON r.rpath = p.rdest
+  LEFT JOIN (SELECT path AS tpath, title FROM fin) t ON t.tpath = p.tdest)
 """
 
 
 # --- sources -----------------------------------------------------------------------------
 
 
+def _as_files(spark: SparkSession, d: str) -> str:
+    """The notes as a file each, in a folder named by its path; the writer ends each with a
+    line break and names it ``.txt``."""
+    folder = scratch(spark, "files")
+    _slim(spark, d).select(F.col("content").alias("value"), "path").write.partitionBy("path").text(folder)
+    return folder
+
+
+#: How such a folder's name spells a note's path.
+_FOLDER = "replace(path, '/', '%2F')"
+
+
+@query("s1_scan_notes", f"SELECT path, row_number() OVER (ORDER BY {_FOLDER}) - 1 AS ord, md5(concat(content, chr(10))) AS digest FROM notes")
+def _(spark, d):
+    rows = sources.scan_notes(spark, _as_files(spark, d), "*.txt")
+    path = text.url_decode(F.regexp_extract("path", "^path=([^/]*)/", 1))
+    return rows.select(path.alias("path"), "ord", F.md5("content").alias("digest"))
+
+
+@query("s6_scan_attachments", "SELECT path, 'text/plain' AS mime_type, octet_length(encode(content)) + 1 AS length, md5(concat(content, chr(10))) AS digest FROM notes")
+def _(spark, d):
+    rows = sources.scan_attachments(spark, _as_files(spark, d), {"txt": "text/plain"})
+    path = text.url_decode(F.regexp_extract("path", "^path=([^/]*)/", 1))
+    return rows.select(path.alias("path"), "mime_type", "length", F.md5("contents").alias("digest"))
+
+
 @query("s2_normalize_newlines", "SELECT path, md5(content) AS digest FROM notes")
 def _(spark, d):
     windows = _slim(spark, d).withColumn("content", F.replace("content", F.lit("\n"), F.lit("\r\n")))
@@ -123,13 +178,6 @@ def _(spark, d):
     return sources.read_ledger(spark, folder)
 
 
-@query("s8_write_publish_plan")
-def _(spark, d):
-    folder = scratch(spark, "plan")
-    sources.write_publish_plan(publish.plan_publish(_slim(spark, d), fixture.read(spark, d, "ledger"), CFG), folder)
-    return spark.read.parquet(folder)
-
-
 @query("s9_patch_frontmatter", "SELECT path, concat('kb:doc-', doc_id) AS id, CASE WHEN doc_id % 4 = 0 THEN 'patched' ELSE CASE WHEN quality = 1 THEN 'Reference Note' ELSE 'kb:draft_note' END END AS type, CASE WHEN doc_id % 4 = 0 THEN 'x' END AS extra FROM notes")
 def _(spark, d):
     patches = _notes(spark, d).where("doc_id % 4 = 0").selectExpr("path", "map('type', array('patched'), 'extra', array('x')) AS patch", "map('type', 'string', 'extra', 'string') AS patch_kind")
@@ -140,13 +188,11 @@ def _(spark, d):
 
 @query(
     "s10_set_publish_flag",
-    """SELECT path, CASE WHEN doc_id % 6 = 0 THEN CASE WHEN source < 'src5' THEN 'false' END WHEN toxic = 1 THEN 'false' END AS off_flag,
-    CASE WHEN doc_id % 6 = 0 THEN CASE WHEN source < 'src5' AND source = 'src0' THEN NULL ELSE 'true' END WHEN toxic = 1 THEN 'false' END AS on_flag
-    FROM notes WHERE source = 'src0' OR source >= 'src5'""",
+    """SELECT path, CASE WHEN doc_id % 6 = 0 THEN CASE WHEN source = 'src0' THEN 'false' END WHEN toxic = 1 THEN 'false' END AS off_flag,
+    CASE WHEN doc_id % 6 = 0 THEN CASE WHEN source = 'src0' THEN NULL ELSE 'true' END WHEN toxic = 1 THEN 'false' END AS on_flag FROM notes""",
 )
 def _(spark, d):
-    rows = _parsed(spark, d).where("path LIKE 'vault/src0/%' OR path >= 'vault/src5'")
-    chosen = _notes(spark, d).where("doc_id % 6 = 0").select("path")
+    rows, chosen = _parsed(spark, d), _notes(spark, d).where("doc_id % 6 = 0").select("path")
     flag = F.try_element_at(F.try_element_at("fm", F.lit("publish")), F.lit(1))
     off = sources.set_publish_flag(rows, chosen, False, "vault/src0/").select("path", flag.alias("off_flag"))
     return off.join(sources.set_publish_flag(rows, chosen, True, "vault/src0/").select("path", flag.alias("on_flag")), "path")
@@ -194,15 +240,21 @@ def _(spark, d):
 # --- text --------------------------------------------------------------------------------
 
 
-@query("t1_segment", "SELECT path, 7 AS n_parts, concat('```', chr(10), '[[not_a_link]]', chr(10), '```', chr(10)) AS fence, '`==code==`' AS code, md5(content) AS digest FROM notes")
+@query("t1_segment", "SELECT path, CASE WHEN doc_id % 4 = 2 THEN 7 ELSE 5 END AS n_parts, concat('```', chr(10), '[[not_a_link]]', chr(10), '```', chr(10)) AS fence, '`==code==`' AS code, CASE WHEN doc_id % 4 = 2 THEN concat('~~~', chr(10), 'open [[not_a_link_2]] $y$ ==z== | > |', chr(10)) END AS open_fence, md5(content) AS digest FROM notes")
 def _(spark, d):
     parts = _slim(spark, d).select("path", text.segment(F.col("content")).alias("s"))
-    return parts.select("path", F.size("s").alias("n_all"), F.col("s")[1].alias("fence"), F.col("s")[3].alias("code"), F.md5(F.array_join("s", "")).alias("digest")).select(
-        "path", (F.col("n_all") + 2).alias("n_parts"), "fence", "code", "digest"
-    )
+    return parts.select("path", F.size("s").alias("n_parts"), F.col("s")[1].alias("fence"), F.col("s")[3].alias("code"), F.get("s", F.lit(5)).alias("open_fence"), F.md5(F.array_join("s", "")).alias("digest"))
 
 
-@query("t3_strip_comments", "SELECT path, md5(replace(content, '%%hidden [[topic_3]]%%', '')) AS digest FROM notes")
+@query("t2_transform_text", "SELECT path, md5(replace(replace(content, '==hi==', '@@hi@@'), '==one== ==two', '@@one@@ @@two')) AS digest FROM notes")
+def _(spark, d):
+    return _slim(spark, d).select("path", F.md5(text.transform_text(F.col("content"), lambda x: F.replace(x, F.lit("=="), F.lit("@@")))).alias("digest"))
+
+
+_STRIPPED = "replace(replace(content, '%%hidden [[topic_3]]%%', ''), concat('%%gone', chr(10), 'two%%'), '')"
+
+
+@query("t3_strip_comments", f"SELECT path, md5({_STRIPPED}) AS digest FROM notes")
 def _(spark, d):
     return _slim(spark, d).select("path", F.md5(text.strip_comments(F.col("content"))).alias("digest"))
 
@@ -212,7 +264,11 @@ def _(spark, d):
     return _slim(spark, d).select("path", F.md5(text.escape_table_gt(F.col("content"))).alias("digest"))
 
 
-@query("t5_rewrite_math", f"SELECT path, md5(replace(content, '$E=mc^2$', '`{text.MATH_INLINE}E=mc^2`')) AS digest FROM notes")
+@query(
+    "t5_rewrite_math",
+    f"""SELECT path, md5(replace(replace(content, '$E=mc^2$', '`{text.MATH_INLINE}E=mc^2`'), concat('$$a^2 + ', doc_id % 10, '$$'),
+    concat(chr(10), chr(10), '```{text.MATH_BLOCK}', chr(10), 'a^2 + ', doc_id % 10, chr(10), '```', chr(10), chr(10)))) AS digest FROM notes""",
+)
 def _(spark, d):
     return _slim(spark, d).select("path", F.md5(text.rewrite_math(F.col("content"))).alias("digest"))
 
@@ -241,7 +297,7 @@ def _(spark, d):
     return text.html_to_lines(spark.read.parquet(f"{d}/pages.parquet"), "html", ["page_id"])
 
 
-@query("t9_highlight_spans", "SELECT path, 2 AS part, 0 AS pos, 'hi' AS span FROM notes")
+@query("t9_highlight_spans", "SELECT path, 2 AS part, 0 AS pos, 'hi' AS span FROM notes UNION ALL SELECT path, 4, 0, 'one' FROM notes WHERE doc_id % 4 = 1")
 def _(spark, d):
     return text.highlight_spans(_slim(spark, d), "content", ["path"])
 
@@ -353,15 +409,27 @@ def _(spark, d):
     return _tree(_context(spark, d))
 
 
-@query("h10_touched_folders", _TITLES + " SELECT DISTINCT source AS folder_rel FROM pub WHERE doc_id % 50 = 0 UNION SELECT concat(source, '/', lang) FROM pub WHERE doc_id % 50 = 0")
+_BATCHES = _TITLES + ", ba AS (SELECT doc_id, path, source, lang, (row_number() OVER (ORDER BY doc_id, path) - 1) // 20 AS batch FROM pub), tf AS (SELECT DISTINCT batch, source AS folder_rel FROM ba UNION SELECT batch, concat(source, '/', lang) FROM ba)"
+
+
+@query("h10_touched_folders", _BATCHES + " SELECT batch, folder_rel FROM tf")
 def _(spark, d):
-    return tree.touched_folders(_context(spark, d).files.where("ord % 50 = 0"))
+    return tree.touched_folders(state.assign_batches(_context(spark, d).files))
 
 
-@query("h11_missing_landings", _TITLES + " SELECT rel AS folder_rel, l.path FROM landed l JOIN pub p ON p.path = l.path WHERE p.doc_id % 50 <> 0 AND l.rel IN (SELECT concat(source, '/', lang) FROM pub WHERE doc_id % 50 = 0)")
+@query("h11_missing_landings", _BATCHES + " SELECT tf.batch, tf.folder_rel, l.path FROM tf JOIN landed l ON l.rel = tf.folder_rel JOIN ba ON ba.path = l.path WHERE ba.batch <> tf.batch")
 def _(spark, d):
     ctx = _context(spark, d)
-    return tree.missing_landings(ctx.files.where("ord % 50 = 0"), ctx.landings)
+    return tree.missing_landings(state.assign_batches(ctx.files), ctx.landings)
+
+
+@query(
+    "h8_hash6",
+    """, h AS (SELECT path, list_reduce(list_prepend(CAST(2166136261 AS BIGINT), list_transform(string_split(path, ''), lambda c: CAST(ord(c) AS BIGINT))), lambda a, c: (xor(a, c) * 16777619) % 4294967296) AS h FROM notes)
+    SELECT path, substr(printf('%08x', h), 1, 6) AS hash FROM h""",
+)
+def _(spark, d):
+    return _slim(spark, d).select("path", text.hash6(F.col("path")).alias("hash"))
 
 
 @query("h12_ancestor_chain", _TREE + " SELECT node_id, CASE WHEN depth = 0 THEN '' WHEN depth = 1 THEN 'd:' WHEN depth = 2 THEN concat('d:>', parent_id) ELSE concat('d:>d:', split_part(substr(parent_id, 3), '/', 1), '>', parent_id) END AS chain FROM nd")
@@ -394,7 +462,8 @@ def _(spark, d):
 
 # --- links -------------------------------------------------------------------------------
 
-_LINKS = """, k AS (SELECT doc_id, path, unnest([concat('topic_', rn + 1, '|next'), concat('Ghost_', doc_id, '#Part'), 'topic_3']) AS inner_text FROM notes)"""
+_LINKS = """, k AS (SELECT doc_id, path, unnest(list_concat([concat('topic_', rn + 1, '|next'), concat('Ghost_', doc_id, '#Part'), 'topic_3'],
+  CASE WHEN doc_id % 4 = 3 THEN ['topic_3#^blk', '#Part', '#^b1', 'topic_3#Sec|sec'] ELSE [] END)) AS inner_text FROM notes)"""
 
 
 @query("k1_extract_wikilinks", _LINKS + " SELECT path, inner_text FROM k")
@@ -402,14 +471,20 @@ def _(spark, d):
     return links.extract_wikilinks(_slim(spark, d)).select("path", F.col("inner").alias("inner_text"))
 
 
-@query(
-    "k2_parse_wikilink",
-    """SELECT path, concat('topic_', rn + 1) AS page_name, CAST(NULL AS VARCHAR) AS anchor, false AS is_block_ref, 'next' AS alias, 'next' AS display FROM notes
-    UNION ALL SELECT path, concat('Ghost_', doc_id), 'Part', false, NULL, concat('Ghost_', doc_id, ' > Part') FROM notes UNION ALL SELECT path, 'topic_3', NULL, false, NULL, 'topic_3' FROM notes""",
-)
+_SHAPES = "SELECT path, t.page_name, t.anchor, t.is_block_ref, t.alias, t.display FROM notes, (VALUES ('topic_3', NULL, true, NULL, 'topic_3'), ('', 'Part', false, NULL, 'Part'), ('', NULL, true, NULL, '#^b1'), ('topic_3', 'Sec', false, 'sec', 'sec')) t(page_name, anchor, is_block_ref, alias, display) WHERE doc_id % 4 = 3"
+_PARSED = f"""SELECT path, concat('topic_', rn + 1) AS page_name, CAST(NULL AS VARCHAR) AS anchor, false AS is_block_ref, 'next' AS alias, 'next' AS display FROM notes
+    UNION ALL SELECT path, concat('Ghost_', doc_id), 'Part', false, NULL, concat('Ghost_', doc_id, ' > Part') FROM notes UNION ALL SELECT path, 'topic_3', NULL, false, NULL, 'topic_3' FROM notes UNION ALL {_SHAPES}"""
+
+
+@query("k2_parse_wikilink", f", a AS ({_PARSED}) SELECT path, page_name, anchor, is_block_ref, alias FROM a")
 def _(spark, d):
-    rows = links.extract_wikilinks(_slim(spark, d)).withColumn("p", links.parse_wikilink(F.col("inner")))
-    return rows.select("path", "p.*", links.link_display(F.col("inner"), F.col("p")).alias("display"))
+    return links.extract_wikilinks(_slim(spark, d)).select("path", links.parse_wikilink(F.col("inner")).alias("p")).select("path", "p.*")
+
+
+@query("k3_link_display", f", a AS ({_PARSED}) SELECT path, display, count(*) AS n FROM a GROUP BY path, display")
+def _(spark, d):
+    shown = links.link_display(F.col("inner"), links.parse_wikilink(F.col("inner")))
+    return links.extract_wikilinks(_slim(spark, d)).groupBy("path", shown.alias("display")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("k4_extract_file_links", "SELECT path, 'up' AS label, concat('../', lang, '/README.md') AS url, 'README' AS page_name, 'Top' AS anchor FROM notes")
@@ -419,43 +494,74 @@ def _(spark, d):
 
 @query(
     "k5_resolve_links",
-    _TITLES + """ SELECT wl.path, concat('topic_', t0.rn + 1) AS target, wl.dest IS NOT NULL AS in_vault, f.title IS NOT NULL AS publishable, f.title, wl.dest
-    FROM wl JOIN t0 USING (doc_id) LEFT JOIN fin f ON f.path = wl.dest""",
+    _TITLES + """, asked AS (SELECT wl.path, concat('topic_', t0.rn + 1) AS target, wl.dest FROM wl JOIN t0 USING (doc_id)
+      UNION SELECT path, concat('Ghost_', doc_id), NULL FROM t0 UNION SELECT path, 'topic_3', dest FROM t3)
+    SELECT a.path, a.target, a.dest IS NOT NULL AS in_vault, f.title IS NOT NULL AS publishable, f.title, a.dest FROM asked a LEFT JOIN fin f ON f.path = a.dest""",
 )
 def _(spark, d):
     ctx = _context(spark, d)
-    asked = links.extract_wikilinks(_slim(spark, d)).where(F.col("inner").endswith("|next")).select("path", F.regexp_replace("inner", r"\|next$", "").alias("target"))
-    return links.resolve_links(asked, ctx.titles, ctx.corpus)
+    named = links.extract_wikilinks(_slim(spark, d)).select("path", links.parse_wikilink(F.col("inner"))["page_name"].alias("target"))
+    return links.resolve_links(named.where("target <> ''"), ctx.titles, ctx.targets)
+
+
+def _replacements(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The notes without comments, and what their wikilinks and file links become."""
+    ctx = _context(spark, d)
+    plain = _slim(spark, d).withColumn("content", text.strip_comments(F.col("content")))
+    wiki = links.wikilink_replacements(links.extract_wikilinks(plain), ctx.titles, ctx.targets)
+    return plain, wiki, links.file_link_replacements(links.extract_file_links(plain), ctx.titles, ctx.targets)
 
 
 @query(
     "k6_link_payloads",
     _TITLES + """ SELECT wl.path, 'page' AS kind, f.title, CAST(NULL AS VARCHAR) AS anchor, 'next' AS display FROM wl JOIN fin f ON f.path = wl.dest
-    UNION ALL SELECT rl.path, 'page', f.title, 'Top', 'up' FROM rl JOIN fin f ON f.path = rl.dest""",
+    UNION ALL SELECT rl.path, 'page', f.title, 'Top', 'up' FROM rl JOIN fin f ON f.path = rl.dest
+    UNION ALL SELECT t3.path, 'page', f.title, NULL, 'topic_3' FROM t3 JOIN fin f ON f.path = t3.dest WHERE t3.doc_id % 4 = 3
+    UNION ALL SELECT t3.path, 'page', f.title, 'Sec', 'sec' FROM t3 JOIN fin f ON f.path = t3.dest WHERE t3.doc_id % 4 = 3
+    UNION ALL SELECT path, 'anchor', NULL, 'Part', 'Part' FROM t0 WHERE doc_id % 4 = 3""",
 )
 def _(spark, d):
-    ctx = _context(spark, d)
-    rows = text.strip_comments(F.col("content"))
-    plain = _slim(spark, d).withColumn("content", rows)
-    wiki = links.wikilink_replacements(links.extract_wikilinks(plain), ctx.titles, ctx.corpus)
-    files = links.file_link_replacements(links.extract_file_links(plain), ctx.titles, ctx.corpus)
+    _, wiki, files = _replacements(spark, d)
     coded = wiki.where("payload is not null").select("path", "replacement").unionByName(files.where("payload is not null").select("path", "replacement"))
     # through the code that a page carries and back
     return coded.select("path", links.decode_payload(F.btrim("replacement", F.lit("`"))).alias("p")).select("path", "p.*")
 
 
+@query("k7_rewrite_wikilinks", _TITLES + f" SELECT path, md5(concat({_HEAD}, {_SEE}, '[up](../', lang, '/README.md#Top) ', chr(10), {fixture.TAIL}, CASE WHEN doc_id % 4 = 3 THEN {_REFS} ELSE {fixture.EXTRA} END)) AS digest FROM {_DESTS}")
+def _(spark, d):
+    plain, wiki, _ = _replacements(spark, d)
+    return links.rewrite_wikilinks(plain, wiki).select("path", F.md5("content").alias("digest"))
+
+
+@query("k8_rewrite_file_links", _TITLES + f" SELECT path, md5(concat({_HEAD}, 'See [[topic_', rn + 1, '|next]] and [[Ghost_', doc_id, '#Part]].', chr(10), {_UP}, {fixture.TAIL}, replace({fixture.EXTRA}, concat('%%gone', chr(10), 'two%%'), ''))) AS digest FROM {_DESTS}")
+def _(spark, d):
+    plain, _, files = _replacements(spark, d)
+    return links.rewrite_file_links(plain, files).select("path", F.md5("content").alias("digest"))
+
+
+@query(
+    "k9_encode_payload",
+    f"""SELECT path, concat('`{text.LINK_PREFIX}', base64(encode(concat('{{"kind":"page","title":"', path, '",', CASE WHEN doc_id % 2 = 0 THEN concat('"anchor":"', lang, '",') ELSE '' END, '"display":"', source, '"}}'))), '`') AS code,
+    path AS title, CASE WHEN doc_id % 2 = 0 THEN lang END AS anchor, source AS display, true AS bad FROM notes""",
+)
+def _(spark, d):
+    payload = links.link_payload(F.lit("page"), F.col("path"), F.when(F.col("doc_id") % 2 == 0, F.col("lang")), F.col("source"))
+    rows = _notes(spark, d).select("path", links.encode_payload(payload).alias("code"))
+    back = links.decode_payload(F.btrim("code", F.lit("`")))
+    cut = links.decode_payload(F.concat(F.lit(text.LINK_PREFIX + "!"), F.col("path")))
+    return rows.select("path", "code", back["title"].alias("title"), back["anchor"].alias("anchor"), back["display"].alias("display"), cut.isNull().alias("bad"))
+
+
 @query(
     "k10_link_warnings",
-    _TITLES + """ SELECT warning, count(*) AS n FROM (
+    _TITLES + """, shared AS (SELECT t3.doc_id, CASE WHEN t3.dest IS NULL THEN 'not_in_vault' WHEN f.path IS NULL THEN 'not_published' END AS warning FROM t3 LEFT JOIN fin f ON f.path = t3.dest WHERE t3.doc_id % 4 = 3)
+    SELECT warning, count(*) AS n FROM (
     SELECT CASE WHEN wl.dest IS NULL THEN 'not_in_vault' WHEN f.path IS NULL THEN 'not_published' END AS warning FROM wl LEFT JOIN fin f ON f.path = wl.dest
-    UNION ALL SELECT 'not_in_vault' FROM notes
+    UNION ALL SELECT 'not_in_vault' FROM notes UNION ALL SELECT warning FROM shared UNION ALL SELECT coalesce(warning, 'block_ref_dropped') FROM shared UNION ALL SELECT 'block_ref_text' FROM shared
     UNION ALL SELECT CASE WHEN f.path IS NULL THEN 'file_link_not_published' END FROM rl LEFT JOIN fin f ON f.path = rl.dest) WHERE warning IS NOT NULL GROUP BY warning""",
 )
 def _(spark, d):
-    ctx = _context(spark, d)
-    plain = _slim(spark, d).withColumn("content", text.strip_comments(F.col("content")))
-    wiki = links.wikilink_replacements(links.extract_wikilinks(plain), ctx.titles, ctx.corpus)
-    files = links.file_link_replacements(links.extract_file_links(plain), ctx.titles, ctx.corpus)
+    _, wiki, files = _replacements(spark, d)
     return links.link_warnings(wiki, files).groupBy("warning").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -469,7 +575,7 @@ def _(spark, d):
 def _(spark, d):
     ctx = _context(spark, d)
     rows = _notes(spark, d).selectExpr("path", "stack(3, 'by_name', 'topic_3', 'by_id', concat('kb:doc-', doc_id), 'plain', 'ns:Some_thing') AS (kind, value)")
-    return links.resolve_meta_refs(rows, ctx.titles, ctx.corpus, ctx.ids).select("path", "kind", "text", F.col("link.title").alias("target"))
+    return links.resolve_meta_refs(rows, ctx.titles, ctx.targets, ctx.ids).select("path", "kind", "text", F.col("link.title").alias("target"))
 
 
 @query("k12_anchor_key", "SELECT path, concat('Heading', doc_id % 50) AS anchor FROM notes WHERE doc_id % 3 = 0")
@@ -480,24 +586,47 @@ def _(spark, d):
 # --- metadata ----------------------------------------------------------------------------
 
 
+@query(
+    "m1_fm_list",
+    """SELECT path, CASE WHEN doc_id % 5 = 1 THEN 'kb:data_flow+Risk' ELSE '' END AS domain, CASE WHEN doc_id % 5 = 1 THEN 'in_review' ELSE '' END AS status,
+    CASE WHEN doc_id % 5 = 0 THEN concat('kb:doc-', doc_id, '+Some_thing--else') ELSE '' END AS refs FROM notes""",
+)
+def _(spark, d):
+    listed = lambda k: F.array_join(meta.fm_list(F.col("fm"), k), "+")
+    return _parsed(spark, d).select("path", listed("domain").alias("domain"), listed("status").alias("status"), listed("references").alias("refs"))
+
+
+@query("m2_humanize_ref", "SELECT doc_id, concat('Some ', source, ' in ', lang) AS shown FROM documents WHERE source IS NOT NULL AND lang IS NOT NULL")
+def _(spark, d):
+    rows = spark.read.parquet(f"{d}/documents.parquet").where("source is not null and lang is not null")
+    return rows.select("doc_id", text.humanize_ref(F.concat(F.lit("'ns:Some_"), "source", F.lit("--in-"), "lang", F.lit("'"))).alias("shown"))
+
+
 @query(
     "m3_metadata_fields",
-    _TITLES + """ SELECT path, 'Type' AS label, 0 AS value_ord, CASE WHEN quality = 1 THEN 'Reference Note' ELSE 'draft note' END AS text FROM pub
-    UNION ALL SELECT path, 'ID', 0, concat('doc ', doc_id) FROM pub UNION ALL SELECT path, 'Subject', 0, lang FROM pub UNION ALL SELECT path, 'Subject', 1, concat('Risk & ', source) FROM pub""",
+    _TITLES + """ SELECT path, 'Type' AS label, 0 AS value_ord, CASE WHEN quality = 1 THEN 'Reference Note' ELSE 'draft note' END AS text, CAST(NULL AS VARCHAR) AS target, CAST(NULL AS VARCHAR) AS anchor FROM pub
+    UNION ALL SELECT path, 'ID', 0, concat('doc ', doc_id), NULL, NULL FROM pub UNION ALL SELECT path, 'Subject', 0, lang, NULL, NULL FROM pub UNION ALL SELECT path, 'Subject', 1, concat('Risk & ', source), NULL, NULL FROM pub
+    UNION ALL SELECT path, 'Status', 0, 'in review', NULL, NULL FROM pub WHERE doc_id % 5 = 1 UNION ALL SELECT path, 'Domain', unnest([0, 1]), unnest(['data flow', 'Risk']), NULL, NULL FROM pub WHERE doc_id % 5 = 1
+    UNION ALL SELECT p.path, 'Parent', 0, 'third', f.title, CASE WHEN f.title IS NOT NULL THEN 'Top' END FROM pub p JOIN t3 USING (doc_id) LEFT JOIN fin f ON f.path = t3.dest WHERE p.doc_id % 5 = 0
+    UNION ALL SELECT path, 'References', 0, title, title, NULL FROM fin WHERE doc_id % 5 = 0 UNION ALL SELECT path, 'References', 1, 'Some thing else', NULL, NULL FROM pub WHERE doc_id % 5 = 0""",
 )
 def _(spark, d):
     ctx = _context(spark, d)
-    return meta.metadata_fields(ctx.meta, ctx.titles, ctx.corpus, ctx.ids).select("path", "label", "value_ord", "text")
+    return meta.metadata_fields(ctx.meta, ctx.titles, ctx.targets, ctx.ids).select("path", "label", "value_ord", "text", F.col("link.title").alias("target"), F.col("link.anchor").alias("anchor"))
 
 
 @query(
     "m4_metadata_block",
-    _TITLES + f""" SELECT path, concat('```{text.METADATA_FENCE}', chr(10), base64(encode(concat('[{{"label":"Type","values":[{{"text":"', CASE WHEN quality = 1 THEN 'Reference Note' ELSE 'draft note' END,
-    '"}}]}},{{"label":"ID","values":[{{"text":"doc ', doc_id, '"}}]}},{{"label":"Subject","values":[{{"text":"', lang, '"}},{{"text":"Risk & ', source, '"}}]}}]'))), chr(10), '```') AS block FROM pub""",
+    _TITLES + f""", j AS (SELECT fin.*, f3.title AS t3_title FROM fin JOIN t3 USING (doc_id) LEFT JOIN (SELECT path AS p3, title FROM fin) f3 ON f3.p3 = t3.dest)
+    SELECT path, concat('```{text.METADATA_FENCE}', chr(10), base64(encode(concat('[{{"label":"Type","values":[{{"text":"', CASE WHEN quality = 1 THEN 'Reference Note' ELSE 'draft note' END,
+    '"}}]}},{{"label":"ID","values":[{{"text":"doc ', doc_id, '"}}]}}', CASE WHEN doc_id % 5 = 1 THEN ',{{"label":"Status","values":[{{"text":"in review"}}]}},{{"label":"Domain","values":[{{"text":"data flow"}},{{"text":"Risk"}}]}}' ELSE '' END,
+    ',{{"label":"Subject","values":[{{"text":"', lang, '"}},{{"text":"Risk & ', source, '"}}]}}', CASE WHEN doc_id % 5 = 0 THEN concat(',{{"label":"Parent","values":[{{"text":"third"',
+    CASE WHEN t3_title IS NULL THEN '' ELSE concat(',"link":{{"title":"', t3_title, '","anchor":"Top","display":"third"}}') END, '}}]}},{{"label":"References","values":[{{"text":"', title, '","link":{{"title":"', title, '","display":"', title, '"}}}},{{"text":"Some thing else"}}]}}')
+    ELSE '' END, ']'))), chr(10), '```') AS block FROM j""",
 )
 def _(spark, d):
     ctx = _context(spark, d)
-    return meta.metadata_block(meta.metadata_fields(ctx.meta, ctx.titles, ctx.corpus, ctx.ids))
+    return meta.metadata_block(meta.metadata_fields(ctx.meta, ctx.titles, ctx.targets, ctx.ids))
 
 
 @query("m5_slugify", "WITH s AS (SELECT DISTINCT source, lang FROM documents) SELECT source, lang, concat('risk-', lower(source), '-in-', lower(lang)) AS slug FROM s")
@@ -520,6 +649,16 @@ def _(spark, d):
     return _parsed(spark, d).select("path", F.array_join(meta.merge_tags(own, meta.taxonomy_labels()), "+").alias("tags"))
 
 
+_OWN_TAGS = "CASE WHEN doc_id % 5 = 2 THEN concat('draft+topic/', lang) ELSE '' END"
+
+
+@query("m8_project_labels", f"SELECT path, concat({_OWN_TAGS}, CASE WHEN doc_id % 5 = 2 THEN '+' ELSE '' END, {_LABELS}) AS labels, {_OWN_TAGS} AS own FROM notes")
+def _(spark, d):
+    rows = meta.project_labels(_parsed(spark, d)).withColumnRenamed("tags", "labels")
+    own = meta.project_labels(rows, on=False)
+    return own.select("path", F.array_join("labels", "+").alias("labels"), F.array_join("tags", "+").alias("own"))
+
+
 @query(
     "m9_label_changes",
     """SELECT CAST(doc_id + 1000 AS VARCHAR) AS page_id, CASE WHEN doc_id % 2 = 0 THEN '' WHEN doc_id % 3 = 0 THEN CASE WHEN quality = 1 THEN 'reference-note' ELSE 'draft-note' END ELSE '' END AS to_add,
@@ -537,7 +676,7 @@ def _(spark, d):
 _HASH = "concat(md5(concat(own, ' ', coalesce(folder_title, ''), ' ', clean, {tags})), '|high')"
 
 
-@query("p1_publish_hash", _CLEAN + f" SELECT path, {_HASH.format(tags=f''' ' tags=', array_to_string(list_sort(string_split({_LABELS}, '+')), ',') ''')} AS hash FROM cl")
+@query("p1_publish_hash", _CLEAN + f" SELECT path, {_HASH.format(tags=f''' ' tags=', array_to_string(list_sort(list_concat(string_split({_LABELS}, '+'), CASE WHEN doc_id % 5 = 2 THEN ['draft', concat('topic/', lang)] ELSE [] END)), ',') ''')} AS hash FROM cl")
 def _(spark, d):
     rows = publish.render_notes(publish.publish_context(_slim(spark, d), LABELLED), LABELLED)
     return rows.select("path", state.publish_hash(F.col("page_title"), F.col("folder_title"), F.col("content"), F.col("tags"), "high").alias("hash"))
@@ -621,7 +760,7 @@ def _(spark, d):
     return state.publish_summary(fixture.read(spark, d, "results"), skipped)
 
 
-_PLAN = _CLEAN + f""", h AS (SELECT doc_id, path, title, {_HASH.format(tags="''")} AS hash FROM cl),
+_PLAN = _CLEAN + f""", h AS (SELECT doc_id, path, title, {_HASH.format(tags="own_tags")} AS hash FROM cl),
 a AS (SELECT h.*, l.page_id, CASE WHEN l.page_id <> '' AND l.hash = h.hash THEN 'skip' ELSE 'publish' END AS action FROM h LEFT JOIN ledger l ON l.path = h.path)
 SELECT path, title, hash, page_id, action, CASE WHEN action = 'publish' THEN (row_number() OVER (PARTITION BY action ORDER BY doc_id, path) - 1) // 20 END AS batch FROM a"""
 
@@ -631,7 +770,14 @@ def _(spark, d):
     return publish.plan_publish(_slim(spark, d), fixture.read(spark, d, "ledger"), CFG)
 
 
-@query("p12_second_run", _CLEAN + f" SELECT path, {_HASH.format(tags=chr(39) * 2)} AS hash, 'skip' AS action FROM cl")
+@query("s8_write_publish_plan", _PLAN, ("ledger",))
+def _(spark, d):
+    folder = scratch(spark, "plan")
+    sources.write_publish_plan(publish.plan_publish(_slim(spark, d), fixture.read(spark, d, "ledger"), CFG), folder)
+    return spark.read.parquet(folder).withColumn("batch", F.col("batch").cast("long"))
+
+
+@query("p12_second_run", _CLEAN + f" SELECT path, {_HASH.format(tags="own_tags")} AS hash, 'skip' AS action FROM cl")
 def _(spark, d):
     folder = scratch(spark, "second-run")
     notes = _slim(spark, d)
@@ -650,7 +796,7 @@ def _(spark, d):
 @query("p13_diagram_cache_plan", "SELECT DISTINCT concat(md5(concat('graph ', source, ' --> ', lang)), '-high.png') AS key, source < 'src2' AS cached FROM notes")
 def _(spark, d):
     rows = _notes(spark, d)
-    drawn = rows.select("path", F.concat("content", F.lit("```mermaid\ngraph "), "source", F.lit(" --> "), "lang", F.lit("\n```\n")).alias("content"))
+    drawn = rows.select("path", F.concat(F.lit("```mermaid\ngraph "), "source", F.lit(" --> "), "lang", F.lit("\n```\n"), "content").alias("content"))
     cache = rows.where("source < 'src2'").select(F.concat(F.md5(F.concat(F.lit("graph "), "source", F.lit(" --> "), "lang")), F.lit("-high.png")).alias("key"))
     return publish.diagram_cache_plan(drawn, cache)
 
@@ -666,19 +812,25 @@ def _path(column: str = "node_path"):
     return F.array_join(F.transform(column, lambda x: x.cast("string")), ".")
 
 
+#: Nodes of each type in every document, and in those with doc_id % 4 of 1, 2 and 3 besides.
 _TYPES = [
-    ("doc", 1), ("heading", 1), ("text", 13), ("paragraph", 3), ("mention", 1), ("panel", 1), ("hardBreak", 1), ("table", 1), ("tableRow", 3), ("tableHeader", 2), ("tableCell", 4),
-    ("taskList", 1), ("taskItem", 1), ("blockquote", 1), ("codeBlock", 1), ("mediaSingle", 1), ("media", 1), ("inlineExtension", 1), ("unknownThing", 1),
+    ("doc", 1, 0, 0, 0), ("heading", 1, 0, 0, 0), ("text", 13, 7, 0, 2), ("paragraph", 3, 0, 1, 2), ("mention", 1, 0, 0, 0), ("panel", 1, 0, 0, 2), ("hardBreak", 1, 0, 0, 0),
+    ("table", 1, 1, 0, 0), ("tableRow", 3, 3, 0, 0), ("tableHeader", 2, 2, 0, 0), ("tableCell", 4, 5, 0, 0), ("taskList", 1, 0, 0, 0), ("taskItem", 1, 0, 0, 0), ("blockquote", 1, 0, 0, 0),
+    ("codeBlock", 1, 0, 0, 0), ("mediaSingle", 1, 0, 2, 0), ("media", 1, 0, 2, 0), ("inlineExtension", 1, 0, 0, 0), ("inlineCard", 0, 0, 1, 0), ("emoji", 0, 0, 1, 0), ("status", 0, 0, 1, 0), ("unknownThing", 1, 0, 0, 0),
 ]
 
 
-@query("d1_flatten_nodes", "SELECT doc_id, 39 AS n_nodes, 5 AS deepest, concat('H', doc_id) AS heading FROM node_docs", ("node_docs",))
+@query("d1_flatten_nodes", "SELECT doc_id, CASE doc_id % 4 WHEN 1 THEN 57 WHEN 2 THEN 47 WHEN 3 THEN 45 ELSE 39 END AS n_nodes, 5 AS deepest, concat('H', doc_id) AS heading FROM node_docs", ("node_docs",))
 def _(spark, d):
     heading = F.max(F.when(_path() == "0.0", F.col("text")))
     return _nodes(spark, d).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_nodes"), (F.max("depth") + 1).alias("deepest"), heading.alias("heading"))
 
 
-@query("d2_node_inventory", "SELECT t.type, t.n * (SELECT count(*) FROM notes) AS n, t.type <> 'unknownThing' AS known FROM (VALUES " + ", ".join(f"('{t}', {n})" for t, n in _TYPES) + ") t(type, n)")
+@query(
+    "d2_node_inventory",
+    """, c AS (SELECT count(*) AS n, count(*) FILTER (WHERE doc_id % 4 = 1) AS n1, count(*) FILTER (WHERE doc_id % 4 = 2) AS n2, count(*) FILTER (WHERE doc_id % 4 = 3) AS n3 FROM notes)
+    SELECT t.type, t.a * c.n + t.b * c.n1 + t.c * c.n2 + t.d * c.n3 AS n, t.type <> 'unknownThing' AS known FROM c, (VALUES """ + ", ".join(map(str, _TYPES)) + ") t(type, a, b, c, d)",
+)
 def _(spark, d):
     return nodes.node_inventory(_nodes(spark, d))
 
@@ -686,23 +838,37 @@ def _(spark, d):
 @query(
     "d3_callouts",
     """SELECT doc_id, 'panel' AS source, CASE doc_id % 3 WHEN 0 THEN 'tip' WHEN 1 THEN 'warning' ELSE 'info' END AS macro, CAST(NULL AS VARCHAR) AS title FROM notes
-    UNION ALL SELECT doc_id, 'quote', CASE WHEN doc_id % 2 = 0 THEN 'tip' ELSE 'warning' END, concat('Mind ', source) FROM notes""",
+    UNION ALL SELECT doc_id, 'quote', CASE WHEN doc_id % 2 = 0 THEN 'tip' ELSE 'warning' END, concat('Mind ', source) FROM notes
+    UNION ALL SELECT doc_id, 'panel', unnest(['note', 'warning']), NULL FROM notes WHERE doc_id % 4 = 3""",
 )
 def _(spark, d):
     return nodes.callouts(_nodes(spark, d)).select("doc_id", "source", "macro", "title")
 
 
-@query("d4_panel_titles", "SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'tip' WHEN 1 THEN 'warning' ELSE 'info' END AS macro, 'Title' AS title FROM notes")
+@query(
+    "d4_panel_titles",
+    """SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'tip' WHEN 1 THEN 'warning' ELSE 'info' END AS macro, 'Title' AS title FROM notes
+    UNION ALL SELECT doc_id, unnest(['note', 'warning']), unnest(['Outer', NULL]) FROM notes WHERE doc_id % 4 = 3""",
+)
 def _(spark, d):
     return nodes.panel_titles(_nodes(spark, d)).select("doc_id", "macro", "title")
 
 
-@query("d5_numeric_columns", "SELECT doc_id, 0 AS col, 2 AS n_data, 0 AS n_numeric, false AS right_aligned FROM notes UNION ALL SELECT doc_id, 1, CASE WHEN doc_id % 2 = 0 THEN 2 ELSE 1 END, CASE WHEN doc_id % 2 = 0 THEN 2 ELSE 1 END, doc_id % 2 = 0 FROM notes")
+@query(
+    "d5_numeric_columns",
+    """SELECT doc_id, '3' AS tbl, 0 AS col, 2 AS n_data, 0 AS n_numeric, false AS right_aligned FROM notes
+    UNION ALL SELECT doc_id, '3', 1, CASE WHEN doc_id % 2 = 0 THEN 2 ELSE 1 END, CASE WHEN doc_id % 2 = 0 THEN 2 ELSE 1 END, doc_id % 2 = 0 FROM notes
+    UNION ALL SELECT doc_id, '9', unnest([0, 1, 2]), unnest([0, 1, 2]), unnest([0, 1, 2]), unnest([false, false, true]) FROM notes WHERE doc_id % 4 = 1""",
+)
 def _(spark, d):
-    return nodes.numeric_columns(nodes.table_cells(_nodes(spark, d))).select("doc_id", "col", "n_data", "n_numeric", "right_aligned")
+    return nodes.numeric_columns(nodes.table_cells(_nodes(spark, d))).select("doc_id", _path("table_path").alias("tbl"), "col", "n_data", "n_numeric", "right_aligned")
 
 
-@query("d6_resolve_media", "SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'unresolved' ELSE 'file' END AS kind, CASE WHEN doc_id % 3 <> 0 THEN concat('img_', doc_id, '.png') END AS target FROM notes")
+@query(
+    "d6_resolve_media",
+    """SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'unresolved' ELSE 'file' END AS kind, CASE WHEN doc_id % 3 <> 0 THEN concat('img_', doc_id, '.png') END AS target FROM notes
+    UNION ALL SELECT doc_id, unnest(['url', 'file']), unnest([concat('https://m/', doc_id, '.png'), 'shot.png']) FROM notes WHERE doc_id % 4 = 2""",
+)
 def _(spark, d):
     return nodes.resolve_media(_nodes(spark, d), fixture.read(spark, d, "attachments")).select("doc_id", "kind", "target")
 
@@ -727,7 +893,11 @@ def _(spark, d):
     return nodes.task_status(_nodes(spark, d))
 
 
-@query("d11_node_references", "SELECT doc_id, 'mention' AS kind, concat('u', doc_id % 7) AS value FROM notes")
+@query(
+    "d11_node_references",
+    """SELECT doc_id, 'mention' AS kind, concat('u', doc_id % 7) AS value FROM notes
+    UNION ALL SELECT doc_id, unnest(['card', 'emoji', 'status']), unnest([concat('https://x/', doc_id), 'A', 'Ready']) FROM notes WHERE doc_id % 4 = 2""",
+)
 def _(spark, d):
     return nodes.node_references(_nodes(spark, d)).select("doc_id", "kind", "value")
 
@@ -735,7 +905,8 @@ def _(spark, d):
 @query(
     "d12_cell_text",
     """SELECT doc_id, unnest(['3.0.0', '3.0.1', '3.1.0', '3.1.1', '3.2.0', '3.2.1']) AS cell,
-    unnest(['k', 'v', 'a', concat(doc_id % 100, ' km'), 'b', CASE WHEN doc_id % 2 = 0 THEN '7' ELSE 'n/a' END]) AS text FROM notes""",
+    unnest(['k', 'v', 'a', concat(doc_id % 100, ' km'), 'b', CASE WHEN doc_id % 2 = 0 THEN '7' ELSE 'n/a' END]) AS text FROM notes
+    UNION ALL SELECT doc_id, unnest(['9.0.0', '9.0.1', '9.1.0', '9.1.1', '9.1.2', '9.2.0', '9.2.1']), unnest(['span', 'n', 'x', '1', '5', 'tbd', '6 kg']) FROM notes WHERE doc_id % 4 = 1""",
 )
 def _(spark, d):
     return nodes.cell_text(_nodes(spark, d)).select("doc_id", _path().alias("cell"), "text")
@@ -744,36 +915,43 @@ def _(spark, d):
 # --- streams -----------------------------------------------------------------------------
 
 
-def _revisions(spark: SparkSession, d: str, folder: str) -> DataFrame:
-    """Notes in three files by doc_id % 3, the third with edited copies of every tenth."""
+_REVISIONS = "path string, content string, ord long, rev long"
+
+
+def _arrivals(spark: SparkSession, d: str, folder: str) -> Iterator[DataFrame]:
+    """Notes arrive in three parts by doc_id % 3, the third with edited copies of every
+    tenth. Each time the stream over what is there is given, to be run until it has it all."""
     rows = _notes(spark, d).select("path", "content", "ord", F.lit(0).cast("long").alias("rev"))
+    edited = rows.where("ord % 10 = 0").withColumn("content", F.concat("content", F.lit("edited\n"))).withColumn("rev", F.lit(1).cast("long"))
     for k in range(3):
         part = rows.where(f"ord % 3 = {k}")
-        if k == 2:
-            part = part.unionByName(rows.where("ord % 10 = 0").withColumn("content", F.concat("content", F.lit("edited\n"))).withColumn("rev", F.lit(1).cast("long")))
-        part.coalesce(1).write.mode("append").parquet(f"{folder}/revisions")
-    schema = "path string, content string, ord long, rev long"
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/revisions")
+        (part.unionByName(edited) if k == 2 else part).write.mode("append").parquet(f"{folder}/revisions")
+        yield spark.readStream.schema(_REVISIONS).parquet(f"{folder}/revisions")
+
+
+_EDITED = "concat(clean, CASE WHEN doc_id % 10 = 0 THEN concat('edited', chr(10)) ELSE '' END)"
 
 
-@query("x1_publish_stream")
+@query("x1_publish_stream", _CLEAN + f" SELECT path, CAST(CAST(concat('0x', substr(md5(path), 1, 12)) AS BIGINT) AS VARCHAR) AS page_id, {_HASH.replace('clean', _EDITED).format(tags='own_tags')} AS hash FROM cl")
 def _(spark, d):
     from notegraph.streaming import publish_stream as streams
 
     folder = scratch(spark, "stream")
-    streams.publish_stream(_revisions(spark, d, folder), folder, CFG).awaitTermination()
-    return spark.read.parquet(f"{folder}/ledger/2")
+    for revisions in _arrivals(spark, d, folder):
+        streams.publish_stream(revisions, folder, CFG).awaitTermination()
+    return sources.read_ledger(spark, f"{folder}/ledger")
 
 
-@query("x2_changed_notes_stream")
+@query("x2_changed_notes_stream", "SELECT path, md5(content) AS hash FROM notes UNION ALL SELECT path, md5(concat(content, 'edited', chr(10))) FROM notes WHERE doc_id % 10 = 0")
 def _(spark, d):
     from notegraph.streaming import publish_stream as streams
 
     folder = scratch(spark, "changes")
-    changed = streams.changed_notes_stream(_revisions(spark, d, folder).select("path", F.md5("content").alias("hash")))
 
     def keep(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{folder}/out/{batch_id}")
+        batch.write.mode("overwrite").parquet(f"{folder}/out/batch={batch_id}")
 
-    changed.writeStream.foreachBatch(keep).outputMode("update").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema("path string, hash string").parquet(*[f"{folder}/out/{k}" for k in range(3)])
+    for revisions in _arrivals(spark, d, folder):
+        changed = streams.changed_notes_stream(revisions.select("path", F.md5("content").alias("hash")))
+        changed.writeStream.foreachBatch(keep).outputMode("update").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema("path string, hash string").parquet(f"{folder}/out").select("path", "hash")
