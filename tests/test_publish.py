@@ -205,7 +205,7 @@ def test_files(spark, tmp_path):
     (tmp_path / "v" / "ü b" / "c+d.md").write_text("y")
     (tmp_path / "v" / "p.PNG").write_bytes(b"123")
     (tmp_path / "v" / "q.txt").write_text("no")
-    assert [(r["path"], r["content"], r["ord"]) for r in sources.scan_notes(spark, str(tmp_path / "v")).orderBy("ord").collect()] == [("a.md", "# A\nx", 1), ("ü b/c+d.md", "y", 2)]
+    assert [(r["path"], r["content"], r["ord"]) for r in sources.scan_notes(spark, str(tmp_path / "v")).orderBy("ord").collect()] == [("a.md", "# A\nx", 0), ("ü b/c+d.md", "y", 1)]
     assert [(r["path"], r["mime_type"], bytes(r["contents"])) for r in sources.scan_attachments(spark, str(tmp_path / "v")).collect()] == [("p.PNG", "image/png", b"123")]
     folder = scratch(spark, "ledger")
     assert sources.read_ledger(spark, folder).count() == 0
@@ -227,5 +227,89 @@ def test_stream_equals_one_batch(spark):
     streams.publish_stream(source, folder, cfg).awaitTermination()
     whole = streams.newest(notes.unionByName(edited)).select("path", "content", "ord")
     want = publish.plan_publish(whole, spark.createDataFrame([], sources.LEDGER), cfg)
-    got = spark.read.schema(sources.LEDGER).parquet(f"{folder}/ledger/1")
+    got = sources.read_ledger(spark, f"{folder}/ledger")
     assert sorted(map(tuple, got.select("path", "hash").collect())) == sorted(map(tuple, want.select("path", "hash").collect()))
+
+
+def test_a_batch_that_runs_again_leaves_the_same(spark):
+    from notegraph.streaming import publish_stream as streams
+
+    cfg, folder = PlanConfig(folder="vault/"), scratch(spark, "again")
+    notes = corpus(spark).withColumn("rev", F.lit(0).cast("long"))
+    for batch_id, part in ((0, "ord % 2 = 0"), (1, "ord % 2 = 1"), (1, "ord % 2 = 1")):
+        streams.apply_batch(notes.where(part), batch_id, folder, cfg)
+        left = sorted(map(tuple, sources.read_ledger(spark, f"{folder}/ledger").collect()))
+        n = spark.read.parquet(f"{folder}/plan/{batch_id}").where("action = 'publish'").count()
+        if batch_id == 0:
+            first = left
+    assert n > 0 and len(left) > len(first) and {r[0] for r in first} <= {r[0] for r in left}
+    assert sorted(map(tuple, sources.read_ledger(spark, f"{folder}/ledger", before=1).collect())) == first
+
+
+def test_changed_notes_stream_keeps_the_last_hash(spark):
+    from notegraph.streaming import publish_stream as streams
+
+    folder = scratch(spark, "hashes")
+    parts = [[("a", "1"), ("b", "1")], [("a", "1"), ("b", "2"), ("c", "1")], [("a", "2"), ("b", "2"), ("a", "2"), ("d", None)]]
+    want = [{("a", "1"), ("b", "1")}, {("b", "2"), ("c", "1")}, {("a", "2")}]
+    for k, (rows, changed) in enumerate(zip(parts, want)):
+        spark.createDataFrame(rows, "path string, hash string").where("hash is not null").write.mode("append").parquet(f"{folder}/in")
+        found = streams.changed_notes_stream(spark.readStream.schema("path string, hash string").parquet(f"{folder}/in"))
+        keep = lambda batch, i: batch.write.mode("overwrite").parquet(f"{folder}/out/{i}")
+        found.writeStream.foreachBatch(keep).outputMode("update").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+        assert {tuple(r) for r in spark.read.parquet(f"{folder}/out/{k}").collect()} == changed
+
+
+def test_a_reader_never_sees_an_incomplete_ledger(spark):
+    folder = scratch(spark, "versions")
+    one = lambda h: spark.createDataFrame([("a", "1", h)], sources.LEDGER)
+    sources.write_ledger(one("old"), folder)
+    reading = sources.read_ledger(spark, folder)
+    # a writer that died has left files without the mark of success
+    one("half").write.option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").parquet(f"{folder}/v-{9:012d}-x")
+    assert sources.read_ledger(spark, folder).first()["hash"] == "old"
+    sources.write_ledger(one("new"), folder)
+    assert (reading.first()["hash"], sources.read_ledger(spark, folder).first()["hash"]) == ("old", "new")
+    for k in range(3):
+        sources.write_ledger(one(str(k)), folder)
+    assert sources.read_ledger(spark, folder).first()["hash"] == "2" and len(sources._versions(spark, folder)) == 2
+
+
+def test_numbers_and_placeholders(spark):
+    check(spark, nodes.is_numeric, [("12", True), ("~ 1,200.5 km", True), ("5 – 7 %", True), ("≤3µg", True), ("n 5", False), ("5 kilometers", False), ("", False), ("5-7-9", False)])
+    check(spark, nodes.is_placeholder, [("", True), ("N/A", True), ("TBD", True), ("✓", True), ("...", True), ("X", True), ("none", False), ("----", False)])
+
+
+def test_hot_keys_split(spark):
+    """With low thresholds the joins of titles and links split a hot title and target."""
+    low = {
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "1k", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.1",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "2k", "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.shuffle.partitions": "8", "spark.sql.adaptive.coalescePartitions.enabled": "false",
+    }
+    before = {k: spark.conf.get(k, None) for k in low}
+    try:
+        for k, v in low.items():
+            spark.conf.set(k, v)
+        ids = spark.range(0, 40_000, 1, 8)
+        same = F.when(F.col("id") % 3 == 0, F.lit("hot")).otherwise(F.concat(F.lit("t"), F.col("id").cast("string")))
+        rows = ids.select(F.concat(F.lit("vault/"), F.col("id").cast("string"), F.lit(".md")).alias("path"), F.col("id").alias("ord"), same.alias("title"))
+        found = titles.dedup_titles(rows)
+        assert found.where("title like 'hot (%'").count() == 13_334
+        plan = _final_plan(found)
+        assert "skew=true" in plan, plan
+        asked = rows.select("path", F.col("title").alias("target"))
+        notes = rows.select("path").unionByName(spark.createDataFrame([("vault/hot.md",)], "path string"))
+        linked = links.resolve_links(asked, rows.select("path", "title"), links.link_targets(notes))
+        assert linked.where("in_vault").count() == 13_334
+        assert "skew=true" in _final_plan(linked)
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def _final_plan(df):
+    df = df.select("*")
+    df.write.format("noop").mode("overwrite").save()
+    df.collect()
+    return df._jdf.queryExecution().executedPlan().toString()
