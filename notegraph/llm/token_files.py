@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import tokenizing
-from .common import saved, sliced
+from .common import parts_for, saved, sliced
 
 BLOCK = 65_536
 STRIDE = 64
@@ -161,6 +161,7 @@ def write_token_files(docs: DataFrame, vocabulary: str, path: str, end_id: int =
 
     Null text is empty: only the end id. Null ids come first; equal ids lie next to each
     other, ordered by a hash of their tokens. An empty table writes empty tables.
+    Whole texts are encoded, however long; further columns are ignored, whatever their names.
     ``vocabulary`` must be readable at this path by every executor.
     """
     spark = docs.sparkSession
@@ -194,7 +195,7 @@ def write_token_files(docs: DataFrame, vocabulary: str, path: str, end_id: int =
         if ids:
             yield block()
 
-    parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = parts or parts_for(encoded)
     (
         encoded.withColumn("tie", F.xxhash64("ids"))
         .repartitionByRange(parts, "doc_id", "tie")
