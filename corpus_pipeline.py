@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from notegraph.llm import decontaminate, language_id, mixing, simhash, token_files
-from notegraph.llm.common import saved, scratch, table
+from notegraph.llm.common import scratch, scratch_scope, table
 
 VOCABULARY = "byte_bpe_50k.json"
 
@@ -20,7 +20,8 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays: five-word shingles, similarity 0.8 or more."""
+    """One document of each group stays: fingerprints of five-word shingles, compared
+    bit-sliced, then their exact similarity, 0.8 or more."""
     return simhash.drop_near_duplicates(docs, words=5, similarity=0.8)
 
 
@@ -30,7 +31,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them, cut where it takes a part."""
+    """Documents as often as the shards of the mix draw them, cut where one draws a part."""
     return mixing.mixed_documents(docs)
 
 
@@ -54,7 +55,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each stage's result is written and read again; what its operators wrote on the way
+    goes then, but for the token files themselves."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = saved(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        keep: list[str] = []
+        with scratch_scope(spark, keep) as made:
+            result = stage(spark, docs, sf_dir)
+            keep.append(scratch(spark, name.replace(" ", "-")))
+            result.write.option("compression", "zstd").parquet(keep[0])
+            keep.extend(path for path in made if "/pipeline-tokens-" in path)
+        docs = spark.read.schema(result.schema).parquet(keep[0])
     return docs
