@@ -14,11 +14,12 @@ Two ways use it:
   three ranges (38 bits at r = 2) are a key, and equal keys are searched. This finds every
   link, and keys that long hold few fingerprints by chance however many there are. A link is
   taken in the first of its keys only. Equal fingerprints are one node.
-* ``near_duplicates``: documents whose word shingles overlap by a Jaccard similarity of
-  at least 0.8. Bands of min-hashes of the same shingles say which fingerprints are worth a
-  comparison; fingerprints of 256 bits within ``wide_radius`` are candidates, found bit-sliced;
-  at last the shingle sets are compared exactly. (Keys of equal fingerprint bits can't serve at
-  0.8: some 15% of the bits differ, so keys short enough to agree hold unrelated documents.)
+* ``near_duplicates``: documents whose sets of word shingles have a cosine similarity, which
+  is what fingerprints measure, of at least 0.8. Fingerprints of 256 bits within
+  ``wide_radius``, found bit-sliced, make the groups of candidates; their shingle sets are then
+  compared exactly. Which fingerprints meet is said by bands of min-hashes of the same
+  shingles. (Keys of equal fingerprint bits can't serve at 0.8: some 20% of the bits differ, so
+  keys short enough to agree hold unrelated documents.)
 
 Large buckets are cut into tiles of at most ``TILE`` rows, and every pair of tiles is a
 group of its own, so no task holds an unbounded bucket. A group returns a spanning forest
@@ -141,7 +142,7 @@ def _above(count: list[np.ndarray], radius: int) -> np.ndarray:
 
 class _Forest:
     def __init__(self, n: int):
-        self.up = list(range(n))
+        self.up, self.joined = list(range(n)), 0
 
     def root(self, x: int) -> int:
         while self.up[x] != x:
@@ -152,6 +153,7 @@ class _Forest:
     def join(self, a: int, b: int) -> bool:
         a, b = self.root(a), self.root(b)
         self.up[max(a, b)] = min(a, b)
+        self.joined += a != b
         return a != b
 
 
@@ -215,8 +217,10 @@ def _pairs(starts: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
             yield (some + i).ravel(), (some + j).ravel()
 
 
-def _near(prints: np.ndarray, starts: np.ndarray, sides: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Row numbers (i, j) of prints within the radius, for groups of small and large size."""
+def _near(prints: np.ndarray, starts: np.ndarray, sides: np.ndarray, radius: int, forest: _Forest) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Row numbers (i, j) of prints within the radius, for groups of small and large size.
+    A large group ends when ``forest``, to which the caller adds links, has all of it in one
+    tree."""
     # a group of two tiles compares across them only
     two_tiles = np.repeat(np.maximum.reduceat(sides, starts[:-1]) > 0, np.diff(starts))
     for i, j in _pairs(starts):
@@ -228,8 +232,10 @@ def _near(prints: np.ndarray, starts: np.ndarray, sides: np.ndarray, radius: int
         if hi - lo <= SMALL:
             continue
         planes, cut = BitPlanes(prints[lo:hi]), int((sides[lo:hi] == 0).sum())
-        two = cut < hi - lo
+        two, begun = cut < hi - lo, forest.joined
         for i in range(cut if two else hi - lo - 1):
+            if forest.joined - begun == hi - lo - 1:
+                break
             j = planes.within(planes.bits[i], radius, cut if two else i + 1)
             yield np.full(len(j), lo + i), lo + j
 
@@ -259,7 +265,7 @@ def _linked(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.Recor
         values = table.column("print").to_numpy()
         prints, sides, keys = values.view(np.uint64), table.column("side").to_numpy(), table.column("key").to_numpy()
         forest, a, b = _Forest(len(prints)), [], []
-        for i, j in _near(prints, starts, sides, radius):
+        for i, j in _near(prints, starts, sides, radius, forest):
             x = prints[i] ^ prints[j]
             first = ((x[:, None] & masks) == 0).argmax(1)
             own = (x != 0) & (keys[i] == first) & (keys[j] == first)
@@ -306,9 +312,10 @@ def simhash_components(docs: DataFrame, words: int = 3, radius: int = 2) -> Data
 
 # --- word shingles of at least a given similarity ------------------------------------------
 
-#: Min-hash bands for candidates: at similarity 0.8 one of 16 bands of 5 agrees with a
-#: probability of 0.998, at 0.9 of 0.9999999.
-BANDS, BAND_ROWS = 16, 5
+#: Min-hash bands that say which fingerprints meet. A cosine of 0.8 is a Jaccard similarity of
+#: 0.64 at least (0.67 for sets of one size): one of 25 bands of 4 agrees with a probability
+#: of 0.99 (0.996), at a cosine of 0.85 of 0.999.
+BANDS, BAND_ROWS = 25, 4
 _MULTIPLIERS = np.random.default_rng(20).integers(1, 2**63, BANDS * BAND_ROWS, dtype=np.uint64) | np.uint64(1)
 
 
@@ -324,15 +331,19 @@ def _min_hashes(hashes: np.ndarray) -> np.ndarray:
 
 
 def _sketches(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
-    """(digest of the shingle set, band keys) of each text."""
+    """(digest of the shingle set, band keys, wide fingerprint) of each text."""
     for batch in sliced(batches):
-        digests, bands = [], []
+        digests, bands, prints = [], [], []
         for text in batch.column("text").to_pylist():
             found = np.unique(shingle_hashes(text, words))
             digests.append(xxhash.xxh3_128_digest(found.tobytes()))
             lows = _min_hashes(found).reshape(BANDS, BAND_ROWS)
             bands.append([xxhash.xxh64_intdigest(x.tobytes(), k) - 2**63 for k, x in enumerate(lows)])
-        yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("doc_id"), pa.array(digests, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], names=["row", "doc_id", "digest", "bands"])
+            prints.append(wide_fingerprint(found).tobytes())
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("row"), batch.column("doc_id"), pa.array(digests, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(prints, pa.binary())],
+            names=["row", "doc_id", "digest", "bands", "print"],
+        )
 
 
 #: 64-bit lanes of the fingerprints of shingle sets.
@@ -351,75 +362,101 @@ def wide_fingerprint(hashes: np.ndarray) -> np.ndarray:
 
 
 def wide_radius(similarity: float) -> int:
-    """Bits in which wide fingerprints of sets of at least this similarity differ, at most:
-    the mean for the angle between such sets and five deviations. At 0.8 that is 68 of 256;
-    unrelated sets differ in 128, and 60 are more than seven deviations."""
-    n, share = 64 * LANES, np.arccos(2 * similarity / (1 + similarity)) / np.pi
-    return int(min(n - 1, np.ceil(n * share + 5 * np.sqrt(n * share * (1 - share)))))
+    """Bits in which wide fingerprints of sets of at least this cosine differ, at most: the
+    mean for the angle between such sets and four deviations. At 0.8 that is 79 of 256;
+    unrelated sets differ in 128, and 49 are six deviations."""
+    n, share = 64 * LANES, np.arccos(similarity) / np.pi
+    return int(min(n - 1, np.ceil(n * share + 4 * np.sqrt(n * share * (1 - share)))))
+
+
+def _lanes(column: pa.ChunkedArray) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(-1, LANES)
+
+
+def _wide_linked(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.RecordBatch]:
+    """Spanning forests of the wide fingerprints within the radius in sorted groups."""
+    for table, starts in _runs(batches, ["bucket", "tile_a", "tile_b"]):
+        prints, nodes = _lanes(table.column("print")), table.column("node")
+        forest, a, b = _Forest(len(prints)), [], []
+        for i, j in _near(prints, starts, table.column("side").to_numpy(), radius, forest):
+            for p, q in zip(i.tolist(), j.tolist()):
+                if forest.join(p, q):
+                    a.append(nodes[p].as_py())
+                    b.append(nodes[q].as_py())
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
 
 
 def _shingle_sets(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
     for batch in sliced(batches, 256):
-        sets = [np.unique(shingle_hashes(x, words)) for x in batch.column("text").to_pylist()]
-        prints = [wide_fingerprint(x).tobytes() for x in sets]
+        sets = [np.unique(shingle_hashes(x, words)).tobytes() for x in batch.column("text").to_pylist()]
         columns = [c for c in batch.schema.names if c != "text"]
-        yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in columns], pa.array(prints, pa.binary()), pa.array([x.tobytes() for x in sets], pa.binary())], names=[*columns, "print", "shingles"])
+        yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in columns], pa.array(sets, pa.binary())], names=[*columns, "shingles"])
 
 
 def _similar(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
-    """Spanning forests of the links within sorted groups of candidates."""
+    """Spanning forests of the links within sorted groups of candidates: fingerprints
+    within the radius, then the exact similarity of the sets."""
     radius = wide_radius(similarity)
     for table, starts in _runs(batches, ["cluster", "tile_a", "tile_b"]):
-        nodes, shingles = table.column("node"), table.column("shingles")
-        prints = np.frombuffer(b"".join(table.column("print").to_pylist()), np.uint64).reshape(-1, LANES)
+        nodes, shingles, prints = table.column("node"), table.column("shingles"), _lanes(table.column("print"))
         forest, a, b = _Forest(len(prints)), [], []
-        for some_i, some_j in _near(prints, starts, table.column("side").to_numpy(), radius):
+        for some_i, some_j in _near(prints, starts, table.column("side").to_numpy(), radius, forest):
             for i, j in zip(some_i.tolist(), some_j.tolist()):
                 if forest.root(i) == forest.root(j):
                     continue
                 one, two = (np.frombuffer(shingles[k].as_py(), np.uint64) for k in (i, j))
-                small, large = sorted((len(one), len(two)))
-                if small < similarity * large:
-                    continue
-                both = len(np.intersect1d(one, two, assume_unique=True))
-                if both >= similarity * (small + large - both):
+                if alike(one, two, similarity):
                     forest.join(i, j)
                     a.append(nodes[i].as_py())
                     b.append(nodes[j].as_py())
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
 
 
+def alike(one: np.ndarray, two: np.ndarray, similarity: float) -> bool:
+    """Whether two sorted sets have at least this cosine similarity: what they share to the
+    root of the product of their sizes. Two empty sets are alike."""
+    small, large = sorted((len(one), len(two)))
+    if small < similarity * similarity * large:
+        return False
+    both = len(np.intersect1d(one, two, assume_unique=True))
+    return both * both >= similarity * similarity * small * large
+
+
 def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, tile: int = TILE, tile_bytes: int = TILE_BYTES) -> DataFrame:
     """One row per row of ``docs(doc_id, text)``: row (its key), doc_id, group_id (the
     smallest doc_id of its group) and kept (true for one row of each group).
 
-    Two texts link if the Jaccard similarity of their sets of ``words``-word shingles is
-    at least ``similarity``; groups are what links connect. Texts with equal sets are one
-    node, null and blank texts too. A link is missed with a probability of at most 0.002 at
-    0.8 and far less above. Null ids sort last; rows that repeat doc_id and text are one group,
+    Two texts link if the cosine similarity of their sets of ``words``-word shingles is at
+    least ``similarity``; groups are what links connect. Texts with equal sets are one node,
+    null and blank texts too. A link is missed with a probability of at most 0.01 at 0.8, where
+    it is a bare link, and far less above. Null ids sort last; rows that repeat doc_id and text are one group,
     all of them kept if the group's smallest is theirs. Whole texts are read, however long. An
     empty table gives an empty result; further columns are ignored, whatever their names.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("row", row_key(F.col("doc_id"), F.col("text")))
     kind = rows.schema["row"].dataType.simpleString()
-    sketches = saved(rows.select("row", "doc_id", "text").mapInArrow(lambda b: _sketches(b, words), f"row {kind}, doc_id long, digest binary, bands array<bigint>"), "sketches")
+    sketches = saved(rows.select("row", "doc_id", "text").mapInArrow(lambda b: _sketches(b, words), f"row {kind}, doc_id long, digest binary, bands array<bigint>, print binary"), "sketches")
     # a node for each distinct set of shingles, named by its 128-bit digest; its smallest row stands for it
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("row").alias("row")))
-    nodes = sketches.groupBy("digest").agg(first.alias("first"), F.any_value("bands").alias("bands"))
-    nodes = saved(nodes.select(F.col("digest").alias("node"), "first.row", F.col("first.id").alias("doc_id"), "bands"), "nodes")
-    bands = nodes.select("node", F.posexplode("bands").alias("band", "key"))
-    hubs = saved(bands.groupBy("band", "key").agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1"), "hubs")
-    candidates = bands.join(hubs, ["band", "key"]).where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b"))
-    clusters = saved(components(candidates), "clusters")  # groups that hold all links, and more
-    members = saved(nodes.join(clusters, "node").select("row", "node", F.col("root").alias("cluster")), "members")
+    nodes = sketches.groupBy("digest").agg(first.alias("first"), F.any_value("bands").alias("bands"), F.any_value("print").alias("print"))
+    nodes = saved(nodes.select(F.col("digest").alias("node"), "first.row", F.col("first.id").alias("doc_id"), "bands", "print"), "nodes")
+    # fingerprints meet in the buckets of their bands; what is within the radius there is a cluster
+    met = nodes.select("node", F.explode("bands").alias("bucket"))
+    buckets = met.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    buckets = saved(buckets.withColumn("n_tiles", F.ceil(F.col("n") / tile).cast("int")), "buckets")
+    dealt = saved(_dealt(met, ["bucket"], buckets.drop("n"), F.col("node")), "met")
+    grouped = _paired(dealt.join(nodes.select("node", "print"), "node"), ["bucket"], _parts(buckets, 50_000))
+    near = grouped.mapInArrow(lambda b: _wide_linked(b, wide_radius(similarity)), "a binary, b binary")
+    clusters = saved(components(near), "clusters")
+    members = saved(nodes.join(clusters, "node").select("row", "node", "print", F.col("root").alias("cluster")), "members")
     sizes = members.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"), F.sum(F.greatest("row.n", F.lit(0))).alias("bytes"))
     sizes = saved(sizes.withColumn("n_tiles", F.ceil(F.greatest(F.col("n") / tile, F.col("bytes") / tile_bytes, F.lit(1.0))).cast("int")), "cluster-sizes")
     wanted = saved(_dealt(members, ["cluster"], sizes.select("cluster", "n_tiles"), F.col("node")), "wanted")
-    texts = rows.select("row", "text").join(broadcast_if_small(wanted, 128), "row")
+    texts = rows.select("row", "text").join(broadcast_if_small(wanted, 160), "row")
     if not sketches.groupBy("row").count().where("count > 1").isEmpty():
         texts = texts.dropDuplicates(["node"])  # repeated rows
     schema = "node binary, cluster binary, n_tiles int, tile int, print binary, shingles binary"
-    sets = texts.select("node", "cluster", "n_tiles", "tile", "text").mapInArrow(lambda b: _shingle_sets(b, words), schema)
+    sets = texts.select("node", "cluster", "n_tiles", "tile", "print", "text").mapInArrow(lambda b: _shingle_sets(b, words), schema)
     links = _paired(sets, ["cluster"], _parts(sizes, 20_000)).mapInArrow(lambda b: _similar(b, similarity), "a binary, b binary")
     roots = saved(components(links), "roots")
     joined = saved(nodes.join(roots, "node", "left").select("node", "doc_id", "row", F.coalesce("root", "node").alias("root")), "grouped")

@@ -290,7 +290,8 @@ def test_near_duplicates(spark, none, tile):
     forest = simhash._Forest(len(every))
     for i in range(len(every)):
         for j in range(i):
-            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+            size = 0.64 * len(sets[i]) * len(sets[j])
+            if (not sets[i] and not sets[j]) or len(sets[i] & sets[j]) ** 2 >= size > 0:
                 forest.join(i, j)
     want = {}
     for i, r in enumerate(every):
@@ -303,6 +304,24 @@ def test_near_duplicates(spark, none, tile):
     assert simhash.near_duplicates(none).count() == 0 and simhash.drop_near_duplicates(none).count() == 0
 
 
+def test_near_duplicates_recall(spark):
+    """Of all pairs of documents at least 0.8 alike, as all pairs tell, those in one group."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").unionByName(spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("doc_id >= 200").select("doc_id", "text"))
+    group = {r["doc_id"]: r["group_id"] for r in simhash.near_duplicates(docs).collect()}
+    sets = {r["doc_id"]: np.unique(simhash.shingle_hashes(r["text"], 5)) for r in docs.collect()}
+    holds: dict[int, list] = {}
+    for i, x in sets.items():
+        for h in x.tolist():
+            holds.setdefault(h, []).append(i)
+    pairs = {(i, j) for x in holds.values() for i in x for j in x if i < j}
+    linked = [(i, j) for i, j in pairs if simhash.alike(sets[i], sets[j], 0.8)]
+    found = sum(group[i] == group[j] for i, j in linked)
+    print("near pairs", len(linked), "in one group", found)
+    assert len(linked) > 50 and found >= 0.98 * len(linked)
+    alone = set(sets) - {i for p in linked for i in p}
+    assert sum(group[i] == i for i in alone) >= len(alone) - 12  # the rest: blank or short texts that are equal
+
+
 def test_components_of_chains_and_hubs(spark):
     chain = [(i, i + 1) for i in range(0, 40)]
     hub = [(100, 101 + i) for i in range(50)] + [(120, 200), (201, 201)]
