@@ -160,46 +160,46 @@ def planted_findings(docs: DataFrame, findings: int = 8_000, seed: int = 7) -> D
         return F.array_join(F.slice("w", pick(salt, F.size("w")) + 1, 8), " ")
 
     digest = lambda salt: F.sha2(F.concat_ws("-", "doc_id", "k", F.lit(seed + salt)), 256)
-    hexes = lambda salt, n: F.substring(digest(salt), 1, n)
-    # 40 letters and digits, of which some are taken
-    mixed = lambda salt, least: F.left(F.translate(F.base64(F.unhex(F.concat(digest(salt), digest(salt + 1)))), "+/=\r\n", ""), F.lit(least) + pick(salt, 40 - least))
-    capitals = F.translate(hexes(20, 20), "0123456789abcdef", "Q2W3E4R5T6Y7UZIB")
-    digits = lambda salt, n: F.lpad(F.conv(hexes(salt, 15), 16, 10), n, "7")
-    name, other = one_of(30, _SECRET_NAMES), one_of(31, _OTHER_NAMES)
-    sign, quote = one_of(32, ("=", " = ", ": ", ":")), one_of(33, ('"', "'"))
-    phrase = lambda mark: F.concat_ws(mark, word(40), word(41), word(42), pick(43, 90).cast("string"))
-    passphrase = F.concat(F.initcap(F.left(word(44), F.lit(7))), pick(45, 900).cast("string"), one_of(46, ("!", "$", "#", "&x", "-Q")))
-    none = F.lit("")
+    # what values are made of, as columns of a small written table: 40 letters and digits, hex digits, words
+    parts = {f"w{i}": word(40 + i) for i in range(8)} | {f"n{i}": pick(50 + i, 90).cast("string") for i in range(3)}
+    parts |= {f"mixed{i}": F.translate(F.base64(F.unhex(F.concat(digest(10 + i), digest(15 + i)))), "+/=\r\n", "") for i in range(2)} | {f"hex{i}": digest(20 + i) for i in range(3)}
+    parts |= {"name": one_of(30, _SECRET_NAMES), "other": one_of(31, _OTHER_NAMES), "sign": one_of(32, ("=", " = ", ": ", ":")), "quote": one_of(33, ('"', "'")), "end": one_of(34, ("!", "$", "#", "&x", "-Q")), "size": pick(35, 16)}
+    rows = saved(rows.select("doc_id", "k", *[c.alias(n) for n, c in parts.items()], F.concat(near(73), F.lit(" ")).alias("lead"), near(74).alias("rest")), "planted-parts")
+    name, other, sign, quote, none = F.col("name"), F.col("other"), F.col("sign"), F.col("quote"), F.lit("")
+    hexes = lambda i, n: F.left(f"hex{i}", F.lit(n))
+    mixed = lambda i, least: F.left(f"mixed{i}", F.lit(least) + F.col("size"))
+    phrase = lambda mark: F.concat_ws(mark, "w0", "w1", "w2", "n0")
+    digits = lambda i, n: F.lpad(F.conv(hexes(i, 15), 16, 10), n, "7")
     kinds = [  # secret, what stands before, value, what stands after
-        (True, F.concat(name, sign, quote), hexes(1, 32), quote),
-        (True, F.concat(name, F.lit(" = "), quote), hexes(2, 32), quote),
-        (True, F.concat(name, F.lit("=")), mixed(3, 16), none),
-        (True, F.concat(name, F.lit(": "), quote), mixed(5, 20), quote),
-        (True, F.concat(F.lit("https://app:"), none), mixed(7, 8), F.lit("@db.example.org/main")),
-        (True, F.concat(F.lit("https://example.org/?"), name, F.lit("=")), mixed(9, 16), F.lit("&page=2")),
-        (True, F.lit("Authorization: Bearer "), mixed(11, 30), none),
-        (True, F.lit("use "), F.concat(F.lit("ghp_"), mixed(13, 24)), none),
-        (True, F.lit("account AK"), capitals, none),
-        (True, F.concat(name, sign, quote), passphrase, quote),
+        (True, F.concat(name, sign, quote), hexes(0, 32), quote),
+        (True, F.concat(name, F.lit(" = "), quote), hexes(0, 32), quote),
+        (True, F.concat(name, F.lit("=")), mixed(0, 16), none),
+        (True, F.concat(name, F.lit(": "), quote), mixed(1, 20), quote),
+        (True, F.lit("https://app:"), mixed(0, 8), F.lit("@db.example.org/main")),
+        (True, F.concat(F.lit("https://example.org/?"), name, F.lit("=")), mixed(1, 16), F.lit("&page=2")),
+        (True, F.lit("Authorization: Bearer "), mixed(0, 24), none),
+        (True, F.lit("use "), F.concat(F.lit("ghp_"), mixed(1, 20)), none),
+        (True, F.lit("account AK"), F.translate(hexes(1, 20), "0123456789abcdef", "Q2W3E4R5T6Y7UZIB"), none),
+        (True, F.concat(name, sign, quote), F.concat(F.initcap(F.left("w3", F.lit(7))), "n1", "n2", "end"), quote),
         (False, F.concat(name, sign, quote), phrase("_"), quote),
         (False, F.concat(name, F.lit(" = ")), F.concat(F.lit("get_"), phrase("_"), F.lit("()")), none),
-        (False, F.concat(F.lit("the "), name, F.lit(": ")), word(50), none),
+        (False, F.concat(F.lit("the "), name, F.lit(": ")), F.col("w4"), none),
         (False, F.concat(name, sign, quote), F.concat(F.lit("/etc/"), phrase("/"), F.lit(".pem")), quote),
         (False, F.lit("see /srv/"), F.concat(phrase("/"), F.lit(".txt")), none),
-        (False, F.concat(other, F.lit(" ")), hexes(51, 40), none),
-        (False, F.concat(other, sign, quote), hexes(52, 32), quote),
-        (False, F.concat(other, F.lit(": ")), digits(53, 16), none),
-        (False, F.lit("on "), F.concat(F.lit("2024-01-15T10:"), pick(54, 60).cast("string"), F.lit(":00.000")), none),
-        (False, F.concat(other, F.lit(" ")), F.concat_ws("-", hexes(55, 8), hexes(56, 4), hexes(57, 4), hexes(58, 4), hexes(59, 12)), none),
-        (False, F.lit("https://example.org/"), F.concat(phrase("-"), F.lit("-"), digits(60, 8)), none),
-        (False, F.lit("call "), F.concat(word(61), F.initcap(word(62)), F.initcap(word(63)), pick(64, 90).cast("string")), none),
-        (False, F.concat(name, sign), digits(65, 6), none),
+        (False, F.concat(other, F.lit(" ")), hexes(2, 40), none),
+        (False, F.concat(other, sign, quote), hexes(2, 32), quote),
+        (False, F.concat(other, F.lit(": ")), digits(1, 16), none),
+        (False, F.lit("on "), F.concat(F.lit("2024-01-15T10:"), "n1", F.lit(":00.000")), none),
+        (False, F.concat(other, F.lit(" ")), F.regexp_replace(hexes(2, 32), "^(.{8})(.{4})(.{4})(.{4})", "$1-$2-$3-$4-"), none),
+        (False, F.lit("https://example.org/"), F.concat(phrase("-"), F.lit("-"), digits(1, 8)), none),
+        (False, F.lit("call "), F.concat("w5", F.initcap("w6"), F.initcap("w7"), "n2"), none),
+        (False, F.concat(name, sign), digits(1, 6), none),
     ]
     forms = F.array(*[F.struct(F.lit(secret).alias("secret"), before.alias("before"), value.alias("value"), after.alias("after")) for secret, before, value, after in kinds])
     # secrets and look-alikes in equal number
     yes = sum(k[0] for k in kinds)
     kind = F.when(pick(70, 2) == 0, pick(71, yes)).otherwise(pick(72, len(kinds) - yes) + yes)
-    rows = rows.select("doc_id", F.concat(near(73), F.lit(" ")).alias("lead"), F.element_at(forms, kind + 1).alias("f"), near(74).alias("rest"))
+    rows = rows.select("doc_id", "lead", F.element_at(forms, kind + 1).alias("f"), "rest")
     text = F.concat("lead", "f.before", "f.value", "f.after", F.lit(" "), "rest")
     return rows.select("doc_id", text.alias("text"), (F.length("lead") + F.length("f.before")).cast("long").alias("start"), F.length("f.value").cast("long").alias("length"), "f.secret")
 

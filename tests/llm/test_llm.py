@@ -555,3 +555,83 @@ def test_pipeline_stages(spark):
     assert rows(kept[2], "doc_id") == rows(hits, "doc_id")
     assert kept[4].count() == kept[3].count() > 0
     assert queries.QUERIES.keys() >= queries.SQL.keys()
+
+
+def test_pipeline_on_odd_rows(spark, docs, none):
+    import corpus_pipeline as pipeline
+
+    d = "/root/testdata/sf0.001"
+    for table_ in (docs, none):
+        before = left = table_
+        for k, (_, stage) in enumerate(pipeline.STAGES):
+            path = scratch(spark, "odd-stage")
+            stage(spark, left, d).write.parquet(path)
+            left = spark.read.parquet(path)
+            assert k == len(pipeline.STAGES) - 1 or left.columns == before.columns
+        assert left.columns == ["doc_id", "start", "n_tokens", "ids_crc32"] and (left.count() > 0) == (table_ is docs)
+
+
+def test_equal_hashes_decide_nothing(monkeypatch):
+    """Texts whose beginning and hash are all the same are told apart by their bytes, and
+    groups that partitions cut are put together."""
+    import pyarrow as pa
+
+    norms = sorted(b"x" * 40 + f"{i % 7}".encode() for i in range(60))
+    rows_ = [(n[:32], 0, n, 41 + i % 3, i) for i, n in enumerate(norms)]
+    schema, merged_schema = exact_dedup._schema(exact_dedup._KEYED), exact_dedup._schema(exact_dedup._RUNS)
+    found = []
+    for part, (lo, hi) in enumerate(((0, 13), (13, 14), (14, 60))):
+
+        class Context:
+            @staticmethod
+            def get(part=part):
+                return type("Task", (), {"partitionId": staticmethod(lambda: part)})
+
+        monkeypatch.setattr(exact_dedup, "TaskContext", Context)
+        batch = pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows_[lo:hi]), schema)], schema=schema)
+        found += pa.Table.from_batches(list(exact_dedup._runs(iter([batch.slice(0, 5), batch.slice(5)]))), merged_schema).to_pylist()
+    assert len(found) == 60 and all(r["shared"] for r in found)
+    carriers = sorted((r for r in found if r["first"]), key=lambda r: r["norm"])
+    batch = pa.RecordBatch.from_arrays([pa.array([r[f.name] for r in carriers], f.type) for f in merged_schema], schema=merged_schema)
+    merged = {(r["part"], r["run"]): r for b in exact_dedup._merge(iter([batch])) for r in b.to_pylist()}
+    for r in found:
+        mine = [x for x in rows_ if x[2] == norms[r["doc_id"]]]
+        got = merged[r["part"], r["run"]]
+        assert got["n"] == len(mine) and got["keep_id"] == min(mine, key=lambda x: (-x[3], x[4]))[4]
+        assert (r["first"] and got["wins"]) == (r["doc_id"] == got["keep_id"])
+
+
+def test_hot_keys_split(spark):
+    """With low thresholds and no broadcast, the joins that meet a hot line, digest, host or
+    group of copies are split."""
+    low = {
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "1k", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.1",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "2k", "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.shuffle.partitions": "8",
+    }
+    before = {k: spark.conf.get(k, None) for k in low}
+    ids = spark.range(0, 9_000, 1, 6)
+    third = F.col("id") % 3 == 0
+    docs = ids.select(F.col("id").alias("doc_id"), F.when(third, F.lit(LINE)).otherwise(F.concat(F.lit("A line of its own, of forty letters and more "), F.col("id"))).alias("text"))
+    pages = ids.select(F.col("id").alias("page_id"), F.concat(F.lit("http://"), F.when(third, F.lit("hot.net")).otherwise(F.concat(F.lit("h"), F.col("id"), F.lit(".com"))), F.lit("/de/"), F.col("id")).alias("url"), F.lit(None).cast("string").alias("html"))
+    try:
+        for k, v in low.items():
+            spark.conf.set(k, v)
+        for name, found in {
+            "lines": line_dedup.dedup_lines(docs),
+            "tokens": token_counts.count_tokens(docs, VOCABULARY),
+            "urls": url_trust.judge_urls(pages, url_trust.rule_table(spark)),
+        }.items():
+            found.collect()
+            assert found.count() == 9_000 and "skew=true" in found._jdf.queryExecution().executedPlan().toString(), name
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def test_urls_with_clashing_columns_and_long_html(spark):
+    html = "x" * 2_000_000 + '<a href="http://bad.com/">y</a>' + " href=" * 100_000
+    pages = spark.createDataFrame([(1, "http://lure.net/", html, "h"), (2, "http://bad.com/de/", None, "h"), (3, "http://" + "a" * 100_000 + ".net/", "", "h"), (None, None, None, None)], "page_id long, url string, html string, host string")
+    pages = pages.withColumns({c: F.lit("mine") for c in ("path", "rules", "found", "score", "verdict", "labels")})
+    got = {r["page_id"]: r for r in url_trust.judge_urls(pages, url_trust.rule_table(spark)).collect()}
+    assert [got[k]["verdict"] for k in (1, 2, 3, None)] == ["block", "block", "allow", "allow"] and got[1]["host"] == "lure.net"
