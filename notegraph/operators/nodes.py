@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from notegraph.functions.text import BLANK, LINK_PREFIX, MATH_BLOCK, MATH_INLINE, METADATA_FENCE, js_trim
+from notegraph.functions.text import BLANK, MATH_BLOCK, METADATA_FENCE, js_trim
 from notegraph.sources.scratch import saved
 
 _NODE = "type string, text string, attrs string, marks string, content string"
@@ -215,15 +215,6 @@ def marks_table(nodes: DataFrame) -> DataFrame:
     return rows.where(~((F.col("mark") == "link") & F.coalesce(attr("href").startswith("wikilinks:"), F.lit(False))))
 
 
-def code_sentinels(nodes: DataFrame) -> DataFrame:
-    """Inline code that carries a link or a formula: doc_id, node_path, kind, payload."""
-    coded = marks_table(nodes).where("mark = 'code'").select("doc_id", "node_path").distinct()
-    rows = nodes.where(F.col("text").startswith(LINK_PREFIX) | F.col("text").startswith(MATH_INLINE)).join(coded, ["doc_id", "node_path"], "left_semi")
-    link = F.col("text").startswith(LINK_PREFIX)
-    payload = F.when(link, F.substring("text", len(LINK_PREFIX) + 1, 1 << 30)).otherwise(F.substring("text", len(MATH_INLINE) + 1, 1 << 30))
-    return rows.select("doc_id", "node_path", F.when(link, "link").otherwise("math").alias("kind"), payload.alias("payload"))
-
-
 def task_status(nodes: DataFrame) -> DataFrame:
     """doc_id, done, open."""
     done = F.coalesce(attr("state") == "DONE", F.lit(False))
