@@ -39,16 +39,26 @@ def _bound(value: Column, use) -> Column:
 
 
 def _windows(w: Column, lengths: list[int]) -> Column:
-    """(pos, length, hash) of each window of the words, from hashes of the words."""
+    """Hashes of all windows of the words, length after length, from hashes of the words."""
 
     def of(hashes: Column, length: int) -> Column:
         n = F.size(hashes) - length + 1
-        starts = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
-        return F.transform(starts, lambda i: F.struct(i.alias("pos"), F.lit(length).alias("length"), F.xxhash64(F.slice(hashes, i + 1, length)).alias("hash")))
+        starts = F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, lambda i: F.xxhash64(F.slice(hashes, i, length)))
 
     return _bound(F.transform(w, lambda x: F.xxhash64(x)), lambda h: F.concat(*[of(h, n) for n in lengths]))
 
 
+def _position(lengths: list[int]) -> Column:
+    """Where the window ``at`` of ``_windows`` starts, for n words and the length of the
+    n-gram that it meets."""
+    before, found = F.lit(0), F.lit(-1)
+    for length in lengths:
+        found = F.when(F.col("length") == length, F.col("at") - before).otherwise(found)
+        before = before + F.greatest(F.lit(0), F.col("n") - length + 1)
+    return found
+
+
 def _item_windows(items: DataFrame, n: int) -> DataFrame:
     """One row for each window of the items: hash, length, gram (its words), items (sorted)."""
     w = items.select(F.col("item_id").cast("string").alias("item"), words(F.col("text")).alias("w")).where(F.size("w") > 0)
@@ -83,13 +93,18 @@ def hit_rows(docs: DataFrame, items: DataFrame, n: int = 10, broadcast_bytes: in
     lengths = sorted(r["length"] for r in found)
     if not lengths:
         return keyed.limit(0).select("row", *[F.array().cast(t).alias(c) for c, t in _NO_HITS.items()])
-    same = F.slice("w", F.col("pos") + 1, F.col("length")) == F.col("gram")
+    # windows are a column before they are exploded: the explosion, the join and the
+    # comparison then are one compiled stage, in which a document's words are not copied
+    read = keyed.select("row", words(F.col("text")).alias("w"))
+    read = read.select("row", "w", F.size("w").alias("n"), _windows(F.col("w"), lengths).alias("hashes"))
+    fits = (F.col("pos") >= 0) & (F.col("pos") + F.col("length") <= F.col("n"))
+    same = F.when(fits, F.slice("w", F.greatest(F.col("pos"), F.lit(0)) + 1, F.col("length"))) == F.col("gram")
     if sum(r["bytes"] for r in found) <= broadcast_bytes:
-        each = keyed.select("row", words(F.col("text")).alias("w")).select("row", "w", F.inline(_windows(F.col("w"), lengths)))
-        hits = each.join(F.broadcast(grams), ["hash", "length"]).where(same).select("row", "pos", "length", "items")
-        return _placed(saved(hits, "hits"))
-    each = keyed.select("row", F.inline(_windows(words(F.col("text")), lengths)))
-    candidates = saved(each.join(grams, ["hash", "length"]).select("row", "pos", "length", "gram", "items"), "candidates")
+        each = read.select("row", "w", "n", F.posexplode_outer("hashes").alias("at", "hash"))
+        hits = each.join(F.broadcast(grams), "hash").withColumn("pos", _position(lengths)).where(same)
+        return _placed(saved(hits.select("row", "pos", "length", "items"), "hits"))
+    each = read.select("row", "n", F.posexplode_outer("hashes").alias("at", "hash"))
+    candidates = saved(each.join(grams, "hash").select("row", "n", _position(lengths).alias("pos"), "length", "gram", "items"), "candidates")
     # only texts with a candidate come along; a row's candidates meet them one by one
     some = broadcast_if_small(saved(candidates.select("row").distinct(), "candidate-rows"), 64)
     texts = saved(keyed.join(some, "row", "left_semi").dropDuplicates(["row"]).select("row", words(F.col("text")).alias("w")), "candidate-texts")
