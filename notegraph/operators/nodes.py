@@ -7,14 +7,17 @@ rule below is a join or an aggregation on (doc_id, node_path).
 
 from __future__ import annotations
 
+import json
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from notegraph.functions.text import BLANK, MATH_BLOCK, METADATA_FENCE, js_trim
 from notegraph.sources.scratch import saved
 
-_NODE = "type string, text string, attrs string, marks string, content string"
-
 # Node types with a rule of their own.
 KNOWN_TYPES = (
     "doc", "paragraph", "heading", "text", "hardBreak", "rule", "bulletList", "orderedList", "listItem", "blockquote",
@@ -33,26 +36,68 @@ PANELS = {"info": ("info", "custom"), "note": ("note",), "warning": ("warning",
 
 
 def flatten_nodes(docs: DataFrame) -> DataFrame:
-    """``docs(doc_id, json)`` to a row for each node: doc_id, node_path (positions from the
-    root, which has none), parent_path, depth, type, text, attrs, marks, n_children.
-    Document order is the order of node_path. Each level of the deepest tree is a written
-    table that only its own nodes are in."""
-    root = docs.select("doc_id", F.array().cast("array<int>").alias("node_path"), F.from_json("json", _NODE).alias("n")).where("n is not null")
-    level = saved(_parsed_level(root), "nodes")
-    out = level
-    while not level.where("n_children > 0").isEmpty():
-        children = level.where("n_children > 0").select("doc_id", "node_path", F.posexplode("children").alias("at", "json"))
-        level = saved(_parsed_level(children.select("doc_id", F.concat("node_path", F.array("at")).alias("node_path"), F.from_json("json", _NODE).alias("n"))), "nodes")
-        out = out.unionByName(level)
+    """``docs(doc_id, json)`` to a row for each node, written: doc_id, pre, last, node_path (positions
+    from the root, which has none), parent_path, depth, type, text, attrs, marks, n_children.
+
+    ``pre`` numbers a document's nodes in document order from 0, and ``last`` is the number of the
+    last node below: a node is below another if its number is in that interval. Each document
+    is parsed once and its nodes are written once, however deep they lie. Trees of any depth have
+    no built-in form but a loop over levels that copies what is below, so this one step reads
+    JSON in Python, in Arrow batches. A null document has no rows. One that is no JSON object, or
+    is nested deeper than the parser can follow (some thousands of levels), is a root without a
+    type; so is a child that is no object, without children.
+    """
+    schema = StructType([docs.select("doc_id").schema["doc_id"], *StructType.fromDDL(_ROWS).fields])
+    rows = docs.select("doc_id", F.col("json").cast("string").alias("json")).where("json is not null").mapInArrow(_flattened, schema)
     depth = F.size("node_path")
     parent = F.when(depth > 0, F.slice("node_path", 1, F.greatest(depth - 1, F.lit(0))))
-    return out.select("doc_id", "node_path", parent.alias("parent_path"), depth.alias("depth"), "type", "text", "attrs", "marks", "n_children")
-
-
-def _parsed_level(rows: DataFrame) -> DataFrame:
-    children = F.from_json("n.content", "array<string>").alias("children")
-    rows = rows.select("doc_id", "node_path", "n.type", "n.text", "n.attrs", "n.marks", children)
-    return rows.withColumn("n_children", F.greatest(F.coalesce(F.size("children"), F.lit(0)), F.lit(0)))
+    return saved(rows.select("doc_id", "pre", "last", "node_path", parent.alias("parent_path"), depth.alias("depth"), "type", "text", "attrs", "marks", "n_children"), "nodes")
+
+
+_ROWS = "pre int, last int, node_path array<int>, type string, text string, attrs string, marks string, n_children int"
+#: Nodes of an Arrow batch.
+_BATCH = 20_000
+
+
+def _flattened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    kinds = [pa.int32(), pa.int32(), pa.list_(pa.int32()), pa.string(), pa.string(), pa.string(), pa.string(), pa.int32()]
+    for batch in batches:
+        ids, owners, rows = batch.column("doc_id"), [], []
+        for k, text in enumerate(batch.column("json")):
+            found = _nodes_of(text.as_py())
+            owners += [k] * len(found)
+            rows += found
+            if rows and (len(rows) >= _BATCH or k == batch.num_rows - 1):
+                columns = [pa.array(c, t) for c, t in zip(zip(*rows), kinds)]
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(owners)), *columns], names=["doc_id", *(f.split()[0] for f in _ROWS.split(", "))])
+                owners, rows = [], []
+
+
+def _nodes_of(text: str) -> list[list]:
+    try:
+        root = json.loads(text)
+    except (ValueError, RecursionError):
+        root = None
+    rows: list[list] = []
+    waiting: list[tuple[object, list[int]]] = [(root, [])]
+    parents: list[int] = []  # numbers of the nodes above the next one
+    while waiting:
+        node, path = waiting.pop()
+        for closed in parents[len(path) :]:
+            rows[closed][1] = len(rows) - 1
+        del parents[len(path) :]
+        parents.append(len(rows))
+        node = node if isinstance(node, dict) else {}
+        children = node.get("content") if isinstance(node.get("content"), list) else []
+        rows.append([len(rows), 0, path, *(_plain(node.get(c)) for c in ("type", "text", "attrs", "marks")), len(children)])
+        waiting += [(child, [*path, i]) for i, child in reversed(list(enumerate(children)))]
+    for closed in parents:
+        rows[closed][1] = len(rows) - 1
+    return rows
+
+
+def _plain(value: object) -> str | None:
+    return value if value is None or isinstance(value, str) else json.dumps(value, ensure_ascii=False, separators=(",", ":"))
 
 
 def attr(name: str) -> Column:
@@ -127,12 +172,26 @@ def panel_titles(nodes: DataFrame) -> DataFrame:
 
 
 def cell_text(nodes: DataFrame) -> DataFrame:
-    """doc_id, node_path, text: all text below a table cell, trimmed."""
-    cells = nodes.where(F.col("type").isin("tableCell", "tableHeader")).select("doc_id", "node_path")
-    texts = nodes.where("type = 'text'").select("doc_id", F.col("node_path").alias("at"), F.coalesce("text", F.lit("")).alias("text"))
-    above = texts.select("doc_id", "at", "text", F.explode(F.transform(F.sequence(F.lit(1), F.greatest(F.size("at") - 1, F.lit(1))), lambda i: F.slice("at", 1, i))).alias("node_path"))
-    found = above.join(cells, ["doc_id", "node_path"]).groupBy("doc_id", "node_path").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "text"))), lambda x: x["text"]), "").alias("text"))
-    return cells.join(found, ["doc_id", "node_path"], "left").select("doc_id", "node_path", js_trim(F.coalesce("text", F.lit(""))).alias("text"))
+    """doc_id, node_path, text: all text below a table cell, trimmed.
+
+    Cells that are open at a node are counted along the document, and a text goes to the last
+    cell that began at each level of cells up to this count: once, unless tables stand in
+    cells. All of it goes by doc_id, so nodes are shuffled once; what is sorted together is one
+    document's texts and cells."""
+    cell = F.col("type").isin("tableCell", "tableHeader")
+    rows = nodes.where(cell | (F.col("type") == "text")).select("doc_id", "pre", "last", cell.alias("cell"), "node_path", F.coalesce("text", F.lit("")).alias("text"))
+    # a cell begins at its number and ends behind the last node below it
+    begins = F.struct(F.col("pre").alias("at"), F.lit(0).alias("end"), F.when(F.col("cell"), 1).otherwise(0).alias("opens"))
+    ends = F.struct(F.col("last").alias("at"), F.lit(1).alias("end"), F.lit(-1).alias("opens"))
+    events = rows.select("*", F.explode(F.when(F.col("cell"), F.array(begins, ends)).otherwise(F.array(begins))).alias("e"))
+    along = Window.partitionBy("doc_id").orderBy("e.at", "e.end").rowsBetween(Window.unboundedPreceding, 0)
+    opened = events.withColumn("level", F.sum("e.opens").over(along)).where("e.end = 0")
+    levels = F.when(F.col("cell"), F.array("level")).when(F.col("level") > 0, F.sequence(F.lit(1).cast("long"), "level"))
+    placed = opened.select("doc_id", "pre", "cell", F.when(F.col("cell"), F.col("node_path")).alias("node_path"), F.when(~F.col("cell"), F.col("text")).alias("text"), F.explode(levels).alias("level"))
+    owner = F.last(F.when(F.col("cell"), F.col("pre")), ignorenulls=True).over(Window.partitionBy("doc_id", "level").orderBy("pre").rowsBetween(Window.unboundedPreceding, 0))
+    said = F.array_sort(F.collect_list(F.when(~F.col("cell"), F.struct("pre", "text"))))
+    found = placed.withColumn("owner", owner).groupBy("doc_id", "owner").agg(F.max("node_path").alias("node_path"), F.array_join(F.transform(said, lambda x: x["text"]), "").alias("text"))
+    return found.select("doc_id", "node_path", js_trim(F.col("text")).alias("text"))
 
 
 def table_cells(nodes: DataFrame) -> DataFrame:

@@ -67,29 +67,37 @@ def folder_titles(folders: DataFrame, taken: DataFrame) -> DataFrame:
     """``folders`` and the note titles ``taken(title)`` to folder_rel, title.
 
     A folder keeps its name if no other folder and no note has it. Else it takes the
-    shortest free suffix of its path, from two segments on; suffixes of different length
-    can't be equal, so a round for each length settles them. The rest get a hash.
+    shortest free suffix of its path, from two segments on, where folders choose by depth and
+    path; the rest get a hash.
+
+    Suffixes of different length can't be equal, so those that have a suffix of d segments lose
+    at most one of their number to each shorter suffix, and one of the first d - 1 of them gets
+    it. One table holds these first ones of every suffix, cut to so few in each task before they
+    are shuffled. A folder meets the rows of its own suffixes, and from them follows who
+    took which before it.
     """
     taken = taken.select("title").distinct()
-    named = folders.select("folder_rel", "segments", F.element_at("segments", -1).alias("name"))
-    counts = named.groupBy("name").agg((F.count(F.lit(1)) > 1).alias("shared"))
-    used = taken.select(F.col("title").alias("name"), F.lit(True).alias("used"))
-    rows = named.join(counts, "name").join(used, "name", "left").withColumn("must", F.col("shared") | F.coalesce("used", F.lit(False)))
-    done = rows.where(~F.col("must")).select("folder_rel", F.col("name").alias("title"))
-    left = rows.where("must").select("folder_rel", "segments", "name")
-    left = saved(left, "folder-round")
-    depth = left.agg(F.max(F.size("segments"))).first()[0] or 0
-    exhausted = left.where(F.size("segments") < 2)
-    for d in range(2, depth + 1):
-        # folders without so long a suffix stand aside: they have no title to compare
-        candidate = F.array_join(F.slice("segments", -d, d), " / ")
-        tried = left.where(F.size("segments") >= d).withColumn("title", candidate).join(taken.select("title", F.lit(True).alias("taken")), "title", "left")
-        first = F.min(F.struct(F.size("segments").alias("n"), F.col("folder_rel").alias("folder_rel"))).over(Window.partitionBy("title"))["folder_rel"]
-        won = F.col("taken").isNull() & (first == F.col("folder_rel"))
-        tried = saved(tried.select("folder_rel", "segments", "name", "title", won.alias("won")), "folder-round")
-        done = done.unionByName(tried.where("won").select("folder_rel", "title"))
-        left = tried.where("not won").select("folder_rel", "segments", "name")
-        exhausted = exhausted.unionByName(left.where(F.size("segments") == d))
+    depth = folders.agg(F.max("depth")).first()[0] or 0
+    lengths = F.sequence(F.lit(1), F.size("segments"))
+    suffixes = folders.select("folder_rel", "segments", F.explode(lengths).alias("d")).select("folder_rel", F.size("segments").alias("n"), "d", F.array_join(F.slice("segments", -F.col("d"), F.col("d")), " / ").alias("title"))
+    order = F.row_number().over(Window.partitionBy("title").orderBy("n", "folder_rel"))
+    firsts = suffixes.withColumn("rank", order).where(F.col("rank") <= max(2, depth - 1)).groupBy("title").agg(F.array_sort(F.collect_list(F.struct("rank", "folder_rel"))).alias("firsts"))
+    firsts = firsts.join(taken.select("title", F.lit(True).alias("taken")), "title", "left").select("title", F.col("firsts.folder_rel").alias("firsts"), F.coalesce("taken", F.lit(False)).alias("taken"))
+    # written, so that folders meet it in a join of plain exchanges, which splits where a suffix is hot
+    met = suffixes.join(saved(firsts, "folder-suffixes"), "title")
+    chain = met.groupBy("folder_rel").agg(F.array_sort(F.collect_list(F.struct("d", "title", "firsts", "taken"))).alias("chain"))
+
+    def step(state: Column, e: Column) -> Column:
+        free = ~e["taken"]
+        next_one = F.try_element_at(F.array_except(e["firsts"], state["gone"]), F.lit(1))
+        winner = F.when(free & ((e["d"] > 1) | (F.size(e["firsts"]) == 1)), next_one)
+        gone = F.when((e["d"] > 1) & winner.isNotNull(), F.concat(state["gone"], F.array(winner))).otherwise(state["gone"])
+        return F.struct(F.coalesce(state["title"], F.when(winner == F.col("folder_rel"), e["title"])).alias("title"), gone.alias("gone"))
+
+    start = F.struct(F.lit(None).cast("string").alias("title"), F.array().cast("array<string>").alias("gone"))
+    settled = saved(chain.select("folder_rel", F.aggregate("chain", start, step)["title"].alias("title")), "folder-titles")
+    done = settled.where("title is not null")
+    exhausted = settled.where("title is null").join(folders.select("folder_rel", "segments", F.element_at("segments", -1).alias("name")), "folder_rel")
     hashed = exhausted.select("folder_rel", F.concat("name", F.lit(" ("), hash6(F.col("folder_rel")), F.lit(")")).alias("base"), F.size("segments").alias("n"))
     # note titles that are the hash form, or that with underscores, push it further
     blocked = taken.where(F.regexp_like("title", F.lit(r" \([0-9a-f]{6}\)_*\z"))).select(F.regexp_replace("title", r"_+\z", "").alias("base"), (F.length("title") - F.length(F.regexp_replace("title", r"_+\z", ""))).alias("k"))

@@ -36,11 +36,22 @@ class Context:
         return links.link_targets(self.corpus)
 
 
+def slim_notes(notes: DataFrame, cfg: PlanConfig) -> DataFrame:
+    """``notes(path, content, ord)`` to path, ord, fm, fm_kind, h1: all that other notes, titles
+    and folders depend on."""
+    h1 = titles.first_h1(F.col("content")) if cfg.use_h1 else F.lit(None).cast("string")
+    return parse_frontmatter(split_frontmatter(notes)).select("path", "ord", "fm", "fm_kind", h1.alias("h1"))
+
+
 def publish_context(notes: DataFrame, cfg: PlanConfig) -> Context:
     """``notes(path, content, ord)`` to titles, folders and ids of the publishable ones."""
-    h1 = titles.first_h1(F.col("content")) if cfg.use_h1 else F.lit(None).cast("string")
-    parsed = parse_frontmatter(split_frontmatter(notes)).select("path", "ord", "fm", "fm_kind", h1.alias("h1"))
-    about = saved(filters.publishable(parsed, cfg.folder, cfg.publish_key), "notes-meta")
+    return context_of(slim_notes(notes, cfg), notes, cfg)
+
+
+def context_of(slim: DataFrame, notes: DataFrame, cfg: PlanConfig) -> Context:
+    """The context of the corpus that ``slim`` has, for texts out of ``notes(path, content)``, which
+    may be those of a part of it."""
+    about = saved(filters.publishable(slim, cfg.folder, cfg.publish_key), "notes-meta")
     own = about.select("path", "ord", F.coalesce("h1", titles.stem(F.col("path"))).alias("title"))
     places = tree.folder_of_file(about).drop("ord")
     named = saved(titles.dedup_titles(own, cfg.deduplicate_titles).join(places, "path"), "titles")
@@ -52,7 +63,13 @@ def publish_context(notes: DataFrame, cfg: PlanConfig) -> Context:
     folder_names = saved(tree.folder_titles(folders, named), "folder-titles")
     final = saved(titles.publish_titles(named, landings, folder_names), "final-titles")
     chosen = notes.join(about.select("path", "fm", "fm_kind"), "path")
-    return Context(chosen, notes.select("path"), about, files, folders, landings, folder_names, final, titles.id_index(about, final, landings))
+    return Context(chosen, slim.select("path"), about, files, folders, landings, folder_names, final, titles.id_index(about, final, landings))
+
+
+def panels(ctx: Context, only: DataFrame | None = None) -> DataFrame:
+    """path and block: the panels of notes that have metadata."""
+    about = ctx.meta if only is None else filters.restrict_to(ctx.meta, only)
+    return meta.metadata_block(meta.metadata_fields(about, ctx.titles, ctx.targets, ctx.ids))
 
 
 def render_notes(ctx: Context, cfg: PlanConfig, only: DataFrame | None = None) -> DataFrame:
@@ -66,8 +83,7 @@ def render_notes(ctx: Context, cfg: PlanConfig, only: DataFrame | None = None) -
         renamed = F.col("page_title") != F.col("original_title")
         rows = rows.withColumn("content", F.when(renamed, titles.rewrite_h1(F.col("content"), F.col("page_title"))).otherwise(F.col("content")))
     if cfg.metadata_panel:
-        panel = meta.metadata_block(meta.metadata_fields(ctx.meta, ctx.titles, ctx.targets, ctx.ids))
-        rows = rows.join(panel, "path", "left")
+        rows = rows.join(panels(ctx, only), "path", "left")
         rows = rows.withColumn("content", F.when(F.col("block").isNull(), F.col("content")).otherwise(insert_after_frontmatter(F.col("content"), F.col("block")))).drop("block")
     rows = meta.project_labels(rows, cfg.label_fields, cfg.labels_from_taxonomy)
     rows = rows.select("path", "ord", "title", "page_title", "folder_title", "tags", strip_comments(F.col("content")).alias("content"))
@@ -86,10 +102,18 @@ def plan_publish(notes: DataFrame, ledger: DataFrame, cfg: PlanConfig = PlanConf
     rendered = render_notes(ctx, cfg)
     if only is not None:
         rendered = filters.only_path(rendered, only)
+    marked = state.skip_unchanged(note_hashes(rendered, cfg), ledger, full=only is None, on=cfg.skip_unchanged, force=cfg.force)
+    return batched_plan(saved(marked, "marked-notes"), cfg)  # texts are rendered once for both parts
+
+
+def note_hashes(rendered: DataFrame, cfg: PlanConfig) -> DataFrame:
+    """path, ord, title and hash of rendered notes."""
     digest = state.publish_hash(F.col("page_title"), F.col("folder_title"), F.col("content"), F.col("tags"), cfg.quality)
-    hashes = rendered.select("path", "ord", "title", digest.alias("hash"))
-    marked = state.skip_unchanged(hashes, ledger, full=only is None, on=cfg.skip_unchanged, force=cfg.force)
-    marked = saved(marked, "marked-notes")  # texts are rendered once for both parts
+    return rendered.select("path", "ord", "title", digest.alias("hash"))
+
+
+def batched_plan(marked: DataFrame, cfg: PlanConfig) -> DataFrame:
+    """The plan of written rows with their action, those to publish in batches."""
     batched = state.assign_batches(marked.where("action = 'publish'"), cfg.batch_size)
     rest = marked.where("action = 'skip'").withColumn("batch", F.lit(None).cast("long"))
     return batched.unionByName(rest).select("path", "title", "hash", "page_id", "action", "batch")

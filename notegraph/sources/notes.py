@@ -203,14 +203,25 @@ def read_ledger(spark: SparkSession, folder: str, before: int | None = None) ->
 
 
 def write_ledger(ledger: DataFrame, folder: str, keep: int = 2, number: int | None = None) -> None:
-    """Write the next version, or the one of a ``number``. Nothing that a reader may be reading is touched: it sees
-    the old ledger until the new one is complete. Of complete versions the newest ``keep``
-    numbers stay, so a reader that has begun with the last one can end, and what wrote a number
-    can write it again from the one before."""
-    spark = ledger.sparkSession
+    """Write the next version, or the one of a ``number``."""
+    write_version(ledger.select("path", "page_id", "hash"), folder, keep, number)
+
+
+def read_version(spark: SparkSession, folder: str, before: int | None = None) -> DataFrame | None:
+    """The newest complete version of a table, of those numbered under ``before`` if it is given."""
+    versions = [x for x in _versions(spark, folder) if before is None or _number(x) < before]
+    return spark.read.parquet(f"{folder}/{versions[-1]}") if versions else None
+
+
+def write_version(table: DataFrame, folder: str, keep: int = 2, number: int | None = None) -> None:
+    """Write the next version of a table, or the one of a ``number``. Nothing that a reader may be
+    reading is touched: it sees the old version until the new one is complete. Of complete versions
+    the newest ``keep`` numbers stay, so a reader that has begun with the last one can end, and what
+    wrote a number can write it again from the one before."""
+    spark = table.sparkSession
     if number is None:
         number = max(map(_number, _versions(spark, folder)), default=-1) + 1
-    ledger.select("path", "page_id", "hash").write.parquet(f"{folder}/v-{number:012d}-{uuid.uuid4().hex}")
+    table.write.parquet(f"{folder}/v-{number:012d}-{uuid.uuid4().hex}")
     versions = _versions(spark, folder)
     newest = sorted(set(map(_number, versions)))[-keep:]
     for old in (x for x in versions if _number(x) not in newest):

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import json
+import random
 import re
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from notegraph import fixture
 from notegraph.config import PlanConfig
 from notegraph.functions import text
 from notegraph.operators import filters, links, meta, nodes, state, titles, tree
@@ -148,6 +152,71 @@ def test_structure_and_folder_titles(spark):
     assert folder_names(spark, structure(spark, ["a/dup/f.md", "b/dup/g.md"])[1], taken)["a/dup"] == got["a/dup"] + "_"
 
 
+def fnv(text: str) -> str:
+    h = 2166136261
+    for c in text:
+        h = (h ^ ord(c)) * 16777619 % (1 << 32)
+    return f"{h:08x}"[:6]
+
+
+def chosen_titles(paths: list[str], taken: set[str]) -> dict[str, str]:
+    """The rule folder by folder, by depth and path."""
+    names = [p.split("/")[-1] for p in paths]
+    out: dict[str, str] = {}
+    for p in sorted(paths, key=lambda p: (p.count("/"), p)):
+        segments, used = p.split("/"), taken | set(out.values())
+        if names.count(segments[-1]) == 1 and segments[-1] not in taken:
+            out[p] = segments[-1]
+            continue
+        title = next((t for d in range(2, len(segments) + 1) if (t := " / ".join(segments[-d:])) not in used), None)
+        if title is None:
+            title = f"{segments[-1]} ({fnv(p)})"
+            while title in used:
+                title += "_"
+        out[p] = title
+    return out
+
+
+def test_folder_titles_of_random_trees(spark):
+    r = random.Random(4)
+    for _ in range(4):
+        paths = {"/".join(r.choice("abc") for _ in range(r.randint(1, 5))) for _ in range(40)}
+        paths |= {"/".join(p.split("/")[:k]) for p in paths for k in range(1, p.count("/") + 1)}
+        taken = {r.choice(["a", "b / a", "a / b / c", "c / c", "a / a"]) for _ in range(3)} | {f"a ({fnv('a')})"}
+        files = spark.createDataFrame([(p,) for p in sorted(paths)], "folder_rel string")
+        got = tree.folder_titles(tree.derive_folders(files), spark.createDataFrame([(t,) for t in taken], "title string"))
+        assert {x["folder_rel"]: x["title"] for x in got.collect()} == chosen_titles(sorted(paths), taken)
+
+
+def test_hot_suffix_is_cut_before_the_shuffle(spark):
+    files = spark.range(400).select(F.concat(F.lit("p"), "id", F.lit("/x/same")).alias("folder_rel"))
+    got = tree.folder_titles(tree.derive_folders(files), spark.createDataFrame([("same",)], "title string"))
+    assert got.select("title").distinct().count() == got.count() == 1200
+    folders = tree.derive_folders(files)
+    order = F.row_number().over(Window.partitionBy("parent_rel").orderBy("depth"))
+    assert "WindowGroupLimit" in folders.withColumn("k", order).where("k <= 2")._jdf.queryExecution().toString()
+
+
+def test_deep_and_odd_documents(spark):
+    deep = {"type": "text", "text": "end"}
+    for i in range(60):
+        deep = {"type": "tableCell" if i % 20 == 0 else "paragraph", "content": [{"type": "text", "text": f"{i};"}, deep]}
+    docs = [(1, json.dumps(deep)), (2, None), (3, "no json"), (4, '["a"]'), (5, '{"type": "doc", "content": [null, "x", {"type": 7, "attrs": {"b": [1, "é"]}}]}'), (6, '{"type": "doc", "content": {}}')]
+    found = nodes.flatten_nodes(spark.createDataFrame(docs, "doc_id long, json string"))
+    by = {}
+    for r in found.orderBy("doc_id", "pre").collect():
+        by.setdefault(r["doc_id"], []).append(r)
+    assert len(by[1]) == 121 and max(r["depth"] for r in by[1]) == 60 and [r["pre"] for r in by[1]] == list(range(121))
+    below = lambda r, x: x["node_path"][: len(r["node_path"])] == r["node_path"]
+    assert all(r["last"] == max(x["pre"] for x in by[1] if below(r, x)) for r in by[1])
+    assert [r["node_path"] for r in by[1]] == sorted(r["node_path"] for r in by[1])
+    assert [(r["type"], r["attrs"], r["n_children"]) for r in by[5]] == [("doc", None, 3), (None, None, 0), (None, None, 0), ("7", '{"b":[1,"é"]}', 0)]
+    assert 2 not in by and [len(by[k]) for k in (3, 4, 6)] == [1, 1, 1] and by[3][0]["type"] is None
+    texts = {r["node_path"].__len__(): r["text"] for r in nodes.cell_text(found).collect()}
+    want = lambda top: "".join(f"{i};" for i in range(top, -1, -1)) + "end"
+    assert texts == {19: want(40), 39: want(20), 59: want(0)}
+
+
 def test_orphans_and_guard(spark):
     ledger = spark.createDataFrame([("a.md", "1", "h"), ("old.md", "2", "h"), ("moved-from.md", "3", "h"), ("moved-to.md", "3", "h"), ("noid.md", "", "h"), ("old2.md", "2", "h")], "path string, page_id string, hash string")
     current = spark.createDataFrame([("a.md",), ("moved-to.md",), ("new.md",)], "path string")
@@ -246,6 +315,80 @@ def test_a_batch_that_runs_again_leaves_the_same(spark):
     assert sorted(map(tuple, sources.read_ledger(spark, f"{folder}/ledger", before=1).collect())) == first
 
 
+def read_rows(spark, folder, run) -> tuple[int, list[str]]:
+    """Rows of texts that were rendered in a batch, and the folders they came from."""
+    from notegraph.streaming import publish_stream as streams
+
+    seen = []
+    whole = streams._texts
+
+    def texts(spark, folder, wanted):
+        found = whole(spark, folder, wanted)
+        seen.append((wanted.count(), sorted(found.inputFiles())))
+        return found
+
+    streams._texts = texts
+    try:
+        run()
+    finally:
+        streams._texts = whole
+    return seen
+
+
+def test_batches_with_renames_deletes_and_compaction(spark):
+    """After every batch the ledger's hashes and the plan's titles are those of one batch over
+    the notes that are left."""
+    from notegraph.streaming import publish_stream as streams
+
+    cfg = PlanConfig(folder="vault/", use_h1=True, metadata_panel=True, labels_from_taxonomy=True)
+    folder, base = scratch(spark, "changes"), corpus(spark).select("path", "content", "ord").withColumn("rev", F.lit(0).cast("long"))
+    rows = {r["path"]: tuple(r) for r in base.collect()}
+    paths = sorted(rows)
+    some = lambda k, n: [p for i, p in enumerate(paths) if i % n == k]
+    move = lambda p, q, rev: [(p, None, rows[p][2], rev), (q, rows[p][1], rows[p][2], rev)]
+    landing = next(p for p in paths if p.endswith("/README.md"))
+    batches = [
+        [rows[p] for p in paths if p not in some(3, 7)],
+        [rows[p] for p in some(3, 7)] + [(p, rows[p][1] + "edited\n", rows[p][2], 2) for p in some(0, 40)] + [(paths[1], "older", 1, -1), (paths[2], rows[paths[2]][1] + "x", rows[paths[2]][2], 0), (paths[4], "", rows[paths[4]][2], 0)],
+        move(paths[5], paths[5].replace(".md", "_moved.md"), 3) + move(landing, landing.replace("README", "other"), 3),
+        [(p, None, rows[p][2], 4) for p in some(9, 30)] + [("vault/src0/new/deep/topic_3.md", "# Heading 3\nsee [[topic_4]]\n", 99_999, 1), (paths[6], None, rows[paths[6]][2], 5), (paths[5], "older than its end", 6, 2), ("vault/odd.md", None, 7, 1), ("vault/odd.md", "text", 7, 0)],
+    ]
+    came = []
+    for number, batch in enumerate(batches):
+        frame = spark.createDataFrame(batch, streams._CORPUS)
+        came += batch
+        seen = read_rows(spark, folder, lambda: streams.apply_batch(frame, number, folder, cfg, buckets=4, compact_after=2))
+        if number < 2:
+            continue
+        left = streams.newest(spark.createDataFrame(came, streams._CORPUS)).where("content is not null").select("path", "content", "ord")
+        want = {r["path"]: (r["title"], r["hash"]) for r in publish.plan_publish(left, spark.createDataFrame([], sources.LEDGER), cfg).collect()}
+        plan = {r["path"]: r for r in spark.read.parquet(f"{folder}/plan/{number}").collect()}
+        assert {p: (r["title"], r["hash"]) for p, r in plan.items()} == want, number
+        ledger = {r["path"]: r["hash"] for r in sources.read_ledger(spark, f"{folder}/ledger").collect()}
+        assert {p: ledger[p] for p in want} == {p: h for p, (_, h) in want.items()}
+        published = sum(r["action"] == "publish" for r in plan.values())
+        assert published < len(plan) / 2
+        assert max(n for n, _ in seen[:2]) <= published + len(batch)
+        kept = {x.split("at=")[1].split("/")[0] for x in spark.read.parquet(f"{folder}/texts").inputFiles()}
+        assert len(kept) <= 5
+
+
+def test_a_small_batch_reads_few_texts(spark):
+    from notegraph.streaming import publish_stream as streams
+
+    cfg, folder = PlanConfig(folder="vault/"), scratch(spark, "few")
+    notes = fixture.read(spark, "/root/testdata/sf0.01", "notes").select("path", "content", "ord").withColumn("rev", F.lit(0).cast("long"))
+    streams.apply_batch(notes, 0, folder, cfg, buckets=64)
+    shown = spark.read.parquet(f"{folder}/plan/0").select("path")
+    edit = notes.join(shown, "path").orderBy("path").limit(3).select("path", F.concat("content", F.lit("more\n")).alias("content"), "ord", F.lit(1).cast("long").alias("rev"))
+    edit = spark.createDataFrame(edit.collect(), streams._CORPUS)
+    seen = read_rows(spark, folder, lambda: streams.apply_batch(edit, 1, folder, cfg, buckets=64))
+    n, files = seen[-1]
+    assert n == 3 and len(files) <= 3 and all("at=000000000001/" in f for f in files)
+    plan = spark.read.parquet(f"{folder}/plan/1").groupBy("action").count().collect()
+    assert {r["action"]: r["count"] for r in plan}["publish"] == 3
+
+
 def test_changed_notes_stream_keeps_the_last_hash(spark):
     from notegraph.streaming import publish_stream as streams
 
