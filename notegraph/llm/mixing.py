@@ -30,7 +30,7 @@ WEIGHTS = (5, 2, 1)
 BUCKET = 5_000
 #: Words of a shard, some, as long as ``MOST_LEVELS`` levels of the tree suffice for that.
 SHARD_WORDS, MOST_LEVELS = 4_000_000, 12
-#: Multipliers of the block permutations: primes, so that they are coprime to any smaller number of blocks.
+#: Multipliers of the block permutations: primes, so that they are coprime to any number that they don't divide.
 _PRIMES = (2147483647, 2147483629, 2147483587, 2147483579, 2147483563, 2147483549, 2147483543, 2147483497)
 
 
@@ -230,8 +230,12 @@ def mix_plan(
 def _position(block: Column, sid: Column, epoch: Column, blocks: Column, seed: int) -> Column:
     """Where a block stands in the permuted order of a pass."""
     key = F.xxhash64(F.lit(seed + 2), sid, epoch)
-    factor = F.element_at(F.array(*[F.lit(p) for p in _PRIMES]), (F.pmod(key, F.lit(len(_PRIMES))) + 1).cast("int"))
-    return F.pmod(F.pmod(block * F.pmod(factor, blocks), blocks) + F.pmod(F.shiftright(key, 8), blocks), blocks)
+    coprime = F.filter(F.array(*[F.lit(p) for p in _PRIMES]), lambda p: blocks % p != 0)
+    factor = F.pmod(F.element_at(coprime, (F.pmod(key, F.size(coprime)) + 1).cast("int")), blocks)
+    # from 2^31 blocks on a product may pass 64 bits; decimals hold it exactly
+    wide = F.pmod(block.cast("decimal(19,0)") * factor.cast("decimal(19,0)"), blocks.cast("decimal(19,0)")).cast("long")
+    product = F.when(blocks < 1 << 31, F.pmod(block * F.when(blocks < 1 << 31, factor).otherwise(1), blocks)).otherwise(wide)
+    return F.pmod(product + F.pmod(F.shiftright(key, 8), blocks), blocks)
 
 
 def _shard(index: Column, levels: int) -> Column:

@@ -2,6 +2,7 @@
 
 Texts are joined by (content digest, tokenizer digest) to stored counts. Only distinct
 texts that the cache lacks are encoded, once each, and their counts are appended to it.
+The cache is asked with digests alone; only the texts of misses are brought to the encoder.
 Copies collapse inside each scan task before the shuffle by digest, so a large group of
 copies reaches the encoder as one text. The counts are written, one row for each digest,
 before rows join them, so that AQE can split that join where a digest is hot.
@@ -16,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import tokenizing
-from .common import saved, scratch, sliced
+from .common import BROADCAST_BYTES, saved, scratch, sliced
 
 CACHE_SCHEMA = "digest binary, tokenizer string, n_tokens long"
 
@@ -46,8 +47,8 @@ def count_tokens(docs: DataFrame, vocabulary: str, cache: str | None = None, lim
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     digest = F.unhex(F.sha2("text", 256)).alias("digest")
     stored = read_cache(spark, cache).where(F.col("tokenizer") == name)
-    # copies collapse in their task before they are dealt by digest, and only then meet the cache
-    misses = rows.select(digest, "text").dropDuplicates(["digest"]).join(stored.select("digest").distinct(), "digest", "left_anti")
+    # digests meet the cache first, without their texts
+    misses = saved(rows.select(digest).distinct().join(stored.select("digest").distinct(), "digest", "left_anti"), "misses")
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = tokenizing.encoder(vocabulary)
@@ -58,7 +59,14 @@ def count_tokens(docs: DataFrame, vocabulary: str, cache: str | None = None, lim
                 names=["digest", "tokenizer", "n_tokens"],
             )
 
-    misses.mapInArrow(encode, CACHE_SCHEMA).write.mode("append").parquet(cache)
+    n_missing = misses.count()
+    if n_missing:
+        texts = rows.select(digest, "text")
+        if n_missing * 32 <= BROADCAST_BYTES:
+            texts = texts.join(F.broadcast(misses), "digest", "left_semi").dropDuplicates(["digest"])
+        else:  # most are new, or many: copies collapse in their task, then texts meet the misses by digest
+            texts = texts.dropDuplicates(["digest"]).join(misses, "digest", "left_semi")
+        texts.mapInArrow(encode, CACHE_SCHEMA).write.mode("append").parquet(cache)
     counts = saved(read_cache(spark, cache).where(F.col("tokenizer") == name).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens")), "counts")
     return (
         rows.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), digest)

@@ -14,11 +14,15 @@ import os
 import re
 from functools import lru_cache
 from itertools import islice
+from sys import getsizeof
 
 import numpy as np
 
-#: Entries of the piece memo in one worker, some 120 MB; past it the later half goes.
-MEMO = 600_000
+#: Bytes of the piece memo in one worker, by sys.getsizeof; past it the later half goes. Between two
+#: texts, so that the pieces of one text, each of them short, may stand over it.
+MEMO_BYTES = 120 << 20
+#: Characters of a piece that is kept. Longer ones, as in texts without spaces, are encoded where they stand.
+MEMO_PIECE = 64
 #: A piece that starts with its only white space, in which no added token can stand.
 _PLAIN = re.compile(" [^\\s\u180e\u200b]+")
 #: A space whose neighbours make a split there unsafe.
@@ -82,6 +86,11 @@ class BpeEncoder(Encoder):
         self.splits = self.splits and len(newline) == 1
         self.newline = newline[0]
         self.memo: dict[str, bytes] = {}
+        self.held = 0
+
+    def _hold(self, found: dict[str, bytes]) -> None:
+        self.held += sum(getsizeof(k) + getsizeof(v) + 100 for k, v in found.items() if k not in self.memo)
+        self.memo.update(found)
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         found = self.model.encode_batch_fast(texts, add_special_tokens=False)
@@ -97,19 +106,21 @@ class BpeEncoder(Encoder):
         plain = [x for x in need if _PLAIN.fullmatch(x) and not any(a in x for a in self.added)]
         if len(plain) < len(need):
             others = list(set(need).difference(plain))
-            memo.update(zip(others, self._whole(others)))
+            self._hold(dict(zip(others, self._whole(others))))
         for at in range(0, len(plain), 5000):
             some = plain[at : at + 5000]
             ids = np.frombuffer(self._whole(["\n".join(some)])[0], "<u4")
             ends = np.flatnonzero(ids == self.newline).tolist()
             if len(ends) + 1 != len(some):  # in this vocabulary a line break isn't always a token of its own
-                memo.update(zip(some, self._whole(some)))
+                self._hold(dict(zip(some, self._whole(some))))
                 continue
             data, start = ids.tobytes(), 0
+            found: dict[str, bytes] = {}
             for piece, end in zip(some, [*ends, len(ids)]):
-                memo[piece] = data[4 * start : 4 * end]
+                found[piece] = data[4 * start : 4 * end]
                 start = end + 1
-        memo.update({x: memo[x[:n]] + memo[x[n:]] for x, n in cut.items()})
+            self._hold(found)
+        self._hold({x: memo[x[:n]] + memo[x[n:]] for x, n in cut.items()})
 
     def _bytes(self, texts: list[str]) -> list[bytes]:
         if not self.splits:
@@ -126,10 +137,14 @@ class BpeEncoder(Encoder):
                 out.append(b"".join([memo[x] for x in pieces]))
             except KeyError:
                 missing = list({x for x in pieces if x not in memo})
-                self._pieces(missing)
-                out.append(b"".join([memo[x] for x in pieces]))
-                if len(memo) > MEMO:  # the first half came early and holds the frequent words
-                    self.memo = memo = dict(islice(memo.items(), MEMO // 2))
+                self._pieces([x for x in missing if len(x) <= MEMO_PIECE])
+                long = [x for x in missing if len(x) > MEMO_PIECE]
+                here = dict(zip(long, self._whole(long)))
+                out.append(b"".join([memo[x] if x in memo else here[x] for x in pieces]))
+                if self.held > MEMO_BYTES:  # the first half came early and holds the frequent words
+                    kept, self.memo, self.held = dict(islice(memo.items(), len(memo) // 2)), {}, 0
+                    self._hold(kept)
+                    memo = self.memo
         return out
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:

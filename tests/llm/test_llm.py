@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import sys
 import zlib
 
 import numpy as np
@@ -67,6 +68,50 @@ def test_token_counts(spark, docs, none):
     assert token_counts.count_tokens(none, VOCABULARY).count() == 0
 
 
+def test_memo_is_bounded_by_bytes(monkeypatch):
+    monkeypatch.setattr(tokenizing, "MEMO_BYTES", 1 << 20)
+    model, whole = tokenizing.BpeEncoder(VOCABULARY), Tokenizer.from_file(VOCABULARY)
+    r = random.Random(1)
+    solid = ["".join(chr(0x4E00 + r.randrange(20_000)) for _ in range(50_000)) for _ in range(4)]  # no spaces
+    spaced = [" ".join("".join(r.choice("abcdefgh") for _ in range(9)) for _ in range(3_000)) for _ in range(6)]
+    for text in [*solid, *spaced, "QUJD" * 250_000]:
+        assert model.encode([text])[0].tolist() == whole.encode(text, add_special_tokens=False).ids
+        assert all(len(k) <= tokenizing.MEMO_PIECE for k in model.memo)
+        assert model.held <= 1 << 20 and model.held == sum(sys.getsizeof(k) + sys.getsizeof(v) + 100 for k, v in model.memo.items())
+
+
+def test_a_warm_cache_moves_no_text(spark, docs, monkeypatch):
+    cache = scratch(spark, "warm")
+    want = rows(token_counts.count_tokens(docs, VOCABULARY, cache), "doc_id", "n_tokens")
+    before = token_counts.read_cache(spark, cache).count()
+    monkeypatch.setattr(tokenizing, "encoder", None)  # nothing may be encoded
+    got = token_counts.count_tokens(docs, VOCABULARY, cache)
+    assert rows(got, "doc_id", "n_tokens") == want and token_counts.read_cache(spark, cache).count() == before
+    exchanges = [x for x in got._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join" in x]
+    assert exchanges and "text#" not in "".join(exchanges)
+
+
+def test_misses_beyond_a_broadcast(spark, docs, monkeypatch):
+    monkeypatch.setattr(token_counts, "BROADCAST_BYTES", 10)
+    whole, cache = Tokenizer.from_file(VOCABULARY), scratch(spark, "many")
+    token_counts.count_tokens(docs.where("doc_id < 7"), VOCABULARY, cache).count()
+    got = rows(token_counts.count_tokens(docs, VOCABULARY, cache), "doc_id", "n_tokens")
+    assert got == sorted(((i, len(whole.encode(t or "", add_special_tokens=False).ids)) for i, t, *_ in ROWS), key=str)
+
+
+@pytest.mark.parametrize("blocks", [1, 977, 2**31 - 1, 2147483629 * 3, 5 * 10**9, 10**11])
+def test_blocks_of_any_number_are_permuted(spark, blocks):
+    at = spark.range(0, min(blocks, 3_000)).select((F.col("id") * (blocks // min(blocks, 3_000))).alias("b"), F.lit(blocks).cast("long").alias("n"))
+    for epoch in range(3):
+        place = mixing._position(F.col("b"), F.lit(1), F.lit(epoch).cast("long"), F.col("n"), 0)
+        got = [(r["b"], r["p"]) for r in at.select("b", place.alias("p")).collect()]
+        assert all(0 <= p < blocks for _, p in got) and len({p for _, p in got}) == len(got)
+        # affine: equal steps of the block are equal steps of the place
+        if len(got) > 2:
+            steps = {(b[1] - a[1]) % blocks for a, b in zip(got, got[1:])}
+            assert len(steps) == 1
+
+
 def test_token_files_round_trip(spark, docs, none):
     whole = Tokenizer.from_file(VOCABULARY)
     path = scratch(spark, "files")
