@@ -39,11 +39,17 @@ def assign_batches(df: DataFrame, size: int | None = 20) -> DataFrame:
     return numbered.drop("__s", "__before")
 
 
+def ledger_changes(results: DataFrame, hashes: DataFrame) -> DataFrame:
+    """``results(path, ok, page_id)`` and ``hashes(path, hash)`` to the records of successful rows: path,
+    page_id, hash; a missing hash is empty."""
+    new = results.where("ok").select("path", "page_id").join(hashes.select("path", "hash"), "path", "left")
+    return new.withColumn("hash", F.coalesce("hash", F.lit("")))
+
+
 def upsert_ledger(ledger: DataFrame, results: DataFrame, hashes: DataFrame) -> DataFrame:
-    """``results(path, ok, page_id)``: successful rows overwrite, others keep their
-    record; a missing hash is stored empty."""
-    new = results.where("ok").select("path", F.col("page_id").alias("new_id")).join(hashes.select("path", F.col("hash").alias("new_hash")), "path", "left")
-    new = new.withColumn("new_hash", F.coalesce("new_hash", F.lit("")))
+    """The ledger after ``results``: successful rows overwrite, others keep their record. Where the
+    ledger is a folder, ``change_ledger`` writes the same by its ``ledger_changes`` alone."""
+    new = ledger_changes(results, hashes).select("path", F.col("page_id").alias("new_id"), F.col("hash").alias("new_hash"))
     return ledger.join(new, "path", "full_outer").select("path", F.coalesce("new_id", "page_id").alias("page_id"), F.coalesce("new_hash", "hash").alias("hash"))
 
 

@@ -136,6 +136,15 @@ def _(spark, d):
     return rows.select(path.alias("path"), "ord", F.md5("content").alias("digest"))
 
 
+@query("s1_scan_changed_notes", "SELECT path, md5(concat(content, chr(10))) AS digest FROM notes")
+def _(spark, d):
+    folder, root = scratch(spark, "manifest"), _as_files(spark, d)
+    rows = sources.scan_changed_notes(spark, root, folder, "*.txt")
+    rows = rows.unionByName(sources.scan_changed_notes(spark, root, folder, "*.txt"))  # nothing has changed since
+    path = text.url_decode(F.regexp_extract("path", "^path=([^/]*)/", 1))
+    return rows.select(path.alias("path"), F.md5("content").alias("digest"))
+
+
 @query("s6_scan_attachments", "SELECT path, 'text/plain' AS mime_type, octet_length(encode(content)) + 1 AS length, md5(concat(content, chr(10))) AS digest FROM notes")
 def _(spark, d):
     rows = sources.scan_attachments(spark, _as_files(spark, d), {"txt": "text/plain"})
@@ -706,6 +715,24 @@ def _(spark, d):
     return state.upsert_ledger(fixture.read(spark, d, "ledger"), fixture.read(spark, d, "results"), _hashes(spark, d).where("ord % 13 <> 0"))
 
 
+@query(
+    "p4_change_ledger",
+    """SELECT coalesce(l.path, r.path) AS path, coalesce(r.page_id, l.page_id) AS page_id, coalesce(r.hash, l.hash) AS hash
+    FROM ledger l FULL JOIN (SELECT r.path, r.page_id, CASE WHEN n.doc_id % 13 = 0 THEN '' ELSE md5(n.content) END AS hash FROM results r JOIN notes n ON n.path = r.path WHERE r.ok) r ON r.path = l.path
+    WHERE coalesce(l.path, r.path) NOT LIKE '%/gone_%' OR r.path IS NOT NULL""",
+    ("ledger", "results"),
+)
+def _(spark, d):
+    folder, results, hashes = scratch(spark, "ledger"), fixture.read(spark, d, "results"), _hashes(spark, d).where("ord % 13 <> 0")
+    sources.write_ledger(fixture.read(spark, d, "ledger"), folder)
+    changes = state.ledger_changes(results, hashes)
+    early = F.pmod(F.xxhash64("path"), F.lit(2)) == 0
+    sources.change_ledger(changes.where(early), folder)
+    gone = fixture.read(spark, d, "ledger").where("path like '%/gone\\_%'").select("path")
+    sources.change_ledger(changes.where(~early), folder, gone=gone)
+    return sources.read_ledger(spark, folder)
+
+
 _CURRENT = ", cur AS (SELECT path FROM notes WHERE doc_id % 3 <> 1)"
 _ORPHANS = _CURRENT + """, orp AS (SELECT DISTINCT page_id FROM ledger WHERE path NOT IN (SELECT path FROM cur) AND page_id <> ''
   AND page_id NOT IN (SELECT page_id FROM ledger WHERE path IN (SELECT path FROM cur)))"""
@@ -952,6 +979,5 @@ def _(spark, d):
         batch.write.mode("overwrite").parquet(f"{folder}/out/batch={batch_id}")
 
     for revisions in _arrivals(spark, d, folder):
-        changed = streams.changed_notes_stream(revisions.select("path", F.md5("content").alias("hash")))
-        changed.writeStream.foreachBatch(keep).outputMode("update").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+        streams.start_changed_notes(revisions.select("path", F.md5("content").alias("hash")), keep, f"{folder}/checkpoint").awaitTermination()
     return spark.read.schema("path string, hash string").parquet(f"{folder}/out").select("path", "hash")

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from notegraph.functions.text import bound, js_trim, normalize_newlines
-from notegraph.sources.scratch import saved
+from notegraph.sources.scratch import broadcast_if_small, saved
 
 LEDGER = "path string, page_id string, hash string"
 
@@ -52,6 +52,37 @@ def scan_notes(spark: SparkSession, root: str, glob: str = "*.md") -> DataFrame:
     return files.join(numbered, "path").select("path", "content", "ord")
 
 
+def scan_changed_notes(spark: SparkSession, root: str, folder: str, glob: str = "*.md", few: int = 1_000) -> DataFrame:
+    """What has changed below ``root`` since the last scan with the same ``folder``: path, content (null
+    for files that are gone) and rev, the scan's number, written.
+
+    ``folder`` keeps a manifest of all files: path, length and modification time. A file is opened
+    only if one of these is new. Files older than all changed ones are left out by their time, and
+    where at most ``few`` have changed all others by their path, before any is opened. The manifest is
+    moved on last: a scan that dies is made again.
+    """
+    read = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", glob)
+    stamp = F.struct("length", "modificationTime").alias("stamp")
+    now = read.format("binaryFile").load(root).select(_relative(root).alias("path"), F.col("_metadata.file_path").alias("file"), stamp)  # reads no contents
+    now = saved(now, "files-now")
+    number = _next(spark, folder)
+    last = read_version(spark, folder)
+    last = spark.createDataFrame([], now.schema) if last is None else last
+    changed = saved(now.join(last.select("path", "stamp"), ["path", "stamp"], "left_anti"), "files-changed")
+    gone = last.select("path").join(now.select("path"), "path", "left_anti").select("path", F.lit(None).cast("string").alias("content"))
+    n, since = changed.agg(F.count(F.lit(1)), F.min("stamp.modificationTime")).first()
+    rows = gone
+    if n:
+        files = read.text(root, wholetext=True).where(F.col("_metadata.file_modification_time") >= F.lit(since))
+        if n <= few:
+            files = files.where(F.col("_metadata.file_path").isin([r["file"] for r in changed.select("file").collect()]))
+        texts = files.select(_relative(root).alias("path"), F.col("value").alias("content"))
+        rows = gone.unionByName(texts.join(changed.select("path"), "path", "left_semi"))
+    rows = saved(rows.withColumn("rev", F.lit(number).cast("long")), "changed-files")
+    write_version(now, folder, number=number)
+    return rows
+
+
 def _any_case(extension: str) -> str:
     return "".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in extension)
 
@@ -179,31 +210,81 @@ def normalize_attachments(df: DataFrame) -> DataFrame:
     )
 
 
-def _versions(spark: SparkSession, folder: str) -> list[str]:
+def _versions(spark: SparkSession, folder: str, kind: str = "v") -> list[str]:
     """Complete versions in ``folder``, oldest first: those whose last file, the writer's
-    mark of success, is there."""
+    mark of success, is there. The kind ``v`` is a whole table, ``d`` the changes since."""
     place = spark._jvm.org.apache.hadoop.fs.Path(folder)
     store = place.getFileSystem(spark._jsc.hadoopConfiguration())
     if not store.exists(place):
         return []
     names = [x.getPath().getName() for x in store.listStatus(place) if x.isDirectory()]
     path = spark._jvm.org.apache.hadoop.fs.Path
-    return sorted(x for x in names if x.startswith("v-") and store.exists(path(f"{folder}/{x}/_SUCCESS")))
+    return sorted(x for x in names if x.startswith(f"{kind}-") and store.exists(path(f"{folder}/{x}/_SUCCESS")))
 
 
 def _number(version: str) -> int:
     return int(version.split("-")[1])
 
 
+def _delete(spark: SparkSession, folder: str, names: list[str]) -> None:
+    for name in names:
+        place = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}")
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def _changes(spark: SparkSession, folder: str, before: int | None) -> tuple[str | None, list[str]]:
+    """The whole ledger to start from, and the changes made to it since, of numbers under ``before``."""
+    under = lambda x: before is None or _number(x) < before
+    whole = next((x for x in reversed(_versions(spark, folder)) if under(x)), None)
+    since = -1 if whole is None else _number(whole)
+    return whole, [x for x in _versions(spark, folder, "d") if under(x) and _number(x) > since]
+
+
 def read_ledger(spark: SparkSession, folder: str, before: int | None = None) -> DataFrame:
-    """The newest complete version of the ledger, of those numbered under ``before`` if it
-    is given; a missing one is empty."""
-    versions = [x for x in _versions(spark, folder) if before is None or _number(x) < before]
-    return spark.read.schema(LEDGER).parquet(f"{folder}/{versions[-1]}") if versions else spark.createDataFrame([], LEDGER)
+    """The newest complete state of the ledger, of changes numbered under ``before`` if it is given;
+    a missing one is empty. The last whole ledger is read as it lies: the few paths that have
+    changed since are taken out by a broadcast if they are few, and added as they are now."""
+    whole, later = _changes(spark, folder, before)
+    base = spark.read.schema(LEDGER).parquet(f"{folder}/{whole}") if whole else spark.createDataFrame([], LEDGER)
+    if not later:
+        return base
+    rows = spark.read.schema(_CHANGED).parquet(*[f"{folder}/{x}" for x in later])
+    last = rows.groupBy("path").agg(F.max_by(F.struct("page_id", "hash", "gone"), F.struct("number", "page_id", "hash")).alias("x")).select("path", "x.*")
+    last = saved(last, "ledger-changes")
+    kept = base.join(broadcast_if_small(last.select("path"), F.octet_length("path") + 40), "path", "left_anti")
+    return kept.unionByName(last.where("not gone").select("path", "page_id", "hash"))
+
+
+_CHANGED = f"{LEDGER}, gone boolean, number long"
+
+
+def change_ledger(changes: DataFrame, folder: str, number: int | None = None, compact_after: int = 16, gone: DataFrame | None = None) -> None:
+    """Add ``changes(path, page_id, hash)`` to the ledger, and take the paths of ``gone(path)`` out of
+    it: only these rows are written. After ``compact_after`` such writes the whole ledger is written
+    once. A ``number`` that is written again replaces what it had written. A reader sees all of a
+    write or nothing; what the last two whole ledgers need stays."""
+    spark = changes.sparkSession
+    if number is None:
+        number = _next(spark, folder)
+    rows = changes.select("path", "page_id", "hash", F.lit(False).alias("gone"))
+    if gone is not None:
+        empty = F.lit(None).cast("string")
+        rows = rows.unionByName(gone.select("path").distinct().join(changes.select("path"), "path", "left_anti").select("path", empty.alias("page_id"), empty.alias("hash"), F.lit(True).alias("gone")))
+    again = [x for x in _versions(spark, folder, "d") if _number(x) == number]
+    rows.withColumn("number", F.lit(number).cast("long")).write.parquet(f"{folder}/d-{number:012d}-{uuid.uuid4().hex}")
+    _delete(spark, folder, again)
+    if len(_changes(spark, folder, number + 1)[1]) >= compact_after:
+        write_ledger(read_ledger(spark, folder, before=number + 1), folder, number=number)
+        *older, _ = sorted(set(map(_number, _versions(spark, folder))))
+        _delete(spark, folder, [x for x in _versions(spark, folder, "d") if older and _number(x) <= older[0]])
+
+
+def _next(spark: SparkSession, folder: str) -> int:
+    return max(map(_number, _versions(spark, folder) + _versions(spark, folder, "d")), default=-1) + 1
 
 
 def write_ledger(ledger: DataFrame, folder: str, keep: int = 2, number: int | None = None) -> None:
-    """Write the next version, or the one of a ``number``."""
+    """Write the whole ledger as the next version, or the one of a ``number``."""
     write_version(ledger.select("path", "page_id", "hash"), folder, keep, number)
 
 
@@ -220,13 +301,11 @@ def write_version(table: DataFrame, folder: str, keep: int = 2, number: int | No
     wrote a number can write it again from the one before."""
     spark = table.sparkSession
     if number is None:
-        number = max(map(_number, _versions(spark, folder)), default=-1) + 1
+        number = _next(spark, folder)
     table.write.parquet(f"{folder}/v-{number:012d}-{uuid.uuid4().hex}")
     versions = _versions(spark, folder)
     newest = sorted(set(map(_number, versions)))[-keep:]
-    for old in (x for x in versions if _number(x) not in newest):
-        place = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{old}")
-        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+    _delete(spark, folder, [x for x in versions if _number(x) not in newest])
 
 
 def reset_ledger(spark: SparkSession, folder: str) -> None:

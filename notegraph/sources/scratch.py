@@ -7,7 +7,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def scratch(spark: SparkSession, label: str) -> str:
@@ -27,3 +28,13 @@ def saved(df: DataFrame, label: str) -> DataFrame:
     path = scratch(df.sparkSession, label)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+#: Bytes of rows that are broadcast; more take a shuffle join.
+BROADCAST_BYTES = 32 << 20
+
+
+def broadcast_if_small(written: DataFrame, row_bytes: Column) -> DataFrame:
+    """A written table, marked for broadcast if the sum of ``row_bytes`` over it is within the limit."""
+    size = written.agg(F.sum(row_bytes.cast("long"))).first()[0] or 0
+    return F.broadcast(written) if size <= BROADCAST_BYTES else written

@@ -8,7 +8,7 @@
   depend on (frontmatter, heading), the names its links ask for, and ``context``, a digest of all
   that the rest of the corpus put into its page: its titles, its panel, and what each of its links
   leads to. Two versions stay.
-* ``ledger`` (two versions) and ``plan/<batch>``.
+* ``ledger``, to which a batch adds only what it published, and ``plan/<batch>``.
 
 A batch updates the state, derives titles, folders and links from it, and compares contexts. Only
 notes that came with the batch, or whose context is another now, are read as text and rendered:
@@ -19,7 +19,7 @@ again overwrites what it had written and reads what the batch before had left.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -31,7 +31,7 @@ from notegraph.config import PlanConfig
 from notegraph.functions.text import normalize_newlines, strip_comments
 from notegraph.operators import links, state
 from notegraph.plans.publish import Context, batched_plan, context_of, note_hashes, panels, render_notes, slim_notes
-from notegraph.sources.notes import read_ledger, read_version, write_ledger, write_version
+from notegraph.sources.notes import change_ledger, read_ledger, read_version, write_version
 from notegraph.sources.scratch import saved
 
 _CORPUS = "path string, content string, ord long, rev long"
@@ -147,7 +147,7 @@ def apply_batch(revisions: DataFrame, batch_id: int, folder: str, cfg: PlanConfi
     plan = spark.read.parquet(f"{folder}/plan/{batch_id}").where("action = 'publish'")
     page_id = F.coalesce(F.nullif("page_id", F.lit("")), F.conv(F.substring(F.md5("path"), 1, 12), 16, 10))
     results = plan.select("path", F.lit(True).alias("ok"), page_id.alias("page_id"))
-    write_ledger(state.upsert_ledger(ledger, results, plan.select("path", "hash")), f"{folder}/ledger", number=batch_id)
+    change_ledger(state.ledger_changes(results, plan.select("path", "hash")), f"{folder}/ledger", number=batch_id)
     after = whole.drop("context").join(now, "path", "left")
     if len(used | {at}) > compact_after:
         base = f"{at}-base"
@@ -175,7 +175,11 @@ class _LastHash(StatefulProcessor):
         changed = []
         for batch in rows:
             for value in batch["hash"]:
-                if not self.last.exists() or self.last.get()[0] != value:
+                if value is None or value != value:
+                    if self.last.exists():
+                        self.last.clear()
+                        changed.append(None)
+                elif not self.last.exists() or self.last.get()[0] != value:
                     self.last.update((value,))
                     changed.append(value)
         if changed:
@@ -187,6 +191,22 @@ class _LastHash(StatefulProcessor):
 
 def changed_notes_stream(hashes: DataFrame) -> DataFrame:
     """``hashes(path, hash)``, a stream, to the rows whose hash differs from the last one
-    of their path. One value is kept for each path, in RocksDB."""
-    hashes.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    of their path. A row without a hash says that the note is gone: it comes out once, and its
+    state goes. One value is kept for each path, in RocksDB; ``start_changed_notes`` starts it so."""
     return hashes.groupBy("path").transformWithStateInPandas(_LastHash(), outputStructType="path string, hash string", outputMode="Update", timeMode="None")
+
+
+_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+
+
+def start_changed_notes(hashes: DataFrame, keep: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
+    """Run ``keep`` on the changes of every micro-batch that is there, then stop. The state store
+    that this query needs is set while it starts; the session keeps its own."""
+    conf = hashes.sparkSession.conf
+    own = conf.get(_PROVIDER, None)
+    conf.set(_PROVIDER, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        writer = changed_notes_stream(hashes).writeStream.foreachBatch(keep).outputMode("update")
+        return writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    finally:
+        conf.unset(_PROVIDER) if own is None else conf.set(_PROVIDER, own)
