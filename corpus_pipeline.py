@@ -21,7 +21,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group stays: fingerprints of five-word shingles, compared
-    bit-sliced, then their exact similarity, 0.8 or more."""
+    bit-sliced; then, exactly, the share of each text's words in shingles of both, 0.8 or more."""
     return simhash.drop_near_duplicates(docs, words=5, similarity=0.8)
 
 

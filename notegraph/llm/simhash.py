@@ -14,11 +14,13 @@ Two ways use it:
   three ranges (38 bits at r = 2) are a key, and equal keys are searched. This finds every
   link, and keys that long hold few fingerprints by chance however many there are. A link is
   taken in the first of its keys only. Equal fingerprints are one node.
-* ``near_duplicates``: documents whose sets of word shingles have a cosine similarity, which
-  is what fingerprints measure, of at least 0.8. Fingerprints of 256 bits within
-  ``wide_radius``, found bit-sliced, make the groups of candidates; their shingle sets are then
+* ``near_duplicates``: documents at least 0.8 of whose words, in each of the two, stand in
+  five-word shingles that both have. An edit breaks five shingles but covers a word, so this
+  is the share of unedited words, less those between close edits; the shingle sets of such
+  texts have a cosine of 0.56 where edits are scattered. Fingerprints of 512 bits within
+  ``wide_radius``, found bit-sliced, make the groups of candidates; their shingles are then
   compared exactly. Which fingerprints meet is said by bands of min-hashes of the same
-  shingles. (Keys of equal fingerprint bits can't serve at 0.8: some 20% of the bits differ, so
+  shingles. (Keys of equal fingerprint bits can't serve here: some 30% of the bits differ, so
   keys short enough to agree hold unrelated documents.)
 
 Large buckets are cut into tiles of at most ``TILE`` rows, and every pair of tiles is a
@@ -312,10 +314,10 @@ def simhash_components(docs: DataFrame, words: int = 3, radius: int = 2) -> Data
 
 # --- word shingles of at least a given similarity ------------------------------------------
 
-#: Min-hash bands that say which fingerprints meet. A cosine of 0.8 is a Jaccard similarity of
-#: 0.64 at least (0.67 for sets of one size): one of 25 bands of 4 agrees with a probability
-#: of 0.99 (0.996), at a cosine of 0.85 of 0.999.
-BANDS, BAND_ROWS = 25, 4
+#: Min-hash bands that say which fingerprints meet. A tenth of the words changed at random
+#: leaves a Jaccard similarity of 0.42, and one of 40 bands of 3 agrees with a probability of
+#: 0.95; a twentieth leaves 0.63, which none misses in a million.
+BANDS, BAND_ROWS = 40, 3
 _MULTIPLIERS = np.random.default_rng(20).integers(1, 2**63, BANDS * BAND_ROWS, dtype=np.uint64) | np.uint64(1)
 
 
@@ -331,12 +333,13 @@ def _min_hashes(hashes: np.ndarray) -> np.ndarray:
 
 
 def _sketches(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
-    """(digest of the shingle set, band keys, wide fingerprint) of each text."""
+    """(digest of the shingles in order, band keys, wide fingerprint) of each text."""
     for batch in sliced(batches):
         digests, bands, prints = [], [], []
         for text in batch.column("text").to_pylist():
-            found = np.unique(shingle_hashes(text, words))
-            digests.append(xxhash.xxh3_128_digest(found.tobytes()))
+            ordered = shingle_hashes(text, words)
+            digests.append(xxhash.xxh3_128_digest(ordered.tobytes()))
+            found = np.unique(ordered)
             lows = _min_hashes(found).reshape(BANDS, BAND_ROWS)
             bands.append([xxhash.xxh64_intdigest(x.tobytes(), k) - 2**63 for k, x in enumerate(lows)])
             prints.append(wide_fingerprint(found).tobytes())
@@ -347,7 +350,7 @@ def _sketches(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.Reco
 
 
 #: 64-bit lanes of the fingerprints of shingle sets.
-LANES = 4
+LANES = 8
 
 
 def wide_fingerprint(hashes: np.ndarray) -> np.ndarray:
@@ -361,11 +364,15 @@ def wide_fingerprint(hashes: np.ndarray) -> np.ndarray:
     return np.array(lanes, np.uint64)
 
 
-def wide_radius(similarity: float) -> int:
-    """Bits in which wide fingerprints of sets of at least this cosine differ, at most: the
-    mean for the angle between such sets and four deviations. At 0.8 that is 79 of 256;
-    unrelated sets differ in 128, and 49 are six deviations."""
-    n, share = 64 * LANES, np.arccos(similarity) / np.pi
+def wide_radius(similarity: float, words: int) -> int:
+    """Bits in which wide fingerprints of texts of at least this similarity differ, at most: the
+    mean for the angle between their shingle sets and four deviations. Where a share q of the
+    words is kept at random, q^words of the shingles are, and q^words * (words - (words - 1) * q)
+    of the words stand in one. At 0.8 and five words that is 202 of 512; unrelated sets
+    differ in 256, and 54 are over four deviations."""
+    kept = np.linspace(0, 1, 10_001)
+    q = kept[np.searchsorted(kept**words * (words - (words - 1) * kept), similarity)]
+    n, share = 64 * LANES, np.arccos(q**words) / np.pi
     return int(min(n - 1, np.ceil(n * share + 4 * np.sqrt(n * share * (1 - share)))))
 
 
@@ -386,17 +393,17 @@ def _wide_linked(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
 
 
-def _shingle_sets(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
+def _shingles(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
     for batch in sliced(batches, 256):
-        sets = [np.unique(shingle_hashes(x, words)).tobytes() for x in batch.column("text").to_pylist()]
+        ordered = [shingle_hashes(x, words).tobytes() for x in batch.column("text").to_pylist()]
         columns = [c for c in batch.schema.names if c != "text"]
-        yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in columns], pa.array(sets, pa.binary())], names=[*columns, "shingles"])
+        yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in columns], pa.array(ordered, pa.binary())], names=[*columns, "shingles"])
 
 
-def _similar(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
+def _similar(batches: Iterator[pa.RecordBatch], similarity: float, words: int) -> Iterator[pa.RecordBatch]:
     """Spanning forests of the links within sorted groups of candidates: fingerprints
-    within the radius, then the exact similarity of the sets."""
-    radius = wide_radius(similarity)
+    within the radius, then the exact similarity of the texts."""
+    radius = wide_radius(similarity, words)
     for table, starts in _runs(batches, ["cluster", "tile_a", "tile_b"]):
         nodes, shingles, prints = table.column("node"), table.column("shingles"), _lanes(table.column("print"))
         forest, a, b = _Forest(len(prints)), [], []
@@ -405,38 +412,48 @@ def _similar(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[p
                 if forest.root(i) == forest.root(j):
                     continue
                 one, two = (np.frombuffer(shingles[k].as_py(), np.uint64) for k in (i, j))
-                if alike(one, two, similarity):
+                if alike(one, two, similarity, words):
                     forest.join(i, j)
                     a.append(nodes[i].as_py())
                     b.append(nodes[j].as_py())
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
 
 
-def alike(one: np.ndarray, two: np.ndarray, similarity: float) -> bool:
-    """Whether two sorted sets have at least this cosine similarity: what they share to the
-    root of the product of their sizes. Two empty sets are alike."""
-    small, large = sorted((len(one), len(two)))
-    if small < similarity * similarity * large:
-        return False
-    both = len(np.intersect1d(one, two, assume_unique=True))
-    return both * both >= similarity * similarity * small * large
+def covered(one: np.ndarray, two: np.ndarray, words: int) -> float:
+    """The share of the words of ``one`` that stand in shingles which ``two`` has too; both
+    are shingles in order."""
+    shared = np.isin(one, two)
+    inside = np.zeros(len(one) + words - 1, bool)
+    for k in range(words):
+        inside[k : k + len(one)] |= shared
+    return float(inside.mean())
+
+
+def alike(one: np.ndarray, two: np.ndarray, similarity: float, words: int) -> bool:
+    """Whether at least this share of the words of each of two texts, given by their shingles
+    in order, stands in shingles that the other has too. Two texts without words are alike."""
+    if not len(one) or not len(two):
+        return len(one) == len(two)
+    return covered(one, two, words) >= similarity and covered(two, one, words) >= similarity
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, tile: int = TILE, tile_bytes: int = TILE_BYTES) -> DataFrame:
     """One row per row of ``docs(doc_id, text)``: row (its key), doc_id, group_id (the
     smallest doc_id of its group) and kept (true for one row of each group).
 
-    Two texts link if the cosine similarity of their sets of ``words``-word shingles is at
-    least ``similarity``; groups are what links connect. Texts with equal sets are one node,
-    null and blank texts too. A link is missed with a probability of at most 0.01 at 0.8, where
-    it is a bare link, and far less above. Null ids sort last; rows that repeat doc_id and text are one group,
+    Two texts link if at least ``similarity`` of the words of each stand in ``words``-word
+    shingles that the other has too; groups are what links connect. Texts of the same words are
+    one node, null and blank texts too. A pair with a tenth of its words changed at random is
+    missed with a probability of 0.05, with a twentieth of under 0.00001, and less often where
+    other copies lie between; more often only if changes stand at even steps, so that hardly a
+    shingle between them is left over. Null ids sort last; rows that repeat doc_id and text are one group,
     all of them kept if the group's smallest is theirs. Whole texts are read, however long. An
     empty table gives an empty result; further columns are ignored, whatever their names.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("row", row_key(F.col("doc_id"), F.col("text")))
     kind = rows.schema["row"].dataType.simpleString()
     sketches = saved(rows.select("row", "doc_id", "text").mapInArrow(lambda b: _sketches(b, words), f"row {kind}, doc_id long, digest binary, bands array<bigint>, print binary"), "sketches")
-    # a node for each distinct set of shingles, named by its 128-bit digest; its smallest row stands for it
+    # a node for each distinct sequence of shingles, named by its 128-bit digest; its smallest row stands for it
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("row").alias("row")))
     nodes = sketches.groupBy("digest").agg(first.alias("first"), F.any_value("bands").alias("bands"), F.any_value("print").alias("print"))
     nodes = saved(nodes.select(F.col("digest").alias("node"), "first.row", F.col("first.id").alias("doc_id"), "bands", "print"), "nodes")
@@ -446,7 +463,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, ti
     buckets = saved(buckets.withColumn("n_tiles", F.ceil(F.col("n") / tile).cast("int")), "buckets")
     dealt = saved(_dealt(met, ["bucket"], buckets.drop("n"), F.col("node")), "met")
     grouped = _paired(dealt.join(nodes.select("node", "print"), "node"), ["bucket"], _parts(buckets, 50_000))
-    near = grouped.mapInArrow(lambda b: _wide_linked(b, wide_radius(similarity)), "a binary, b binary")
+    near = grouped.mapInArrow(lambda b: _wide_linked(b, wide_radius(similarity, words)), "a binary, b binary")
     clusters = saved(components(near), "clusters")
     members = saved(nodes.join(clusters, "node").select("row", "node", "print", F.col("root").alias("cluster")), "members")
     sizes = members.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"), F.sum(F.greatest("row.n", F.lit(0))).alias("bytes"))
@@ -456,8 +473,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, ti
     if not sketches.groupBy("row").count().where("count > 1").isEmpty():
         texts = texts.dropDuplicates(["node"])  # repeated rows
     schema = "node binary, cluster binary, n_tiles int, tile int, print binary, shingles binary"
-    sets = texts.select("node", "cluster", "n_tiles", "tile", "print", "text").mapInArrow(lambda b: _shingle_sets(b, words), schema)
-    links = _paired(sets, ["cluster"], _parts(sizes, 20_000)).mapInArrow(lambda b: _similar(b, similarity), "a binary, b binary")
+    sets = texts.select("node", "cluster", "n_tiles", "tile", "print", "text").mapInArrow(lambda b: _shingles(b, words), schema)
+    links = _paired(sets, ["cluster"], _parts(sizes, 20_000)).mapInArrow(lambda b: _similar(b, similarity, words), "a binary, b binary")
     roots = saved(components(links), "roots")
     joined = saved(nodes.join(roots, "node", "left").select("node", "doc_id", "row", F.coalesce("root", "node").alias("root")), "grouped")
     best = saved(joined.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("row").alias("row"))).alias("best")), "best")
