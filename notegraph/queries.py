@@ -605,9 +605,9 @@ def _(spark, d):
     return _parsed(spark, d).select("path", listed("domain").alias("domain"), listed("status").alias("status"), listed("references").alias("refs"))
 
 
-@query("m2_humanize_ref", "SELECT doc_id, concat('Some ', source, ' in ', lang) AS shown FROM documents WHERE source IS NOT NULL AND lang IS NOT NULL")
+@query("m2_humanize_ref", "SELECT doc_id, 'Some ' || source || ' in ' || lang AS shown FROM documents")
 def _(spark, d):
-    rows = spark.read.parquet(f"{d}/documents.parquet").where("source is not null and lang is not null")
+    rows = spark.read.parquet(f"{d}/documents.parquet")
     return rows.select("doc_id", text.humanize_ref(F.concat(F.lit("'ns:Some_"), "source", F.lit("--in-"), "lang", F.lit("'"))).alias("shown"))
 
 
