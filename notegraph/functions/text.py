@@ -61,46 +61,93 @@ def _inserted(content: Column, block: Column) -> Column:
 # --- code protection ---------------------------------------------------------------------
 
 
-def segment(col: Column) -> Column:
-    """Parts of a text: even ones are text, odd ones code (fences and inline code)."""
+def _cut(col: Column, pattern: str) -> Column:
+    """Alternately what stands between the matches of ``pattern``, and the matches."""
+    marked = F.split(F.regexp_replace(col, pattern, "\x01$0\x01"), "\x01", -1)
+    between, found = F.split(col, pattern, -1), F.regexp_extract_all(col, F.lit(pattern), F.lit(0))
+    pairs = F.zip_with(between, found, lambda t, c: F.filter(F.array(t, c), lambda x: x.isNotNull()))
+    return F.when(col.contains("\x01"), F.flatten(pairs)).otherwise(marked)
+
 
-    def parts(clean: Column) -> Column:
-        marked = F.when(clean.contains("`") | clean.contains("~~~"), F.regexp_replace(clean, _FENCE + _CODE, "\x01$0\x01")).otherwise(clean)
-        return F.split(marked, "\x01", -1)
+def _may_hold_code(col: Column) -> Column:
+    return col.contains("`") | col.contains("~~~")
 
-    return bound(F.replace(col, F.lit("\x01"), F.lit("")), parts)
+
+def segment(col: Column) -> Column:
+    """Parts of a text: even ones are text, odd ones code (fences and inline code)."""
+    return bound(col, lambda c: F.when(_may_hold_code(c), _cut(c, _FENCE + _CODE)).when(c.isNotNull(), F.array(c)))
 
 
 def fence_parts(col: Column) -> Column:
     """Like ``segment``, with fences only."""
-    return F.split(F.regexp_replace(F.replace(col, F.lit("\x01"), F.lit("")), _FENCE, "\x01$0\x01"), "\x01", -1)
+    return bound(col, lambda c: F.when(c.contains("```") | c.contains("~~~"), _cut(c, _FENCE)).when(c.isNotNull(), F.array(c)))
+
+
+def join_parts(parts: Column) -> Column:
+    return F.array_join(parts, "")
+
+
+def over_text(parts: Column, fn: Callable[[Column], Column]) -> Column:
+    """``fn`` over the text parts of a segmented text; code stays."""
+    return F.transform(parts, lambda x, i: F.when(i % 2 == 0, fn(x)).otherwise(x))
+
+
+def settle(parts: Column) -> Column:
+    """What ``segment`` would make of the joined parts, after a pass over the text parts.
+
+    Where no text part holds a sign of code, the parts are already that: code starts
+    nowhere else, and no pass takes the line end before a fence away. Inline code that
+    the pass has put into a text part is cut out of it there. Only where signs are
+    left over is the joined text segmented anew."""
+
+    def finer(x: Column, i: Column) -> Column:
+        return F.when((i % 2 == 1) | ~x.contains("`"), F.array(x)).otherwise(_cut(x, _CODE[1:]))
+
+    def left_over(p: Column) -> Column:
+        return F.exists(F.transform(p, lambda x, i: (i % 2 == 0) & _may_hold_code(x)), lambda x: x)
+
+    cut = lambda p: F.flatten(F.transform(p, finer))
+    whole = lambda p: bound(cut(p), lambda c: F.when(left_over(c), segment(join_parts(c))).otherwise(c))
+    return bound(parts, lambda p: F.when(left_over(p), whole(p)).otherwise(p))
 
 
 def transform_text(col: Column, fn: Callable[[Column], Column]) -> Column:
     """Apply ``fn`` to the text parts and put the parts together again."""
-    return F.array_join(F.transform(segment(col), lambda x, i: F.when(i % 2 == 0, fn(x)).otherwise(x)), "")
+    return join_parts(over_text(segment(col), fn))
+
+
+def _without_comments(x: Column) -> Column:
+    return F.when(x.contains("%%"), F.regexp_replace(x, r"%%[\s\S]*?%%", "")).otherwise(x)
+
+
+def strip_comment_parts(parts: Column) -> Column:
+    """``strip_comments`` from parts to parts."""
+    return settle(over_text(parts, _without_comments))
 
 
 def strip_comments(col: Column) -> Column:
     """Remove ``%%...%%`` within each text part."""
-    fixed = lambda c: transform_text(c, lambda x: F.regexp_replace(x, r"%%[\s\S]*?%%", ""))
-    return bound(col, lambda c: F.when(c.contains("%%"), fixed(c)).otherwise(c))
+    return bound(col, lambda c: F.when(c.contains("%%"), transform_text(c, _without_comments)).otherwise(c))
 
 
-def escape_table_gt(col: Column) -> Column:
-    """``|  >`` becomes ``|  \\>`` on lines with two pipes."""
-
+def _with_escaped_gt(x: Column) -> Column:
     def row(line: Column) -> Column:
         return F.when(F.regexp_like(line, F.lit(rf"\|{DOT}*\|")), F.regexp_replace(line, r"(\|[\t ]*)>", r"$1\\>")).otherwise(line)
 
-    fixed = lambda c: transform_text(c, lambda x: F.array_join(F.transform(F.split(x, "\n", -1), row), "\n"))
-    return bound(col, lambda c: F.when(c.contains("|") & c.contains(">"), fixed(c)).otherwise(c))
+    return F.when(F.regexp_like(x, F.lit(r"\|[\t ]*>")), F.array_join(F.transform(F.split(x, "\n", -1), row), "\n")).otherwise(x)
 
 
-def rewrite_math(col: Column) -> Column:
-    """``$$..$$`` becomes a fence, ``$..$`` with a letter or backslash inline code. Both are
-    first put between marks, so that a pair that is not math is still consumed."""
+def escape_table_gt_parts(parts: Column) -> Column:
+    """``escape_table_gt`` from parts to parts. It makes no code."""
+    return over_text(parts, _with_escaped_gt)
+
 
+def escape_table_gt(col: Column) -> Column:
+    """``|  >`` becomes ``|  \\>`` on lines with two pipes."""
+    return bound(col, lambda c: F.when(c.contains("|") & c.contains(">"), transform_text(c, _with_escaped_gt)).otherwise(c))
+
+
+def _with_math(x: Column) -> Column:
     # fixed values: block math, inline math
     def math(x: Column) -> Column:
         x = F.regexp_replace(x, "[\x02\x03]", "")
@@ -110,7 +157,18 @@ def rewrite_math(col: Column) -> Column:
         x = F.regexp_replace(x, "\x02([^\x03]*[a-zA-Z\\\\][^\x03]*)\x03", f"`{MATH_INLINE}$1`")
         return F.regexp_replace(x, "[\x02\x03]", r"\$")
 
-    return bound(col, lambda c: F.when(c.contains("$"), transform_text(c, math)).otherwise(c))
+    return F.when(x.contains("$"), math(x)).otherwise(x)
+
+
+def math_parts(parts: Column) -> Column:
+    """``rewrite_math`` over parts. It is the last pass: what it makes is not cut out again."""
+    return over_text(parts, _with_math)
+
+
+def rewrite_math(col: Column) -> Column:
+    """``$$..$$`` becomes a fence, ``$..$`` with a letter or backslash inline code. Both are
+    first put between marks, so that a pair that is not math is still consumed."""
+    return bound(col, lambda c: F.when(c.contains("$"), transform_text(c, _with_math)).otherwise(c))
 
 
 # --- HTML --------------------------------------------------------------------------------

@@ -11,7 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from notegraph.functions.text import BLANK, LINK_PREFIX, bound, from_base64, humanize_ref, js_trim, segment, strip_quotes, to_base64, transform_text, url_decode
+from notegraph.functions.text import BLANK, LINK_PREFIX, from_base64, humanize_ref, join_parts, js_trim, over_text, segment, settle, strip_quotes, to_base64, url_decode
 from notegraph.sources.scratch import saved
 
 # The patterns of wikilinks and file links.
@@ -20,14 +20,22 @@ _FILE = rf"\[((?:[^\]\[\n]|\[[^\]\n]*\])+)\]\(([^){BLANK}]+?)(#[^){BLANK}]*)?\)"
 _PAYLOAD = "kind string, title string, anchor string, display string"
 
 
-def _matches(notes: DataFrame, pattern: str, group: int, name: str) -> DataFrame:
-    parts = notes.select("path", F.posexplode(segment(F.col("content"))).alias("part", "text")).where("part % 2 = 0")
+def _with_parts(notes: DataFrame) -> DataFrame:
+    """Notes that come with ``parts``, their segmented text, keep them."""
+    return notes if "parts" in notes.columns else notes.withColumn("parts", segment(F.col("content")))
+
+
+def _matches(notes: DataFrame, sign: str, pattern: str, group: int, name: str) -> DataFrame:
+    if "parts" not in notes.columns:
+        notes = notes.where(F.col("content").contains(sign))
+    parts = _with_parts(notes).select("path", F.posexplode("parts").alias("part", "text")).where((F.col("part") % 2 == 0) & F.col("text").contains(sign))
     return parts.select("path", "part", F.posexplode(F.regexp_extract_all("text", F.lit(pattern), F.lit(group))).alias("pos", name))
 
 
 def extract_wikilinks(notes: DataFrame) -> DataFrame:
-    """path, part, pos, inner: ``[[...]]`` in text. Embeds, blank ones and mentions are none."""
-    found = _matches(notes.where(F.col("content").contains("[[")), _WIKI, 1, "inner")
+    """path, part, pos, inner: ``[[...]]`` in text of ``notes(path, content)``, or segmented
+    ``notes(path, parts)``. Embeds, blank ones and mentions are none."""
+    found = _matches(notes, "[[", _WIKI, 1, "inner")
     trimmed = js_trim(F.col("inner"))
     return found.where((trimmed != "") & ~trimmed.startswith("mention:"))
 
@@ -51,8 +59,9 @@ def link_display(inner: Column, parsed: Column) -> Column:
 
 
 def extract_file_links(notes: DataFrame) -> DataFrame:
-    """path, part, pos, whole, label, url, page_name, anchor: ``[label](x.md#frag)``."""
-    found = _matches(notes.where(F.col("content").contains("](")), rf"(?<!!){_FILE}", 0, "whole")
+    """path, part, pos, whole, label, url, page_name, anchor: ``[label](x.md#frag)`` in text of
+    ``notes(path, content)``, or segmented ``notes(path, parts)``."""
+    found = _matches(notes, "](", rf"(?<!!){_FILE}", 0, "whole")
     one = rf"\A{_FILE}\z"
     rows = found.select("*", *[F.regexp_extract("whole", one, k).alias(n) for k, n in ((1, "label"), (2, "url"), (3, "fragment"))])
     decoded = url_decode(F.col("url"))
@@ -153,7 +162,7 @@ def file_link_replacements(links: DataFrame, titles: DataFrame, corpus: DataFram
     return rows.select("path", "whole", F.col("label").alias("display"), F.coalesce(encode_payload(F.col("payload")), "label").alias("replacement"), "payload", "warning")
 
 
-def _rewritten(notes: DataFrame, replacements: DataFrame, key: str, pattern: str, mark: str, unmarked) -> DataFrame:
+def _rewritten(notes: DataFrame, replacements: DataFrame, key: str, sign: str, pattern: str, mark: str, unmarked) -> DataFrame:
     # one entry for a key: where replacements repeat, the smallest counts
     once = replacements.groupBy("path", key).agg(F.min("replacement").alias("replacement"))
     entries = once.groupBy("path").agg(F.map_from_entries(F.collect_list(F.struct(key, "replacement"))).alias("__map"))
@@ -161,19 +170,25 @@ def _rewritten(notes: DataFrame, replacements: DataFrame, key: str, pattern: str
     def replaced(x: Column) -> Column:
         pieces = F.split(F.regexp_replace(F.replace(x, F.lit("\x02"), F.lit("")), pattern, mark), "\x02", -1)
         swap = lambda p: F.coalesce(F.try_element_at(F.col("__map"), p), unmarked(p))
-        return F.array_join(F.transform(pieces, lambda p, i: F.when(i % 2 == 1, swap(p)).otherwise(p)), "")
+        return F.when(x.contains(sign), F.array_join(F.transform(pieces, lambda p, i: F.when(i % 2 == 1, swap(p)).otherwise(p)), "")).otherwise(x)
 
-    content = bound(F.col("content"), lambda c: F.when(F.col("__map").isNull(), c).otherwise(transform_text(c, replaced)))
-    return notes.join(entries, "path", "left").withColumn("content", content).drop("__map")
+    rows = _with_parts(notes).join(entries, "path", "left")
+    if "parts" in notes.columns:
+        done = F.when(F.col("__map").isNull(), F.col("parts")).otherwise(settle(over_text(F.col("parts"), replaced)))
+        return rows.withColumn("parts", done).drop("__map")
+    done = F.when(F.col("__map").isNull(), F.col("content")).otherwise(join_parts(over_text(F.col("parts"), replaced)))
+    return rows.withColumn("content", done).drop("parts", "__map")
 
 
 def rewrite_wikilinks(notes: DataFrame, replacements: DataFrame) -> DataFrame:
-    """Links replaced where ``replacements(path, inner, replacement)`` has them."""
-    return _rewritten(notes, replacements, "inner", _WIKI, "\x02$1\x02", lambda p: F.concat(F.lit("[["), p, F.lit("]]")))
+    """Links replaced where ``replacements(path, inner, replacement)`` has them, in ``parts``
+    if the notes come segmented, else in ``content``."""
+    return _rewritten(notes, replacements, "inner", "[[", _WIKI, "\x02$1\x02", lambda p: F.concat(F.lit("[["), p, F.lit("]]")))
 
 
 def rewrite_file_links(notes: DataFrame, replacements: DataFrame) -> DataFrame:
-    return _rewritten(notes, replacements, "whole", rf"(?<!!){_FILE}", "\x02$0\x02", lambda p: p)
+    """Like ``rewrite_wikilinks``, for ``replacements(path, whole, replacement)``."""
+    return _rewritten(notes, replacements, "whole", "](", rf"(?<!!){_FILE}", "\x02$0\x02", lambda p: p)
 
 
 def link_warnings(*replacements: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from notegraph.config import PlanConfig
-from notegraph.functions.text import bound, escape_table_gt, fence_parts, insert_after_frontmatter, normalize_newlines, rewrite_math, strip_comments
+from notegraph.functions.text import bound, escape_table_gt_parts, fence_parts, insert_after_frontmatter, join_parts, math_parts, normalize_newlines, segment, strip_comment_parts
 from notegraph.operators import filters, links, meta, state, titles, tree
 from notegraph.sources.notes import parse_frontmatter, split_frontmatter
 from notegraph.sources.scratch import saved
@@ -51,7 +51,8 @@ def publish_context(notes: DataFrame, cfg: PlanConfig) -> Context:
 def context_of(slim: DataFrame, notes: DataFrame, cfg: PlanConfig) -> Context:
     """The context of the corpus that ``slim`` has, for texts out of ``notes(path, content)``, which
     may be those of a part of it."""
-    about = saved(filters.publishable(slim, cfg.folder, cfg.publish_key), "notes-meta")
+    slim = saved(slim, "notes-meta")
+    about = filters.publishable(slim, cfg.folder, cfg.publish_key)
     own = about.select("path", "ord", F.coalesce("h1", titles.stem(F.col("path"))).alias("title"))
     places = tree.folder_of_file(about).drop("ord")
     named = saved(titles.dedup_titles(own, cfg.deduplicate_titles).join(places, "path"), "titles")
@@ -75,8 +76,10 @@ def panels(ctx: Context, only: DataFrame | None = None) -> DataFrame:
 def render_notes(ctx: Context, cfg: PlanConfig, only: DataFrame | None = None) -> DataFrame:
     """path, ord, title, page_title, folder_title, tags, content: each note as it would be
     published. The passes go in a fixed order: comments, links, file links, table cells,
-    math; each protects code, and what an earlier pass has put there. Texts are shuffled
-    by path once; all joins after that are on path too."""
+    math; each protects code, and what an earlier pass has put there. A text is cut into text
+    and code once and goes through all passes as these parts. It is written once before
+    its links are looked for; what replaces them is written too, a slim table, as links of
+    the second kind are looked for in what the first kind has become."""
     notes = ctx.notes if only is None else filters.restrict_to(ctx.notes, only)
     rows = notes.withColumn("content", normalize_newlines(F.col("content"))).join(ctx.titles.drop("ord"), "path")
     if cfg.use_h1:
@@ -86,13 +89,15 @@ def render_notes(ctx: Context, cfg: PlanConfig, only: DataFrame | None = None) -
         rows = rows.join(panels(ctx, only), "path", "left")
         rows = rows.withColumn("content", F.when(F.col("block").isNull(), F.col("content")).otherwise(insert_after_frontmatter(F.col("content"), F.col("block")))).drop("block")
     rows = meta.project_labels(rows, cfg.label_fields, cfg.labels_from_taxonomy)
-    rows = rows.select("path", "ord", "title", "page_title", "folder_title", "tags", strip_comments(F.col("content")).alias("content"))
-    rows = saved(rows, "stripped-notes")  # links are found in it and replaced in it
+    parts = strip_comment_parts(segment(F.col("content")))
+    rows = saved(rows.select("path", "ord", "title", "page_title", "folder_title", "tags", parts.alias("parts")), "stripped-notes")
     found = links.wikilink_replacements(links.extract_wikilinks(rows), ctx.titles, ctx.targets)
+    found = saved(found.select("path", "inner", "replacement"), "wikilinks")
     rows = links.rewrite_wikilinks(rows, found)
     found = links.file_link_replacements(links.extract_file_links(rows), ctx.titles, ctx.targets)
     rows = links.rewrite_file_links(rows, found)
-    return rows.withColumn("content", rewrite_math(escape_table_gt(F.col("content"))))
+    text = join_parts(math_parts(escape_table_gt_parts(F.col("parts"))))
+    return rows.select("path", "ord", "title", "page_title", "folder_title", "tags", text.alias("content"))
 
 
 def plan_publish(notes: DataFrame, ledger: DataFrame, cfg: PlanConfig = PlanConfig(), only: str | None = None) -> DataFrame:

@@ -12,7 +12,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from notegraph.functions.text import bound, js_trim, normalize_newlines
+from notegraph.functions.text import js_trim, normalize_newlines
 from notegraph.sources.scratch import broadcast_if_small, saved
 
 LEDGER = "path string, page_id string, hash string"
@@ -136,36 +136,46 @@ def parse_frontmatter(notes: DataFrame) -> DataFrame:
     counts. Keys with a null value are kept with no values."""
     start = F.struct(F.lit("").alias("key"), F.array().cast("array<struct<key:string,values:array<string>,kind:string>>").alias("done"))
 
-    def step(a: Column, line: Column) -> Column:
-        item = F.regexp_extract(line, r"\A[ \t]*-[ \t]+(.*)\z", 1)
-        key = F.regexp_extract(line, r"\A([^\s:#-][^:]*?)[ \t]*:(?:[ \t]|\z)", 1)
-        raw = js_trim(F.regexp_extract(line, r"\A[^:]+:(.*)\z", 1))
-        listed = F.regexp_like(raw, F.lit(r"\A\[.*\]\z"))
-        inner = F.filter(F.transform(F.split(F.substring(raw, F.lit(2), F.length(raw) - 2), ",", -1), lambda x: _unquoted(js_trim(x))), lambda x: x != "")
-        quoted = F.regexp_like(raw, F.lit(r"""\A(?:".*"|'.*')\z"""))
-        kind = F.when(listed, "list").when(quoted, "string").otherwise(_scalar_kind(raw))
-        values = F.when(listed, inner).when(kind == "null", F.array().cast("array<string>")).otherwise(F.array(_unquoted(raw)))
-        entry = F.array(F.struct(key.alias("key"), values.alias("values"), kind.alias("kind")))
+    def cut(line: Column) -> Column:
+        return F.struct(
+            F.regexp_extract(line, r"\A[ \t]*-[ \t]+(.*)\z", 1).alias("item"),
+            F.regexp_extract(line, r"\A([^\s:#-][^:]*?)[ \t]*:(?:[ \t]|\z)", 1).alias("key"),
+            js_trim(F.regexp_extract(line, r"\A[^:]+:(.*)\z", 1)).alias("raw"),
+        )
+
+    def typed(x: Column) -> Column:
+        listed = F.regexp_like(x["raw"], F.lit(r"\A\[.*\]\z"))
+        quoted = F.regexp_like(x["raw"], F.lit(r"""\A(?:".*"|'.*')\z"""))
+        kind = F.when(x["key"] == "", F.lit(None)).when(listed, "list").when(quoted, "string").otherwise(_scalar_kind(x["raw"]))
+        return F.struct(x["item"].alias("item"), x["key"].alias("key"), x["raw"].alias("raw"), kind.alias("kind"))
+
+    def step(a: Column, x: Column) -> Column:
+        inner = F.filter(F.transform(F.split(F.substring(x["raw"], F.lit(2), F.length(x["raw"]) - 2), ",", -1), lambda v: _unquoted(js_trim(v))), lambda v: v != "")
+        values = F.when(x["kind"] == "list", inner).when(x["kind"] == "null", F.array().cast("array<string>")).otherwise(F.array(_unquoted(x["raw"])))
+        entry = F.array(F.struct(x["key"].alias("key"), values.alias("values"), x["kind"].alias("kind")))
         last = F.try_element_at(a["done"], F.lit(-1))
-        grown = F.array(F.struct(last["key"].alias("key"), F.concat(last["values"], F.array(_unquoted(js_trim(item)))).alias("values"), F.lit("list").alias("kind")))
-        append = (item != "") & (a["key"] != "")
+        grown = F.array(F.struct(last["key"].alias("key"), F.concat(last["values"], F.array(_unquoted(js_trim(x["item"])))).alias("values"), F.lit("list").alias("kind")))
+        append = (x["item"] != "") & (a["key"] != "")
         rest = F.slice(a["done"], 1, F.greatest(F.size(a["done"]) - 1, F.lit(0)))
         return F.struct(
-            F.when(append, a["key"]).when(key != "", F.when(kind == "null", key).otherwise("")).otherwise("").alias("key"),
-            F.when(append, F.concat(rest, grown)).when(key != "", F.concat(a["done"], entry)).otherwise(a["done"]).alias("done"),
+            F.when(append, a["key"]).when(x["key"] != "", F.when(x["kind"] == "null", x["key"]).otherwise("")).otherwise("").alias("key"),
+            F.when(append, F.concat(rest, grown)).when(x["key"] != "", F.concat(a["done"], entry)).otherwise(a["done"]).alias("done"),
         )
 
-    entries = F.aggregate(F.split("raw_fm", "\n", -1), start, step, lambda a: a["done"])
+    lines = F.transform(F.transform(F.split("raw_fm", "\n", -1), cut), typed)
+    entries = F.aggregate(lines, start, step, lambda a: a["done"])
 
     def last_of_each(e: Column) -> Column:
         return F.filter(e, lambda x, i: ~F.exists(F.slice(e, i + 2, F.size(e)), lambda y: y["key"] == x["key"]))
 
-    parsed = notes.withColumn("__fm", F.when(F.col("raw_fm").isNotNull(), bound(entries, last_of_each)))
-    return (
-        parsed.withColumn("fm", F.map_from_entries(F.transform("__fm", lambda x: F.struct(x["key"], x["values"]))))
-        .withColumn("fm_kind", F.map_from_entries(F.transform("__fm", lambda x: F.struct(x["key"], x["kind"]))))
-        .drop("__fm")
-    )
+    def maps(e: Column) -> Column:
+        return F.struct(
+            F.map_from_entries(F.transform(e, lambda x: F.struct(x["key"], x["values"]))).alias("fm"),
+            F.map_from_entries(F.transform(e, lambda x: F.struct(x["key"], x["kind"]))).alias("fm_kind"),
+        )
+
+    # rows out of a generator: a filter on them doesn't parse the block again
+    return notes.select("*", F.inline(F.transform(F.transform(F.array(entries), last_of_each), maps)))
 
 
 def _merged(base: str, more: Column) -> Column:

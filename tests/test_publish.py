@@ -49,6 +49,27 @@ def test_math_comments_cells(spark):
     check(spark, text.escape_table_gt, [("| m | >= 0.95 |\n", "| m | \\>= 0.95 |\n"), ("| a > b | c |\n", "| a > b | c |\n"), ("> a real quote\n", "> a real quote\n")])
 
 
+def test_passes_over_parts_equal_passes_over_texts(spark):
+    rng = random.Random(5)
+    signs = ["`", "``", "```", "~~~", "\n", "\n", "\t", "%%", "%%c%%", "$", "$x$", "$$b$$", "| a | > |", "|", "> ", "[[a]]", "[[b|c]]", "[x](a.md)", "[[z]](a.md)", "w", " ", "\x01"]
+    texts = ["".join(rng.choice(signs) for _ in range(rng.randint(0, 14))) for _ in range(800)] + ["` %%\n%% `", "%%a%%```\n[[a]]\n", "`[[a]]`[[a]]`", "[[a]][[a]]", None]
+    notes = spark.createDataFrame([(f"n{i}", x) for i, x in enumerate(texts)], "path string, content string").repartition(8, "path")
+    each = notes.select("path")
+    wiki = each.selectExpr("path", "inline(array(struct('a' as inner, '`l:1`' as replacement), struct('z' as inner, 'p' as replacement)))")
+    files = each.selectExpr("path", "'[x](a.md)' as whole", "'`f:2`' as replacement")
+    plain = notes.withColumn("content", text.strip_comments(F.col("content")))
+    plain = links.rewrite_file_links(links.rewrite_wikilinks(plain, wiki), files)
+    plain = plain.select("path", text.rewrite_math(text.escape_table_gt(F.col("content"))).alias("one"))
+    cut = notes.select("path", text.strip_comment_parts(text.segment(F.col("content"))).alias("parts"))
+    cut = links.rewrite_file_links(links.rewrite_wikilinks(cut, wiki), files)
+    kept = cut.where("parts is not null").select((F.col("parts") == text.segment(text.join_parts(F.col("parts")))).alias("same"))
+    assert kept.where("not same").count() == 0 and kept.count() == len(texts) - 1
+    cut = cut.select("path", text.join_parts(text.math_parts(text.escape_table_gt_parts(F.col("parts")))).alias("other"))
+    rows = plain.join(cut, "path")
+    assert rows.count() == len(texts)
+    assert [tuple(r) for r in rows.where("not (one <=> other)").collect()] == []
+
+
 def test_html(spark):
     check(spark, text.decode_entities, [("R &amp; D", "R & D"), ("&amp;lt;", "&lt;"), ("a &lt;b&gt; c", "a <b> c"), ("&#39;q&#39; &#x27;r&#x27;", "'q' 'r'"), ("&#8364;&#x1F600;!", "€😀!")])
     check(spark, text.html_lines, [
