@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
-from contextlib import contextmanager
+from contextlib import contextmanager, suppress
 
 import pyarrow as pa
 
@@ -122,3 +124,28 @@ def sliced(batches: Iterable[pa.RecordBatch], rows: int = 1_000) -> Iterator[pa.
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
+
+
+#: What a batch of rows on its way to Python should hold. Spark's own bound is 10,000 rows, of whatever size.
+BATCH_BYTES = 4 << 20
+
+
+@contextmanager
+def small_batches(spark: SparkSession, limit: int = BATCH_BYTES) -> Iterator[None]:
+    """Bounds the bytes of batches that Python steps get in actions that run inside; a lower bound of
+    the session stays, and the session's own is set again."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark._jsparkSession.sessionState().conf().arrowMaxBytesPerBatch()
+    spark.conf.set(key, str(min(before, limit)))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, str(before))
+
+
+def freed() -> None:
+    """Gives back what earlier tasks of other steps have left in this Python worker."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with suppress(OSError, AttributeError):  # glibc only
+        ctypes.CDLL(None).malloc_trim(0)

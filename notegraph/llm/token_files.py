@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import tokenizing
-from .common import parts_for, saved, sliced
+from .common import freed, parts_for, saved, sliced, small_batches
 
 BLOCK = 65_536
 STRIDE = 64
@@ -115,8 +115,9 @@ class Decoder:
 
 def _encoded(docs: DataFrame, vocabulary: str, end_id: int) -> DataFrame:
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        freed()
         model = tokenizing.encoder(vocabulary)
-        for batch in sliced(batches):
+        for batch in sliced(batches, 250):
             ids = [np.append(x, np.uint32(end_id)) for x in model.encode([x or "" for x in batch.column("text").to_pylist()])]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array([len(x) for x in ids], pa.int32()), pa.array([_narrow(x) for x in ids], pa.binary())],
@@ -124,7 +125,8 @@ def _encoded(docs: DataFrame, vocabulary: str, end_id: int) -> DataFrame:
             )
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return saved(rows.mapInArrow(encode, "doc_id long, n int, ids binary"), "ids")
+    with small_batches(docs.sparkSession):
+        return saved(rows.mapInArrow(encode, "doc_id long, n int, ids binary"), "ids")
 
 
 def _narrow(ids: np.ndarray) -> bytes:
@@ -196,15 +198,14 @@ def write_token_files(docs: DataFrame, vocabulary: str, path: str, end_id: int =
             yield block()
 
     parts = parts or parts_for(encoded)
-    (
+    rows = (
         encoded.withColumn("tie", F.xxhash64("ids"))
         .repartitionByRange(parts, "doc_id", "tie")
         .sortWithinPartitions("doc_id", "tie", "ids")
         .select("doc_id", "n", "ids")
-        .mapInArrow(blocks, _BLOCKS)
-        .write.option("compression", "zstd")
-        .parquet(f"{path}/blocks")
     )
+    with small_batches(spark):
+        rows.mapInArrow(blocks, _BLOCKS).write.option("compression", "zstd").parquet(f"{path}/blocks")
 
 
 def _names(ddl: str) -> list[str]:

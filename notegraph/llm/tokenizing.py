@@ -20,7 +20,7 @@ import numpy as np
 
 #: Bytes of the piece memo in one worker, by sys.getsizeof; past it the later half goes. Between two
 #: texts, so that the pieces of one text, each of them short, may stand over it.
-MEMO_BYTES = 120 << 20
+MEMO_BYTES = 72 << 20
 #: Characters of a piece that is kept. Longer ones, as in texts without spaces, are encoded where they stand.
 MEMO_PIECE = 64
 #: A piece that starts with its only white space, in which no added token can stand.

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import itertools
 import random
 import re
 import sys
@@ -12,12 +13,13 @@ from difflib import SequenceMatcher
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from notegraph.llm import components, decontaminate, exact_dedup, language_id, line_dedup, mixing, queries, secret_scan, simhash, token_counts, token_files, tokenizing, url_trust
-from notegraph.llm.common import scratch
+from notegraph.llm.common import scratch, small_batches
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size int, row string, kept string, hash string, score string"
@@ -82,6 +84,20 @@ def test_memo_is_bounded_by_bytes(monkeypatch):
         assert model.held <= 1 << 20 and model.held == sum(sys.getsizeof(k) + sys.getsizeof(v) + 100 for k, v in model.memo.items())
 
 
+def test_batches_for_python_are_bounded_by_bytes(spark):
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark._jsparkSession.sessionState().conf().arrowMaxBytesPerBatch()
+    texts = spark.range(0, 2_000, 1, 1).select(F.repeat(F.lit("x"), 1_000).alias("text"))
+    sizes = texts.mapInArrow(lambda batches: (pa.RecordBatch.from_pydict({"n": [b.num_rows]}, pa.schema([("n", pa.int64())])) for b in batches), "n long")
+    with small_batches(spark, 100_000):
+        found = [r["n"] for r in sizes.collect()]
+        with small_batches(spark):  # a lower bound stays
+            assert spark.conf.get(key) == "100000"
+    assert sum(found) == 2_000 and max(found) <= 200
+    assert spark._jsparkSession.sessionState().conf().arrowMaxBytesPerBatch() == before
+    assert tokenizing.MEMO_BYTES <= 72 << 20
+
+
 def test_a_warm_cache_moves_no_text(spark, docs, monkeypatch):
     cache = scratch(spark, "warm")
     want = rows(token_counts.count_tokens(docs, VOCABULARY, cache), "doc_id", "n_tokens")
