@@ -76,13 +76,19 @@ def canonical_codes(lengths: np.ndarray) -> np.ndarray:
 
 def pack(ids: np.ndarray, lengths: np.ndarray, codes: np.ndarray) -> tuple[bytes, bytes]:
     """(checkpoints, payload) of a block."""
-    n = lengths[ids]
-    left = codes[ids] << (32 - n.astype(np.uint32))
-    width = (int(n.max(initial=1)) + 7) // 8
-    bits = np.unpackbits(left.astype(">u4").view(np.uint8).reshape(-1, 4)[:, :width], axis=1)
-    payload = np.packbits(bits[np.arange(8 * width) < n[:, None]])
-    offsets = np.cumsum(n, dtype=np.int64) - n
-    return np.diff(offsets[::STRIDE], prepend=0).astype("<u2").tobytes(), payload.tobytes()
+    n = lengths[ids].astype(np.int64)
+    ends = np.cumsum(n)
+    offsets = ends - n
+    word = offsets >> 5
+    values = codes[ids].astype(np.uint64) << (64 - n - (offsets & 31)).astype(np.uint64)
+    first = np.flatnonzero(np.diff(word, prepend=-1))  # of the codes that start in one word of 32 bits; bits don't overlap
+    values = np.add.reduceat(values, first) if len(first) else values
+    bits = int(ends[-1]) if len(ends) else 0
+    words = np.zeros((bits >> 5) + 2, np.uint64)
+    words[word[first]] = values >> np.uint64(32)
+    words[word[first] + 1] += values & np.uint64(0xFFFFFFFF)
+    payload = words.astype(">u4").tobytes()[: bits + 7 >> 3]
+    return np.diff(offsets[::STRIDE], prepend=0).astype("<u2").tobytes(), payload
 
 
 class Decoder:
@@ -142,8 +148,11 @@ def _counts(encoded: DataFrame) -> np.ndarray:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(0, np.int64)
         for batch in sliced(batches):
+            joined: dict[bool, list[bytes]] = {True: [], False: []}
             for ids, n in zip(batch.column("ids").to_pylist(), batch.column("n").to_pylist()):
-                more = np.bincount(_wide(ids, n))
+                joined[len(ids) == 2 * n].append(ids)
+            for narrow, found in joined.items():
+                more = np.bincount(np.frombuffer(b"".join(found), "<u2" if narrow else "<u4"))
                 if len(more) > len(total):
                     total, more = more, total
                 total[: len(more)] += more

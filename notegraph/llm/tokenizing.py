@@ -1,10 +1,10 @@
 """Batch encoding with the tokenizers and sentencepiece libraries, for use inside tasks.
 
-A byte-level BPE splits a text before every blank run that follows a word, so the
-pieces of ``text.split(" ")`` encode alone as they do in place. Words repeat, so pieces
-are encoded once per worker and looked up after that. Where a space has white space on
-both sides (or ends the text after white space) the pieces would not be independent;
-such texts are encoded whole. Texts are never cut or truncated.
+A byte-level BPE splits a text before every space between words, at a line break between
+them, and between a word and its full stop or comma, so such pieces encode alone as they do
+in place. Words repeat, so pieces are encoded once per worker and looked up after that. Where
+a space has white space on a side, or ends the text, the pieces would not be independent;
+there a text is not cut. No text is cut short.
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ from __future__ import annotations
 import hashlib
 import os
 import re
+from contextlib import suppress
 from functools import lru_cache
 from itertools import islice
 from sys import getsizeof
@@ -19,17 +20,24 @@ from sys import getsizeof
 import numpy as np
 
 #: Bytes of the piece memo in one worker, by sys.getsizeof; past it the later half goes. Between two
-#: texts, so that the pieces of one text, each of them short, may stand over it.
+#: groups of texts, so that the pieces of one group, each of them short, may stand over it.
 MEMO_BYTES = 72 << 20
 #: Characters of a piece that is kept. Longer ones, as in texts without spaces, are encoded where they stand.
 MEMO_PIECE = 64
-#: A piece that starts with its only white space, in which no added token can stand.
-_PLAIN = re.compile(" [^\\s\u180e\u200b]+")
-#: A space whose neighbours make a split there unsafe.
-_UNSAFE = re.compile("[\\s\u180e\u200b] (?:[\\s\u180e\u200b]|$)")
-
-#: A Latin letter ends a stem before commas and full stops: the BPE splits there too.
-_STEM = re.compile("[^\\n]*[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff](?=[.,]+$)")
+#: Characters of texts whose missing pieces are encoded together.
+GROUP_CHARS = 1 << 18
+#: What is no white space, neither here nor in the library.
+_SOLID = "[^\\s\u180e\u200b]"
+#: A piece that is independent of its neighbours.
+_FIT = re.compile(f"\n?{_SOLID}(?:.*{_SOLID})?", re.DOTALL)
+#: A start of a text that is.
+_ENDS = re.compile(f".*{_SOLID}", re.DOTALL)
+#: A piece in which no added token can stand and that holds no line break but at its start.
+_PLAIN = re.compile(f"[ \n]?{_SOLID}+")
+#: A space at which any text may be cut.
+_CUT = re.compile(f"(?<={_SOLID}) (?={_SOLID})")
+#: A full stop or comma that ends a word of Latin letters.
+_STOP = re.compile("[.,](?<=[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff][.,])(?=[ \n]|\\Z)")
 
 
 @lru_cache(maxsize=4)
@@ -79,76 +87,124 @@ class BpeEncoder(Encoder):
         before = kind.get("pre_tokenizer") or {}
         # only this pre-tokenizer is known to split before blanks, and only with no normaliser
         self.splits = before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space") and not kind.get("normalizer") and all(
-            not re.search(r"\s", x["content"]) and not x.get("lstrip") and not x.get("rstrip") and not x.get("single_word") for x in kind.get("added_tokens", [])
+            not re.search(r"[\s.,]", x["content"]) and not x.get("lstrip") and not x.get("rstrip") and not x.get("single_word") for x in kind.get("added_tokens", [])
         )
         self.added = [x["content"] for x in kind.get("added_tokens", [])]
         newline = self.model.encode("\n", add_special_tokens=False).ids
         self.splits = self.splits and len(newline) == 1
         self.newline = newline[0]
+        #: Little-endian ids in the fewest bytes: two where all ids of the vocabulary fit.
+        self.kind = np.dtype("<u2" if max(self.model.get_vocab(with_added_tokens=True).values(), default=0) < 1 << 16 else "<u4")
+        #: Ids by piece; ``_literal`` tells which string a piece stands for.
         self.memo: dict[str, bytes] = {}
         self.held = 0
 
-    def _hold(self, found: dict[str, bytes]) -> None:
-        self.held += sum(getsizeof(k) + getsizeof(v) + 100 for k, v in found.items() if k not in self.memo)
-        self.memo.update(found)
+    def _hold(self, piece: str, ids: bytes) -> None:
+        self.memo[piece] = ids
+        self.held += getsizeof(piece) + getsizeof(ids) + 100
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         found = self.model.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.asarray(x.ids, "<u4").tobytes() for x in found]
-
-    def _pieces(self, pieces: list[str]) -> None:
-        """Encode pieces that the memo lacks. Plain ones are joined by line breaks, encoded
-        as one text and cut at the line breaks' ids: one call costs more than a word."""
-        memo = self.memo
-        cut = {x: m.end() for x in pieces if (m := _STEM.match(x))}
-        need = {*(x for x in pieces if x not in cut), *(x[:n] for x, n in cut.items()), *(x[n:] for x, n in cut.items())}
-        need = [x for x in need if x not in memo]
-        plain = [x for x in need if _PLAIN.fullmatch(x) and not any(a in x for a in self.added)]
-        if len(plain) < len(need):
-            others = list(set(need).difference(plain))
-            self._hold(dict(zip(others, self._whole(others))))
-        for at in range(0, len(plain), 5000):
-            some = plain[at : at + 5000]
-            ids = np.frombuffer(self._whole(["\n".join(some)])[0], "<u4")
-            ends = np.flatnonzero(ids == self.newline).tolist()
-            if len(ends) + 1 != len(some):  # in this vocabulary a line break isn't always a token of its own
-                self._hold(dict(zip(some, self._whole(some))))
+        return [np.asarray(x.ids, self.kind).tobytes() for x in found]
+
+    def _joined(self, words: list[str]) -> list[bytes]:
+        """The ids of words without white space, but for a space before them. They are joined by line breaks,
+        encoded as one text and cut at the line breaks' ids: one call costs more than a word."""
+        out: list[bytes] = []
+        size = self.kind.itemsize
+        for at in range(0, len(words), 5000):
+            some = words[at : at + 5000]
+            text = "\n".join(some)
+            data = self._whole([text])[0]
+            ends = (size * np.flatnonzero(np.frombuffer(data, self.kind) == self.newline)).tolist()
+            if len(ends) + 1 != len(some) or any(x in text for x in self.added):  # a line break isn't always a token of its own here
+                out += self._whole(some)
                 continue
-            data, start = ids.tobytes(), 0
-            found: dict[str, bytes] = {}
-            for piece, end in zip(some, [*ends, len(ids)]):
-                found[piece] = data[4 * start : 4 * end]
-                start = end + 1
-            self._hold(found)
-        self._hold({x: memo[x[:n]] + memo[x[n:]] for x, n in cut.items()})
+            ends.append(len(data))
+            start = 0
+            for end in ends:
+                out.append(data[start:end])
+                start = end + size
+        return out
+
+    def _pieces(self, pieces: list[str]) -> dict[str, bytes]:
+        """Encode pieces that the memo lacks, and keep those that may be kept."""
+        literals = [_literal(x) for x in pieces]
+        found: dict[str, bytes] = {}
+        plain = [(x, y) for x, y in zip(pieces, literals) if _PLAIN.fullmatch(y)]
+        lead = np.asarray([self.newline], self.kind).tobytes()
+        for (x, y), ids in zip(plain, self._joined([y[1:] if y[0] == "\n" else y for _, y in plain])):
+            found[x] = lead + ids if y[0] == "\n" else ids
+        if len(plain) < len(pieces):
+            others = [(x, y) for x, y in zip(pieces, literals) if x not in found]
+            found.update(zip([x for x, _ in others], self._whole([y for _, y in others])))
+        for x, ids in found.items():
+            if len(x) <= MEMO_PIECE and x[0] != "\r" and _FIT.fullmatch(x, x[0] == " "):
+                self._hold(x, ids)
+        return found
+
+    def _group(self, texts: list[str]) -> list[bytes]:
+        found: list[list[bytes | None]] = []
+        missing: list[tuple[list[bytes | None], int, str]] = []
+        get = self.memo.get
+        for text in texts:
+            # no piece starts with a full stop or comma but those set apart here
+            cut = None if " ." in text or " ," in text else _STOP.sub(r" \g<0>", text).replace("\n", " \n").split(" ")
+            pieces = _independent(text) if cut is None else ["\r" + cut[0], *cut[1:]] if cut[0] else cut[1:]
+            ids = [*map(get, pieces)]
+            lacks = _nones(ids)
+            if cut is not None and not all((_FIT if i or not cut[0] else _ENDS).fullmatch(pieces[i]) for i in lacks):
+                pieces = _independent(text)
+                ids = [*map(get, pieces)]
+                lacks = _nones(ids)
+            missing += [(ids, i, pieces[i]) for i in lacks]
+            found.append(ids)
+        new = self._pieces(list({x for _, _, x in missing}))
+        for ids, i, x in missing:
+            ids[i] = new[x]
+        return [b"".join(ids) for ids in found]
 
     def _bytes(self, texts: list[str]) -> list[bytes]:
         if not self.splits:
             return self._whole(texts)
         out: list[bytes] = []
-        memo = self.memo
-        for text in texts:
-            if _UNSAFE.search(text):
-                out += self._whole([text])
-                continue
-            first, *rest = text.split(" ")
-            pieces = [first, *[" " + x for x in rest]]
-            try:
-                out.append(b"".join([memo[x] for x in pieces]))
-            except KeyError:
-                missing = list({x for x in pieces if x not in memo})
-                self._pieces([x for x in missing if len(x) <= MEMO_PIECE])
-                long = [x for x in missing if len(x) > MEMO_PIECE]
-                here = dict(zip(long, self._whole(long)))
-                out.append(b"".join([memo[x] if x in memo else here[x] for x in pieces]))
-                if self.held > MEMO_BYTES:  # the first half came early and holds the frequent words
-                    kept, self.memo, self.held = dict(islice(memo.items(), len(memo) // 2)), {}, 0
-                    self._hold(kept)
-                    memo = self.memo
+        at = 0
+        while at < len(texts):
+            end, size = at + 1, len(texts[at])
+            while end < len(texts) and size + len(texts[end]) <= GROUP_CHARS:
+                size += len(texts[end])
+                end += 1
+            out += self._group(texts[at:end])
+            at = end
+            while self.held > MEMO_BYTES:  # the first half came early and holds the frequent words
+                kept, self.memo, self.held = [*islice(self.memo.items(), len(self.memo) // 2)], {}, 0
+                for x, ids in kept:
+                    self._hold(x, ids)
         return out
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.frombuffer(x, "<u4") for x in self._bytes(texts)]
+        return [np.frombuffer(x, self.kind).astype(np.uint32) for x in self._bytes(texts)]
 
     def count(self, texts: list[str]) -> list[int]:
-        return [len(x) // 4 for x in self._bytes(texts)]
+        return [len(x) // self.kind.itemsize for x in self._bytes(texts)]
+
+
+def _literal(piece: str) -> str:
+    """What a piece stands for: a space comes before it, but where it starts with a line break, full stop or comma
+    (set apart), with a space (written out), or with a carriage return (which marks the start of a text)."""
+    return piece if piece[0] in " \n.," else piece[1:] if piece[0] == "\r" else " " + piece
+
+
+def _independent(text: str) -> list[str]:
+    """The pieces of any text."""
+    first, *rest = _CUT.split(text)
+    return ["\r" + first, *[" " + x if x[0] in ".," else x for x in rest]] if text else []
+
+
+def _nones(items: list) -> list[int]:
+    out: list[int] = []
+    with suppress(ValueError):
+        at = -1
+        while True:
+            out.append(at := items.index(None, at + 1))
+    return out

@@ -84,6 +84,27 @@ def test_memo_is_bounded_by_bytes(monkeypatch):
         assert model.held <= 1 << 20 and model.held == sum(sys.getsizeof(k) + sys.getsizeof(v) + 100 for k, v in model.memo.items())
 
 
+def test_words_are_encoded_once_whatever_stands_beside_them():
+    model, whole = tokenizing.BpeEncoder(VOCABULARY), Tokenizer.from_file(VOCABULARY)
+    words = ["".join(w) for w in itertools.product("bdfg", "aeiou", ["rt", "n"])]
+    text = " ".join(f"{a}{mark}{b}" for mark in (".\n", ",\n", "\n", ". ", ", ") for a in words for b in words)
+    sent: list[str] = []
+    encode = model._whole
+    model._whole = lambda texts: sent.extend(texts) or encode(texts)
+    assert model.encode([text])[0].tolist() == whole.encode(text, add_special_tokens=False).ids
+    assert sum(map(len, sent)) < len(text) / 50
+
+
+def test_cuts_of_odd_texts_are_exact(monkeypatch):
+    monkeypatch.setattr(tokenizing, "MEMO_BYTES", 20_000)
+    model, whole = tokenizing.BpeEncoder(VOCABULARY), Tokenizer.from_file(VOCABULARY)
+    r = random.Random(5)
+    bits = ["a", "the", "foo", "\u00e9", "\u0431", "\u65e5", "7", " ", " ", " ", "\n", "\n\n", "\t", "\r", ".", ",", " .", ". ", " ,", "!", "'s", "\u2026", "_", "<|endoftext|>", "\u200b", "\u180e", "\x85", "\xa0", "\x1c", "\u0301", "foo.\nBar "]
+    texts = ["".join(r.choice(bits) for _ in range(r.randrange(14))) for _ in range(5_000)]
+    want = [x.ids for x in whole.encode_batch_fast(texts, add_special_tokens=False)]
+    assert [x.tolist() for x in model.encode(texts)] == want and model.count(texts) == [*map(len, want)]
+
+
 def test_batches_for_python_are_bounded_by_bytes(spark):
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
     before = spark._jsparkSession.sessionState().conf().arrowMaxBytesPerBatch()
