@@ -53,7 +53,7 @@ def count_tokens(docs: DataFrame, vocabulary: str, cache: str | None = None, lim
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = tokenizing.encoder(vocabulary)
         for batch in sliced(batches):
-            n = model.count(batch.column("text").to_pylist())
+            n = model.count(batch.column("text"))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("digest"), pa.array([name] * len(n), pa.string()), pa.array(n, pa.int64())],
                 names=["digest", "tokenizer", "n_tokens"],

@@ -123,21 +123,24 @@ def _encoded(docs: DataFrame, vocabulary: str, end_id: int) -> DataFrame:
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         freed()
         model = tokenizing.encoder(vocabulary)
-        for batch in sliced(batches, 250):
-            ids = [np.append(x, np.uint32(end_id)) for x in model.encode([x or "" for x in batch.column("text").to_pylist()])]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array([len(x) for x in ids], pa.int32()), pa.array([_narrow(x) for x in ids], pa.binary())],
-                names=["doc_id", "n", "ids"],
-            )
+        for batch in batches:
+            at = 0
+            for ids, begins in model.groups(batch.column("text")):
+                n, ids = np.diff(begins) + 1, _ended(ids, begins[1:], end_id)
+                offsets = np.concatenate([[0], np.cumsum(n)]) * ids.itemsize
+                data = pa.BinaryArray.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(ids)])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(at, len(n)), pa.array(n, pa.int32()), data], names=["doc_id", "n", "ids"])
+                at += len(n)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     with small_batches(docs.sparkSession):
         return saved(rows.mapInArrow(encode, "doc_id long, n int, ids binary"), "ids")
 
 
-def _narrow(ids: np.ndarray) -> bytes:
-    """Two bytes an id where all fit, else four; the count of ids tells which."""
-    return ids.astype("<u2" if ids.max() < 1 << 16 else "<u4").tobytes()
+def _ended(ids: np.ndarray, ends: np.ndarray, end_id: int) -> np.ndarray:
+    """Ids with ``end_id`` at each end; two bytes an id where all fit, else four: the count of ids tells which."""
+    narrow = max(int(ids.max(initial=0)), end_id) < 1 << 16
+    return np.insert(ids.astype("<u2" if narrow else "<u4", copy=False), ends, end_id)
 
 
 def _wide(ids: bytes, n: int) -> np.ndarray:

@@ -1,10 +1,13 @@
 """Batch encoding with the tokenizers and sentencepiece libraries, for use inside tasks.
 
-A byte-level BPE splits a text before every space between words, at a line break between
+A byte-level BPE splits a text before every space between words, around a line break between
 them, and between a word and its full stop or comma, so such pieces encode alone as they do
-in place. Words repeat, so pieces are encoded once per worker and looked up after that. Where
-a space has white space on a side, or ends the text, the pieces would not be independent;
-there a text is not cut. No text is cut short.
+in place. Where a space has white space on a side, or ends the text, the pieces would not be
+independent; there a text is not cut. No text is cut short.
+
+Pieces are found by array operations over the bytes of many texts and numbered by Arrow's
+dictionary. So a worker looks each distinct piece up once for a group of texts, sends those it
+lacks to the library, and Arrow puts their ids in the pieces' places.
 """
 
 from __future__ import annotations
@@ -12,32 +15,28 @@ from __future__ import annotations
 import hashlib
 import os
 import re
+from collections.abc import Iterator
 from contextlib import suppress
 from functools import lru_cache
 from itertools import islice
 from sys import getsizeof
 
 import numpy as np
+import pyarrow as pa
 
-#: Bytes of the piece memo in one worker, by sys.getsizeof; past it the later half goes. Between two
-#: groups of texts, so that the pieces of one group, each of them short, may stand over it.
+#: Bytes of the piece memo in one worker, by sys.getsizeof; past it what was met once goes first. Between
+#: two groups of texts, so that the pieces of one group, each of them short, may stand over it.
 MEMO_BYTES = 72 << 20
-#: Characters of a piece that is kept. Longer ones, as in texts without spaces, are encoded where they stand.
+#: Marks for pieces of the memo that were met again, less one: a power of two.
+MARKS = (1 << 21) - 1
+#: Bytes of a piece that is kept. Longer ones, as in texts without spaces, are encoded where they stand.
 MEMO_PIECE = 64
-#: Characters of texts whose missing pieces are encoded together.
-GROUP_CHARS = 1 << 18
-#: What is no white space, neither here nor in the library.
-_SOLID = "[^\\s\u180e\u200b]"
-#: A piece that is independent of its neighbours.
-_FIT = re.compile(f"\n?{_SOLID}(?:.*{_SOLID})?", re.DOTALL)
-#: A start of a text that is.
-_ENDS = re.compile(f".*{_SOLID}", re.DOTALL)
-#: A piece in which no added token can stand and that holds no line break but at its start.
-_PLAIN = re.compile(f"[ \n]?{_SOLID}+")
-#: A space at which any text may be cut.
-_CUT = re.compile(f"(?<={_SOLID}) (?={_SOLID})")
-#: A full stop or comma that ends a word of Latin letters.
-_STOP = re.compile("[.,](?<=[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff][.,])(?=[ \n]|\\Z)")
+#: Bytes of texts whose pieces are looked up together.
+GROUP_BYTES = 4 << 20
+#: A piece without white space, but for a space before it.
+_PLAIN = re.compile("[ ]?[^\\s\u180e\u200b]+")
+#: What is white space here or in the library beyond ASCII, as UTF-8.
+_WIDE_BLANKS = [int.from_bytes(chr(x).encode()) for x in (0x85, 0xA0, 0x1680, 0x180E, *range(0x2000, 0x200C), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)]
 
 
 @lru_cache(maxsize=4)
@@ -55,12 +54,18 @@ def version(path: str) -> str:
 
 
 class Encoder:
+    def groups(self, texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """For consecutive groups of texts: the ids of all its texts, one after another, and where
+        those of each text begin, with their number at the end."""
+        raise NotImplementedError
+
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text as uint32."""
-        raise NotImplementedError
+        return [np.asarray(ids[a:b], np.uint32) for ids, begins in self.groups(pa.array(texts, pa.large_string())) for a, b in zip(begins[:-1].tolist(), begins[1:].tolist())]
 
-    def count(self, texts: list[str]) -> list[int]:
-        return [len(x) for x in self.encode(texts)]
+    def count(self, texts: list[str] | pa.Array) -> list[int]:
+        array = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.large_string())
+        return [n for _, begins in self.groups(array) for n in np.diff(begins).tolist()]
 
 
 class PieceEncoder(Encoder):
@@ -69,8 +74,9 @@ class PieceEncoder(Encoder):
 
         self.model = sentencepiece.SentencePieceProcessor(model_file=path)
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.asarray(x, np.uint32) for x in self.model.encode(texts, num_threads=1)]
+    def groups(self, texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        found = [np.asarray(x, np.uint32) for x in self.model.encode([x or "" for x in texts.to_pylist()], num_threads=1)]
+        yield np.concatenate([np.zeros(0, np.uint32), *found]), np.cumsum([0, *map(len, found)])
 
 
 class BpeEncoder(Encoder):
@@ -95,13 +101,24 @@ class BpeEncoder(Encoder):
         self.newline = newline[0]
         #: Little-endian ids in the fewest bytes: two where all ids of the vocabulary fit.
         self.kind = np.dtype("<u2" if max(self.model.get_vocab(with_added_tokens=True).values(), default=0) < 1 << 16 else "<u4")
-        #: Ids by piece; ``_literal`` tells which string a piece stands for.
-        self.memo: dict[str, bytes] = {}
+        #: Ids by piece, both as bytes.
+        self.memo: dict[bytes, bytes] = {}
         self.held = 0
-
-    def _hold(self, piece: str, ids: bytes) -> None:
-        self.memo[piece] = ids
-        self.held += getsizeof(piece) + getsizeof(ids) + 100
+        #: Marks of pieces that were met again, by hash; two pieces may share one.
+        self.met = np.zeros(MARKS + 1, bool)
+
+    def _hold(self, new: list[tuple[bytes, bytes]]) -> None:
+        """Keep what the memo lacks."""
+        self.memo.update(new)
+        self.held += sum([len(x) + len(ids) for x, ids in new]) + len(new) * (2 * getsizeof(b"") + 100)
+
+    def _drop(self) -> None:
+        """Shorten the memo to three quarters at most: pieces met again since the last time, the first of them."""
+        old, self.memo, self.held = self.memo, {}, 0
+        met = iter([(x, ids) for x, ids in old.items() if self.met[hash(x) & MARKS]])
+        while self.held < MEMO_BYTES // 4 * 3 - (1 << 10) and (some := [*islice(met, max(1, (MEMO_BYTES // 4 * 3 - self.held) >> 10))]):
+            self._hold(some)
+        self.met[:] = False
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         found = self.model.encode_batch_fast(texts, add_special_tokens=False)
@@ -127,78 +144,93 @@ class BpeEncoder(Encoder):
                 start = end + size
         return out
 
-    def _pieces(self, pieces: list[str]) -> dict[str, bytes]:
+    def _lacking(self, pieces: list[bytes]) -> list[bytes]:
         """Encode pieces that the memo lacks, and keep those that may be kept."""
-        literals = [_literal(x) for x in pieces]
-        found: dict[str, bytes] = {}
-        plain = [(x, y) for x, y in zip(pieces, literals) if _PLAIN.fullmatch(y)]
-        lead = np.asarray([self.newline], self.kind).tobytes()
-        for (x, y), ids in zip(plain, self._joined([y[1:] if y[0] == "\n" else y for _, y in plain])):
-            found[x] = lead + ids if y[0] == "\n" else ids
-        if len(plain) < len(pieces):
-            others = [(x, y) for x, y in zip(pieces, literals) if x not in found]
-            found.update(zip([x for x, _ in others], self._whole([y for _, y in others])))
-        for x, ids in found.items():
-            if len(x) <= MEMO_PIECE and x[0] != "\r" and _FIT.fullmatch(x, x[0] == " "):
-                self._hold(x, ids)
-        return found
-
-    def _group(self, texts: list[str]) -> list[bytes]:
-        found: list[list[bytes | None]] = []
-        missing: list[tuple[list[bytes | None], int, str]] = []
-        get = self.memo.get
-        for text in texts:
-            # no piece starts with a full stop or comma but those set apart here
-            cut = None if " ." in text or " ," in text else _STOP.sub(r" \g<0>", text).replace("\n", " \n").split(" ")
-            pieces = _independent(text) if cut is None else ["\r" + cut[0], *cut[1:]] if cut[0] else cut[1:]
-            ids = [*map(get, pieces)]
-            lacks = _nones(ids)
-            if cut is not None and not all((_FIT if i or not cut[0] else _ENDS).fullmatch(pieces[i]) for i in lacks):
-                pieces = _independent(text)
-                ids = [*map(get, pieces)]
-                lacks = _nones(ids)
-            missing += [(ids, i, pieces[i]) for i in lacks]
-            found.append(ids)
-        new = self._pieces(list({x for _, _, x in missing}))
-        for ids, i, x in missing:
-            ids[i] = new[x]
-        return [b"".join(ids) for ids in found]
-
-    def _bytes(self, texts: list[str]) -> list[bytes]:
-        if not self.splits:
-            return self._whole(texts)
-        out: list[bytes] = []
-        at = 0
-        while at < len(texts):
-            end, size = at + 1, len(texts[at])
-            while end < len(texts) and size + len(texts[end]) <= GROUP_CHARS:
-                size += len(texts[end])
-                end += 1
-            out += self._group(texts[at:end])
-            at = end
-            while self.held > MEMO_BYTES:  # the first half came early and holds the frequent words
-                kept, self.memo, self.held = [*islice(self.memo.items(), len(self.memo) // 2)], {}, 0
-                for x, ids in kept:
-                    self._hold(x, ids)
+        texts = [x.decode() for x in pieces]
+        plain = [_PLAIN.fullmatch(x) is not None for x in texts]
+        joined = iter(self._joined([x for x, y in zip(texts, plain) if y]))
+        others = iter(self._whole([x for x, y in zip(texts, plain) if not y]))
+        out = [next(joined if y else others) for y in plain]
+        self._hold([(x, ids) for x, ids in zip(pieces, out) if len(x) <= MEMO_PIECE])
         return out
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.frombuffer(x, self.kind).astype(np.uint32) for x in self._bytes(texts)]
-
-    def count(self, texts: list[str]) -> list[int]:
-        return [len(x) // self.kind.itemsize for x in self._bytes(texts)]
-
-
-def _literal(piece: str) -> str:
-    """What a piece stands for: a space comes before it, but where it starts with a line break, full stop or comma
-    (set apart), with a space (written out), or with a carriage return (which marks the start of a text)."""
-    return piece if piece[0] in " \n.," else piece[1:] if piece[0] == "\r" else " " + piece
-
-
-def _independent(text: str) -> list[str]:
-    """The pieces of any text."""
-    first, *rest = _CUT.split(text)
-    return ["\r" + first, *[" " + x if x[0] in ".," else x for x in rest]] if text else []
+    def _group(self, data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the texts in ``data`` and where those of each text begin. ``bounds``: where each text begins, and the end."""
+        if not len(data):
+            return np.zeros(0, self.kind), np.zeros(len(bounds), np.int64)
+        cuts = _cuts(data, bounds)
+        numbered = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(cuts) - 1, [None, pa.py_buffer(cuts), pa.py_buffer(data)]).dictionary_encode()
+        pieces = _bytes(numbered.dictionary)
+        ids = [*map(self.memo.get, pieces)]
+        lacks = _nones(ids)
+        marks = np.fromiter(map(hash, pieces), np.int64, len(pieces)) & MARKS
+        self.met[np.delete(marks, lacks)] = True
+        for i, found in zip(lacks, self._lacking([pieces[i] for i in lacks])):
+            ids[i] = found
+        placed = pa.array(ids, pa.large_binary()).take(numbered.indices)
+        _, ends, values = placed.buffers()
+        ends = np.frombuffer(ends, np.int64)[placed.offset : placed.offset + len(cuts)] // self.kind.itemsize
+        return np.frombuffer(values, self.kind)[: ends[-1]], ends[np.searchsorted(cuts, bounds)]
+
+    def groups(self, texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        data, bounds = _utf8(texts)
+        at = 0
+        while at < len(bounds) - 1:
+            end = max(at + 1, int(np.searchsorted(bounds, bounds[at] + GROUP_BYTES, "right")) - 1)
+            part, begins = data[bounds[at] : bounds[end]], bounds[at : end + 1] - bounds[at]
+            if self.splits:
+                yield self._group(part, begins)
+            else:
+                found = self._whole([part[a:b].tobytes().decode() for a, b in zip(begins[:-1], begins[1:])])
+                yield np.frombuffer(b"".join(found), self.kind), np.cumsum([0, *(len(x) // self.kind.itemsize for x in found)])
+            at = end
+            if self.held > MEMO_BYTES:
+                self._drop()
+
+
+def _utf8(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of an array of strings, nulls empty, and where each string begins, with the end of the last."""
+    texts = texts.cast(pa.large_string())
+    texts = texts.fill_null("") if texts.null_count else texts
+    _, bounds, data = texts.buffers()
+    if not len(texts):
+        return np.zeros(0, np.uint8), np.zeros(1, np.int64)
+    bounds = np.frombuffer(bounds, np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    return np.frombuffer(data or b"", np.uint8), bounds
+
+
+def _bytes(array: pa.LargeBinaryArray) -> list[bytes]:
+    """An array as a list; its own ``to_pylist`` takes several times as long."""
+    _, ends, values = array.buffers()
+    values, ends = values.to_pybytes(), np.frombuffer(ends, np.int64)[array.offset : array.offset + len(array) + 1].tolist()
+    return [values[a:b] for a, b in zip(ends, ends[1:])]
+
+
+def _cuts(data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Where independent pieces of UTF-8 texts begin, and the end. ``bounds``: where each text begins, and the end."""
+    n = len(data)
+    edge = np.zeros(n + 1, bool)
+    edge[bounds] = True
+    white = np.zeros(n + 1, bool)
+    white[:n] = (data - np.uint8(9) < 5) | (data - np.uint8(28) < 5)
+    for lead, length in ((0xC2, 2), (0xE1, 3), (0xE2, 3), (0xE3, 3)):
+        at = np.flatnonzero(data[: n - length + 1] == lead) if n >= length else np.zeros(0, np.int64)
+        code = sum(data[at + k].astype(np.int64) << 8 * (length - 1 - k) for k in range(length))
+        at = at[np.isin(code, _WIDE_BLANKS)]
+        for k in range(length):
+            white[at + k] = True
+    cut = np.flatnonzero((data == 32) | (data == 10))  # spaces and line breaks with no white space on a side
+    cut = cut[~(edge[cut] | edge[cut + 1] | white[cut - 1] | white[cut + 1])]
+    stop = np.flatnonzero((data == 46) | (data == 44))  # stops and commas that end a word of Latin letters
+    stop = stop[~edge[stop]]
+    stop = stop[edge[stop + 1] | np.isin(data[np.minimum(stop + 1, n - 1)], (32, 10))]
+    before = data[stop - 1]
+    stop = stop[((before | 32) - np.uint8(97) < 26) | (data[stop - 2] == 0xC3) & (before >= 0x80) & (before != 0x97) & (before != 0xB7)]
+    edge[cut] = True
+    edge[cut[data[cut] == 10] + 1] = True
+    edge[stop] = True
+    edge[n] = True
+    return np.flatnonzero(edge)
 
 
 def _nones(items: list) -> list[int]:

@@ -95,6 +95,46 @@ def test_words_are_encoded_once_whatever_stands_beside_them():
     assert sum(map(len, sent)) < len(text) / 50
 
 
+def test_distinct_words_are_looked_up_once_for_many_texts():
+    class Counted(dict):
+        asked = 0
+
+        def get(self, key):
+            Counted.asked += 1
+            return super().get(key)
+
+    model, whole = tokenizing.BpeEncoder(VOCABULARY), Tokenizer.from_file(VOCABULARY)
+    model.memo = Counted()
+    r = random.Random(2)
+    texts = [" ".join(f"word{chr(97 + r.randrange(26))}{chr(97 + r.randrange(26))}" for _ in range(300)) + "." for _ in range(200)]
+    assert [x.tolist() for x in model.encode(texts)] == [x.ids for x in whole.encode_batch_fast(texts, add_special_tokens=False)]
+    assert Counted.asked <= 2 * 26 * 26 + 1  # 60,000 words
+
+
+def test_memo_keeps_what_is_met_again(monkeypatch):
+    monkeypatch.setattr(tokenizing, "MEMO_BYTES", 200_000)
+    model = tokenizing.BpeEncoder(VOCABULARY)
+    made = ("".join(x) for x in itertools.product("bcdfghklmnprst", repeat=4))
+    once, often = [" ".join(itertools.islice(made, 800)) for _ in range(4)], " ".join(itertools.islice(made, 100))
+    for text in (once[0], often, often, *once[1:2]):
+        model.encode([text])
+    sent: list[str] = []
+    encode = model._whole
+    model._whole = lambda texts: sent.extend(texts) or encode(texts)
+    model.encode([f" {often}"])
+    assert model.held <= 200_000 and sum(map(len, sent)) < 10  # its first word had no space before it
+
+
+def test_token_files_end_every_text(spark):
+    texts = ["", None, "a", "\n", " .", "caf\u00e9. x,\ny", "", "x" * 70 + " y"]
+    whole = Tokenizer.from_file(VOCABULARY)
+    for end_id in (0, 70_000):  # in two bytes, in four
+        path = scratch(spark, "ended")
+        token_files.write_token_files(table(spark, [(i, t, "en", "a") for i, t in enumerate(texts)]).coalesce(1), VOCABULARY, path, end_id)
+        got = token_files.read_token_files(spark, path).orderBy("doc_id").collect()
+        assert [np.frombuffer(r["ids"], "<u4").tolist() for r in got] == [[*whole.encode(t or "", add_special_tokens=False).ids, end_id] for t in texts]
+
+
 def test_cuts_of_odd_texts_are_exact(monkeypatch):
     monkeypatch.setattr(tokenizing, "MEMO_BYTES", 20_000)
     model, whole = tokenizing.BpeEncoder(VOCABULARY), Tokenizer.from_file(VOCABULARY)
