@@ -18,7 +18,7 @@ import re
 from collections.abc import Iterator
 from contextlib import suppress
 from functools import lru_cache
-from itertools import islice
+from itertools import compress
 from sys import getsizeof
 
 import numpy as np
@@ -27,6 +27,8 @@ import pyarrow as pa
 #: Bytes of the piece memo in one worker, by sys.getsizeof; past it what was met once goes first. Between
 #: two groups of texts, so that the pieces of one group, each of them short, may stand over it.
 MEMO_BYTES = 72 << 20
+#: What a piece of the memo takes beside its bytes and those of its ids.
+PIECE_COST = 2 * getsizeof(b"") + 100
 #: Marks for pieces of the memo that were met again, less one: a power of two.
 MARKS = (1 << 21) - 1
 #: Bytes of a piece that is kept. Longer ones, as in texts without spaces, are encoded where they stand.
@@ -110,14 +112,16 @@ class BpeEncoder(Encoder):
     def _hold(self, new: list[tuple[bytes, bytes]]) -> None:
         """Keep what the memo lacks."""
         self.memo.update(new)
-        self.held += sum([len(x) + len(ids) for x, ids in new]) + len(new) * (2 * getsizeof(b"") + 100)
+        self.held += sum([len(x) + len(ids) for x, ids in new]) + len(new) * PIECE_COST
 
     def _drop(self) -> None:
         """Shorten the memo to three quarters at most: pieces met again since the last time, the first of them."""
-        old, self.memo, self.held = self.memo, {}, 0
-        met = iter([(x, ids) for x, ids in old.items() if self.met[hash(x) & MARKS]])
-        while self.held < MEMO_BYTES // 4 * 3 - (1 << 10) and (some := [*islice(met, max(1, (MEMO_BYTES // 4 * 3 - self.held) >> 10))]):
-            self._hold(some)
+        met = self.met[np.fromiter(map(hash, self.memo), np.int64, len(self.memo)) & MARKS]
+        for piece in [*compress(self.memo, ~met)]:
+            self.held -= len(piece) + len(self.memo.pop(piece)) + PIECE_COST
+        while self.held > MEMO_BYTES // 4 * 3:
+            piece, ids = self.memo.popitem()
+            self.held -= len(piece) + len(ids) + PIECE_COST
         self.met[:] = False
 
     def _whole(self, texts: list[str]) -> list[bytes]:
