@@ -48,6 +48,8 @@ TILE = 2_048
 TILE_BYTES = 8 << 20
 #: Buckets of up to so many rows are compared pair by pair, many buckets at once.
 SMALL = 64
+#: Words of a plane that are compared at a time, where prints have many bits.
+BLOCK = 4_096
 SEED = 42
 
 
@@ -128,6 +130,36 @@ class BitPlanes:
         found = alive[word] * 64 + bit
         return found[(found >= start) & (found < self.n)]
 
+    def within_each(self, some: np.ndarray, radius: int) -> np.ndarray:
+        """The same for several rows of ``bits`` at once, of prints of many bits, where hardly a word
+        can be abandoned early: a row for each, true for prints in the radius."""
+        flips = -some.T.astype(np.uint64)  # a word of ones for each bit that is set
+        count: list[list[np.ndarray]] = []  # planes of each weight, two at most
+
+        def add(plane: np.ndarray, digit: int) -> None:
+            if digit == len(count):
+                count.append([])
+            count[digit].append(plane)
+            if len(count[digit]) == 3:
+                a, b, c = count[digit]
+                ab = a ^ b
+                count[digit] = [ab ^ c]
+                add(a & b | ab & c, digit + 1)
+
+        for plane, flip in zip(self.planes, flips):
+            add(plane ^ flip[:, None], 0)
+        digit = 0
+        while digit < len(count):
+            if len(count[digit]) == 2:
+                a, b = count[digit]
+                count[digit] = [a ^ b]
+                add(a & b, digit + 1)
+            digit += 1
+        digits = [x[0] for x in count]
+        digits += [np.zeros_like(digits[0])] * (radius.bit_length() - len(digits))
+        left = ~_above(digits, radius)
+        return np.unpackbits(left.view(np.uint8), axis=1)[:, : self.n].astype(bool)
+
 
 def _above(count: list[np.ndarray], radius: int) -> np.ndarray:
     """Prints whose bit-sliced count exceeds the radius, by comparing digits from the top."""
@@ -235,10 +267,17 @@ def _near(prints: np.ndarray, starts: np.ndarray, sides: np.ndarray, radius: int
             continue
         planes, cut = BitPlanes(prints[lo:hi]), int((sides[lo:hi] == 0).sum())
         two, begun = cut < hi - lo, forest.joined
-        for i in range(cut if two else hi - lo - 1):
+        last, block = cut if two else hi - lo - 1, max(1, BLOCK // planes.planes.shape[1])
+        for i in range(last):
             if forest.joined - begun == hi - lo - 1:
                 break
-            j = planes.within(planes.bits[i], radius, cut if two else i + 1)
+            if prints.ndim == 1:
+                j = planes.within(planes.bits[i], radius, cut if two else i + 1)
+            else:
+                if i % block == 0:
+                    near = planes.within_each(planes.bits[i : min(i + block, last)], radius)
+                start = cut if two else i + 1
+                j = start + np.flatnonzero(near[i % block, start:])
             yield np.full(len(j), lo + i), lo + j
 
 
@@ -324,8 +363,8 @@ _MULTIPLIERS = np.random.default_rng(20).integers(1, 2**63, BANDS * BAND_ROWS, d
 def _min_hashes(hashes: np.ndarray) -> np.ndarray:
     """Smallest of each remixed hash: BANDS * BAND_ROWS values."""
     out = np.full(len(_MULTIPLIERS), np.uint64(2**64 - 1))
-    for at in range(0, len(hashes), 2_000):
-        some = hashes[at : at + 2_000]
+    for at in range(0, len(hashes), 256):  # what a core's cache holds
+        some = hashes[at : at + 256]
         mixed = some[None, :] * _MULTIPLIERS[:, None]
         mixed ^= mixed >> np.uint64(32)
         np.minimum(out, mixed.min(1), out=out)
@@ -351,17 +390,20 @@ def _sketches(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.Reco
 
 #: 64-bit lanes of the fingerprints of shingle sets.
 LANES = 8
+_LANE_STEPS = np.uint64(0x9E3779B97F4A7C15) * np.arange(1, LANES + 1, dtype=np.uint64)
 
 
 def wide_fingerprint(hashes: np.ndarray) -> np.ndarray:
     """A fingerprint of ``LANES`` lanes: each is the majority of the hashes, mixed anew."""
-    lanes = []
-    for k in range(LANES):
-        x = hashes + np.uint64(0x9E3779B97F4A7C15 * (k + 1) % 2**64)
+    ones = np.zeros(64 * LANES, np.int64)
+    for at in range(0, len(hashes), 255):  # as many as a byte counts
+        x = hashes[at : at + 255, None] + _LANE_STEPS
         for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
-            x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
-        lanes.append(fingerprint(x ^ (x >> np.uint64(31))))
-    return np.array(lanes, np.uint64)
+            x ^= x >> np.uint64(shift)
+            x *= np.uint64(factor)
+        x ^= x >> np.uint64(31)
+        ones += np.unpackbits(x.astype(">u8").view(np.uint8), axis=1).sum(0, dtype=np.uint8)
+    return np.packbits(ones * 2 > len(hashes)).view(">u8").astype(np.uint64)
 
 
 def wide_radius(similarity: float, words: int) -> int:
@@ -407,15 +449,23 @@ def _similar(batches: Iterator[pa.RecordBatch], similarity: float, words: int) -
     for table, starts in _runs(batches, ["cluster", "tile_a", "tile_b"]):
         nodes, shingles, prints = table.column("node"), table.column("shingles"), _lanes(table.column("print"))
         forest, a, b = _Forest(len(prints)), [], []
+        lo = hi = 0  # the group that ``texts`` has
         for some_i, some_j in _near(prints, starts, table.column("side").to_numpy(), radius, forest):
-            for i, j in zip(some_i.tolist(), some_j.tolist()):
-                if forest.root(i) == forest.root(j):
+            # a row i with all of its j at once
+            edges = np.flatnonzero(np.diff(some_i, prepend=-1, append=-1)).tolist() if len(some_i) else []
+            for at, end in zip(edges, edges[1:]):
+                i = int(some_i[at])
+                root = forest.root(i)
+                others = [j for j in some_j[at:end].tolist() if forest.root(j) != root]
+                if not others:
                     continue
-                one, two = (np.frombuffer(shingles[k].as_py(), np.uint64) for k in (i, j))
-                if alike(one, two, similarity, words):
-                    forest.join(i, j)
-                    a.append(nodes[i].as_py())
-                    b.append(nodes[j].as_py())
+                if not lo <= i < hi:
+                    lo, hi = starts[(group := int(np.searchsorted(starts, i, "right"))) - 1 : group + 1].tolist()
+                    texts = _Texts([np.frombuffer(x, np.uint64) for x in shingles.slice(lo, hi - lo).to_pylist()], words)
+                for j in texts.alike(i - lo, np.array(others) - lo, similarity).tolist():
+                    if forest.join(i, lo + j):
+                        a.append(nodes[i].as_py())
+                        b.append(nodes[lo + j].as_py())
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
 
 
@@ -437,6 +487,63 @@ def alike(one: np.ndarray, two: np.ndarray, similarity: float, words: int) -> bo
     return covered(one, two, words) >= similarity and covered(two, one, words) >= similarity
 
 
+class _Texts:
+    """The shingles of a group of texts as numbers, for comparing one with many: what ``alike`` says of
+    each pair."""
+
+    def __init__(self, shingles: list[np.ndarray], words: int):
+        self.words, self.sizes = words, np.array([len(x) for x in shingles], np.int64)
+        self.starts = self.sizes.cumsum() - self.sizes
+        names, codes = np.unique(np.concatenate(shingles), return_inverse=True)
+        self.codes, self.times = codes.astype(np.int32), np.zeros(len(names), np.int32)
+
+    def _of(self, i: int) -> np.ndarray:
+        return self.codes[self.starts[i] : self.starts[i] + self.sizes[i]]
+
+    def _shares(self, sizes: np.ndarray, text: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Of texts of these sizes, the share of words in the shingles ``at`` of ``text``."""
+        whole = sizes + self.words - 1
+        inside = np.zeros(int(whole.sum()), bool)
+        firsts = whole.cumsum() - whole
+        for k in range(self.words):
+            inside[firsts[text] + at + k] = True
+        return np.add.reduceat(inside, firsts, dtype=np.int64) / whole
+
+    def alike(self, i: int, others: np.ndarray, similarity: float) -> np.ndarray:
+        """Those of ``others`` that are alike to text ``i``. They are taken in parts of 4 million shingles."""
+        if not self.sizes[i]:
+            return others[self.sizes[others] == 0]
+        others = others[self.sizes[others] > 0]
+        one, part = self._of(i), np.maximum(self.sizes[others], self.sizes[i]).cumsum() >> 22
+        np.add.at(self.times, one, 1)
+        found = [self._alike(one, others[part == k], similarity) for k in np.unique(part)]
+        self.times[one] = 0
+        return np.concatenate([others[:0], *found])
+
+    def _alike(self, one: np.ndarray, others: np.ndarray, similarity: float) -> np.ndarray:
+        sizes = self.sizes[others]
+        firsts = sizes.cumsum() - sizes
+        times = self.times[self.codes[np.arange(int(sizes.sum())) + np.repeat(self.starts[others] - firsts, sizes)]]
+        # no more words are in shingles of both than these have, counted as often as they stand
+        least = similarity * (1 - 1e-9)
+        of_two, of_one = np.add.reduceat(times > 0, firsts, dtype=np.int64), np.add.reduceat(times, firsts, dtype=np.int64)
+        may = (of_two * self.words >= least * (sizes + self.words - 1)) & (of_one * self.words >= least * (len(one) + self.words - 1))
+        if not may.any():
+            return others[:0]
+        text = np.repeat(np.arange(len(others)), sizes)
+        at = np.flatnonzero((times > 0) & may[text])
+        may &= self._shares(sizes, text[at], at - firsts[text[at]]) >= similarity
+        # the words of text i: a row of its shingles for each text that is left
+        others = others[may]
+        names, places = np.unique(one, return_inverse=True)
+        for lo in range(0, len(others), step := max(1, (1 << 22) // len(one))):
+            some = others[lo : lo + step]
+            shared = np.array([np.isin(names, self._of(j))[places] for j in some.tolist()])
+            text, at = np.nonzero(shared)
+            others[lo : lo + step][self._shares(np.full(len(some), len(one)), text, at) < similarity] = -1
+        return others[others >= 0]
+
+
 def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, tile: int = TILE, tile_bytes: int = TILE_BYTES) -> DataFrame:
     """One row per row of ``docs(doc_id, text)``: row (its key), doc_id, group_id (the
     smallest doc_id of its group) and kept (true for one row of each group).
