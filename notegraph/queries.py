@@ -6,9 +6,12 @@ a note was built of, not by running the same pattern.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyarrow.fs import FileSystem
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from notegraph import fixture
@@ -117,23 +120,42 @@ cl AS (SELECT fin.*, CASE doc_id % 5 WHEN 2 THEN concat(' tags=draft,topic/', la
 # --- sources -----------------------------------------------------------------------------
 
 
+#: What a file's name can't have, or Spark would not take as it is, and how it is spelled.
+_ESCAPED = {i: f"%{i:02X}" for i in (*range(1, 32), 127, *map(ord, "\"#%'*/:=?\\{[]^"))}
+
+
+def _write_files(batches: Iterator[pa.RecordBatch], folder: str) -> Iterator[pa.RecordBatch]:
+    store, place = FileSystem.from_uri(folder)
+    store.create_dir(place, recursive=True)
+    for batch in batches:
+        for path, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist()):
+            name = f"null-{uuid.uuid4().hex}" if path is None else path.translate(_ESCAPED)
+            with store.open_output_stream(f"{place}/{name}.txt") as file:
+                file.write(f"{content or ''}\n".encode())
+        yield pa.RecordBatch.from_pydict({"n": pa.array([batch.num_rows], pa.int64())})
+
+
 def _as_files(spark: SparkSession, d: str) -> str:
-    """The notes as a file each, in a folder named by its path; the writer ends each with a
-    line break and names it ``.txt``."""
+    """The notes as a file each, named by its path and ``.txt``, that ends with a line break. The tasks
+    write them: Spark's writer makes three folders and two commits for each."""
     folder = scratch(spark, "files")
-    _slim(spark, d).select(F.col("content").alias("value"), "path").write.partitionBy("path").text(folder)
+    rows = _slim(spark, d).select("path", "content").repartition(2 * spark.sparkContext.defaultParallelism, "path")
+    rows.mapInArrow(lambda batches: _write_files(batches, folder), "n long").agg(F.sum("n")).collect()
     return folder
 
 
-#: How such a folder's name spells a note's path.
+def _path_of_file() -> Column:
+    return text.url_decode(F.regexp_extract("path", r"^([^/]*)\.txt$", 1))
+
+
+#: How such a file's name spells a note's path.
 _FOLDER = "replace(path, '/', '%2F')"
 
 
 @query("s1_scan_notes", f"SELECT path, row_number() OVER (ORDER BY {_FOLDER}) - 1 AS ord, md5(concat(content, chr(10))) AS digest FROM notes")
 def _(spark, d):
     rows = sources.scan_notes(spark, _as_files(spark, d), "*.txt")
-    path = text.url_decode(F.regexp_extract("path", "^path=([^/]*)/", 1))
-    return rows.select(path.alias("path"), "ord", F.md5("content").alias("digest"))
+    return rows.select(_path_of_file().alias("path"), "ord", F.md5("content").alias("digest"))
 
 
 @query("s1_scan_changed_notes", "SELECT path, md5(concat(content, chr(10))) AS digest FROM notes")
@@ -141,15 +163,13 @@ def _(spark, d):
     folder, root = scratch(spark, "manifest"), _as_files(spark, d)
     rows = sources.scan_changed_notes(spark, root, folder, "*.txt")
     rows = rows.unionByName(sources.scan_changed_notes(spark, root, folder, "*.txt"))  # nothing has changed since
-    path = text.url_decode(F.regexp_extract("path", "^path=([^/]*)/", 1))
-    return rows.select(path.alias("path"), F.md5("content").alias("digest"))
+    return rows.select(_path_of_file().alias("path"), F.md5("content").alias("digest"))
 
 
 @query("s6_scan_attachments", "SELECT path, 'text/plain' AS mime_type, octet_length(encode(content)) + 1 AS length, md5(concat(content, chr(10))) AS digest FROM notes")
 def _(spark, d):
     rows = sources.scan_attachments(spark, _as_files(spark, d), {"txt": "text/plain"})
-    path = text.url_decode(F.regexp_extract("path", "^path=([^/]*)/", 1))
-    return rows.select(path.alias("path"), "mime_type", "length", F.md5("contents").alias("digest"))
+    return rows.select(_path_of_file().alias("path"), "mime_type", "length", F.md5("contents").alias("digest"))
 
 
 @query("s2_normalize_newlines", "SELECT path, md5(content) AS digest FROM notes")

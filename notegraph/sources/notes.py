@@ -36,6 +36,21 @@ def _relative(root: str) -> Column:
     return F.substring(decoded, F.locate(plain + "/", decoded) + len(plain) + 1, F.length(decoded))
 
 
+def _files(spark: SparkSession, root: str, glob: str) -> DataFrame:
+    """All files below ``root`` whose name fits ``glob``, listed now. They are opened where ``content`` is
+    asked for, and only then."""
+    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(root)
+
+
+def _in_fewer_tasks(rows: DataFrame) -> DataFrame:
+    """Rows of files in tasks of some 64 MB or 2,000 files. Spark takes a file, however small, for 4 MB and 32 of
+    them for a task, which then costs more than its files, and writes a file in its turn."""
+    parts = rows.rdd.getNumPartitions()
+    size = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    wanted = max(rows.sparkSession.sparkContext.defaultParallelism, size >> 26, -(-parts // 64))
+    return rows.coalesce(wanted) if wanted < parts else rows
+
+
 def scan_notes(spark: SparkSession, root: str, glob: str = "*.md") -> DataFrame:
     """All files below ``root`` whose name fits ``glob``: path, content, ord, the file's rank by path, which
     makes "first wins" rules deterministic. Paths alone, without contents, are sorted in
@@ -91,16 +106,17 @@ def scan_attachments(spark: SparkSession, root: str, types: dict[str, str] = MIM
     """Files below ``root`` with one of the extensions of ``types``, by default images:
     path, name, mime_type, length, contents. Only such files, in any case, are opened."""
     names = "*.{" + ",".join(_any_case(x) for x in types) + "}"
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", names).load(root)
+    files = _files(spark, root, names)
     extension = F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1))
     known = F.create_map(*[F.lit(x) for pair in types.items() for x in pair])
-    return files.select(
+    rows = files.select(
         _relative(root).alias("path"),
         F.regexp_extract("path", "[^/]+$", 0).alias("name"),
         F.coalesce(known[extension], F.lit("application/octet-stream")).alias("mime_type"),
         "length",
         F.col("content").alias("contents"),
     )
+    return _in_fewer_tasks(rows)
 
 
 # --- frontmatter -------------------------------------------------------------------------

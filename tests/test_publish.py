@@ -518,3 +518,18 @@ def _final_plan(df):
     df.write.format("noop").mode("overwrite").save()
     df.collect()
     return df._jdf.queryExecution().executedPlan().toString()
+
+
+def _small_files(root, n=300):
+    root.mkdir()
+    for i in range(n):
+        (root / f"{i}.md").write_bytes(b"\xef\xbb\xbf# \xff\r\n" + str(i).encode())
+    return {f"{i}.md": b"\xef\xbb\xbf# \xff\r\n" + str(i).encode() for i in range(n)}
+
+
+def test_attachments_share_tasks(spark, tmp_path):
+    """Spark makes a task of 32 small files; these are read in as many tasks as run at once."""
+    want = _small_files(tmp_path / "v")
+    rows = sources.scan_attachments(spark, str(tmp_path / "v"), {"md": "text/markdown"})
+    assert rows.rdd.getNumPartitions() <= spark.sparkContext.defaultParallelism
+    assert {r["path"]: bytes(r["contents"]) for r in rows.collect()} == want
