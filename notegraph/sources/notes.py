@@ -76,10 +76,10 @@ def scan_changed_notes(spark: SparkSession, root: str, folder: str, glob: str =
     where at most ``few`` have changed all others by their path, before any is opened. The manifest is
     moved on last: a scan that dies is made again.
     """
-    read = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", glob)
+    files = _files(spark, root, glob)
     stamp = F.struct("length", "modificationTime").alias("stamp")
-    now = read.format("binaryFile").load(root).select(_relative(root).alias("path"), F.col("_metadata.file_path").alias("file"), stamp)  # reads no contents
-    now = saved(now, "files-now")
+    now = files.select(_relative(root).alias("path"), F.col("_metadata.file_path").alias("file"), stamp)  # reads no contents
+    now = saved(_in_fewer_tasks(now), "files-now")
     number = _next(spark, folder)
     last = read_version(spark, folder)
     last = spark.createDataFrame([], now.schema) if last is None else last
@@ -88,10 +88,10 @@ def scan_changed_notes(spark: SparkSession, root: str, folder: str, glob: str =
     n, since = changed.agg(F.count(F.lit(1)), F.min("stamp.modificationTime")).first()
     rows = gone
     if n:
-        files = read.text(root, wholetext=True).where(F.col("_metadata.file_modification_time") >= F.lit(since))
+        files = files.where(F.col("_metadata.file_modification_time") >= F.lit(since))
         if n <= few:
             files = files.where(F.col("_metadata.file_path").isin([r["file"] for r in changed.select("file").collect()]))
-        texts = files.select(_relative(root).alias("path"), F.col("value").alias("content"))
+        texts = _in_fewer_tasks(files.select(_relative(root).alias("path"), F.col("content").cast("string").alias("content")))
         rows = gone.unionByName(texts.join(changed.select("path"), "path", "left_semi"))
     rows = saved(rows.withColumn("rev", F.lit(number).cast("long")), "changed-files")
     write_version(now, folder, number=number)

@@ -533,3 +533,11 @@ def test_attachments_share_tasks(spark, tmp_path):
     rows = sources.scan_attachments(spark, str(tmp_path / "v"), {"md": "text/markdown"})
     assert rows.rdd.getNumPartitions() <= spark.sparkContext.defaultParallelism
     assert {r["path"]: bytes(r["contents"]) for r in rows.collect()} == want
+
+
+def test_changed_notes_are_written_in_few_files(spark, tmp_path):
+    want = _small_files(tmp_path / "v")
+    rows = sources.scan_changed_notes(spark, str(tmp_path / "v"), str(tmp_path / "manifest"), few=10)
+    assert len(rows.inputFiles()) <= spark.sparkContext.defaultParallelism + 1
+    assert len(sources.read_version(spark, str(tmp_path / "manifest")).inputFiles()) <= spark.sparkContext.defaultParallelism
+    assert {r["path"]: bytes(r["b"]) for r in rows.selectExpr("path", "cast(content AS binary) AS b").collect()} == want
