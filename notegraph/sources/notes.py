@@ -53,18 +53,18 @@ def _in_fewer_tasks(rows: DataFrame) -> DataFrame:
 
 def scan_notes(spark: SparkSession, root: str, glob: str = "*.md") -> DataFrame:
     """All files below ``root`` whose name fits ``glob``: path, content, ord, the file's rank by path, which
-    makes "first wins" rules deterministic. Paths alone, without contents, are sorted in
-    ranges and numbered, and the numbers written; contents meet them by path."""
-    read = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", glob)
-    listed = read.format("binaryFile").load(root).select(_relative(root).alias("path"))  # reads no contents
+    makes "first wins" rules deterministic. The folder is listed once. Paths alone, without contents, are
+    sorted in ranges and numbered, and the numbers written; contents meet them by path."""
+    files = _files(spark, root, glob)
+    listed = _in_fewer_tasks(files.select(_relative(root).alias("path")))  # reads no contents
     ranges = listed.repartitionByRange("path").sortWithinPartitions("path")
     places = saved(ranges.select("path", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("at")), "note-paths")
     # a row for each range: what stands before it
     sizes = places.groupBy("part").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("n"))
     before = sizes.select("part", "first", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))
     numbered = places.join(F.broadcast(before), "part").select("path", (F.col("before") + F.col("at") - F.col("first")).alias("ord"))
-    files = read.text(root, wholetext=True).select(_relative(root).alias("path"), F.col("value").alias("content"))
-    return files.join(numbered, "path").select("path", "content", "ord")
+    texts = _in_fewer_tasks(files.select(_relative(root).alias("path"), F.col("content").cast("string").alias("content")))
+    return texts.join(numbered, "path").select("path", "content", "ord")
 
 
 def scan_changed_notes(spark: SparkSession, root: str, folder: str, glob: str = "*.md", few: int = 1_000) -> DataFrame:

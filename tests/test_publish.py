@@ -7,7 +7,7 @@ import random
 import re
 
 import pytest
-from pyspark.sql import Window
+from pyspark.sql import DataFrameReader, Window
 from pyspark.sql import functions as F
 
 from notegraph import fixture
@@ -541,3 +541,12 @@ def test_changed_notes_are_written_in_few_files(spark, tmp_path):
     assert len(rows.inputFiles()) <= spark.sparkContext.defaultParallelism + 1
     assert len(sources.read_version(spark, str(tmp_path / "manifest")).inputFiles()) <= spark.sparkContext.defaultParallelism
     assert {r["path"]: bytes(r["b"]) for r in rows.selectExpr("path", "cast(content AS binary) AS b").collect()} == want
+
+
+def test_a_scan_lists_once(spark, tmp_path, monkeypatch):
+    want, listed, load = _small_files(tmp_path / "v"), [], DataFrameReader.load
+    monkeypatch.setattr(DataFrameReader, "load", lambda self, path=None, *a, **k: listed.append(path) or load(self, path, *a, **k))
+    monkeypatch.setattr(DataFrameReader, "text", lambda self, path, **k: listed.append(path) or load(self.format("text").options(**k), path))
+    rows = sources.scan_notes(spark, str(tmp_path / "v")).selectExpr("path", "cast(content AS binary) AS b", "ord").collect()
+    assert [x for x in listed if x == str(tmp_path / "v")] == [str(tmp_path / "v")]
+    assert [(r["path"], bytes(r["b"]), r["ord"]) for r in sorted(rows, key=lambda r: r["ord"])] == [(p, want[p], i) for i, p in enumerate(sorted(want))]
