@@ -78,8 +78,8 @@ def render_notes(ctx: Context, cfg: PlanConfig, only: DataFrame | None = None) -
     published. The passes go in a fixed order: comments, links, file links, table cells,
     math; each protects code, and what an earlier pass has put there. A text is cut into text
     and code once and goes through all passes as these parts. It is written once before
-    its links are looked for; what replaces them is written too, a slim table, as links of
-    the second kind are looked for in what the first kind has become."""
+    its links are looked for, and once with those of the first kind replaced, as links of the second
+    kind are looked for in what the first kind has become; what replaces them, a slim table, is written too."""
     notes = ctx.notes if only is None else filters.restrict_to(ctx.notes, only)
     rows = notes.withColumn("content", normalize_newlines(F.col("content"))).join(ctx.titles.drop("ord"), "path")
     if cfg.use_h1:
@@ -93,7 +93,7 @@ def render_notes(ctx: Context, cfg: PlanConfig, only: DataFrame | None = None) -
     rows = saved(rows.select("path", "ord", "title", "page_title", "folder_title", "tags", parts.alias("parts")), "stripped-notes")
     found = links.wikilink_replacements(links.extract_wikilinks(rows), ctx.titles, ctx.targets)
     found = saved(found.select("path", "inner", "replacement"), "wikilinks")
-    rows = links.rewrite_wikilinks(rows, found)
+    rows = saved(links.rewrite_wikilinks(rows, found), "linked-notes")
     found = links.file_link_replacements(links.extract_file_links(rows), ctx.titles, ctx.targets)
     rows = links.rewrite_file_links(rows, found)
     text = join_parts(math_parts(escape_table_gt_parts(F.col("parts"))))

@@ -28,7 +28,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from notegraph.config import PlanConfig
-from notegraph.functions.text import normalize_newlines, strip_comments
+from notegraph.functions.text import normalize_newlines, segment, strip_comment_parts
 from notegraph.operators import links, state
 from notegraph.plans.publish import Context, batched_plan, context_of, note_hashes, panels, render_notes, slim_notes
 from notegraph.sources.notes import change_ledger, read_ledger, read_version, write_version
@@ -45,8 +45,9 @@ def newest(revisions: DataFrame) -> DataFrame:
 
 
 def link_names(notes: DataFrame) -> DataFrame:
-    """``notes(path, content)`` to path and targets: the names that links of a note ask for."""
-    rows = saved(notes.select("path", strip_comments(normalize_newlines(F.col("content"))).alias("content")), "link-texts")
+    """``notes(path, content)`` to path and targets: the names that links of a note ask for. A text is cut
+    into text and code once for both kinds of links."""
+    rows = saved(notes.select("path", strip_comment_parts(segment(normalize_newlines(F.col("content")))).alias("parts")), "link-texts")
     wiki = links.extract_wikilinks(rows).select("path", links.parse_wikilink(F.col("inner"))["page_name"].alias("target"))
     found = wiki.unionByName(links.extract_file_links(rows).select("path", F.col("page_name").alias("target"))).where("target <> ''")
     return found.groupBy("path").agg(F.array_sort(F.collect_set("target")).alias("targets"))
@@ -124,7 +125,9 @@ def apply_batch(revisions: DataFrame, batch_id: int, folder: str, cfg: PlanConfi
     bucket = F.pmod(F.xxhash64("path"), F.lit(buckets)).cast("int").alias("bucket")
     live = new.where("content is not null")
     _put_texts(live.select("path", "content", bucket), folder, at)
-    about = slim_notes(live.select("path", "content", "ord"), cfg).drop("ord").join(link_names(live), "path", "left")
+    # read in buckets, as many tasks as may be: texts that compress well are few tasks after a shuffle
+    put = spark.read.schema("path string, content string").parquet(f"{folder}/texts/at={at}").select("path", "content")
+    about = slim_notes(put.withColumn("ord", F.lit(None).cast("long")), cfg).drop("ord").join(link_names(put), "path", "left")
     rows = new.select("path", "ord", "rev", F.col("content").isNull().alias("gone"), F.when(F.col("content").isNotNull(), at).alias("at"), bucket).join(about, "path", "left")
     rows = saved(rows.withColumn("context", F.lit(None).cast("string")), "arrived-notes")
     whole = rows if before is None else saved(before.join(rows.select("path"), "path", "left_anti").unionByName(rows), "all-notes")

@@ -550,3 +550,22 @@ def test_a_scan_lists_once(spark, tmp_path, monkeypatch):
     rows = sources.scan_notes(spark, str(tmp_path / "v")).selectExpr("path", "cast(content AS binary) AS b", "ord").collect()
     assert [x for x in listed if x == str(tmp_path / "v")] == [str(tmp_path / "v")]
     assert [(r["path"], bytes(r["b"]), r["ord"]) for r in sorted(rows, key=lambda r: r["ord"])] == [(p, want[p], i) for i, p in enumerate(sorted(want))]
+
+
+def test_links_are_found_in_texts_that_are_cut_once(spark, monkeypatch):
+    """What links of the first kind become is written before links of the second are looked for, and the
+    stream looks for both in parts that are written."""
+    from notegraph.streaming import publish_stream as streams
+
+    text_of = "See [[b|next]] `[[no]]` [c](c.md#x) %%[[hidden]] `x%% [[B.md]]` and\n```\n[[code]]\n```\n[[d#e]]\n"
+    notes = spark.createDataFrame([("v/a.md", text_of, 0), ("v/b.md", "%%only%%", 1), ("v/c.md", "", 2)], "path string, content string, ord long")
+    cfg = PlanConfig(folder="v/")
+    rendered = publish.render_notes(publish.publish_context(notes, cfg), cfg)
+    assert links._WIKI not in rendered._jdf.queryExecution().optimizedPlan().toString()
+    rows, of, parts = notes.withColumn("content", text.strip_comments(F.col("content"))), links.extract_wikilinks, []
+    want = {r["path"]: set() for r in notes.collect()}
+    for r in of(rows).select("path", links.parse_wikilink(F.col("inner"))["page_name"].alias("t")).union(links.extract_file_links(rows).select("path", "page_name")).collect():
+        want[r["path"]].add(r["t"])
+    monkeypatch.setattr(links, "extract_wikilinks", lambda found: parts.append(found.columns) or of(found))
+    got = {r["path"]: set(r["targets"]) for r in streams.link_names(notes.select("path", "content")).collect()}
+    assert parts == [["path", "parts"]] and got == {p: t for p, t in want.items() if t} and got["v/a.md"] >= {"b", "c", "d"}
